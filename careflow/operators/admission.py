@@ -5,6 +5,7 @@ request accepted before it. With one key that is a minimum per key. With several
 keys an early rejection frees keys for later requests, so acceptance is worked
 out in rounds: every open request that is first on all its keys is accepted, the
 requests that share a key with it are rejected, the rest go to the next round.
+Once few enough requests are left they are walked in order.
 """
 
 from __future__ import annotations
@@ -12,13 +13,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
 
 from careflow.session import materialise
 
-# Open requests that may be finished by one task.
-TAIL_ROWS = 200_000
+# Open requests that may be walked by one task.
+TAIL_ROWS = 500_000
+
+ACCEPTED = "accepted"
 
 
 def admit_first_come(
@@ -34,91 +37,105 @@ def admit_first_come(
     them never conflicts. `taken` gives rows of the current state per rule.
     `order` must be unique.
     """
-    taken = taken or {}
-    held = {
-        name: state.select(*rules[name])
-        .join(requests.select(*rules[name]).distinct(), rules[name], "left_semi")
-        .distinct()
-        for name, state in taken.items()
-    }
-    keyed = requests.select(*dict.fromkeys([*order, *(k for ks in rules.values() for k in ks)]))
-    open_requests = keyed
-    for name, holders in held.items():
-        open_requests = open_requests.join(holders, rules[name], "left_anti")
-
-    accepted = _accept(open_requests, rules, order, tail_rows)
-
-    out = requests.withColumn("__ord", F.struct(*order))
-    verdict = F.lit(None).cast("string")
+    marked = requests
+    for name, keys in rules.items():
+        if taken and name in taken:
+            marked = marked.join(_held(taken[name], requests, keys).withColumn(_flag(name), F.lit(True)), keys, "left")
+        else:
+            marked = marked.withColumn(_flag(name), F.lit(False))
+        marked = marked.withColumn(_flag(name), F.coalesce(_flag(name), F.lit(False)))
+
+    if len(rules) == 1:
+        ((name, keys),) = rules.items()
+        firsts = requests.dropna(subset=keys).groupBy(*keys).agg(F.min(F.struct(*order)).alias("__by"))
+        judged = marked.join(firsts, keys, "left")
+        broken = F.col(_flag(name)) | (F.col("__by") < F.struct(*order))
+        judged = judged.withColumn("verdict", F.when(broken, F.lit(name)).otherwise(ACCEPTED))
+        return judged.select(*requests.columns, "verdict")
+
+    marked = materialise(marked)
+    if marked.count() <= tail_rows:
+        return _walk(marked, rules, order).select(*requests.columns, "verdict")
+
+    accepted = _accept_in_rounds(marked, rules, order, tail_rows)
+    verdict = F.lit(ACCEPTED)
     for name, keys in reversed(rules.items()):
-        holders = accepted.dropna(subset=keys).select(
-            *keys, F.lit(True).alias(f"__held_{name}"), F.struct(*order).alias(f"__by_{name}")
-        )
-        if name in held:
-            holders = holders.unionByName(
-                held[name].dropna().withColumn(f"__held_{name}", F.lit(True)), allowMissingColumns=True
-            )
-        out = out.join(holders, keys, "left")
-        by = F.col(f"__by_{name}")
-        broken = F.col(f"__held_{name}") & (by.isNull() | (by < F.col("__ord")))
-        verdict = F.when(broken, F.lit(name)).otherwise(verdict)
-    out = out.withColumn("verdict", F.coalesce(verdict, F.lit("accepted")))
-    return out.select(*requests.columns, "verdict")
+        holders = accepted.dropna(subset=keys).select(*keys, F.struct(*order).alias(f"__by_{name}"))
+        marked = marked.join(holders, keys, "left")
+        earlier = F.coalesce(F.col(f"__by_{name}") < F.struct(*order), F.lit(False))
+        verdict = F.when(F.col(_flag(name)) | earlier, F.lit(name)).otherwise(verdict)
+    return marked.withColumn("verdict", verdict).select(*requests.columns, "verdict")
 
 
-def _accept(rows: DataFrame, rules: dict[str, list[str]], order: list[str], tail_rows: int) -> DataFrame:
-    if len(rules) == 1:
-        (keys,) = rules.values()
-        first = rows.dropna(subset=keys).groupBy(*keys).agg(F.min(F.struct(*order)).alias("__first"))
-        free = rows.where(reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys]))
-        return first.select("__first.*", *[k for k in keys if k not in order]).select(*rows.columns).unionByName(free)
+def _flag(name: str) -> str:
+    return f"__taken {name}"
+
+
+def _held(state: DataFrame, requests: DataFrame, keys: list[str]) -> DataFrame:
+    """The distinct keys of the state that are asked for."""
+    wanted = requests.select(*keys).distinct()
+    return state.select(*keys).join(wanted, keys, "left_semi").distinct()
 
-    rows = materialise(rows)
+
+def _any(conditions: list[Column]) -> Column:
+    return reduce(lambda a, b: a | b, conditions)
+
+
+def _accept_in_rounds(
+    marked: DataFrame, rules: dict[str, list[str]], order: list[str], tail_rows: int
+) -> DataFrame:
+    """Order and key columns of the accepted requests."""
+    columns = list(dict.fromkeys([*order, *(k for keys in rules.values() for k in keys)]))
+    rows = materialise(marked.where(~_any([F.col(_flag(name)) for name in rules])).select(*columns))
     accepted = []
     while (left := rows.count()) > tail_rows:
-        marked = rows.withColumn("__ord", F.struct(*order)).withColumn("__first", F.lit(True))
+        ranked = rows.withColumn("__ord", F.struct(*order)).withColumn("__first", F.lit(True))
         for keys in rules.values():
-            firsts = (
-                marked.dropna(subset=keys).groupBy(*keys).agg(F.min("__ord").alias("__min"))
-            )
-            marked = (
-                marked.join(firsts, keys, "left")
-                .withColumn("__first", F.col("__first") & (F.col("__min").isNull() | (F.col("__min") == F.col("__ord"))))
-                .drop("__min")
-            )
-        marked = materialise(marked)
-        winners = marked.where("__first").select(*rows.columns)
+            firsts = ranked.dropna(subset=keys).groupBy(*keys).agg(F.min("__ord").alias("__min"))
+            first = F.col("__min").isNull() | (F.col("__min") == F.col("__ord"))
+            ranked = ranked.join(firsts, keys, "left").withColumn("__first", F.col("__first") & first).drop("__min")
+        ranked = materialise(ranked.select(*columns, "__first"))
+        winners = ranked.where("__first").select(*columns)
         accepted.append(winners)
-        rest = marked.where("not __first").select(*rows.columns)
+        rest = ranked.where("not __first").select(*columns)
         for keys in rules.values():
             rest = rest.join(winners.select(*keys).dropna(), keys, "left_anti")
         rows = materialise(rest)
-    if left or not accepted:
-        accepted.append(_accept_tail(rows, rules, order))
+    if left:
+        flags = {_flag(name): F.lit(False) for name in rules}
+        walked = _walk(rows.withColumns(flags), rules, order)
+        accepted.append(walked.where(F.col("verdict") == ACCEPTED).select(*columns))
     # Joined once per rule, so the walk is kept rather than run again.
     return materialise(reduce(DataFrame.unionByName, accepted))
 
 
-def _accept_tail(rows: DataFrame, rules: dict[str, list[str]], order: list[str]) -> DataFrame:
-    """At most `tail_rows` rows, walked in order; spread by the columns all rules share."""
-    shared = [k for k in next(iter(rules.values())) if all(k in ks for ks in rules.values())]
-    key_lists = list(rules.values())
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        used = [set() for _ in key_lists]
-        for pdf in batches:
-            columns = [list(zip(*(pdf[k] for k in keys))) for keys in key_lists]
-            blank = [pdf[keys].isna().any(axis=1).to_numpy() for keys in key_lists]
-            keep = []
-            for i in range(len(pdf)):
-                wanted = [(used[r], columns[r][i]) for r in range(len(key_lists)) if not blank[r][i]]
-                free = all(key not in seen for seen, key in wanted)
-                keep.append(free)
-                if free:
-                    for seen, key in wanted:
-                        seen.add(key)
-            yield pdf[keep]
+def _walk(rows: DataFrame, rules: dict[str, list[str]], order: list[str]) -> DataFrame:
+    """Adds the verdict to at most `tail_rows` rows by walking them in order; spread by
+    the columns all rules share."""
+    shared = [k for k in next(iter(rules.values())) if all(k in keys for keys in rules.values())]
+    named = list(rules.items())
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        used: list[set] = [set() for _ in named]
+        for batch in batches:
+            flags = [batch.column(_flag(name)).to_pylist() for name, _ in named]
+            wanted = [list(zip(*(batch.column(k).to_pylist() for k in keys))) for _, keys in named]
+            verdicts = []
+            for i in range(batch.num_rows):
+                asked = [keys[i] for keys in wanted]
+                verdict = ACCEPTED
+                for r, key in enumerate(asked):
+                    if flags[r][i] or (key in used[r] and None not in key):
+                        verdict = named[r][0]
+                        break
+                else:
+                    for r, key in enumerate(asked):
+                        used[r].add(key)
+                verdicts.append(verdict)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(verdicts, pa.string())], names=[*batch.schema.names, "verdict"]
+            )
 
     spread = rows.repartition(*shared) if shared else rows.coalesce(1)
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return spread.sortWithinPartitions(*order).mapInPandas(walk, schema=ddl)
+    return spread.sortWithinPartitions(*order).mapInArrow(walk, schema=f"{ddl}, verdict string")

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from careflow.functions import scalars as S
 from careflow.operators.admission import admit_first_come
 from careflow.operators.ordered import first_wins, last_wins, number_rows, rank_in_group
+from careflow.session import materialise
 
 
 def require(
@@ -85,7 +86,7 @@ def append(
     checked = require(batch, required, rules)
     valid, bad = split_valid(checked)
     if keysets:
-        judged = unique(valid, keysets, order, state)
+        judged = materialise(unique(valid, keysets, order, state))
         clash = judged.where("verdict <> 'accepted'").select(
             *order, F.lit("rejected").alias("action"), F.concat(F.lit("duplicate "), "verdict").alias("reason")
         )
@@ -138,7 +139,8 @@ def upsert(
     )
     wanted = valid.select(*keys).distinct()
     target = state.join(wanted, keys, "left_semi").groupBy(*keys).agg(F.min(id_col).alias("__target"))
-    merged = latest.join(target, keys, "left")
+    # Batch-sized, and read by the update, the inserts and the log.
+    merged = materialise(latest.join(target, keys, "left"))
 
     update = merged.where(F.col("__target").isNotNull()).select(
         F.col("__target").alias(id_col), F.col("__new"), F.lit(True).alias("__hit")

@@ -12,8 +12,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from careflow.operators.ordered import BLOCK, HOT_ROWS, largest_group, ordered_blocks
 
@@ -26,39 +27,44 @@ def apply_movements(
     opening: str,
     hot_rows: int = HOT_ROWS,
     blocks: int | None = None,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Adds `applied` and `balance` (NULL when not applied) to every movement.
 
-    `opening` is the stock of the key before its first movement, on every row;
+    `counted` may give cheaper rows to count the keys on, if none are missing. `opening` is the stock of the key before its first movement, on every row;
     `amount` and `opening` are whole numbers, `order` is unique within a key.
     """
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in moves.schema)
     schema = f"{ddl}, applied boolean, balance bigint"
-    if largest_group(moves, [key]) <= hot_rows:
+    if largest_group(moves if counted is None else counted, [key]) <= hot_rows:
         placed = moves.repartition(key).sortWithinPartitions(key, *order)
-        return placed.mapInPandas(_walker(key, amount, opening, {}), schema=schema)
+        return placed.mapInArrow(_walker(key, amount, opening, {}), schema=schema)
 
     staged = ordered_blocks(moves, [key], order, blocks)
     carried = _settle_blocks(staged, key, amount, opening)
     schema = f"{ddl}, `{BLOCK}` int, applied boolean, balance bigint"
-    return staged.mapInPandas(_walker(key, amount, opening, carried), schema=schema).drop(BLOCK)
+    return staged.mapInArrow(_walker(key, amount, opening, carried), schema=schema).drop(BLOCK)
 
 
 def _walker(key: str, amount: str, opening: str, carried: dict[int, tuple]):
     """Walks sorted rows; `carried` gives (first key, stock) of blocks that continue a key."""
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = _Walk(key, amount, opening, carried)
-        for pdf in batches:
-            applied, balance = state.advance(pdf)
-            pdf["applied"] = applied
-            pdf["balance"] = pd.array(np.where(applied, balance, 0), dtype="Int64")
-            pdf.loc[~applied, "balance"] = pd.NA
-            yield pdf
+        for batch in batches:
+            applied, balance = state.advance(batch)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(applied), pa.array(balance, pa.int64(), mask=~applied)],
+                names=[*batch.schema.names, "applied", "balance"],
+            )
 
     return walk
 
 
+def _values(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return batch.column(name).to_numpy(zero_copy_only=False)
+
+
 class _Walk:
     """Stock of the key being walked, kept from one batch of rows to the next."""
 
@@ -68,15 +74,13 @@ class _Walk:
         self.block: int | None = None
         self.stock = 0
 
-    def advance(self, pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        n = len(pdf)
+    def advance(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        n = batch.num_rows
         applied, balance = np.ones(n, dtype=bool), np.zeros(n, dtype=np.int64)
         if not n:
             return applied, balance
-        keys = pdf[self.key].to_numpy()
-        amounts = pdf[self.amount].to_numpy(dtype=np.int64)
-        openings = pdf[self.opening].to_numpy(dtype=np.int64)
-        blocks = pdf[BLOCK].to_numpy() if BLOCK in pdf.columns else np.zeros(n, dtype=np.int32)
+        keys, amounts, openings = (_values(batch, c) for c in (self.key, self.amount, self.opening))
+        blocks = _values(batch, BLOCK) if BLOCK in batch.schema.names else np.zeros(n, dtype=np.int32)
         change = np.flatnonzero((keys[1:] != keys[:-1]) | (blocks[1:] != blocks[:-1])) + 1
         for lo, hi in zip([0, *change], [*change, n]):
             new_block = blocks[lo] != self.block
@@ -148,21 +152,22 @@ def _walk_parts(
     names = sorted({name for _, name in todo})
     key_type = staged.schema[key].dataType.simpleString()
 
-    def close(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state, last = _Walk(key, amount, opening, carried), {}
-        for pdf in batches:
-            _, balance = state.advance(pdf)
-            ends = ~pdf[[BLOCK, key]].duplicated(keep="last").to_numpy()
-            for block, name, value in zip(pdf[BLOCK][ends], pdf[key][ends], balance[ends]):
-                last[(block, name)] = value
-        yield pd.DataFrame(
-            [(b, k, v) for (b, k), v in last.items()], columns=[BLOCK, key, "stock"]
-        )
-
+        for batch in batches:
+            _, balance = state.advance(batch)
+            # Later rows of a part overwrite earlier ones.
+            last.update(zip(zip(batch.column(BLOCK).to_pylist(), batch.column(key).to_pylist()), balance.tolist()))
+        rows = [{BLOCK: block, key: name, "stock": stock} for (block, name), stock in last.items()]
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=out_schema)
+
+    ddl = f"`{BLOCK}` int, `{key}` {key_type}, stock bigint"
+    out_schema = to_arrow_schema(T.StructType.fromDDL(ddl))
     walked = (
         staged.where(F.col(BLOCK).isin(blocks) & F.col(key).isin(names))
         .select(BLOCK, key, amount, opening)
-        .mapInPandas(close, schema=f"`{BLOCK}` int, `{key}` {key_type}, stock bigint")
+        .mapInArrow(close, schema=ddl)
         .collect()
     )
     found = {(row[BLOCK], row[key]): row["stock"] for row in walked}

@@ -44,14 +44,16 @@ def running_sum(
     name: str,
     hot_rows: int = HOT_ROWS,
     blocks: int | None = None,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Adds the sum of `amount` over the rows of the key up to and with this row.
 
-    `order` must be unique within a key.
+    `order` must be unique within a key. `counted` may give cheaper rows to count
+    the groups on, if it has at least the rows of `df` per key.
     """
     df = df.withColumn("__amount", F.col(amount) if isinstance(amount, str) else amount)
     upto = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    if largest_group(df, keys) <= hot_rows:
+    if largest_group(df if counted is None else counted, keys) <= hot_rows:
         spec = upto.partitionBy(*keys)
         return df.withColumn(name, F.sum("__amount").over(spec)).drop("__amount")
 

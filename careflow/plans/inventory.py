@@ -73,7 +73,8 @@ def stock_ledger(
     known = movements.withColumn("change_amount", S.int_part("change_amount")).join(stock, "supply_id", "left")
     can_apply = F.col("__opening").isNotNull() & F.col("change_amount").isNotNull()
     walked = apply_movements(
-        known.where(can_apply), "supply_id", order, "change_amount", "__opening", hot_rows, blocks
+        known.where(can_apply), "supply_id", order, "change_amount", "__opening", hot_rows, blocks,
+        counted=movements.select("supply_id"),
     )
     judged = walked.withColumn("status", F.when(F.col("applied"), "accepted").otherwise("negative"))
     refused = known.where(~can_apply).withColumn(
@@ -159,6 +160,7 @@ def receive_orders(
     stocked = running_sum(
         mine.join(received, "order_id", "left_semi"),
         ["supply_id"], ["request", *item_order], "quantity_ordered", "__added", hot_rows, blocks,
+        counted=items.select("supply_id"),
     )
     log = stocked.select(
         "supply_id",

@@ -16,6 +16,9 @@ VIRUS_COLUMNS = {
 }
 TICK = "✔"
 
+# Days kept in one whole number.
+WORD = 60
+
 
 def _counts(fact: DataFrame, fk: str, name: str) -> DataFrame:
     """Rows per foreign key, combined before the shuffle, so hot keys stay small."""
@@ -333,15 +336,31 @@ def attendance_sheet(
     days = [start + timedelta(days=n) for n in range((end - start).days + 1)]
     held = filters.date_between(sessions, "session_date", start, end)
     if by == "day_of_month":
-        key, wanted = F.dayofmonth("session_date"), [d.day for d in days]
+        place, places = F.dayofmonth("session_date"), [d.day for d in days]
     else:
-        key, wanted = F.col("session_date"), days
-    ticks = [F.max(F.when(key == F.lit(w), TICK).otherwise("")).alias(d.isoformat()) for d, w in zip(days, wanted)]
-    marks = held.groupBy(F.col("patient_id").alias("id")).agg(*ticks)
+        place, places = F.datediff("session_date", S.as_date(start)), list(range(len(days)))
+    # The days a patient came are bits of a few whole numbers, which a hash
+    # aggregate can update in place.
+    words = range(max(places) // WORD + 1)
+    masks = held.groupBy(F.col("patient_id").alias("id")).agg(
+        *[
+            F.bit_or(
+                F.when(F.floor(place / WORD) == w, F.call_function("shiftleft", F.lit(1).cast("bigint"), place % WORD))
+                .otherwise(F.lit(0).cast("bigint"))
+            ).alias(f"__days{w}")
+            for w in words
+        ]
+    )
+    ticks = [
+        F.when(F.col(f"__days{p // WORD}").bitwiseAND(F.lit(1 << (p % WORD)).cast("bigint")) != 0, TICK)
+        .otherwise("")
+        .alias(d.isoformat())
+        for d, p in zip(days, places)
+    ]
     people = patients.select(
         "id", "name", "medical_id", F.coalesce("dialysis_unit", F.lit("")).alias("dialysis_unit")
     )
-    return people.join(marks, "id").orderBy("name", "id")
+    return people.join(masks, "id").select(*people.columns, *ticks).orderBy("name", "id")
 
 
 def machines_with_maintenance(

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, functions as F
 
 from careflow.functions import filters, scalars as S
@@ -45,8 +43,8 @@ def _effective(staff: DataFrame, changes: DataFrame, month: str, job: str | None
 def roster_sheet(staff: DataFrame, changes: DataFrame, month: str, job: str | None = None) -> DataFrame:
     """Staff by day with the effective shift, and the total hours."""
     rows, names = _effective(staff, changes, month, job)
-    hours = reduce(lambda a, b: a + b, [S.shift_hours(n) for n in names])
-    return rows.withColumn("total_hours", hours.cast("bigint")).orderBy("name", "id")
+    hours = F.aggregate(F.array(*names), F.lit(0).cast("bigint"), lambda total, code: total + S.shift_hours(code))
+    return rows.withColumn("total_hours", hours).orderBy("name", "id")
 
 
 def roster_hours(staff: DataFrame, changes: DataFrame, month: str, job: str | None = None) -> DataFrame:

@@ -10,6 +10,7 @@ from careflow.functions import filters, scalars as S
 from careflow.operators.admission import TAIL_ROWS, admit_first_come
 from careflow.operators.changes import append, conform, require, split_valid, update_by_key, with_new_ids
 from careflow.operators.paging import ordered_listing
+from careflow.session import materialise
 
 # States in which a machine is offered.
 OFFERED = ["نشط", "تحت الصيانة"]
@@ -117,9 +118,8 @@ def book_slots(
     one per patient and date. Log: the request and its verdict."""
     needed = ["patient_id", "machine_id", "schedule_date", "shift"]
     valid, bad = split_valid(require(requests, needed))
-    judged = admit_first_come(
-        valid, BOOKING_RULES, order, {name: schedule for name in BOOKING_RULES}, tail_rows
-    )
+    taken = {name: schedule for name in BOOKING_RULES}
+    judged = materialise(admit_first_come(valid, BOOKING_RULES, order, taken, tail_rows))
     granted = with_new_ids(judged.where("verdict = 'accepted'"), schedule, order)
     log = judged.unionByName(
         bad.withColumn("verdict", F.array_join("reasons", "; ")).drop("reasons")

@@ -8,10 +8,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def get_session(app: str = "careflow", master: str | None = None, **conf: str) -> SparkSession:
+# Input bytes per shuffle partition, small enough to sort in an executor's share of memory.
+PARTITION_BYTES = 128 * 1024 * 1024
+
+
+def get_session(
+    app: str = "careflow", master: str | None = None, input_bytes: int | None = None, **conf: str
+) -> SparkSession:
     """Session with the settings the operators count on.
 
-    On a cluster `spark.checkpoint.dir` must name a folder every executor sees.
+    `input_bytes` sizes the shuffles for the data; adaptive execution joins
+    partitions that turn out small. On a cluster `spark.checkpoint.dir` must name
+    a folder every executor sees.
     """
     builder = SparkSession.builder.appName(app)
     if master:
@@ -23,6 +31,8 @@ def get_session(app: str = "careflow", master: str | None = None, **conf: str) -
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         **conf,
     }
+    if input_bytes:
+        settings.setdefault("spark.sql.shuffle.partitions", str(max(200, input_bytes // PARTITION_BYTES)))
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()

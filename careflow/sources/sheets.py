@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from careflow.functions import scalars as S
 from careflow.operators.changes import require, split_valid, unique
 from careflow.schemas import UNIQUE
+from careflow.session import materialise
 
 
 @dataclass(frozen=True)
@@ -73,7 +74,8 @@ def import_rows(
     parsed = parsed.withColumns({c: S.add_months_overflow(src, n) for c, (src, n) in spec.derived.items()})
     label = F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in spec.label], F.lit("")).alias("row")
 
-    valid, bad = split_valid(require(parsed, spec.required))
+    # Parsed once: the checks below and both results read these rows.
+    valid, bad = split_valid(materialise(require(parsed, spec.required)))
     judged = unique(valid, UNIQUE[spec.table], order, existing, **limits)
     accepted = judged.where("verdict = 'accepted'").drop("verdict")
     rejected = bad.select(*order, label, F.array_join("reasons", "; ").alias("reason")).unionByName(
