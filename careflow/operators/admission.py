@@ -16,6 +16,7 @@ from functools import reduce
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from careflow.operators.joins import join_unique, key_summary
 from careflow.session import materialise
 
 # Open requests that may be walked by one task.
@@ -37,22 +38,18 @@ def admit_first_come(
     them never conflicts. `taken` gives rows of the current state per rule.
     `order` must be unique.
     """
+    taken = taken or {}
+    if len(rules) == 1:
+        ((name, keys),) = rules.items()
+        return _first_per_key(requests, name, keys, order, taken.get(name))
+
     marked = requests
     for name, keys in rules.items():
-        if taken and name in taken:
-            marked = marked.join(_held(taken[name], requests, keys).withColumn(_flag(name), F.lit(True)), keys, "left")
+        if name in taken:
+            marked = join_unique(marked, _held(taken[name], requests, keys).withColumn(_flag(name), F.lit(True)), keys)
+            marked = marked.withColumn(_flag(name), F.coalesce(_flag(name), F.lit(False)))
         else:
             marked = marked.withColumn(_flag(name), F.lit(False))
-        marked = marked.withColumn(_flag(name), F.coalesce(_flag(name), F.lit(False)))
-
-    if len(rules) == 1:
-        ((name, keys),) = rules.items()
-        firsts = requests.dropna(subset=keys).groupBy(*keys).agg(F.min(F.struct(*order)).alias("__by"))
-        judged = marked.join(firsts, keys, "left")
-        broken = F.col(_flag(name)) | (F.col("__by") < F.struct(*order))
-        judged = judged.withColumn("verdict", F.when(broken, F.lit(name)).otherwise(ACCEPTED))
-        return judged.select(*requests.columns, "verdict")
-
     marked = materialise(marked)
     if marked.count() <= tail_rows:
         return _walk(marked, rules, order).select(*requests.columns, "verdict")
@@ -61,7 +58,7 @@ def admit_first_come(
     verdict = F.lit(ACCEPTED)
     for name, keys in reversed(rules.items()):
         holders = accepted.dropna(subset=keys).select(*keys, F.struct(*order).alias(f"__by_{name}"))
-        marked = marked.join(holders, keys, "left")
+        marked = join_unique(marked, holders, keys)
         earlier = F.coalesce(F.col(f"__by_{name}") < F.struct(*order), F.lit(False))
         verdict = F.when(F.col(_flag(name)) | earlier, F.lit(name)).otherwise(verdict)
     return marked.withColumn("verdict", verdict).select(*requests.columns, "verdict")
@@ -73,8 +70,23 @@ def _flag(name: str) -> str:
 
 def _held(state: DataFrame, requests: DataFrame, keys: list[str]) -> DataFrame:
     """The distinct keys of the state that are asked for."""
-    wanted = requests.select(*keys).distinct()
-    return state.select(*keys).join(wanted, keys, "left_semi").distinct()
+    return materialise(key_summary(state, materialise(requests.select(*keys).distinct()), keys))
+
+
+def _first_per_key(
+    requests: DataFrame, name: str, keys: list[str], order: list[str], state: DataFrame | None
+) -> DataFrame:
+    firsts = materialise(requests.dropna(subset=keys).groupBy(*keys).agg(F.min(F.struct(*order)).alias("__by")))
+    firsts = firsts.withColumn(_flag(name), F.lit(False))
+    if state is not None:
+        held = key_summary(state, firsts, keys).withColumn("__held", F.lit(True))
+        flag = F.coalesce("__held", F.lit(False))
+        firsts = materialise(firsts.join(held, keys, "left").withColumn(_flag(name), flag).drop("__held"))
+    judged = join_unique(requests, firsts, keys)
+    broken = F.coalesce(F.col(_flag(name)) | (F.col("__by") < F.struct(*order)), F.lit(False))
+    return judged.withColumn("verdict", F.when(broken, F.lit(name)).otherwise(ACCEPTED)).select(
+        *requests.columns, "verdict"
+    )
 
 
 def _any(conditions: list[Column]) -> Column:
@@ -91,15 +103,15 @@ def _accept_in_rounds(
     while (left := rows.count()) > tail_rows:
         ranked = rows.withColumn("__ord", F.struct(*order)).withColumn("__first", F.lit(True))
         for keys in rules.values():
-            firsts = ranked.dropna(subset=keys).groupBy(*keys).agg(F.min("__ord").alias("__min"))
+            firsts = materialise(rows.dropna(subset=keys).groupBy(*keys).agg(F.min(F.struct(*order)).alias("__min")))
             first = F.col("__min").isNull() | (F.col("__min") == F.col("__ord"))
-            ranked = ranked.join(firsts, keys, "left").withColumn("__first", F.col("__first") & first).drop("__min")
+            ranked = join_unique(ranked, firsts, keys).withColumn("__first", F.col("__first") & first).drop("__min")
         ranked = materialise(ranked.select(*columns, "__first"))
         winners = ranked.where("__first").select(*columns)
         accepted.append(winners)
         rest = ranked.where("not __first").select(*columns)
         for keys in rules.values():
-            rest = rest.join(winners.select(*keys).dropna(), keys, "left_anti")
+            rest = join_unique(rest, winners.select(*keys).dropna(), keys, "left_anti")
         rows = materialise(rest)
     if left:
         flags = {_flag(name): F.lit(False) for name in rules}

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from careflow.functions import scalars as S
 from careflow.operators.admission import admit_first_come
+from careflow.operators.joins import join_unique, key_summary
 from careflow.operators.ordered import first_wins, last_wins, number_rows, rank_in_group
 from careflow.session import materialise
 
@@ -48,7 +49,7 @@ def unique(
 def orphans(fact: DataFrame, dim: DataFrame, fk: str, pk: str = "id") -> DataFrame:
     """References whose parent is gone."""
     parents = dim.select(F.col(pk).alias(fk))
-    return fact.where(F.col(fk).isNotNull()).join(parents, fk, "left_anti")
+    return fact.where(F.col(fk).isNotNull()).join(parents, fk, "left_anti").select(*fact.columns)
 
 
 def max_id(state: DataFrame, id_col: str = "id") -> int:
@@ -101,9 +102,9 @@ def append(
     return state.unionByName(conform(added, state, defaults)), log
 
 
-def keys_in(state: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
-    """The distinct batch keys that the state holds."""
-    return state.select(*keys).join(batch.select(*keys).distinct(), keys, "left_semi").distinct()
+def without(state: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    """The state's rows whose key is not among the given distinct ones."""
+    return join_unique(state, gone.select(*keys), keys, "left_anti")
 
 
 def insert_if_absent(
@@ -111,8 +112,8 @@ def insert_if_absent(
     order: list[str] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Adds the keys the state lacks, each once. Log: keys, action."""
-    fresh = first_wins(batch, keys, order) if order else batch.select(*keys).distinct()
-    fresh = fresh.join(keys_in(state, batch, keys), keys, "left_anti")
+    asked = materialise(first_wins(batch, keys, order) if order else batch.select(*keys).distinct())
+    fresh = asked.join(key_summary(state, asked, keys), keys, "left_anti")
     added = with_new_ids(fresh, state, order or keys)
     log = added.select(*keys, F.lit("added").alias("action"))
     return state.unionByName(conform(added, state, defaults)), log
@@ -133,19 +134,20 @@ def upsert(
     action added / updated / failed (blank key).
     """
     valid, bad = split_valid(require(batch, keys))
-    latest = valid.groupBy(*keys).agg(
-        F.max_by(F.struct(*cols), F.struct(*order)).alias("__new"),
-        F.min(F.struct(*order)).alias("__arrived"),
+    latest = materialise(
+        valid.groupBy(*keys).agg(
+            F.max_by(F.struct(*cols), F.struct(*order)).alias("__new"),
+            F.min(F.struct(*order)).alias("__arrived"),
+        )
     )
-    wanted = valid.select(*keys).distinct()
-    target = state.join(wanted, keys, "left_semi").groupBy(*keys).agg(F.min(id_col).alias("__target"))
+    target = key_summary(state, latest, keys, F.min(id_col).alias("__target"))
     # Batch-sized, and read by the update, the inserts and the log.
     merged = materialise(latest.join(target, keys, "left"))
 
     update = merged.where(F.col("__target").isNotNull()).select(
         F.col("__target").alias(id_col), F.col("__new"), F.lit(True).alias("__hit")
     )
-    kept = state.join(update, id_col, "left").select(
+    kept = join_unique(state, update, [id_col]).select(
         *[
             F.when(F.col("__hit"), F.col("__new")[c].cast(state.schema[c].dataType)).otherwise(F.col(c)).alias(c)
             if c in cols
@@ -158,7 +160,7 @@ def upsert(
     new_state = kept.unionByName(conform(added, state, defaults))
 
     seen = merged.select(*keys, F.col("__target").isNull().alias("__absent"), "__arrived")
-    log = valid.join(seen, keys).select(
+    log = join_unique(valid, seen, keys, "inner").select(
         *order,
         *keys,
         F.when(F.col("__absent") & (F.struct(*order) == F.col("__arrived")), "added")
@@ -180,12 +182,12 @@ def replace_by_key(
     """
     if new_ids:
         batch = with_new_ids(batch, state, order, id_col)
-    latest = last_wins(batch, keys, order)
-    present = keys_in(state, batch, keys).withColumn("__hit", F.lit(True))
+    latest = materialise(last_wins(batch, keys, order))
+    present = key_summary(state, latest, keys).withColumn("__hit", F.lit(True))
     log = latest.join(present, keys, "left").select(
         *keys, F.when(F.col("__hit"), "replaced").otherwise("added").alias("action")
     )
-    kept = state.join(latest.select(*keys), keys, "left_anti")
+    kept = without(state, latest, keys)
     return kept.unionByName(conform(latest, state, defaults)), log
 
 
@@ -198,19 +200,20 @@ def toggle(
     n rows and k events leave n - k rows, or (k - n) mod 2 when k exceeds n. Log
     per key: rows_before, events, deleted, created.
     """
-    asked = events.groupBy(*keys).agg(F.count(F.lit(1)).alias("events"))
-    touched = state.join(asked, keys).select(id_col, *keys, "events")
-    held = touched.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows_before"))
+    asked = materialise(events.groupBy(*keys).agg(F.count(F.lit(1)).alias("events")))
+    held = materialise(key_summary(state, asked, keys, F.count(F.lit(1)).alias("rows_before")))
     log = (
         asked.join(held, keys, "left")
         .withColumn("rows_before", F.coalesce("rows_before", F.lit(0)))
         .withColumn("deleted", F.least("rows_before", "events"))
         .withColumn("created", (F.greatest(F.col("events") - F.col("rows_before"), F.lit(0)) % 2).cast("bigint"))
     )
-    ranked = rank_in_group(touched, keys, [id_col], "__rank", **hot)
-    dropped = ranked.where(F.col("__rank") <= F.col("events")).select(id_col)
+    touched = join_unique(state.select(id_col, *keys), asked, keys, "inner")
+    largest = held.agg(F.max("rows_before")).first()[0] or 0
+    ranked = rank_in_group(touched, keys, [id_col], "__rank", largest=largest, **hot)
+    dropped = materialise(ranked.where(F.col("__rank") <= F.col("events")).select(id_col))
     created = with_new_ids(log.where("created = 1").select(*keys), state, keys, id_col)
-    new_state = state.join(dropped, id_col, "left_anti").unionByName(conform(created, state, defaults))
+    new_state = without(state, dropped, [id_col]).unionByName(conform(created, state, defaults))
     return new_state, log.select(*keys, "rows_before", "events", "deleted", "created")
 
 
@@ -219,30 +222,27 @@ def apply_delta(
     defaults: dict[str, Any] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Deletes the removed keys, then adds the keys still absent. Log: keys, action, rows."""
-    gone = removed.select(*keys).distinct()
-    deleted = (
-        state.join(gone, keys, "left_semi")
-        .groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("rows"))
-        .select(*keys, F.lit("removed").alias("action"), "rows")
+    gone = materialise(removed.select(*keys).distinct())
+    deleted = key_summary(state, gone, keys, F.count(F.lit(1)).alias("rows")).select(
+        *keys, F.lit("removed").alias("action"), "rows"
     )
-    kept = state.join(gone, keys, "left_anti")
+    kept = without(state, gone, keys)
     new_state, log = insert_if_absent(kept, added, keys, defaults)
     return new_state, deleted.unionByName(log.withColumn("rows", F.lit(1).cast("bigint")))
 
 
 def delete_by_key(state: DataFrame, asked: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
     """Removes rows. Log: key, action deleted / not_found."""
-    wanted = asked.select(key).distinct()
-    return state.join(wanted, key, "left_anti"), _found_log(state, wanted, key, "deleted")
+    wanted = materialise(asked.select(key).distinct())
+    return without(state, wanted, [key]), _found_log(state, wanted, key, "deleted")
 
 
 def update_by_key(
     state: DataFrame, batch: DataFrame, key: str, cols: list[str], order: list[str]
 ) -> tuple[DataFrame, DataFrame]:
     """Sets `cols` on existing rows, NULL included; the last batch row of a key counts."""
-    latest = batch.groupBy(key).agg(F.max_by(F.struct(*cols), F.struct(*order)).alias("__new"))
-    joined = state.join(latest.withColumn("__hit", F.lit(True)), key, "left")
+    latest = materialise(batch.groupBy(key).agg(F.max_by(F.struct(*cols), F.struct(*order)).alias("__new")))
+    joined = join_unique(state, latest.withColumn("__hit", F.lit(True)), [key])
     new_state = joined.select(
         *[
             F.when(F.col("__hit"), F.col("__new")[c].cast(state.schema[c].dataType)).otherwise(F.col(c)).alias(c)
@@ -255,7 +255,7 @@ def update_by_key(
 
 
 def _found_log(state: DataFrame, wanted: DataFrame, key: str, action: str) -> DataFrame:
-    present = keys_in(state, wanted, [key]).withColumn("__hit", F.lit(True))
+    present = key_summary(state, wanted, [key]).withColumn("__hit", F.lit(True))
     return wanted.join(present, key, "left").select(
         key, F.when(F.col("__hit"), action).otherwise("not_found").alias("action")
     )

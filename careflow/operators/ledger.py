@@ -27,16 +27,18 @@ def apply_movements(
     opening: str,
     hot_rows: int = HOT_ROWS,
     blocks: int | None = None,
-    counted: DataFrame | None = None,
+    largest: int | None = None,
 ) -> DataFrame:
     """Adds `applied` and `balance` (NULL when not applied) to every movement.
 
-    `counted` may give cheaper rows to count the keys on, if none are missing. `opening` is the stock of the key before its first movement, on every row;
+    `largest` may give the rows of the largest key, or more, if they are known. `opening` is the stock of the key before its first movement, on every row;
     `amount` and `opening` are whole numbers, `order` is unique within a key.
     """
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in moves.schema)
     schema = f"{ddl}, applied boolean, balance bigint"
-    if largest_group(moves if counted is None else counted, [key]) <= hot_rows:
+    if largest is None:
+        largest = largest_group(moves, [key])
+    if largest <= hot_rows:
         placed = moves.repartition(key).sortWithinPartitions(key, *order)
         return placed.mapInArrow(_walker(key, amount, opening, {}), schema=schema)
 

@@ -44,16 +44,18 @@ def running_sum(
     name: str,
     hot_rows: int = HOT_ROWS,
     blocks: int | None = None,
-    counted: DataFrame | None = None,
+    largest: int | None = None,
 ) -> DataFrame:
     """Adds the sum of `amount` over the rows of the key up to and with this row.
 
-    `order` must be unique within a key. `counted` may give cheaper rows to count
-    the groups on, if it has at least the rows of `df` per key.
+    `order` must be unique within a key. `largest` may give the rows of the largest
+    key, or more, if they are known.
     """
     df = df.withColumn("__amount", F.col(amount) if isinstance(amount, str) else amount)
     upto = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    if largest_group(df if counted is None else counted, keys) <= hot_rows:
+    if largest is None:
+        largest = largest_group(df, keys)
+    if largest <= hot_rows:
         spec = upto.partitionBy(*keys)
         return df.withColumn(name, F.sum("__amount").over(spec)).drop("__amount")
 
@@ -80,10 +82,10 @@ def running_sum(
 
 def rank_in_group(
     df: DataFrame, keys: list[str], order: list[str], name: str, hot_rows: int = HOT_ROWS,
-    blocks: int | None = None,
+    blocks: int | None = None, largest: int | None = None,
 ) -> DataFrame:
     """Adds 1, 2, 3 … within the key."""
-    return running_sum(df, keys, order, F.lit(1).cast("bigint"), name, hot_rows, blocks)
+    return running_sum(df, keys, order, F.lit(1).cast("bigint"), name, hot_rows, blocks, largest)
 
 
 def number_rows(

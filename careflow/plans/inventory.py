@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from careflow.functions import filters, scalars as S
 from careflow.operators.changes import conform, require, split_valid, with_new_ids
+from careflow.operators.joins import join_unique
 from careflow.operators.ledger import apply_movements
-from careflow.operators.ordered import HOT_ROWS, first_wins, running_sum
+from careflow.operators.ordered import HOT_ROWS, first_wins, largest_group, running_sum
 from careflow.operators.paging import ordered_listing
+from careflow.session import materialise
 
 
 def supply_list(
@@ -74,7 +76,7 @@ def stock_ledger(
     can_apply = F.col("__opening").isNotNull() & F.col("change_amount").isNotNull()
     walked = apply_movements(
         known.where(can_apply), "supply_id", order, "change_amount", "__opening", hot_rows, blocks,
-        counted=movements.select("supply_id"),
+        largest=largest_group(movements, ["supply_id"]),
     )
     judged = walked.withColumn("status", F.when(F.col("applied"), "accepted").otherwise("negative"))
     refused = known.where(~can_apply).withColumn(
@@ -135,10 +137,10 @@ def receive_orders(
     Returns supplies, orders, inventory log rows, verdict per receipt: received,
     unknown order, already completed, no items or unknown supply.
     """
-    first = first_wins(receipts, ["order_id"], ["request"])
+    first = materialise(first_wins(receipts, ["order_id"], ["request"]))
     head = orders.select(F.col("id").alias("order_id"), F.col("status").alias("__status"))
-    mine = items.withColumnRenamed("purchase_order_id", "order_id").join(
-        first.select("order_id", "request"), "order_id"
+    mine = join_unique(
+        items.withColumnRenamed("purchase_order_id", "order_id"), first.select("order_id", "request"), ["order_id"], "inner"
     )
     stock = supplies.select(F.col("id").alias("supply_id"), F.col("quantity").alias("__opening"), F.lit(True).alias("__known"))
     mine = mine.join(stock, "supply_id", "left")
@@ -155,12 +157,13 @@ def receive_orders(
     judged = (
         first.join(head, "order_id", "left").join(contents, "order_id", "left").withColumn("verdict", verdict)
     )
+    judged = materialise(judged)
     received = judged.where("verdict = 'received'").select("order_id")
 
     stocked = running_sum(
-        mine.join(received, "order_id", "left_semi"),
+        join_unique(mine, received, ["order_id"], "left_semi"),
         ["supply_id"], ["request", *item_order], "quantity_ordered", "__added", hot_rows, blocks,
-        counted=items.select("supply_id"),
+        largest=largest_group(items, ["supply_id"]),
     )
     log = stocked.select(
         "supply_id",

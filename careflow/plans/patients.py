@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from careflow.functions import filters, scalars as S
-from careflow.operators.changes import conform
+from careflow.operators.changes import conform, without
+from careflow.operators.joins import join_unique
 from careflow.operators.paging import ordered_listing, page_info, paginate
+from careflow.session import materialise
 
 SEARCH_COLUMNS = ["name", "medical_id", "national_id"]
 
@@ -73,18 +75,18 @@ def archive(
 
     Returns active, archived, log (id, action).
     """
-    wanted = ids.select("id").distinct()
+    wanted = materialise(ids.select("id").distinct())
     died = S.as_date(death_date) if reason == DEATH and death_date is not None else F.lit(None).cast("date")
     moved = (
-        active.join(wanted, "id", "left_semi")
+        join_unique(active, wanted, ["id"], "left_semi")
         .withColumn("archive_reason", F.lit(reason))
         .withColumn("archive_details", F.lit(details).cast("string"))
         .withColumn("date_of_death", died)
         .withColumn("archived_at", F.lit(archived_at).cast("timestamp"))
     )
-    kept = archived.join(moved.select("id"), "id", "left_anti")
+    kept = without(archived, materialise(moved.select("id")), ["id"])
     return (
-        active.join(wanted, "id", "left_anti"),
+        without(active, wanted, ["id"]),
         kept.unionByName(conform(moved, archived)),
         _move_log(wanted, moved, "archived"),
     )
@@ -94,12 +96,12 @@ def unarchive(
     active: DataFrame, archived: DataFrame, ids: DataFrame
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Moves patients back as not archived, without the archive columns."""
-    wanted = ids.select("id").distinct()
-    moved = archived.join(wanted, "id", "left_semi").drop(*ARCHIVE_COLUMNS).withColumn("is_archived", F.lit(0))
-    kept = active.join(moved.select("id"), "id", "left_anti")
+    wanted = materialise(ids.select("id").distinct())
+    moved = join_unique(archived, wanted, ["id"], "left_semi").drop(*ARCHIVE_COLUMNS).withColumn("is_archived", F.lit(0))
+    kept = without(active, materialise(moved.select("id")), ["id"])
     return (
         kept.unionByName(conform(moved, active)),
-        archived.join(wanted, "id", "left_anti"),
+        without(archived, wanted, ["id"]),
         _move_log(wanted, moved, "restored"),
     )
 

@@ -20,20 +20,18 @@ def roster_inputs(staff: DataFrame, changes: DataFrame, month: str, job: str | N
 def _effective(staff: DataFrame, changes: DataFrame, month: str, job: str | None) -> tuple[DataFrame, list[str]]:
     """One row per staff member with the shift of every day of the month.
 
-    Overrides are spread over day columns by one aggregate, so no calendar has to
-    be joined to the staff.
+    Overrides are pivoted over the known days, so no calendar has to be joined to
+    the staff.
     """
-    days = S.month_days(month)
-    names = [f"day{d.day}" for d in days]
+    days = [d.day for d in S.month_days(month)]
+    names = [f"day{d}" for d in days]
     spread = (
         filters.in_month(changes, "shift_date", month)
-        .groupBy(F.col("staff_id").alias("id"))
-        .agg(
-            *[
-                F.max(F.when(F.col("shift_date") == F.lit(d), F.col("new_shift_type"))).alias(n)
-                for d, n in zip(days, names)
-            ]
-        )
+        .select(F.col("staff_id").alias("id"), F.dayofmonth("shift_date").alias("day"), "new_shift_type")
+        .groupBy("id")
+        .pivot("day", days)
+        .agg(F.max("new_shift_type"))
+        .toDF("id", *names)
     )
     people = filters.equals_if_given(staff, {"job_title": job}).select("id", "name", "default_shift")
     shifts = [F.coalesce(F.col(n), F.col("default_shift"), F.lit("")).alias(n) for n in names]
