@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from careflow.functions import scalars as S
 from careflow.operators.admission import admit_first_come
 from careflow.operators.joins import join_unique, key_summary
-from careflow.operators.ordered import first_wins, last_wins, number_rows, rank_in_group
+from careflow.operators.ordered import HOT_ROWS, first_wins, last_wins, number_rows, rank_in_group
 from careflow.session import materialise
 
 
@@ -193,7 +193,7 @@ def replace_by_key(
 
 def toggle(
     state: DataFrame, events: DataFrame, keys: list[str], defaults: dict[str, Any] | None = None,
-    id_col: str = "id", **hot: int,
+    id_col: str = "id", hot_rows: int = HOT_ROWS, blocks: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Each event deletes one row of its key or, if there is none, creates one.
 
@@ -209,8 +209,8 @@ def toggle(
         .withColumn("created", (F.greatest(F.col("events") - F.col("rows_before"), F.lit(0)) % 2).cast("bigint"))
     )
     touched = join_unique(state.select(id_col, *keys), asked, keys, "inner")
-    largest = held.agg(F.max("rows_before")).first()[0] or 0
-    ranked = rank_in_group(touched, keys, [id_col], "__rank", largest=largest, **hot)
+    hot = held.where(F.col("rows_before") > hot_rows).select(*keys)
+    ranked = rank_in_group(touched, keys, [id_col], "__rank", blocks=blocks, hot=hot)
     dropped = materialise(ranked.where(F.col("__rank") <= F.col("events")).select(id_col))
     created = with_new_ids(log.where("created = 1").select(*keys), state, keys, id_col)
     new_state = without(state, dropped, [id_col]).unionByName(conform(created, state, defaults))

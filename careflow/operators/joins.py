@@ -12,8 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from careflow.operators.ordered import HOT_ROWS
-from careflow.session import materialise
+from careflow.operators.ordered import HOT_ROWS, hot_keys, split_hot
 
 # Rows of a table that may be broadcast.
 BROADCAST_ROWS = 500_000
@@ -44,17 +43,14 @@ def join_unique(
     # NULL keys match nothing; they need no partner and would all meet in one task.
     no_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
     keyed = rows.where(~no_key)
-    counts = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    hot = materialise(counts.where(F.col("__n") > hot_rows).select(*keys))
+    hot = hot_keys(keyed, keys, hot_rows)
     if hot.isEmpty():
         joined = keyed.join(table, keys, how).select(*columns)
     else:
-        # At most rows / hot_rows keys.
-        few = F.broadcast(hot)
-        hot_table = F.broadcast(table.join(few, keys, "left_semi"))
-        joined = (
-            keyed.join(few, keys, "left_semi").join(hot_table, keys, how).select(*columns)
-        ).unionByName(keyed.join(few, keys, "left_anti").join(table, keys, how).select(*columns))
+        large, rest = split_hot(keyed, keys, hot)
+        hot_table = F.broadcast(split_hot(table, keys, hot)[0])
+        joined = large.join(hot_table, keys, how).select(*columns)
+        joined = joined.unionByName(rest.join(table, keys, how).select(*columns))
     if how in ("left", "left_anti"):
         joined = joined.unionByName(rows.where(no_key), allowMissingColumns=True)
     return joined

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from careflow.operators.ordered import BLOCK, HOT_ROWS, largest_group, ordered_blocks
+from careflow.operators.ordered import BLOCK, HOT_ROWS, hot_keys, ordered_blocks, split_hot
 
 
 def apply_movements(
@@ -27,25 +27,34 @@ def apply_movements(
     opening: str,
     hot_rows: int = HOT_ROWS,
     blocks: int | None = None,
-    largest: int | None = None,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Adds `applied` and `balance` (NULL when not applied) to every movement.
 
-    `largest` may give the rows of the largest key, or more, if they are known. `opening` is the stock of the key before its first movement, on every row;
-    `amount` and `opening` are whole numbers, `order` is unique within a key.
+    `opening` is the stock of the key before its first movement, on every row;
+    `amount` and `opening` are whole numbers, `order` is unique within a key, and
+    the key is not NULL. `hot` gives the hot keys if they are known.
     """
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in moves.schema)
-    schema = f"{ddl}, applied boolean, balance bigint"
-    if largest is None:
-        largest = largest_group(moves, [key])
-    if largest <= hot_rows:
-        placed = moves.repartition(key).sortWithinPartitions(key, *order)
-        return placed.mapInArrow(_walker(key, amount, opening, {}), schema=schema)
-
-    staged = ordered_blocks(moves, [key], order, blocks)
+    if hot is None:
+        hot = hot_keys(moves, [key], hot_rows)
+    if hot.isEmpty():
+        return _walk_keys(moves, key, order, amount, opening)
+
+    large, rest = split_hot(moves, [key], hot)
+    staged = ordered_blocks(large, [key], order, blocks)
     carried = _settle_blocks(staged, key, amount, opening)
-    schema = f"{ddl}, `{BLOCK}` int, applied boolean, balance bigint"
-    return staged.mapInArrow(_walker(key, amount, opening, carried), schema=schema).drop(BLOCK)
+    walked = staged.mapInArrow(_walker(key, amount, opening, carried), schema=_walked_schema(staged))
+    return _walk_keys(rest, key, order, amount, opening).unionByName(walked.drop(BLOCK))
+
+
+def _walk_keys(moves: DataFrame, key: str, order: list[str], amount: str, opening: str) -> DataFrame:
+    placed = moves.repartition(key).sortWithinPartitions(key, *order)
+    return placed.mapInArrow(_walker(key, amount, opening, {}), schema=_walked_schema(moves))
+
+
+def _walked_schema(df: DataFrame) -> str:
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    return f"{ddl}, applied boolean, balance bigint"
 
 
 def _walker(key: str, amount: str, opening: str, carried: dict[int, tuple]):

@@ -1,13 +1,15 @@
 """Ordered computations that stay balanced when one key holds a large share of the rows.
 
-A window over a key sorts that whole key in one task. It is used here only after
-the largest group has been counted and found small. Larger groups are cut into
-range partitions ("blocks") of the full order, computed block by block, and
-joined up through one small row per block.
+A window over a key sorts that whole key in one task. Keys are counted first, and
+the few with too many rows are computed apart: they are cut into range partitions
+("blocks") of the full order, computed block by block, and joined up through one
+small row per block.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from careflow.session import materialise
@@ -18,10 +20,20 @@ HOT_ROWS = 1_000_000
 BLOCK = "__block"
 
 
-def largest_group(df: DataFrame, keys: list[str]) -> int:
-    """Rows of the most frequent key; counts are combined before the shuffle."""
-    top = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()
-    return top[0] or 0
+def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The keys with more rows than that: at most rows / hot_rows of them.
+
+    Counts are combined before the shuffle.
+    """
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    return materialise(counts.where(F.col("__n") > hot_rows).select(*keys))
+
+
+def split_hot(df: DataFrame, keys: list[str], hot: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of the hot keys and the others. NULL counts as a key."""
+    few = F.broadcast(hot.toDF(*[f"__hot_{k}" for k in keys]))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__hot_{k}")) for k in keys])
+    return df.join(few, same, "left_semi"), df.join(few, same, "left_anti")
 
 
 def ordered_blocks(
@@ -44,21 +56,28 @@ def running_sum(
     name: str,
     hot_rows: int = HOT_ROWS,
     blocks: int | None = None,
-    largest: int | None = None,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Adds the sum of `amount` over the rows of the key up to and with this row.
 
-    `order` must be unique within a key. `largest` may give the rows of the largest
-    key, or more, if they are known.
+    `order` must be unique within a key. `hot` gives the hot keys if they are known.
     """
     df = df.withColumn("__amount", F.col(amount) if isinstance(amount, str) else amount)
     upto = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    if largest is None:
-        largest = largest_group(df, keys)
-    if largest <= hot_rows:
-        spec = upto.partitionBy(*keys)
-        return df.withColumn(name, F.sum("__amount").over(spec)).drop("__amount")
+    by_key = F.sum("__amount").over(upto.partitionBy(*keys))
+    if hot is None:
+        hot = hot_keys(df, keys, hot_rows)
+    if hot.isEmpty():
+        return df.withColumn(name, by_key).drop("__amount")
+
+    large, rest = split_hot(df, keys, hot)
+    summed = _running_sum_in_blocks(large, keys, order, name, blocks)
+    return rest.withColumn(name, by_key).unionByName(summed).drop("__amount")
 
+
+def _running_sum_in_blocks(
+    df: DataFrame, keys: list[str], order: list[str], name: str, blocks: int | None
+) -> DataFrame:
     staged = ordered_blocks(df, keys, order, blocks)
     before = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     # Only the first key of a block can have come from an earlier block, so
@@ -70,22 +89,22 @@ def running_sum(
         .where(F.col("__carry").isNotNull())
         .select(F.col(BLOCK), F.struct(*keys).alias("__key"), "__carry")
     )
-    local = F.sum("__amount").over(upto.partitionBy(BLOCK, *keys))
+    upto = Window.partitionBy(BLOCK, *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     same_key = F.struct(*keys).eqNullSafe(F.col("__key"))
     return (
-        staged.withColumn(name, local)
+        staged.withColumn(name, F.sum("__amount").over(upto))
         .join(F.broadcast(carry), BLOCK, "left")
         .withColumn(name, F.col(name) + F.when(same_key, F.col("__carry")).otherwise(F.lit(0)))
-        .drop(BLOCK, "__amount", "__key", "__carry")
+        .drop(BLOCK, "__key", "__carry")
     )
 
 
 def rank_in_group(
     df: DataFrame, keys: list[str], order: list[str], name: str, hot_rows: int = HOT_ROWS,
-    blocks: int | None = None, largest: int | None = None,
+    blocks: int | None = None, hot: DataFrame | None = None,
 ) -> DataFrame:
     """Adds 1, 2, 3 … within the key."""
-    return running_sum(df, keys, order, F.lit(1).cast("bigint"), name, hot_rows, blocks, largest)
+    return running_sum(df, keys, order, F.lit(1).cast("bigint"), name, hot_rows, blocks, hot)
 
 
 def number_rows(

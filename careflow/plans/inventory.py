@@ -10,7 +10,7 @@ from careflow.functions import filters, scalars as S
 from careflow.operators.changes import conform, require, split_valid, with_new_ids
 from careflow.operators.joins import join_unique
 from careflow.operators.ledger import apply_movements
-from careflow.operators.ordered import HOT_ROWS, first_wins, largest_group, running_sum
+from careflow.operators.ordered import HOT_ROWS, first_wins, hot_keys, running_sum
 from careflow.operators.paging import ordered_listing
 from careflow.session import materialise
 
@@ -76,7 +76,7 @@ def stock_ledger(
     can_apply = F.col("__opening").isNotNull() & F.col("change_amount").isNotNull()
     walked = apply_movements(
         known.where(can_apply), "supply_id", order, "change_amount", "__opening", hot_rows, blocks,
-        largest=largest_group(movements, ["supply_id"]),
+        hot=hot_keys(movements, ["supply_id"], hot_rows),
     )
     judged = walked.withColumn("status", F.when(F.col("applied"), "accepted").otherwise("negative"))
     refused = known.where(~can_apply).withColumn(
@@ -163,7 +163,7 @@ def receive_orders(
     stocked = running_sum(
         join_unique(mine, received, ["order_id"], "left_semi"),
         ["supply_id"], ["request", *item_order], "quantity_ordered", "__added", hot_rows, blocks,
-        largest=largest_group(items, ["supply_id"]),
+        hot=hot_keys(items, ["supply_id"], hot_rows),
     )
     log = stocked.select(
         "supply_id",

@@ -32,8 +32,8 @@ def test_rejection_affects_later_movements(spark):
 
 
 @pytest.mark.parametrize("seed", range(4))
-@pytest.mark.parametrize("blocks", [None, 3, 9])
-def test_hot_key_over_blocks_equals_brute_force(spark, seed, blocks):
+@pytest.mark.parametrize("hot_rows,blocks", [(None, None), (0, 3), (0, 9), (100, 5)])
+def test_hot_key_over_blocks_equals_brute_force(spark, seed, hot_rows, blocks):
     rng = random.Random(seed)
     stock = {k: rng.randrange(0, 30) for k in range(8)}
     drift = rng.choice([-4, 0, 3])
@@ -41,7 +41,7 @@ def test_hot_key_over_blocks_equals_brute_force(spark, seed, blocks):
         (0 if rng.random() < 0.4 else rng.randrange(8), i, rng.randrange(-20, 21) + drift) for i in range(900)
     ]
     supplies, batch = frames(spark, stock, moves)
-    hot = {} if blocks is None else {"hot_rows": 0, "blocks": blocks}
+    hot = {} if blocks is None else {"hot_rows": hot_rows, "blocks": blocks}
     after, log = inventory.stock_ledger(supplies, batch, ["t"], **hot)
     expected, closing = brute(stock, moves)
     assert rows(log, "supply_id", "t", "change_amount", "status", "new_quantity") == expected

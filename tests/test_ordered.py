@@ -22,16 +22,18 @@ def test_running_sum_in_blocks_equals_window(spark):
         sums[k] = sums.get(k, 0) + a
         expected.append((k, t, a, sums[k]))
     small = ordered.running_sum(df, ["k"], ["t"], "amount", "s")
-    cut = ordered.running_sum(df, ["k"], ["t"], "amount", "s", hot_rows=0, blocks=7)
     assert rows(small) == expected
-    assert rows(cut) == expected
+    for hot_rows in (0, 50):
+        cut = ordered.running_sum(df, ["k"], ["t"], "amount", "s", hot_rows=hot_rows, blocks=7)
+        assert rows(cut) == expected
 
 
 def test_one_key_over_all_blocks(spark):
     df = spark.range(500).select(F.lit("a").alias("k"), "id", F.lit(2).cast("bigint").alias("x"))
     cut = ordered.running_sum(df, ["k"], ["id"], "x", "s", hot_rows=0, blocks=5)
     assert [r[0] for r in rows(cut, "s")] == list(accumulate([2] * 500))
-    assert ordered.largest_group(df, ["k"]) == 500
+    assert rows(ordered.hot_keys(df, ["k"], 499)) == [("a",)]
+    assert ordered.hot_keys(df, ["k"], 500).isEmpty()
 
 
 def test_null_keys_are_a_group(spark):
