@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from careflow.bindings.registry import MONTH, query
-from careflow.bindings.views import VIEWS
-from careflow.operators import changes, ordered
+from careflow.bindings.registry import query
+from careflow.operators import changes
 from careflow.plans import daily_reports, inventory, patients, roster, schedule
-from careflow.schemas import DEFAULTS, REQUIRED, ROLES, UNIQUE
+from careflow.schemas import ROLES, UNIQUE
 
 KEY = ["patient_id", "session_date"]
 
@@ -102,9 +101,7 @@ def add_sessions_log(v):
 )
 def append_machines(v):
     batch = v.machine_sheet.drop("last_maintenance")
-    state, _ = changes.append(
-        v.machines, batch, ["line_no"], REQUIRED["machines"], UNIQUE["machines"], defaults=DEFAULTS["machines"]
-    )
+    state, _ = changes.append_to("machines", v.machines, batch, ["line_no"])
     return state.select("id", "serial_number", "brand", "ward", "internal_unit", "status")
 
 
@@ -124,8 +121,53 @@ def append_water_log(v):
         "'T' || CAST(patient_id AS STRING) AS technician_name",
         "CAST(test_id AS DOUBLE) AS ph_level",
     )
-    return changes.append(v.water_treatment_log, batch, ["line_no"], REQUIRED["water_treatment_log"])[0]
+    return changes.append_to("water_treatment_log", v.water_treatment_log, batch, ["line_no"])[0]
+
+
+NEW_PATIENTS = """id AS line, CASE WHEN id % 61 = 0 THEN '' ELSE name END AS name,
+  CASE WHEN id % 9 = 0 THEN CAST(id AS STRING) ELSE 'X' || CAST(id % 900 AS STRING) END AS medical_id,
+  CASE WHEN id % 8 = 0 THEN 'N' || CAST(id * 7 AS STRING) ELSE NULL END AS national_id,
+  added_date, referral_date, dialysis_unit, virus_status,
+  CASE id % 5 WHEN 0 THEN '' WHEN 1 THEN '6' WHEN 2 THEN '0' WHEN 3 THEN NULL ELSE '18 months' END
+    AS referral_duration_months"""
+EXPIRY = """CAST(DATE_TRUNC('month', referral_date) + INTERVAL 1 MONTH * (CASE line % 5 WHEN 1 THEN 6 WHEN 4 THEN 18
+  ELSE 12 END) AS DATE) + CAST(DAY(referral_date) - 1 AS INT)"""
+
+
+@query(
+    "add_patients",
+    f"""WITH b AS (SELECT {NEW_PATIENTS} FROM patients),
+    free AS (SELECT * FROM b WHERE name <> '' AND dialysis_unit <> ''
+      AND medical_id NOT IN (SELECT medical_id FROM patients)
+      AND (national_id IS NULL OR national_id NOT IN (SELECT national_id FROM patients WHERE national_id IS NOT NULL))),
+    ok AS (SELECT * FROM free QUALIFY ROW_NUMBER() OVER (PARTITION BY medical_id ORDER BY line) = 1)
+    SELECT id, name, medical_id, national_id, referral_expiry, is_archived FROM patients UNION ALL
+    SELECT (SELECT MAX(id) FROM patients) + ROW_NUMBER() OVER (ORDER BY line), name, medical_id, national_id, {EXPIRY}, 0
+    FROM ok""",
+)
+def add_patients(v):
+    batch = v.patients.selectExpr(*_split_columns(NEW_PATIENTS))
+    state, _ = patients.add_patients(v.patients, batch, ["line"])
+    return state.select("id", "name", "medical_id", "national_id", "referral_expiry", "is_archived")
+
+
+@query(
+    "edit_patients",
+    f"""WITH b AS (SELECT {NEW_PATIENTS} FROM patients)
+    SELECT p.id, CASE WHEN b.line IS NULL THEN p.name ELSE b.name END AS name, p.medical_id,
+      CASE WHEN b.line IS NULL THEN p.referral_expiry ELSE b.expiry END AS referral_expiry, p.phone
+    FROM patients p LEFT JOIN (SELECT line, name, {EXPIRY} AS expiry FROM b WHERE name <> '' AND dialysis_unit <> '') b
+      ON b.line = p.id""",
+)
+def edit_patients(v):
+    batch = v.patients.selectExpr(*_split_columns(NEW_PATIENTS)).withColumnRenamed("line", "id")
+    state, _ = patients.edit_patients(v.patients, batch, ["id"])
+    return state.select("id", "name", "medical_id", "referral_expiry", "phone")
+
 
+def _split_columns(sql: str) -> list[str]:
+    """The expressions of a select list without commas inside parentheses."""
+    return [part.strip() for part in sql.split(",")]
 
 SHIFTED = "SELECT id, patient_id, session_date + CAST(id % 2 AS INT) AS session_date FROM sessions"
 

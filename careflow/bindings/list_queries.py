@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from datetime import date, datetime
-
 from pyspark.sql import functions as F
 
 from careflow.bindings.registry import AS_OF, DAY, END, EVENT_END, EVENT_MONTH, EVENT_START, MONTH, START, query
 from careflow.functions import filters, scalars as S
 from careflow.operators import paging
-from careflow.plans import inventory, labs, patients, reports, schedule
+from careflow.plans import inventory, labs, machines, patients, schedule
 
 AGE = f"""YEAR(DATE '{AS_OF}') - YEAR(dob)
   - CASE WHEN STRFTIME(DATE '{AS_OF}', '%m%d') < STRFTIME(dob, '%m%d') THEN 1 ELSE 0 END"""
@@ -229,10 +227,16 @@ def critical_labs(v):
     """SELECT m.*, c.serial_number AS machine_name FROM maintenances m LEFT JOIN machines c ON m.machine_id = c.id""",
 )
 def maintenance_with_machine(v):
-    names = v.machines.select(F.col("id").alias("machine_id"), F.col("serial_number").alias("machine_name"))
-    rows = v.maintenances
-    joined = rows.join(names, "machine_id", "left").select(*rows.columns, "machine_name")
-    return paging.ordered_listing(joined, ["-date", "-id"])
+    return machines.maintenance_with_machine(v.maintenances, v.machines)
+
+
+@query(
+    "maintenance_record",
+    """SELECT m.*, c.serial_number AS machine_name FROM maintenances m LEFT JOIN machines c ON m.machine_id = c.id
+    WHERE m.id = 2""",
+)
+def maintenance_record(v):
+    return machines.maintenance_with_machine(v.maintenances, v.machines, 2)
 
 
 MACHINE = """m.serial_number AS machine_serial_number, m.ward AS machine_ward,

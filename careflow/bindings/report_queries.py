@@ -97,9 +97,7 @@ def settings(v):
     FROM sessions GROUP BY patient_id""",
 )
 def first_last_in_group(v):
-    return v.sessions.groupBy("patient_id").agg(
-        F.min("session_date").alias("first_session_date"), F.max("session_date").alias("last_session_date")
-    )
+    return reports.first_last_in_group(v.sessions, "patient_id", "session_date")
 
 
 @query(

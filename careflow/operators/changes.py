@@ -17,6 +17,7 @@ from careflow.functions import scalars as S
 from careflow.operators.admission import admit_first_come
 from careflow.operators.joins import join_unique, key_summary
 from careflow.operators.ordered import HOT_ROWS, first_wins, last_wins, number_rows, rank_in_group
+from careflow.schemas import DEFAULTS, REQUIRED, UNIQUE
 from careflow.session import materialise
 
 
@@ -102,6 +103,15 @@ def append(
     return state.unionByName(conform(added, state, defaults)), log
 
 
+def append_to(
+    table: str, state: DataFrame, batch: DataFrame, order: list[str], rules: dict[str, Column] | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Validated inserts under the required fields, unique keys and defaults of a table."""
+    return append(
+        state, batch, order, REQUIRED.get(table, []), UNIQUE.get(table), rules, DEFAULTS.get(table)
+    )
+
+
 def without(state: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
     """The state's rows whose key is not among the given distinct ones."""
     return join_unique(state, gone.select(*keys), keys, "left_anti")

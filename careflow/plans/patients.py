@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from careflow.functions import filters, scalars as S
-from careflow.operators.changes import conform, without
+from careflow.operators.changes import append_to, conform, require, split_valid, update_by_key, without
 from careflow.operators.joins import join_unique
 from careflow.operators.paging import ordered_listing, page_info, paginate
 from careflow.session import materialise
@@ -62,6 +62,34 @@ def newest_patients(patients: DataFrame, start: S.DateLike, end: S.DateLike) ->
     return ordered_listing(rows.select("id", "name", "medical_id", "added_date"), ["-added_date", "id"])
 
 
+# The columns an edit of a patient sets.
+EDITED = [
+    "name", "phone", "address", "added_date", "referral_date", "referral_expiry", "referral_place", "dialysis_unit",
+    "blood_type", "chronic_diseases", "virus_status", "patient_notes", "dialysis_days", "dialysis_shift",
+]
+EDIT_REQUIRED = ["name", "added_date", "referral_date", "dialysis_unit", "virus_status"]
+
+
+def _with_expiry(batch: DataFrame) -> DataFrame:
+    """The referral runs for the given months, or 12."""
+    months = "referral_duration_months"
+    given = F.col(months) if months in batch.columns else F.lit("")
+    return batch.withColumn("referral_expiry", S.referral_expiry("referral_date", given))
+
+
+def add_patients(patients: DataFrame, batch: DataFrame, order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Appends valid new patients. Log: order columns, action, reason."""
+    return append_to("patients", patients, _with_expiry(batch), order)
+
+
+def edit_patients(patients: DataFrame, batch: DataFrame, order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Sets the edited columns of existing patients. Log: id, action."""
+    valid, bad = split_valid(require(_with_expiry(batch), EDIT_REQUIRED))
+    cols = [c for c in EDITED if c in patients.columns and c in valid.columns]
+    state, log = update_by_key(patients, valid, "id", cols, order)
+    return state, log.unionByName(bad.select("id", F.array_join("reasons", "; ").alias("action")))
+
+
 def archive(
     active: DataFrame,
     archived: DataFrame,

@@ -141,6 +141,11 @@ def dashboard(
     return out
 
 
+def first_last_in_group(df: DataFrame, key: str, col: str) -> DataFrame:
+    """First and last date of each key, as aggregates: no rows have to be sorted."""
+    return df.groupBy(key).agg(F.min(col).alias(f"first_{col}"), F.max(col).alias(f"last_{col}"))
+
+
 def sessions_with_blood(sessions: DataFrame, start: S.DateLike, end: S.DateLike) -> DataFrame:
     return filters.positive(filters.date_between(sessions, "session_date", start, end), "blood_transfusion_bags")
 

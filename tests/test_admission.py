@@ -23,8 +23,7 @@ def brute(requests, taken):
     return out
 
 
-@pytest.mark.parametrize("seed", range(5))
-@pytest.mark.parametrize("tail_rows", [0, 40, 10_000])
+@pytest.mark.parametrize("seed,tail_rows", [(0, 0), (1, 40), (2, 40), (3, 10_000)])
 def test_equals_brute_force(spark, seed, tail_rows):
     rng = random.Random(seed)
 

@@ -31,8 +31,9 @@ def test_rejection_affects_later_movements(spark):
     assert rows(after, "id", "quantity") == [(1, 0)]
 
 
-@pytest.mark.parametrize("seed", range(4))
-@pytest.mark.parametrize("hot_rows,blocks", [(None, None), (0, 3), (0, 9), (100, 5)])
+@pytest.mark.parametrize(
+    "seed,hot_rows,blocks", [(0, None, None), (1, 0, 3), (2, 0, 9), (3, 100, 5), (4, 0, 4), (5, 100, 7)]
+)
 def test_hot_key_over_blocks_equals_brute_force(spark, seed, hot_rows, blocks):
     rng = random.Random(seed)
     stock = {k: rng.randrange(0, 30) for k in range(8)}
