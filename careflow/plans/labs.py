@@ -7,13 +7,16 @@ from typing import Any
 from pyspark.sql import DataFrame, functions as F
 
 from careflow.functions import filters, scalars as S
+from careflow.operators.joins import join_unique
 from careflow.operators.paging import ordered_listing
 
 TYPE_COLUMNS = ["test_name", "unit", "result_type", "normal_range_low", "normal_range_high", "normal_value_text"]
 
 
 def _with_types(results: DataFrame, types: DataFrame) -> DataFrame:
-    return results.join(types.select(F.col("id").alias("test_id"), *TYPE_COLUMNS), "test_id")
+    """Few test types share all results, so a shuffle by test would use few tasks; the
+    types are counted and broadcast."""
+    return join_unique(results, types.select(F.col("id").alias("test_id"), *TYPE_COLUMNS), ["test_id"], "inner")
 
 
 def _with_patients(results: DataFrame, patients: DataFrame, names: bool = True) -> DataFrame:
