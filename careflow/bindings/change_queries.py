@@ -408,9 +408,12 @@ def update_by_key(v):
 
 @query(
     "record_transfusions",
-    """SELECT s.id, CASE WHEN b.id IS NULL THEN s.blood_transfusion_bags ELSE b.bags END AS blood_transfusion_bags,
-      CASE WHEN b.id IS NULL THEN s.notes ELSE 'given' END AS notes
-    FROM sessions s LEFT JOIN (SELECT id, id % 6 AS bags FROM sessions WHERE id % 5 NOT IN (0, 1)) b ON b.id = s.id""",
+    """WITH b AS (SELECT id, CASE id % 5 WHEN 0 THEN 'two' WHEN 1 THEN '-1' ELSE CAST(id % 6 AS VARCHAR) END AS bags
+      FROM sessions)
+    SELECT s.id, CASE WHEN TRY_CAST(b.bags AS BIGINT) >= 0 THEN TRY_CAST(b.bags AS BIGINT)
+        ELSE s.blood_transfusion_bags END AS blood_transfusion_bags,
+      CASE WHEN TRY_CAST(b.bags AS BIGINT) >= 0 THEN 'given' ELSE s.notes END AS notes
+    FROM sessions s LEFT JOIN b ON b.id = s.id""",
 )
 def record_transfusions(v):
     batch = v.sessions.selectExpr(
@@ -530,8 +533,8 @@ def reconcile_ledger(v):
 
 RECEIPTS = """
 receipts AS (SELECT id AS request, id AS order_id FROM purchase_orders
-  UNION ALL SELECT id + 1000000000000, id FROM purchase_orders WHERE id % 5 = 0
-  UNION ALL SELECT id + 2000000000000, -id - 1 FROM purchase_orders WHERE id % 50 = 0),
+  UNION ALL SELECT id + 1000000000000, id FROM purchase_orders
+  UNION ALL SELECT id + 2000000000000, -id - 1 FROM purchase_orders),
 v AS (SELECT r.request, r.order_id, ROW_NUMBER() OVER (PARTITION BY r.order_id ORDER BY r.request) AS nth,
     CASE WHEN o.id IS NULL THEN 'unknown order' WHEN o.status = 'Completed' THEN 'already completed'
       WHEN i.items IS NULL THEN 'no items' WHEN i.unknown > 0 THEN 'unknown supply' ELSE 'received' END AS first_verdict
@@ -545,8 +548,8 @@ ITEM_ORDER = ["id", "quantity_ordered", "unit_price"]
 
 def _receive(v):
     receipts = v.purchase_orders.select(F.col("id").alias("request"), F.col("id").alias("order_id"))
-    again = v.purchase_orders.where("id % 5 = 0").selectExpr("id + 1000000000000 AS request", "id AS order_id")
-    absent = v.purchase_orders.where("id % 50 = 0").selectExpr("id + 2000000000000 AS request", "-id - 1 AS order_id")
+    again = v.purchase_orders.selectExpr("id + 1000000000000 AS request", "id AS order_id")
+    absent = v.purchase_orders.selectExpr("id + 2000000000000 AS request", "-id - 1 AS order_id")
     return inventory.receive_orders(
         v.purchase_orders, v.purchase_order_items, v.medical_supplies,
         receipts.unionByName(again).unionByName(absent), ITEM_ORDER,

@@ -9,8 +9,8 @@ from careflow.functions import filters, scalars as S
 from careflow.operators import paging
 from careflow.plans import inventory, labs, machines, patients, schedule
 
-AGE = f"""YEAR(DATE '{AS_OF}') - YEAR(dob)
-  - CASE WHEN STRFTIME(DATE '{AS_OF}', '%m%d') < STRFTIME(dob, '%m%d') THEN 1 ELSE 0 END"""
+AGE = f"""CAST(YEAR(DATE '{AS_OF}') - YEAR(dob)
+  - CASE WHEN STRFTIME(DATE '{AS_OF}', '%m%d') < STRFTIME(dob, '%m%d') THEN 1 ELSE 0 END AS INT)"""
 
 
 @query("scan_sessions", "SELECT * FROM sessions")
@@ -536,7 +536,7 @@ def weekday_token(v):
 
 @query(
     "days_in_month",
-    """SELECT id, DAY(LAST_DAY(session_date)) AS days,
+    """SELECT id, CAST(DAY(LAST_DAY(session_date)) AS INT) AS days,
     TRY_CAST('1997-02-' || LPAD(CAST(DAY(session_date) AS VARCHAR), 2, '0') AS DATE) AS same_day FROM sessions""",
 )
 def days_in_month(v):

@@ -16,7 +16,7 @@ from functools import reduce
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from careflow.operators.joins import join_unique, key_summary
+from careflow.operators.joins import is_small, join_unique, key_summary
 from careflow.session import materialise
 
 # Open requests that may be walked by one task.
@@ -36,7 +36,8 @@ def admit_first_come(
 
     `rules` maps a name to the columns that must be unique together; a NULL in
     them never conflicts. `taken` gives rows of the current state per rule.
-    `order` must be unique.
+    `order` must be unique. The requests are read several times, so they should be
+    cheap to read.
     """
     taken = taken or {}
     if len(rules) == 1:
@@ -50,10 +51,10 @@ def admit_first_come(
             marked = marked.withColumn(_flag(name), F.coalesce(_flag(name), F.lit(False)))
         else:
             marked = marked.withColumn(_flag(name), F.lit(False))
-    marked = materialise(marked)
-    if marked.count() <= tail_rows:
+    if is_small(requests, tail_rows):
         return _walk(marked, rules, order).select(*requests.columns, "verdict")
 
+    marked = materialise(marked)
     accepted = _accept_in_rounds(marked, rules, order, tail_rows)
     verdict = F.lit(ACCEPTED)
     for name, keys in reversed(rules.items()):
@@ -70,7 +71,7 @@ def _flag(name: str) -> str:
 
 def _held(state: DataFrame, requests: DataFrame, keys: list[str]) -> DataFrame:
     """The distinct keys of the state that are asked for."""
-    return materialise(key_summary(state, materialise(requests.select(*keys).distinct()), keys))
+    return materialise(key_summary(state, requests.select(*keys).distinct(), keys))
 
 
 def _first_per_key(

@@ -86,7 +86,7 @@ def append(
 ) -> tuple[DataFrame, DataFrame]:
     """Validated inserts with new ids. Log: order columns, action, reason."""
     checked = require(batch, required, rules)
-    valid, bad = split_valid(checked)
+    valid, bad = split_valid(materialise(checked) if keysets else checked)
     if keysets:
         judged = materialise(unique(valid, keysets, order, state))
         clash = judged.where("verdict <> 'accepted'").select(

@@ -117,7 +117,7 @@ def book_slots(
     """Bookings granted first come, first served: one per machine, date and shift, and
     one per patient and date. Log: the request and its verdict."""
     needed = ["patient_id", "machine_id", "schedule_date", "shift"]
-    valid, bad = split_valid(require(requests, needed))
+    valid, bad = split_valid(materialise(require(requests, needed)))
     taken = {name: schedule for name in BOOKING_RULES}
     judged = materialise(admit_first_come(valid, BOOKING_RULES, order, taken, tail_rows))
     granted = with_new_ids(judged.where("verdict = 'accepted'"), schedule, order)
