@@ -56,6 +56,17 @@ def join_unique(
     return joined
 
 
+def join_many(one: DataFrame, many: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join of unique keys to their rows, of which one key may have most.
+
+    Adaptive execution cannot split the optional side of an outer join. The rows
+    are joined inner, which it can split or broadcast; keys without rows are added.
+    """
+    found = many.select(*keys).distinct()
+    lonely = one.join(found, keys, "left_anti")
+    return many.join(one, keys).unionByName(lonely, allowMissingColumns=True)
+
+
 def key_summary(
     state: DataFrame, wanted: DataFrame, keys: list[str], *aggs: Column, broadcast_rows: int = BROADCAST_ROWS
 ) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from careflow.functions import filters, scalars as S
 from careflow.operators.changes import conform, require, split_valid, with_new_ids
-from careflow.operators.joins import join_unique
+from careflow.operators.joins import join_many, join_unique
 from careflow.operators.ledger import apply_movements
 from careflow.operators.ordered import HOT_ROWS, first_wins, hot_keys, running_sum
 from careflow.operators.paging import ordered_listing
@@ -46,7 +46,7 @@ def order_detail(
         F.col("purchase_order_id").alias("id"), F.col("id").alias("item_id"),
         "supply_id", "supply_name", "quantity_ordered", "unit_price",
     )
-    return head.join(names, "supplier_id").join(lines, "id", "left").select(
+    return join_many(head.join(names, "supplier_id"), lines, ["id"]).select(
         "id", "supplier_id", "supplier_name", "order_date", "status",
         "item_id", "supply_id", "supply_name", "quantity_ordered", "unit_price",
     )

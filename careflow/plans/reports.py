@@ -7,6 +7,7 @@ from datetime import date, timedelta
 from pyspark.sql import Column, DataFrame, functions as F
 
 from careflow.functions import filters, scalars as S
+from careflow.operators.joins import join_many
 
 # Virus status counted on its own.
 VIRUS_COLUMNS = {
@@ -396,6 +397,7 @@ def machines_with_maintenance(
     listing = machines.select(
         "id", "serial_number", "brand", "model", "ward", "internal_unit", "status", "last_maintenance", "notes"
     )
-    return listing.join(both, "id", "left").orderBy(
+    joined = join_many(listing, both, ["id"]).select(*listing.columns, *[c for c in both.columns if c != "id"])
+    return joined.orderBy(
         "serial_number", "id", F.desc("maintenance"), F.desc("record_date"), F.desc("record_id")
     )

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from careflow.operators.joins import is_small, join_unique, key_summary
+from careflow.operators.joins import is_small, join_many, join_unique, key_summary
 from tests.conftest import rows
 
 
@@ -43,5 +43,12 @@ def test_key_summary(spark, sides, broadcast_rows):
     assert rows(keys) == rows(expected, "k")
 
 
+def test_join_many_is_a_left_join(spark, sides):
+    left, right = sides
+    one = right.drop("g").unionByName(spark.createDataFrame([(77, 1)], "k int, v int"))
+    got = join_many(one, left, ["k"])
+    assert rows(got, "k", "v", "i") == rows(one.join(left, "k", "left"), "k", "v", "i")
+
+
 def test_is_small(spark):
     assert is_small(spark.range(5), 5) and not is_small(spark.range(6), 5)
