@@ -39,6 +39,8 @@ def join_unique(
     columns = [*rows.columns, *([c for c in table.columns if c not in keys] if how in ("inner", "left") else [])]
     if is_small(table, broadcast_rows):
         return rows.join(F.broadcast(table), keys, how).select(*columns)
+    if rows.isStreaming:
+        return rows.join(table, keys, how).select(*columns)
 
     # NULL keys match nothing; they need no partner and would all meet in one task.
     no_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])

@@ -1,4 +1,7 @@
-"""python tests/run_oracle.py <folder> [query ...] - compares queries with their SQL."""
+"""python tests/run_oracle.py [--large] <folder> [query ...] - compares queries with their SQL.
+
+--large sends the small tables through the paths for hot keys and unbroadcast joins.
+"""
 
 import sys
 import time
@@ -8,14 +11,17 @@ sys.path.insert(0, __file__.rsplit("/", 2)[0])
 
 from __spark_entry__ import oracle_sql, queries  # noqa: E402
 from careflow.session import get_session  # noqa: E402
+from tests import large_paths  # noqa: E402
 from tests.oracle import compare, connect  # noqa: E402
 
 
-def main(folder, names):
-    spark = get_session(
-        master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false",
-                              "spark.driver.memory": "8g"}
-    )
+def main(folder, names, large=False):
+    settings = {"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g"}
+    settings["spark.ui.showConsoleProgress"] = "false"
+    if large:
+        large_paths.force()
+        settings["spark.sql.autoBroadcastJoinThreshold"] = "-1"
+    spark = get_session(master="local[8]", **settings)
     spark.sparkContext.setLogLevel("ERROR")
     con, sqls, bad = connect(folder), oracle_sql(), []
     for name, fn in queries().items():
@@ -38,4 +44,5 @@ def main(folder, names):
 
 
 if __name__ == "__main__":
-    main(sys.argv[1], set(sys.argv[2:]))
+    args = [a for a in sys.argv[1:] if a != "--large"]
+    main(args[0], set(args[1:]), "--large" in sys.argv)
