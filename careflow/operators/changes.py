@@ -248,10 +248,15 @@ def delete_by_key(state: DataFrame, asked: DataFrame, key: str = "id") -> tuple[
 
 
 def update_by_key(
-    state: DataFrame, batch: DataFrame, key: str, cols: list[str], order: list[str]
+    state: DataFrame, batch: DataFrame, key: str, cols: list[str], order: list[str],
+    required: Sequence[str] = (), rules: dict[str, Column] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Sets `cols` on existing rows, NULL included; the last batch row of a key counts."""
-    latest = materialise(batch.groupBy(key).agg(F.max_by(F.struct(*cols), F.struct(*order)).alias("__new")))
+    """Sets `cols` on existing rows, NULL included; the last valid batch row of a key counts.
+
+    Log: key, action updated / not_found, or the reasons of an invalid row.
+    """
+    valid, bad = split_valid(require(batch, required, rules))
+    latest = materialise(valid.groupBy(key).agg(F.max_by(F.struct(*cols), F.struct(*order)).alias("__new")))
     joined = join_unique(state, latest.withColumn("__hit", F.lit(True)), [key])
     new_state = joined.select(
         *[
@@ -261,7 +266,10 @@ def update_by_key(
             for c in state.columns
         ]
     )
-    return new_state, _found_log(state, latest.select(key), key, "updated")
+    log = _found_log(state, latest.select(key), key, "updated")
+    if required or rules:
+        log = log.unionByName(bad.select(key, F.array_join("reasons", "; ").alias("action")))
+    return new_state, log
 
 
 def _found_log(state: DataFrame, wanted: DataFrame, key: str, action: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from careflow.functions import filters, scalars as S
-from careflow.operators.changes import append_to, conform, require, split_valid, update_by_key, without
+from careflow.operators.changes import append_to, conform, update_by_key, without
 from careflow.operators.joins import join_unique
 from careflow.operators.paging import ordered_listing, page_info, paginate
 from careflow.session import materialise
@@ -84,10 +84,9 @@ def add_patients(patients: DataFrame, batch: DataFrame, order: list[str]) -> tup
 
 def edit_patients(patients: DataFrame, batch: DataFrame, order: list[str]) -> tuple[DataFrame, DataFrame]:
     """Sets the edited columns of existing patients. Log: id, action."""
-    valid, bad = split_valid(require(_with_expiry(batch), EDIT_REQUIRED))
-    cols = [c for c in EDITED if c in patients.columns and c in valid.columns]
-    state, log = update_by_key(patients, valid, "id", cols, order)
-    return state, log.unionByName(bad.select("id", F.array_join("reasons", "; ").alias("action")))
+    rows = _with_expiry(batch)
+    cols = [c for c in EDITED if c in patients.columns and c in rows.columns]
+    return update_by_key(patients, rows, "id", cols, order, EDIT_REQUIRED)
 
 
 def archive(

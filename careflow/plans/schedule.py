@@ -162,11 +162,12 @@ def record_transfusions(sessions: DataFrame, batch: DataFrame, order: list[str])
 
     Bag counts that are not whole numbers from 0 up are refused. Log: id, action.
     """
-    checks = {
-        "missing field": F.col("blood_transfusion_bags").isNotNull() & F.col("notes").isNotNull(),
-        "bad bag count": S.is_non_negative_int("blood_transfusion_bags"),
+    given = F.col("__given")
+    rules = {
+        "missing field": given.isNotNull() & F.col("notes").isNotNull(),
+        "bad bag count": S.is_non_negative_int(given),
     }
-    valid, bad = split_valid(require(batch, [], checks))
-    whole = valid.withColumn("blood_transfusion_bags", S.int_part("blood_transfusion_bags"))
-    state, log = update_by_key(sessions, whole, "id", ["blood_transfusion_bags", "notes"], order)
-    return state, log.unionByName(bad.select("id", F.col("reasons")[0].alias("action")))
+    rows = batch.withColumn("__given", F.col("blood_transfusion_bags")).withColumn(
+        "blood_transfusion_bags", S.int_part("blood_transfusion_bags")
+    )
+    return update_by_key(sessions, rows, "id", ["blood_transfusion_bags", "notes"], order, rules=rules)

@@ -147,7 +147,15 @@ def test_create_orders(spark):
 
 def test_transfusions(spark):
     state = spark.createDataFrame([(1, 0, None), (2, 0, None)], "id bigint, blood_transfusion_bags bigint, notes string")
-    batch = spark.createDataFrame([(1, "2", "ok"), (2, "-1", "no"), (3, "1", "gone"), (1, "1.5", "no")], "id bigint, blood_transfusion_bags string, notes string")
+    batch = spark.createDataFrame([(1, "2.0", "ok"), (2, "-1", "no"), (3, "1", "gone"), (1, "1.5", "no")], "id bigint, blood_transfusion_bags string, notes string")
     new, log = schedule.record_transfusions(state, batch, ["id"])
     assert rows(new) == [(1, 2, "ok"), (2, 0, None)]
     assert rows(log) == [(1, "bad bag count"), (1, "updated"), (2, "bad bag count"), (3, "not_found")]
+
+
+def test_edit_keeps_invalid_rows_out(spark):
+    state = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "id bigint, name string, grade string")
+    batch = spark.createDataFrame([(1, "", "z"), (2, "c", None), (3, "d", "z")], "id bigint, name string, grade string")
+    new, log = changes.update_by_key(state, batch, "id", ["name", "grade"], ["id"], required=["name"])
+    assert rows(new) == [(1, "a", "x"), (2, "c", None)]
+    assert rows(log) == [(1, "missing name"), (2, "updated"), (3, "not_found")]
