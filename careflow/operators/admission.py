@@ -71,7 +71,7 @@ def _flag(name: str) -> str:
 
 def _held(state: DataFrame, requests: DataFrame, keys: list[str]) -> DataFrame:
     """The distinct keys of the state that are asked for."""
-    return materialise(key_summary(state, requests.select(*keys).distinct(), keys))
+    return materialise(key_summary(state, requests.select(*keys), keys))
 
 
 def _first_per_key(

@@ -74,12 +74,13 @@ def key_summary(
 ) -> DataFrame:
     """The state's rows with a wanted key, aggregated per key; without aggregates the keys.
 
-    Few wanted keys filter the state before its shuffle. Many are met after it,
-    when the state is down to one row per key.
+    Wanted keys may repeat. Few filter the state before its shuffle. Many are met
+    after it, when the state is down to one row per key.
     """
+
     def per_key(df: DataFrame) -> DataFrame:
         return df.groupBy(*keys).agg(*aggs) if aggs else df.select(*keys).distinct()
 
     if is_small(wanted, broadcast_rows):
         return per_key(state.join(F.broadcast(wanted.select(*keys)), keys, "left_semi"))
-    return per_key(state).join(wanted.select(*keys), keys, "left_semi")
+    return per_key(state).join(wanted.select(*keys).distinct(), keys, "left_semi")
