@@ -32,7 +32,7 @@ def has_token(df: DataFrame, col: str, token: Column | str) -> DataFrame:
     return df.where(F.array_contains(S.tokens(col), token))
 
 
-def expiry_condition(col: str, as_of: S.DateLike, status: str, days: int = 30) -> Column:
+def expiry_condition(col: str, as_of: S.DateLike, status: str, days: int = S.EXPIRING_DAYS) -> Column:
     """active: from `as_of` on; expiring: within `days`, both ends in; expired: before."""
     day, c = S.as_date(as_of), F.col(col)
     if status == "active":
@@ -44,7 +44,9 @@ def expiry_condition(col: str, as_of: S.DateLike, status: str, days: int = 30) -
     raise ValueError(f"unknown expiry status {status!r}")
 
 
-def expiry_status(df: DataFrame, col: str, as_of: S.DateLike, status: str, days: int = 30) -> DataFrame:
+def expiry_status(
+    df: DataFrame, col: str, as_of: S.DateLike, status: str, days: int = S.EXPIRING_DAYS
+) -> DataFrame:
     return df.where(expiry_condition(col, as_of, status, days))
 
 
@@ -59,7 +61,7 @@ def in_month(df: DataFrame, col: str, month: str) -> DataFrame:
     return df.where((F.col(col) >= start) & (F.col(col) < after))
 
 
-def low_stock(df: DataFrame, threshold: int = 10, col: str = "quantity") -> DataFrame:
+def low_stock(df: DataFrame, threshold: int = S.LOW_STOCK, col: str = "quantity") -> DataFrame:
     return df.where(F.col(col) < threshold)
 
 

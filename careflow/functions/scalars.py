@@ -17,6 +17,10 @@ SHIFT_HOURS = {"M": 8, "A": 8, "L": 12, "N": 12, "NM": 18, "AN": 18}
 DEFAULT_SESSION_PRICE = 200.0
 DEFAULT_BAG_PRICE = 150.0
 SHEET_EPOCH_DAYS = 25569
+EXPIRING_DAYS = 30
+LOW_STOCK = 10
+INVOICE_PREFIX = "INV-"
+CLAIM_FROM, CLAIM_TO = "من ", " إلى "
 
 NUMERIC_PREFIX = r"^\s*[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?"
 
@@ -121,7 +125,7 @@ def parse_sheet_date(value: Column | str) -> Column:
 
 
 def ascii_lower(c: Column | str) -> Column:
-    """Lower case for A-Z only, as the reference's text comparison does."""
+    """Lower case for A-Z only; other letters compare as they are."""
     return F.translate(column(c), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -183,12 +187,12 @@ def date_of(month: str, day: Column | str) -> Column:
 
 
 def invoice_id(month: str, patient_id: Column | str) -> Column:
-    return F.concat(F.lit(f"INV-{month.replace('-', '', 1)}-"), column(patient_id).cast("string"))
+    return F.concat(F.lit(f"{INVOICE_PREFIX}{month.replace('-', '', 1)}-"), column(patient_id).cast("string"))
 
 
 def claim_period(first: Column | str, last: Column | str, month: str) -> Column:
     first, last = column(first), column(last)
-    text = F.concat(F.lit("من "), first.cast("string"), F.lit(" إلى "), last.cast("string"))
+    text = F.concat(F.lit(CLAIM_FROM), first.cast("string"), F.lit(CLAIM_TO), last.cast("string"))
     return F.when(first.isNotNull() & last.isNotNull(), text).otherwise(month)
 
 

@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, functions as F
 from careflow.functions import scalars as S
 from careflow.operators.changes import conform, with_new_ids
 
+# The state of a saved report and who saves it if nobody is named.
+CONFIRMED, DEFAULT_USER = "CONFIRMED", "SYSTEM"
+
 
 def confirm_reports(reports: DataFrame, confirmed: DataFrame, now: str) -> DataFrame:
     """Saves reports (report_date, final_data struct, user), one per date.
@@ -17,13 +20,13 @@ def confirm_reports(reports: DataFrame, confirmed: DataFrame, now: str) -> DataF
     incoming = confirmed.select(
         "report_date",
         F.to_json("final_data").alias("__json"),
-        S.label_or_default("user", "SYSTEM").alias("__user"),
+        S.label_or_default("user", DEFAULT_USER).alias("__user"),
     )
     hit = F.col("__json").isNotNull()
     updated = reports.join(incoming, "report_date", "left").select(
         *[
             {
-                "report_status": F.when(hit, "CONFIRMED").otherwise(F.col("report_status")),
+                "report_status": F.when(hit, CONFIRMED).otherwise(F.col("report_status")),
                 "final_data": F.coalesce("__json", "final_data"),
                 "confirmed_by_user": F.when(hit, F.col("__user")).otherwise(F.col("confirmed_by_user")),
                 "confirmed_at": F.when(hit, F.lit(now).cast("timestamp")).otherwise(F.col("confirmed_at")),
@@ -35,7 +38,7 @@ def confirm_reports(reports: DataFrame, confirmed: DataFrame, now: str) -> DataF
     )
     fresh = incoming.join(reports.select("report_date"), "report_date", "left_anti").select(
         "report_date",
-        F.lit("CONFIRMED").alias("report_status"),
+        F.lit(CONFIRMED).alias("report_status"),
         F.col("__json").alias("final_data"),
         F.col("__user").alias("confirmed_by_user"),
     )

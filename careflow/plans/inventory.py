@@ -14,6 +14,10 @@ from careflow.operators.ordered import HOT_ROWS, first_wins, hot_keys, running_s
 from careflow.operators.paging import ordered_listing
 from careflow.session import materialise
 
+# Order states and the log note of a receipt, which the order's number follows.
+PENDING, COMPLETED = "Pending", "Completed"
+RECEIPT_NOTE = "استلام أمر شراء رقم "
+
 
 def supply_list(
     supplies: DataFrame, term: str | None = None, status: str | None = None, as_of: S.DateLike | None = None
@@ -121,7 +125,7 @@ def create_orders(
         bad.select("request", F.array_join("reasons", "; ").alias("action")), allowMissingColumns=True
     )
     return (
-        orders.unionByName(conform(numbered, orders, {"status": "Pending"})),
+        orders.unionByName(conform(numbered, orders, {"status": PENDING})),
         items.unionByName(conform(new_items, items, {"quantity_ordered": 1, "unit_price": 0.0})),
         log,
     )
@@ -142,14 +146,16 @@ def receive_orders(
     mine = join_unique(
         items.withColumnRenamed("purchase_order_id", "order_id"), first.select("order_id", "request"), ["order_id"], "inner"
     )
-    stock = supplies.select(F.col("id").alias("supply_id"), F.col("quantity").alias("__opening"), F.lit(True).alias("__known"))
+    stock = supplies.select(
+        F.col("id").alias("supply_id"), F.col("quantity").alias("__opening"), F.lit(True).alias("__known")
+    )
     mine = mine.join(stock, "supply_id", "left")
     contents = mine.groupBy("order_id").agg(
         F.count(F.lit(1)).alias("__items"), F.count_if(F.col("__known").isNull()).alias("__unknown")
     )
     verdict = (
         F.when(F.col("__status").isNull(), "unknown order")
-        .when(F.col("__status") == "Completed", "already completed")
+        .when(F.col("__status") == COMPLETED, "already completed")
         .when(F.col("__items").isNull(), "no items")
         .when(F.col("__unknown") > 0, "unknown supply")
         .otherwise("received")
@@ -169,11 +175,11 @@ def receive_orders(
         "supply_id",
         F.col("quantity_ordered").alias("change_amount"),
         (F.coalesce("__opening", F.lit(0)) + F.col("__added")).alias("new_quantity"),
-        F.concat(F.lit("استلام أمر شراء رقم "), F.col("order_id").cast("string")).alias("notes"),
+        F.concat(F.lit(RECEIPT_NOTE), F.col("order_id").cast("string")).alias("notes"),
     )
     new_orders = (
         orders.join(received.select(F.col("order_id").alias("id"), F.lit(True).alias("__done")), "id", "left")
-        .withColumn("status", F.when(F.col("__done"), "Completed").otherwise(F.col("status")))
+        .withColumn("status", F.when(F.col("__done"), COMPLETED).otherwise(F.col("status")))
         .select(*orders.columns)
     )
     repeated = F.col("first_request") != F.col("request")

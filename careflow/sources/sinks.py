@@ -8,6 +8,7 @@ from careflow.functions import scalars as S
 
 # The tables of the SQL dump, and the lines around it.
 DUMPED = ["patients", "staff", "sessions", "machines", "medical_supplies"]
+DUMP_TITLE = "-- Partial SQL Dump generated on "
 DUMP_BEGIN = ["PRAGMA foreign_keys=OFF;", "BEGIN TRANSACTION;"]
 DUMP_END = ["COMMIT;"]
 
@@ -51,7 +52,7 @@ def write_sql_dump(spark: SparkSession, tables: dict[str, DataFrame], path: str,
     def lines(rows: list[str], folder: str) -> None:
         spark.createDataFrame([(r,) for r in rows], "line string").coalesce(1).write.text(f"{path}/{folder}")
 
-    lines([f"-- Partial SQL Dump generated on {now}", *DUMP_BEGIN], "00-begin")
+    lines([f"{DUMP_TITLE}{now}", *DUMP_BEGIN], "00-begin")
     for i, name in enumerate((n for n in DUMPED if n in tables), 1):
         insert_lines(tables[name], name).select("line").write.text(f"{path}/{i:02d}-{name}")
     lines(DUMP_END, "99-end")

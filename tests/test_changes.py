@@ -65,6 +65,14 @@ def test_toggle_equals_one_event_at_a_time(spark, hot):
     assert {r.id for r in new.collect() if r.id < 30} == kept
 
 
+def test_toggling_twice_changes_nothing(spark):
+    state = sessions(spark, [(1, 1, DAY, None, None), (2, 2, DAY, None, None)])
+    events = spark.createDataFrame([(1, DAY), (3, DAY)], "patient_id bigint, session_date date")
+    once, _ = changes.toggle(state, events, KEY)
+    assert rows(once, *KEY) == [(2, DAY), (3, DAY)]
+    assert rows(changes.toggle(once, events, KEY)[0], *KEY) == rows(state, *KEY)
+
+
 def test_delta(spark):
     state = sessions(spark, [(1, 1, DAY, "a", 1), (2, 1, DAY, "b", 1), (3, 9, DAY, "a", 1)])
     schema = "patient_id bigint, session_date date"
