@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from careflow.operators.joins import is_small, join_unique, key_summary
+from careflow.operators.ordered import order_value
 from careflow.session import materialise
 
 # Open requests that may be walked by one task.
@@ -58,9 +59,9 @@ def admit_first_come(
     accepted = _accept_in_rounds(marked, rules, order, tail_rows)
     verdict = F.lit(ACCEPTED)
     for name, keys in reversed(rules.items()):
-        holders = accepted.dropna(subset=keys).select(*keys, F.struct(*order).alias(f"__by_{name}"))
+        holders = accepted.dropna(subset=keys).select(*keys, order_value(order).alias(f"__by_{name}"))
         marked = join_unique(marked, holders, keys)
-        earlier = F.coalesce(F.col(f"__by_{name}") < F.struct(*order), F.lit(False))
+        earlier = F.coalesce(F.col(f"__by_{name}") < order_value(order), F.lit(False))
         verdict = F.when(F.col(_flag(name)) | earlier, F.lit(name)).otherwise(verdict)
     return marked.withColumn("verdict", verdict).select(*requests.columns, "verdict")
 
@@ -77,14 +78,14 @@ def _held(state: DataFrame, requests: DataFrame, keys: list[str]) -> DataFrame:
 def _first_per_key(
     requests: DataFrame, name: str, keys: list[str], order: list[str], state: DataFrame | None
 ) -> DataFrame:
-    firsts = materialise(requests.dropna(subset=keys).groupBy(*keys).agg(F.min(F.struct(*order)).alias("__by")))
+    firsts = materialise(requests.dropna(subset=keys).groupBy(*keys).agg(F.min(order_value(order)).alias("__by")))
     firsts = firsts.withColumn(_flag(name), F.lit(False))
     if state is not None:
         held = key_summary(state, firsts, keys).withColumn("__held", F.lit(True))
         flag = F.coalesce("__held", F.lit(False))
         firsts = materialise(firsts.join(held, keys, "left").withColumn(_flag(name), flag).drop("__held"))
     judged = join_unique(requests, firsts, keys)
-    broken = F.coalesce(F.col(_flag(name)) | (F.col("__by") < F.struct(*order)), F.lit(False))
+    broken = F.coalesce(F.col(_flag(name)) | (F.col("__by") < order_value(order)), F.lit(False))
     return judged.withColumn("verdict", F.when(broken, F.lit(name)).otherwise(ACCEPTED)).select(
         *requests.columns, "verdict"
     )
@@ -102,9 +103,9 @@ def _accept_in_rounds(
     rows = materialise(marked.where(~_any([F.col(_flag(name)) for name in rules])).select(*columns))
     accepted = []
     while (left := rows.count()) > tail_rows:
-        ranked = rows.withColumn("__ord", F.struct(*order)).withColumn("__first", F.lit(True))
+        ranked = rows.withColumn("__ord", order_value(order)).withColumn("__first", F.lit(True))
         for keys in rules.values():
-            firsts = materialise(rows.dropna(subset=keys).groupBy(*keys).agg(F.min(F.struct(*order)).alias("__min")))
+            firsts = materialise(rows.dropna(subset=keys).groupBy(*keys).agg(F.min(order_value(order)).alias("__min")))
             first = F.col("__min").isNull() | (F.col("__min") == F.col("__ord"))
             ranked = join_unique(ranked, firsts, keys).withColumn("__first", F.col("__first") & first).drop("__min")
         ranked = materialise(ranked.select(*columns, "__first"))

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from careflow.functions import scalars as S
 from careflow.operators.admission import admit_first_come
 from careflow.operators.joins import join_unique, key_summary
-from careflow.operators.ordered import HOT_ROWS, first_wins, last_wins, number_rows, rank_in_group
+from careflow.operators.ordered import HOT_ROWS, first_wins, last_wins, number_rows, order_value, rank_in_group
 from careflow.schemas import DEFAULTS, REQUIRED, UNIQUE
 from careflow.session import materialise
 
@@ -146,8 +146,8 @@ def upsert(
     valid, bad = split_valid(require(batch, keys))
     latest = materialise(
         valid.groupBy(*keys).agg(
-            F.max_by(F.struct(*cols), F.struct(*order)).alias("__new"),
-            F.min(F.struct(*order)).alias("__arrived"),
+            F.max_by(F.struct(*cols), order_value(order)).alias("__new"),
+            F.min(order_value(order)).alias("__arrived"),
         )
     )
     target = key_summary(state, latest, keys, F.min(id_col).alias("__target"))
@@ -173,7 +173,7 @@ def upsert(
     log = join_unique(valid, seen, keys, "inner").select(
         *order,
         *keys,
-        F.when(F.col("__absent") & (F.struct(*order) == F.col("__arrived")), "added")
+        F.when(F.col("__absent") & (order_value(order) == F.col("__arrived")), "added")
         .otherwise("updated")
         .alias("action"),
     )
@@ -256,7 +256,7 @@ def update_by_key(
     Log: key, action updated / not_found, or the reasons of an invalid row.
     """
     valid, bad = split_valid(require(batch, required, rules))
-    latest = materialise(valid.groupBy(key).agg(F.max_by(F.struct(*cols), F.struct(*order)).alias("__new")))
+    latest = materialise(valid.groupBy(key).agg(F.max_by(F.struct(*cols), order_value(order)).alias("__new")))
     joined = join_unique(state, latest.withColumn("__hit", F.lit(True)), [key])
     new_state = joined.select(
         *[

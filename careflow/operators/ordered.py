@@ -36,6 +36,12 @@ def split_hot(df: DataFrame, keys: list[str], hot: DataFrame) -> tuple[DataFrame
     return df.join(few, same, "left_semi"), df.join(few, same, "left_anti")
 
 
+def order_value(order: list[str]) -> Column:
+    """The order as one comparable value; a single column stays plain, which hash
+    aggregates can hold."""
+    return F.col(order[0]) if len(order) == 1 else F.struct(*order)
+
+
 def ordered_blocks(
     df: DataFrame, keys: list[str], order: list[str], blocks: int | None = None
 ) -> DataFrame:
@@ -140,5 +146,5 @@ def last_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 def _pick(df: DataFrame, keys: list[str], order: list[str], choose) -> DataFrame:
     rest = [c for c in df.columns if c not in keys]
-    chosen = df.groupBy(*keys).agg(choose(F.struct(*rest), F.struct(*order)).alias("__row"))
+    chosen = df.groupBy(*keys).agg(choose(F.struct(*rest), order_value(order)).alias("__row"))
     return chosen.select(*keys, "__row.*").select(*df.columns)

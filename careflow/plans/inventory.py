@@ -10,7 +10,7 @@ from careflow.functions import filters, scalars as S
 from careflow.operators.changes import conform, require, split_valid, with_new_ids
 from careflow.operators.joins import join_many, join_unique
 from careflow.operators.ledger import apply_movements
-from careflow.operators.ordered import HOT_ROWS, first_wins, hot_keys, running_sum
+from careflow.operators.ordered import HOT_ROWS, first_wins, hot_keys, order_value, running_sum
 from careflow.operators.paging import ordered_listing
 from careflow.session import materialise
 
@@ -208,7 +208,7 @@ def reconcile_ledger(
     opening = F.col("new_quantity") - F.col("__sum")
     per_supply = run.groupBy("supply_id").agg(
         F.count(F.lit(1)).alias("entries"),
-        F.max_by("new_quantity", F.struct(*order)).alias("last_logged"),
+        F.max_by("new_quantity", order_value(order)).alias("last_logged"),
         (F.min(opening) == F.max(opening)).alias("gap_free"),
     )
     current = supplies.select(F.col("id").alias("supply_id"), "quantity")
