@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,6 +40,20 @@ def get_session(
     return builder.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, so queries run from any folder. Once per session."""
+    sc = spark.sparkContext
+    if spark.conf.get("careflow.shipped", "") == sc.applicationId:
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="careflow-ship-")) / "careflow.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    sc.addPyFile(str(archive))
+    spark.conf.set("careflow.shipped", sc.applicationId)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder of the session; a temporary one only in local mode."""
     sc = spark.sparkContext
