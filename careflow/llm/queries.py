@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from careflow.llm import sql
+from careflow.llm.additive import quality
 from careflow.llm.common import read
 from careflow.llm.divergence import divergence_rules
+from careflow.llm.packing import pack
+from careflow.llm.toxicity import toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,3 +31,18 @@ def query(name: str, oracle: str | None = None):
 @query("op1_distribution_divergence", sql.DIVERGENCE)
 def distribution_divergence(spark: SparkSession, folder: str) -> DataFrame:
     return divergence_rules(read(spark, folder, "documents"))
+
+
+@query("op9_best_fit_packing")
+def best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack(read(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op8_additive_quality")
+def additive_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
+@query("op5_toxicity_ratios")
+def toxicity_ratios(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity(read(spark, folder, "documents"), read(spark, folder, "labels"))
