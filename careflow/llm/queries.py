@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from careflow.llm import sql
 from careflow.llm.additive import quality
+from careflow.llm.chat import format_chats
 from careflow.llm.common import read
 from careflow.llm.divergence import divergence_rules
 from careflow.llm.packing import pack
@@ -46,3 +47,8 @@ def additive_quality(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_toxicity_ratios")
 def toxicity_ratios(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
+@query("op10_chat_roles")
+def chat_roles(spark: SparkSession, folder: str) -> DataFrame:
+    return format_chats(read(spark, folder, "conversations"))
