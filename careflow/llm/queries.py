@@ -11,6 +11,7 @@ from careflow.llm import sql
 from careflow.llm.additive import quality
 from careflow.llm.chat import format_chats
 from careflow.llm.common import read
+from careflow.llm.contamination import contamination
 from careflow.llm.divergence import divergence_rules
 from careflow.llm.packing import pack
 from careflow.llm.toxicity import toxicity
@@ -52,3 +53,8 @@ def toxicity_ratios(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_chat_roles")
 def chat_roles(spark: SparkSession, folder: str) -> DataFrame:
     return format_chats(read(spark, folder, "conversations"))
+
+
+@query("op2_prefix_decontamination", sql.CONTAMINATION)
+def prefix_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return contamination(read(spark, folder, "documents"), read(spark, folder, "benchmark"))

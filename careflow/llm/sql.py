@@ -75,3 +75,26 @@ FROM far"""
 
 
 DIVERGENCE = _divergence()
+
+
+CONTAMINATION = r"""
+WITH sep AS (SELECT '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+' AS p),
+low AS (
+  SELECT 0 AS kind, doc_id AS id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+  UNION ALL
+  SELECT 1, item_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM benchmark),
+split AS (SELECT kind, id, regexp_extract_all(t, p) AS w FROM low, sep),
+win AS (
+  SELECT DISTINCT id, list_slice(w, i, i + 9) AS gram FROM (
+    SELECT id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM split WHERE kind = 1 AND len(w) > 0)),
+lens AS (SELECT DISTINCT len(gram) AS l FROM win),
+place AS (
+  SELECT id, i, l, list_slice(w, i, i + l - 1) AS gram FROM (
+    SELECT id, w, l, unnest(range(1, len(w) - l + 2)) AS i FROM split, lens WHERE kind = 0 AND len(w) >= l)),
+hit AS (SELECT place.id, i, l, win.id AS item FROM place JOIN win USING (gram)),
+n AS (SELECT id, count(DISTINCT pos) AS n_hit FROM (SELECT id, unnest(range(i, i + l)) AS pos FROM hit) GROUP BY id),
+it AS (SELECT id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+       FROM (SELECT DISTINCT id, CAST(item AS VARCHAR) AS item FROM hit) GROUP BY id)
+SELECT split.id AS doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM split LEFT JOIN n ON split.id = n.id LEFT JOIN it ON split.id = it.id WHERE kind = 0"""
