@@ -13,6 +13,7 @@ from careflow.llm.chat import format_chats
 from careflow.llm.common import read
 from careflow.llm.contamination import contamination
 from careflow.llm.divergence import divergence_rules
+from careflow.llm.jaccard import near_duplicates
 from careflow.llm.packing import pack
 from careflow.llm.toxicity import toxicity
 
@@ -58,3 +59,8 @@ def chat_roles(spark: SparkSession, folder: str) -> DataFrame:
 @query("op2_prefix_decontamination", sql.CONTAMINATION)
 def prefix_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return contamination(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
+@query("op4_jaccard_join", sql.JACCARD)
+def jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(read(spark, folder, "documents"))
