@@ -15,6 +15,7 @@ from careflow.llm.contamination import contamination
 from careflow.llm.divergence import divergence_rules
 from careflow.llm.jaccard import near_duplicates
 from careflow.llm.packing import pack
+from careflow.llm.repeats import removed_repeats
 from careflow.llm.toxicity import toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,3 +65,8 @@ def prefix_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 @query("op4_jaccard_join", sql.JACCARD)
 def jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(read(spark, folder, "documents"))
+
+
+@query("op7_suffix_repeats")
+def suffix_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    return removed_repeats(read(spark, folder, "documents"))
