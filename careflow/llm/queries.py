@@ -16,6 +16,7 @@ from careflow.llm.divergence import divergence_rules
 from careflow.llm.jaccard import near_duplicates
 from careflow.llm.packing import pack
 from careflow.llm.repeats import removed_repeats
+from careflow.llm.surrogates import surrogates
 from careflow.llm.toxicity import toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +71,8 @@ def jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_suffix_repeats")
 def suffix_repeats(spark: SparkSession, folder: str) -> DataFrame:
     return removed_repeats(read(spark, folder, "documents"))
+
+
+@query("op3_surrogates")
+def keyed_surrogates(spark: SparkSession, folder: str) -> DataFrame:
+    return surrogates(read(spark, folder, "documents"))

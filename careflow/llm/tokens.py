@@ -1,22 +1,26 @@
-"""Token ids by the tokenizers library, with the ids of each distinct piece of text kept.
+"""Token ids by the tokenizers library, with the ids of each distinct part of text kept.
 
 A byte-pair tokenizer first splits a text into pieces and merges within each, so a text's
-ids are those of its pieces. Texts repeat their pieces; each is encoded once and kept.
+ids are those of its parts, wherever no piece crosses from one to the next. Texts repeat
+their parts; each is encoded once and kept.
 """
 
 from __future__ import annotations
 
 import os
 import re
-import unicodedata
+from array import array
 
 import regex
 
-# Pieces kept per Python worker; when more come, the store starts anew.
-MOST_PIECES = 400_000
-# Characters whose class is the same for every regular expression library. A text with any
-# other is encoded whole by the library.
-PLAIN = re.compile("[^\t\n\r\x20-\x7e\xa0-ſ]|<\\|")
+# Parts and pieces kept per Python worker; when more come, that store starts anew.
+MOST_PARTS, MOST_PIECES = 600_000, 800_000
+# Characters that every regular expression library classes alike. A text with any other, or
+# with what may be the name of a special token, is encoded whole by the library.
+ODD = re.compile("[^\t\n\r\x20-\x7e\xa1-ſ]|<\\|")
+# How a text falls apart where no piece of the vocabulary's own splitting crosses: words
+# with the blank before them and runs of white space, or words without white space.
+PARTS = {"byte_bpe_50k.json": re.compile(r" ?\S+|\s+(?!\S)|\s+").findall, "word_bpe_49k.json": str.split}
 # How the two vocabularies split a text into pieces.
 PIECES = {
     "byte_bpe_50k.json": r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",
@@ -25,6 +29,30 @@ PIECES = {
 LOWERED = {"word_bpe_49k.json"}
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter by which a byte-level vocabulary writes each byte: printable ones as
+    themselves, the others in turn from code point 256 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in own]
+    return {**{b: chr(b) for b in own}, **{b: chr(256 + i) for i, b in enumerate(rest)}}
+
+
+LETTERS = byte_letters()
+
+
+class Kept(dict):
+    """A store that works out what it has not got, and starts anew when it is full."""
+
+    def __init__(self, work, most: int):
+        self.work, self.most = work, most
+
+    def __missing__(self, key: str) -> bytes:
+        if len(self) >= self.most:
+            self.clear()
+        value = self[key] = self.work(key)
+        return value
+
+
 class Encoder:
     """ids(texts): for each text its ids as little-endian unsigned 32-bit integers."""
 
@@ -33,34 +61,29 @@ class Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_file(path)
+        self.merge = self.library.model.tokenize
         name = os.path.basename(path)
-        self.split = regex.compile(PIECES[name]).findall if name in PIECES else None
+        self.split = PARTS.get(name)
+        self.cut = regex.compile(PIECES[name]).findall if name in PIECES else None
         self.lowered = name in LOWERED
-        self.kept: dict[str, bytes] = {}
+        self.pieces = Kept(self._piece, MOST_PIECES)
+        self.parts = Kept(self._part, MOST_PARTS)
+
+    def _piece(self, piece: str) -> bytes:
+        letters = "".join(map(LETTERS.__getitem__, piece.encode()))
+        return array("I", [t.id for t in self.merge(letters)]).tobytes()
 
-    def whole(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
+    def _part(self, part: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, self.cut(part.lower() if self.lowered else part)))
 
-        found = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
+    def whole(self, text: str) -> bytes:
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        out: list = [None] * len(texts)
-        odd = [i for i, t in enumerate(texts) if self.split is None or PLAIN.search(t)]
-        for i, x in zip(odd, self.whole([texts[i] for i in odd])):
-            out[i] = x
-        split = {}
-        for i, t in enumerate(texts):
-            if out[i] is None:
-                split[i] = self.split(unicodedata.normalize("NFC", t).lower() if self.lowered else t)
-        if len(self.kept) > MOST_PIECES:
-            self.kept = {}
-        new = list(set().union(*split.values()).difference(self.kept))
-        self.kept.update(zip(new, self.whole(new)))
-        get = self.kept.__getitem__
-        for i, pieces in split.items():
-            out[i] = b"".join(map(get, pieces))
-        return out
+        get, split = self.parts.__getitem__, self.split
+        return [
+            self.whole(t) if split is None or ODD.search(t) else b"".join(map(get, split(t))) for t in texts
+        ]
 
 
 _ENCODERS: dict[str, Encoder] = {}
