@@ -13,6 +13,7 @@ from careflow.llm.chat import format_chats
 from careflow.llm.common import read
 from careflow.llm.contamination import contamination
 from careflow.llm.divergence import divergence_rules
+from careflow.llm.idfiles import coded_ids
 from careflow.llm.jaccard import near_duplicates
 from careflow.llm.packing import pack
 from careflow.llm.repeats import removed_repeats
@@ -76,3 +77,8 @@ def suffix_repeats(spark: SparkSession, folder: str) -> DataFrame:
 @query("op3_surrogates")
 def keyed_surrogates(spark: SparkSession, folder: str) -> DataFrame:
     return surrogates(read(spark, folder, "documents"))
+
+
+@query("op6_context_mixing_ids")
+def context_mixing_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return coded_ids(read(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
