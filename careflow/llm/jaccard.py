@@ -20,7 +20,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from careflow.llm.common import remove, slices, small, written
+from careflow.llm.common import slices, small, text_key, written
 from careflow.llm.components import components
 from careflow.llm.shingles import shingle_sets
 
@@ -32,7 +32,7 @@ CUT = int(COUNTED * 2**64)
 # what is left is compared in full either way.
 PIVOT_ROUNDS = 4
 
-ROW = "rid bigint, doc_id bigint, n bigint, d1 bigint, d2 bigint, counted bigint, prefix bigint, tokens array<bigint>"
+ROW = "rid bigint, doc_id bigint, text_key bigint, n bigint, d1 bigint, d2 bigint, counted bigint, prefix bigint, tokens array<bigint>"
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -45,17 +45,17 @@ def _digest(found: np.ndarray) -> tuple[int, int]:
 
 
 def measure(shingle: int, percent: int):
-    """Arrow batches of (doc_id, text) to the set's size, digest and first tokens of each row."""
+    """Arrow batches of (doc_id, text_key, text) to the set's size, digest and first tokens of each row."""
 
     def run(batches):
         rid = TaskContext.get().partitionId() << 33
         for batch in slices(batches, "text"):
-            ids = batch.column("doc_id").to_pylist()
+            ids = zip(batch.column("doc_id").to_pylist(), batch.column("text_key").to_pylist())
             out, tokens = [], []
-            for doc_id, found in zip(ids, shingle_sets(batch.column("text"), shingle)):
+            for (doc_id, key), found in zip(ids, shingle_sets(batch.column("text"), shingle)):
                 n = len(found)
                 counted, prefix = int(np.searchsorted(found, np.uint64(CUT))), prefix_length(n, percent) if n else 0
-                out.append((rid, doc_id, n, *_digest(found), counted, prefix))
+                out.append((rid, doc_id, key, n, *_digest(found), counted, prefix))
                 tokens.append(found[: max(counted, prefix)].view(np.int64))
                 rid += 1
             ends = np.cumsum([0, *map(len, tokens)]).astype(np.int32)
@@ -87,7 +87,8 @@ class Join:
     def __init__(self, docs: DataFrame, shingle: int, percent: int, most_bytes: int | None):
         self.docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
         self.shingle, self.percent, self.most_bytes = shingle, percent, most_bytes
-        self.rows = written(self.docs.mapInArrow(measure(shingle, percent), ROW), "sets")
+        keyed = self.docs.select("doc_id", text_key(F.col("text")).alias("text_key"), "text")
+        self.rows = written(keyed.mapInArrow(measure(shingle, percent), ROW), "sets")
         by_set = self.rows.where(F.col("n") > 0).groupBy("d1", "d2")
         self.classes = written(
             by_set.agg(F.min("rid").alias("cls"), F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies")), "classes"
@@ -215,6 +216,17 @@ def similar_pairs(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCEN
     return join.links(every=True), members.select("doc_id", F.col("n").alias("n_shingles"), "cls")
 
 
+def _labelled(join: Join) -> DataFrame:
+    """The rows of the join with the component (a class; null for empty sets) and its smallest doc_id."""
+    named = components(join.links(every=False))
+    labelled = join.classes.join(named, F.col("cls") == F.col("node"), "left")
+    labelled = labelled.select("d1", "d2", "first_id", F.coalesce("component", "cls").alias("component"))
+    least = labelled.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    ids = labelled.join(least, "component").select("d1", "d2", "component", "component_id")
+    ids = small(written(ids, "component-ids"), 32, join.most_bytes)
+    return join.rows.select("rid", "doc_id", "text_key", "n", "d1", "d2").join(ids, ["d1", "d2"], "left")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, most_bytes: int | None = None) -> DataFrame:
     """Per row of `docs`: doc_id, n_shingles, component_id.
 
@@ -223,13 +235,27 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     smallest doc_id that is not null (null if all are). No rows give no rows; columns other
     than doc_id and text are not read.
     """
-    join = Join(docs, shingle, percent, most_bytes)
-    named = components(join.links(every=False))
-    labelled = join.classes.join(named, F.col("cls") == F.col("node"), "left")
-    labelled = labelled.select("d1", "d2", "first_id", F.coalesce("component", "cls").alias("component"))
-    least = labelled.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    ids = labelled.join(least, "component").select("d1", "d2", "component_id")
-    ids = small(written(ids, "component-ids"), 24, most_bytes)
-    rows = join.rows.select("doc_id", "n", "d1", "d2").join(ids, ["d1", "d2"], "left")
+    rows = _labelled(Join(docs, shingle, percent, most_bytes))
     own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return rows.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, most_bytes: int | None = None) -> DataFrame:
+    """One row of `docs`, with all its columns, of each component: that of the smallest doc_id.
+
+    Rows without words all stay. Of equal rows under one id one stays.
+    """
+    rows = _labelled(Join(docs, shingle, percent, most_bytes)).where(F.col("n") > 0)
+    order = F.struct(F.col("doc_id").isNull().alias("nobody"), "doc_id", "rid")
+    chosen = rows.groupBy("component").agg(F.min(order).alias("f")).select(F.col("f.rid").alias("chosen"))
+    marked = rows.select("rid", "doc_id", "text_key").join(chosen, F.col("rid") == F.col("chosen"), "left")
+    texts = marked.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("rows"), F.count("chosen").alias("stay"))
+    texts = written(texts.toDF("__id", "__key", "__rows", "__stay"), "component-rows")
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (text_key(F.col("text")) == F.col("__key"))
+    gone = small(written(texts.where((F.col("__stay") == 0) | (F.col("__rows") > 1)), "component-gone"), 32, most_bytes)
+    kept = docs.join(gone, same, "left_anti")
+    again = texts.where((F.col("__stay") > 0) & (F.col("__rows") > 1))
+    if again.isEmpty():
+        return kept
+    first = docs.join(again, same, "left_semi").withColumn("__key", text_key(F.col("text"))).dropDuplicates(["doc_id", "__key"])
+    return kept.unionByName(first.drop("__key"))
