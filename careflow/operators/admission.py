@@ -16,7 +16,7 @@ from functools import reduce
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from careflow.operators.joins import is_small, join_unique, key_summary
+from careflow.operators.joins import join_unique, key_summary
 from careflow.operators.ordered import order_value
 from careflow.session import materialise
 
@@ -52,7 +52,7 @@ def admit_first_come(
             marked = marked.withColumn(_flag(name), F.coalesce(_flag(name), F.lit(False)))
         else:
             marked = marked.withColumn(_flag(name), F.lit(False))
-    if is_small(requests, tail_rows):
+    if requests.count() <= tail_rows:
         return _walk(marked, rules, order).select(*requests.columns, "verdict")
 
     marked = materialise(marked)

@@ -62,7 +62,7 @@ def shared_folder(spark: SparkSession) -> str:
         return folder
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not sc.master.startswith("local"):
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
         folder = tempfile.mkdtemp(prefix="careflow-")
     sc.setCheckpointDir(folder)

@@ -3,7 +3,7 @@
 import sys
 import types
 
-LIMITS = {"hot_rows": 40, "broadcast_rows": 0, "tail_rows": 300}
+LIMITS = {"hot_rows": 40, "tail_rows": 300}
 
 
 def force() -> int:
@@ -21,5 +21,5 @@ def force() -> int:
                 fn.__defaults__, changed = new, changed + 1
     from careflow.operators import joins
 
-    joins.is_small.__defaults__ = (0,)
+    joins.BROADCAST_BYTES = 0
     return changed

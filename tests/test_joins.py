@@ -17,7 +17,7 @@ def sides(spark):
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-@pytest.mark.parametrize("limits", [{}, {"broadcast_rows": 0}, {"broadcast_rows": 0, "hot_rows": 20}])
+@pytest.mark.parametrize("limits", [{}, {"broadcast_bytes": 0}, {"broadcast_bytes": 0, "hot_rows": 20}])
 def test_equals_a_plain_join(spark, sides, how, limits):
     left, right = sides
     got = join_unique(left, right, ["k", "g"], how, **limits)
@@ -29,17 +29,17 @@ def test_equals_a_plain_join(spark, sides, how, limits):
 
 def test_hot_keys_are_joined_apart(spark, sides):
     left, right = sides
-    text = join_unique(left, right.drop("g"), ["k"], "left", broadcast_rows=0, hot_rows=20)._jdf.queryExecution().toString()
+    text = join_unique(left, right.drop("g"), ["k"], "left", broadcast_bytes=0, hot_rows=20)._jdf.queryExecution().toString()
     assert "BroadcastHashJoin" in text and "Union" in text
 
 
-@pytest.mark.parametrize("broadcast_rows", [0, 100])
-def test_key_summary(spark, sides, broadcast_rows):
+@pytest.mark.parametrize("broadcast_bytes", [0, 100_000])
+def test_key_summary(spark, sides, broadcast_bytes):
     left, right = sides
-    got = key_summary(left, right, ["k"], F.count(F.lit(1)).alias("n"), broadcast_rows=broadcast_rows)
+    got = key_summary(left, right, ["k"], F.count(F.lit(1)).alias("n"), broadcast_bytes=broadcast_bytes)
     expected = left.join(right.select("k"), "k").groupBy("k").count()
     assert rows(got) == rows(expected)
-    keys = key_summary(left, right, ["k"], broadcast_rows=broadcast_rows)
+    keys = key_summary(left, right, ["k"], broadcast_bytes=broadcast_bytes)
     assert rows(keys) == rows(expected, "k")
 
 
@@ -51,4 +51,11 @@ def test_join_many_is_a_left_join(spark, sides):
 
 
 def test_is_small(spark):
-    assert is_small(spark.range(5), 5) and not is_small(spark.range(6), 5)
+    assert is_small(spark.range(5), 5 * 24) and not is_small(spark.range(6), 5 * 24)
+    texts = spark.createDataFrame([("x" * 1000, ("y" * 500, [1, 2]))], "t string, s struct<u: string, a: array<long>>")
+    assert not is_small(texts, 1500) and is_small(texts, 2000) and is_small(texts.limit(0), 0)
+
+
+def test_measuring_moves_one_row_per_task(spark):
+    plan = spark.range(100).agg(F.sum(F.lit(8)))._jdf.queryExecution().toString()
+    assert "Limit" not in plan
