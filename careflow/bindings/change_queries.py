@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from careflow.bindings.registry import query
 from careflow.operators import changes
 from careflow.plans import daily_reports, inventory, patients, roster, schedule
-from careflow.schemas import ROLES, UNIQUE
+from careflow.schemas import REQUIRED, ROLES, UNIQUE
 
 KEY = ["patient_id", "session_date"]
 
@@ -238,15 +238,23 @@ def upsert_log(v):
 
 
 ROSTER_BATCH = """
-n AS (SELECT ROW_NUMBER() OVER (ORDER BY id) + (SELECT MAX(id) FROM shift_changes) AS new_id, id AS seq,
-    patient_id + 75 AS staff_id, result_date AS shift_date,
-    'C' || CAST(id % 5 AS VARCHAR) AS new_shift_type FROM lab_results),
+given AS (SELECT id AS seq, CASE WHEN id % 61 = 0 THEN NULL ELSE patient_id + 75 END AS staff_id,
+    CASE WHEN id % 71 = 0 THEN NULL ELSE result_date END AS shift_date,
+    CASE WHEN id % 67 = 0 THEN '' ELSE 'C' || CAST(id % 5 AS VARCHAR) END AS new_shift_type FROM lab_results),
+bad AS (SELECT *, CONCAT_WS('; ', CASE WHEN staff_id IS NULL THEN 'missing staff_id' END,
+    CASE WHEN new_shift_type = '' THEN 'missing new_shift_type' END,
+    CASE WHEN shift_date IS NULL THEN 'no such day' END) AS reason FROM given),
+n AS (SELECT ROW_NUMBER() OVER (ORDER BY seq) + (SELECT MAX(id) FROM shift_changes) AS new_id, seq,
+    staff_id, shift_date, new_shift_type FROM bad WHERE reason = ''),
 w AS (SELECT * FROM n QUALIFY ROW_NUMBER() OVER (PARTITION BY staff_id, shift_date ORDER BY seq DESC) = 1)"""
 
 
 def _save_roster(v):
     batch = v.lab_results.selectExpr(
-        "id AS seq", "patient_id + 75 AS staff_id", "DAY(result_date) AS day", "'C' || CAST(id % 5 AS STRING) AS shift_code"
+        "id AS seq",
+        "CASE WHEN id % 61 = 0 THEN NULL ELSE patient_id + 75 END AS staff_id",
+        "CASE WHEN id % 71 = 0 THEN 32 ELSE DAY(result_date) END AS day",
+        "CASE WHEN id % 67 = 0 THEN '' ELSE 'C' || CAST(id % 5 AS STRING) END AS shift_code",
     )
     return roster.save_roster(v.shift_changes, batch, "2024-01", ["seq"])
 
@@ -265,7 +273,8 @@ def replace_by_key(v):
 @query(
     "replace_by_key_log",
     f"""WITH {ROSTER_BATCH} SELECT staff_id, shift_date, CASE WHEN (staff_id, shift_date) IN
-      (SELECT (staff_id, shift_date) FROM shift_changes) THEN 'replaced' ELSE 'added' END AS action FROM w""",
+      (SELECT (staff_id, shift_date) FROM shift_changes) THEN 'replaced' ELSE 'added' END AS action FROM w
+    UNION ALL SELECT staff_id, shift_date, 'refused: ' || reason FROM bad WHERE reason <> ''""",
 )
 def replace_by_key_log(v):
     return _save_roster(v)[1]
@@ -406,6 +415,39 @@ def update_by_key(v):
     return changes.update_by_key(state, batch, "id", ["result_value", "notes"], ["seq"])[0]
 
 
+def _edited(table: str, unique: str, other: str, *more: str) -> None:
+    """Registers edits of a table whose batch takes other rows' keys, repeats new ones, keeps some."""
+    batch = {
+        "id": "id", unique: f"CASE id % 5 WHEN 0 THEN {other} WHEN 1 THEN 'New' || CAST(id - id % 10 AS STRING)"
+        f" WHEN 2 THEN {unique} ELSE 'Own' || CAST(id AS STRING) END",
+    }
+    batch |= {c: f"CASE WHEN id % 13 = 0 THEN '' ELSE 'edit ' || CAST(id AS STRING) END" for c in more}
+    blank = " || ".join(f"CASE WHEN {c} = '' THEN 'missing {c}' ELSE '' END" for c in more if c in REQUIRED[table]) or "''"
+    listed = ", ".join(f"{e.replace('STRING', 'VARCHAR')} AS {c}" for c, e in batch.items())
+    judged = f"""
+    b AS (SELECT {listed} FROM {table}), v AS (SELECT *, {blank} AS bad FROM b),
+    j AS (SELECT v.*, CASE WHEN bad <> '' THEN bad WHEN v.{unique} IS NOT DISTINCT FROM o.{unique} THEN 'updated'
+        WHEN v.{unique} IN (SELECT {unique} FROM {table} WHERE {unique} IS NOT NULL) THEN 'duplicate {unique}'
+        WHEN ROW_NUMBER() OVER (PARTITION BY v.{unique}, bad = '' ORDER BY v.id) > 1 THEN 'duplicate {unique}'
+        ELSE 'updated' END AS action FROM v JOIN {table} o ON o.id = v.id)"""
+    shown = [unique, *more]
+    new = ", ".join(f"CASE WHEN j.action = 'updated' THEN j.{c} ELSE t.{c} END AS {c}" for c in shown)
+
+    def run(v):
+        edits = getattr(v, table).selectExpr("id AS seq", *[f"{e} AS {c}" for c, e in batch.items()])
+        return changes.edit_in(table, getattr(v, table), edits, ["seq"])
+
+    name = f"edit_{table.removeprefix('lab_')}"
+    query(name, f"WITH {judged} SELECT t.id, {new} FROM {table} t JOIN j ON j.id = t.id")(lambda v: run(v)[0].select("id", *shown))
+    query(f"{name}_log", f"WITH {judged} SELECT id, action FROM j")(lambda v: run(v)[1])
+
+
+_edited("staff", "national_id", "'S' || CAST(id + 1 AS STRING)", "name", "phone")
+_edited("suppliers", "name", "'Supplier#' || LPAD(CAST(id + 1 AS STRING), 9, '0')", "phone")
+_edited("machines", "serial_number", "'Supplier#' || LPAD(CAST(id + 1 AS STRING), 9, '0')", "ward", "model")
+_edited("lab_test_types", "test_name", "'view'", "unit")
+
+
 @query(
     "record_transfusions",
     """WITH b AS (SELECT id, CASE id % 5 WHEN 0 THEN 'two' WHEN 1 THEN '-1' ELSE CAST(id % 6 AS VARCHAR) END AS bags
@@ -645,11 +687,13 @@ def create_orders_log(v):
     return _create(v)[2]
 
 
+# Every seventh day of a month is confirmed twice, the second time with other numbers.
 CONFIRMED = """
-n AS (SELECT session_date AS report_date, '{"sessions":' || CAST(COUNT(*) AS VARCHAR) || ',"bags":' ||
+n AS (SELECT session_date AS report_date, DAY(session_date) % 7 = 0 AS twice,
+    '{"sessions":' || CAST(COUNT(*) + CASE WHEN DAY(session_date) % 7 = 0 THEN 1000 ELSE 0 END AS VARCHAR) || ',"bags":' ||
     CAST(CAST(SUM(COALESCE(blood_transfusion_bags, 0)) AS BIGINT) AS VARCHAR) || '}' AS json,
-    CASE WHEN COUNT(*) % 2 = 0 THEN 'SYSTEM' ELSE 'doctor' END AS who
-  FROM sessions GROUP BY 1)"""
+    CASE WHEN DAY(session_date) % 7 = 0 THEN 'second' WHEN COUNT(*) % 2 = 0 THEN 'SYSTEM' ELSE 'doctor' END AS who
+  FROM sessions GROUP BY session_date)"""
 
 
 def _confirmed(v):
@@ -661,8 +705,12 @@ def _confirmed(v):
         "report_date",
         F.struct("sessions", "bags").alias("final_data"),
         F.when(F.col("sessions") % 2 == 0, "").otherwise("doctor").alias("user"),
+        F.lit(1).alias("turn"),
+    )
+    again = daily.where(F.dayofmonth("report_date") % 7 == 0).select(
+        "report_date", F.struct((F.col("sessions") + 1000).alias("sessions"), "bags").alias("final_data"), F.lit("second").alias("user"), F.lit(2).alias("turn")
     )
-    return daily_reports.confirm_reports(v.daily_reports, batch, "2000-01-02 03:04:05")
+    return daily_reports.confirm_reports(v.daily_reports, again.union(batch), "2000-01-02 03:04:05", ["turn"])
 
 
 @query(
@@ -673,7 +721,7 @@ def _confirmed(v):
     FROM daily_reports r JOIN n ON n.report_date = r.report_date
     UNION ALL
     SELECT (SELECT MAX(id) FROM daily_reports) + ROW_NUMBER() OVER (ORDER BY report_date), report_date, 'CONFIRMED', json,
-      who, NULL FROM n WHERE report_date NOT IN (SELECT report_date FROM daily_reports)""",
+      who, CASE WHEN twice THEN '2000-01-02 03:04:05' END FROM n WHERE report_date NOT IN (SELECT report_date FROM daily_reports)""",
 )
 def confirm_report(v):
     return _confirmed(v).withColumn("confirmed_at", F.date_format("confirmed_at", "yyyy-MM-dd HH:mm:ss"))

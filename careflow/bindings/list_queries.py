@@ -372,10 +372,12 @@ def patient_sessions(v):
 
 @query(
     "patient_sessions_month",
-    f"SELECT * FROM sessions WHERE patient_id = 130 AND STRFTIME(session_date, '%Y-%m') = '{MONTH}'",
+    f"""SELECT * FROM sessions WHERE STRFTIME(session_date, '%Y-%m') = '{MONTH}' AND patient_id =
+    (SELECT MIN(patient_id) FROM sessions WHERE STRFTIME(session_date, '%Y-%m') = '{MONTH}')""",
 )
 def patient_sessions_month(v):
-    return schedule.patient_sessions(v.sessions, 130, MONTH)
+    patient = filters.in_month(v.sessions, "session_date", MONTH).agg(F.min("patient_id")).first()[0]
+    return schedule.patient_sessions(v.sessions, patient, MONTH)
 
 
 @query(

@@ -17,6 +17,8 @@ SHIFT_HOURS = {"M": 8, "A": 8, "L": 12, "N": 12, "NM": 18, "AN": 18}
 DEFAULT_SESSION_PRICE = 200.0
 DEFAULT_BAG_PRICE = 150.0
 SHEET_EPOCH_DAYS = 25569
+# Days from 1970-01-01 to 0001-01-01 and 9999-12-31.
+FIRST_DAY, LAST_DAY = -719_162, 2_932_896
 EXPIRING_DAYS = 30
 LOW_STOCK = 10
 INVOICE_PREFIX = "INV-"
@@ -113,14 +115,17 @@ def month_label(day: Column | str) -> Column:
 
 
 def parse_sheet_date(value: Column | str) -> Column:
-    """ISO date text or a sheet serial number; anything else is NULL."""
+    """ISO date text or a sheet serial number; anything else is NULL.
+
+    Serials run to the last day a date can hold, 9999-12-31 (2958465).
+    """
     text = F.trim(column(value))
     serial = F.nullif(text.try_cast("double"), F.lit(0.0)) - SHEET_EPOCH_DAYS
     days = F.floor(serial).cast("string").try_cast("int")
     iso = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), text)
     return F.coalesce(
         iso.try_cast("date"),
-        F.when(F.abs(days) < 3_000_000, F.date_add(F.lit("1970-01-01").cast("date"), days)),
+        F.when(days.between(FIRST_DAY, LAST_DAY), F.date_add(F.lit("1970-01-01").cast("date"), days)),
     )
 
 
@@ -225,12 +230,30 @@ def int_part(c: Column | str) -> Column:
 
 
 def plain_text(c: Column | str, dtype: str) -> Column:
-    """Value as text; whole doubles are written without a fraction."""
+    """Value as text. Doubles as a script writes them: the shortest digits, without exponent
+    from 0.000001 up to below 1e21."""
     c = column(c)
-    if dtype in ("double", "float"):
-        whole = (c == F.floor(c)) & (F.abs(c) < 1e15)
-        return F.when(whole, c.cast("bigint").cast("string")).otherwise(c.cast("string"))
-    return c.cast("string")
+    if dtype not in ("double", "float"):
+        return c.cast("string")
+    text = F.abs(c).cast("string")
+    mantissa = F.regexp_replace(F.regexp_extract(text, r"^([0-9.]+)E", 1), r"\.0$", "")
+    digits = F.regexp_replace(mantissa, r"\.", "")
+    power = F.regexp_extract(text, r"E(-?[0-9]+)$", 1).try_cast("int")
+    size = F.length(digits)
+    whole = F.when(size <= power + 1, F.rpad(digits, power + 1, "0")).otherwise(
+        F.concat(F.substr(digits, F.lit(1), power + 1), F.lit("."), F.substr(digits, power + 2, size))
+    )
+    tail = F.when(size > 1, F.concat(F.lit("."), F.substr(digits, F.lit(2), size))).otherwise("")
+    sign = F.when(power > 0, "e+").otherwise("e-")
+    short = F.concat(F.substr(digits, F.lit(1), F.lit(1)), tail, sign, F.abs(power).cast("string"))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+    plain = (
+        F.when(power.isNull(), F.regexp_replace(text, r"\.0$", ""))
+        .when((power < -6) | (power > 20), short)
+        .when(power < 0, small)
+        .otherwise(whole)
+    )
+    return F.when(F.isnan(c) | (c == 0), F.when(c == 0, "0").otherwise("NaN")).when(c < 0, F.concat(F.lit("-"), plain)).otherwise(plain)
 
 
 def sql_literal(text: Column) -> Column:

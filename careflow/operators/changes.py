@@ -250,13 +250,25 @@ def delete_by_key(state: DataFrame, asked: DataFrame, key: str = "id") -> tuple[
 def update_by_key(
     state: DataFrame, batch: DataFrame, key: str, cols: list[str], order: list[str],
     required: Sequence[str] = (), rules: dict[str, Column] | None = None,
+    keysets: dict[str, list[str]] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Sets `cols` on existing rows, NULL included; the last valid batch row of a key counts.
 
-    Log: key, action updated / not_found, or the reasons of an invalid row.
+    An edit that would take a unique key (`keysets`) of another row, or of an edit before
+    it, is rejected whole; the keys rows had count as held until the batch is through. Log:
+    key, action updated / not_found / duplicate <key>, or the reasons of an invalid row.
     """
     valid, bad = split_valid(require(batch, required, rules))
-    latest = materialise(valid.groupBy(key).agg(F.max_by(F.struct(*cols), order_value(order)).alias("__new")))
+    last = (F.max_by(F.struct(*cols), order_value(order)).alias("__new"), F.max(order_value(order)).alias("__at"))
+    latest = materialise(valid.groupBy(key).agg(*last))
+    clash = None
+    changed = {name: cs for name, cs in (keysets or {}).items() if set(cs) & set(cols)}
+    if changed:
+        judged = materialise(_judge_edits(state, latest, key, cols, changed))
+        clash = judged.where("verdict <> 'accepted'").select(
+            key, F.concat(F.lit("duplicate "), "verdict").alias("action")
+        )
+        latest = materialise(latest.join(clash.select(key), key, "left_anti"))
     joined = join_unique(state, latest.withColumn("__hit", F.lit(True)), [key])
     new_state = joined.select(
         *[
@@ -267,11 +279,35 @@ def update_by_key(
         ]
     )
     log = _found_log(state, latest.select(key), key, "updated")
+    if clash is not None:
+        log = log.unionByName(clash)
     if required or rules:
         log = log.unionByName(bad.select(key, F.array_join("reasons", "; ").alias("action")))
     return new_state, log
 
 
+def _judge_edits(state: DataFrame, latest: DataFrame, key: str, cols: list[str], keysets: dict[str, list[str]]) -> DataFrame:
+    """The edits of existing rows with a verdict on the unique keys they change."""
+    wanted = list(dict.fromkeys(c for cs in keysets.values() for c in cs))
+    old = state.select(key, F.struct(*wanted).alias("__old"))
+    edits = join_unique(old, latest, [key], "inner")
+    for name, cs in keysets.items():
+        new = {c: (F.col("__new")[c] if c in cols else F.col("__old")[c]).cast(state.schema[c].dataType) for c in cs}
+        same = F.struct(*[new[c].alias(c) for c in cs]).eqNullSafe(F.struct(*[F.col("__old")[c].alias(c) for c in cs]))
+        # A key that stays is held by the row itself and conflicts with nothing.
+        edits = edits.withColumns({c: F.when(~same, new[c]) for c in cs})
+    return admit_first_come(edits.select(key, "__at", *wanted), keysets, ["__at", key], {name: state for name in keysets})
+
+
+def edit_in(
+    table: str, state: DataFrame, batch: DataFrame, order: list[str], rules: dict[str, Column] | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Edits by id under the required fields and unique keys of a table; sets the batch's columns."""
+    cols = [c for c in state.columns if c in batch.columns and c != "id"]
+    required = [c for c in REQUIRED.get(table, []) if c in cols]
+    return update_by_key(state, batch, "id", cols, order, required, rules, UNIQUE.get(table))
+
+
 def _found_log(state: DataFrame, wanted: DataFrame, key: str, action: str) -> DataFrame:
     present = key_summary(state, wanted, [key]).withColumn("__hit", F.lit(True))
     return wanted.join(present, key, "left").select(

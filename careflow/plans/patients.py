@@ -8,6 +8,7 @@ from careflow.functions import filters, scalars as S
 from careflow.operators.changes import append_to, conform, update_by_key, without
 from careflow.operators.joins import join_unique
 from careflow.operators.paging import ordered_listing, page_info, paginate
+from careflow.schemas import UNIQUE
 from careflow.session import materialise
 
 SEARCH_COLUMNS = ["name", "medical_id", "national_id"]
@@ -86,7 +87,7 @@ def edit_patients(patients: DataFrame, batch: DataFrame, order: list[str]) -> tu
     """Sets the edited columns of existing patients. Log: id, action."""
     rows = _with_expiry(batch)
     cols = [c for c in EDITED if c in patients.columns and c in rows.columns]
-    return update_by_key(patients, rows, "id", cols, order, EDIT_REQUIRED)
+    return update_by_key(patients, rows, "id", cols, order, EDIT_REQUIRED, keysets=UNIQUE["patients"])
 
 
 def archive(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from careflow.functions import filters, scalars as S
-from careflow.operators.changes import replace_by_key
+from careflow.operators.changes import replace_by_key, require, split_valid
 
 
 def roster_inputs(staff: DataFrame, changes: DataFrame, month: str, job: str | None = None) -> DataFrame:
@@ -53,9 +53,11 @@ def save_roster(
     changes: DataFrame, batch: DataFrame, month: str, order: list[str]
 ) -> tuple[DataFrame, DataFrame]:
     """Saves (staff_id, day, shift_code) rows of the month; a saved row replaces the old
-    one whole, so its notes and substitute are cleared."""
+    one whole, so its notes and substitute are cleared. Log: staff_id, shift_date, action;
+    a row without staff, shift or a day of the month is refused with its reasons."""
     rows = batch.withColumn("shift_date", S.date_of(month, "day")).withColumnRenamed("shift_code", "new_shift_type")
-    rows = rows.where(F.col("shift_date").isNotNull())
-    return replace_by_key(
-        changes, rows.select("staff_id", "shift_date", "new_shift_type", *order), ["staff_id", "shift_date"], order
-    )
+    rows = rows.select("staff_id", "shift_date", "new_shift_type", *order)
+    valid, bad = split_valid(require(rows, ["staff_id", "new_shift_type"], {"no such day": F.col("shift_date").isNotNull()}))
+    state, log = replace_by_key(changes, valid, ["staff_id", "shift_date"], order)
+    refused = F.concat(F.lit("refused: "), F.array_join("reasons", "; "))
+    return state, log.unionByName(bad.select("staff_id", "shift_date", refused.alias("action")))

@@ -36,7 +36,7 @@ def test_saving_a_roster_clears_other_columns(spark):
     batch = spark.createDataFrame([(1, 1, 1, "A"), (2, 1, 1, "N"), (3, 2, 31, "L")], "seq int, staff_id bigint, day int, shift_code string")
     new, log = roster.save_roster(state, batch, "2025-04", ["seq"])
     assert rows(new) == [(4, 1, D(2025, 4, 2), "M", 9, "kept"), (6, 1, D(2025, 4, 1), "N", None, None)]
-    assert rows(log, "staff_id", "action") == [(1, "replaced")]
+    assert rows(log, "staff_id", "action") == [(1, "replaced"), (2, "refused: no such day")]
 
 
 def test_toggle(spark):
@@ -167,3 +167,15 @@ def test_edit_keeps_invalid_rows_out(spark):
     new, log = changes.update_by_key(state, batch, "id", ["name", "grade"], ["id"], required=["name"])
     assert rows(new) == [(1, "a", "x"), (2, "c", None)]
     assert rows(log) == [(1, "missing name"), (2, "updated"), (3, "not_found")]
+
+
+def test_edits_keep_keys_unique(spark):
+    state = spark.createDataFrame([(1, "A", "x"), (2, "B", "x"), (3, None, "x"), (4, "D", "x")], "id bigint, name string, phone string")
+    batch = spark.createDataFrame(
+        [(1, 2, "A", "p"), (2, 3, "N", "p"), (3, 4, "N", "p"), (4, 1, "A", "p"), (5, 9, "Z", "p"), (6, 2, "C", ""), (7, 3, "N", "q")],
+        "seq int, id bigint, name string, phone string",
+    )
+    new, log = changes.update_by_key(state, batch, "id", ["name", "phone"], ["seq"], ["phone"], keysets={"name": ["name"]})
+    # 2 may not take 1's name; of 3 and 4 the one whose last edit came first gets N.
+    assert rows(new) == [(1, "A", "p"), (2, "B", "x"), (3, None, "x"), (4, "N", "p")]
+    assert rows(log) == [(1, "updated"), (2, "duplicate name"), (2, "missing phone"), (3, "duplicate name"), (4, "updated"), (9, "not_found")]

@@ -156,3 +156,17 @@ def test_sql_text(spark):
     df = spark.createDataFrame([("O'Neil", 8.0, 0.5, None)], "a string, b double, c double, d string")
     got = df.select(*[S.sql_literal(S.plain_text(c, t)) for c, t in df.dtypes]).first()
     assert tuple(got) == ("'O''Neil'", "'8'", "'0.5'", "NULL")
+
+
+def test_doubles_as_a_script_writes_them(spark):
+    pairs = [
+        (12345678.5, "12345678.5"), (0.0005, "0.0005"), (1e15, "1000000000000000"), (1e21, "1e+21"), (1.5e21, "1.5e+21"), (1e-6, "0.000001"),
+        (1.25e-7, "1.25e-7"), (-2.0, "-2"), (0.0, "0"), (-0.0, "0"), (2.5, "2.5"), (1e20, "100000000000000000000"), (-1234567890.125, "-1234567890.125"),
+    ]
+    df = spark.createDataFrame([(x,) for x, _ in pairs], "x double")
+    assert [r[0] for r in df.select(S.plain_text("x", "double")).collect()] == [t for _, t in pairs]
+
+
+def test_last_serial_of_a_sheet(spark):
+    df = spark.createDataFrame([("2958465",), ("2958466",), ("-693594",)], "x string")
+    assert [str(r[0]) for r in df.select(S.parse_sheet_date("x")).collect()][:2] == ["9999-12-31", "None"]
