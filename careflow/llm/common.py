@@ -26,9 +26,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
+    release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished steps: it does so once the driver's JVM
+    has noticed that nothing refers to them, which may otherwise take long."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def remove(df: DataFrame) -> None:
     """Deletes the files of a frame made by `written` that nothing reads any more."""
     spark = df.sparkSession

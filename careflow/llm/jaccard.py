@@ -1,12 +1,13 @@
 """N-gram Jaccard join: a size-aware heavy-light join over sets of word shingles.
 
-Equal sets are one class. Tokens are put in one order for all sets: first those whose hash
-falls into a fixed share of the hash space, rarest first, then the rest by hash. If two sets
-overlap enough, the first n - ceil(0.8 n) + 2 tokens of both have two tokens in common, so a
-set with fewer than two tokens there that any other class has is done. Of the rest, small
-sets are joined on every two-token subset of that prefix, large ones by scanning the
-inverted lists of its single tokens; the size between them is where the summed cost is
-least. Candidates are verified on whole sets.
+Equal sets are one class. Whatever the order of the tokens, if two sets overlap enough, the
+first n - ceil(0.8 n) + 2 tokens of both have two in common. That is used twice. First with
+the tokens whose hash falls into a fixed share of the hash space, rarest first, before all
+others: a set with fewer than two tokens in that prefix that any other class has is done.
+Then the whole sets of the rest are ordered by rarity among themselves. Small sets are joined
+on every two-token subset of the prefix, large ones by scanning the inverted lists of its
+single tokens; the size between them is where the summed cost is least. Pairs are verified
+on whole sets.
 
 For components not every pair is needed: in each list all are first compared with one pivot,
 and only lists that still hold several components give all their pairs across components.
@@ -20,7 +21,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from careflow.llm.common import slices, small, text_key, written
+from careflow.llm.common import remove, slices, small, text_key, written
 from careflow.llm.components import components
 from careflow.llm.shingles import shingle_sets
 
@@ -31,6 +32,10 @@ CUT = int(COUNTED * 2**64)
 # Pivot rounds end when they no longer halve the pairs that are left, or after this many;
 # what is left is compared in full either way.
 PIVOT_ROUNDS = 4
+# Cost of one entry met in scanning a list, against that of one row put into a list: rows are
+# written and shuffled every turn, entries are met in memory, and most are never met because
+# a pivot closes the list before.
+SCANNED = 0.02
 
 ROW = "rid bigint, doc_id bigint, text_key bigint, n bigint, d1 bigint, d2 bigint, counted bigint, prefix bigint, tokens array<bigint>"
 
@@ -89,7 +94,8 @@ class Join:
         self.shingle, self.percent, self.most_bytes = shingle, percent, most_bytes
         keyed = self.docs.select("doc_id", text_key(F.col("text")).alias("text_key"), "text")
         self.rows = written(keyed.mapInArrow(measure(shingle, percent), ROW), "sets")
-        by_set = self.rows.where(F.col("n") > 0).groupBy("d1", "d2")
+        self.facts = written(self.rows.select("rid", "doc_id", "text_key", "n", "d1", "d2"), "set-facts")
+        by_set = self.facts.where(F.col("n") > 0).groupBy("d1", "d2")
         self.classes = written(
             by_set.agg(F.min("rid").alias("cls"), F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies")), "classes"
         )
@@ -100,26 +106,42 @@ class Join:
         joined = self.rows.where(F.col("n") > 0).join(small(many, 24, self.most_bytes), ["d1", "d2"], "left")
         return joined.where(F.coalesce("cls", "rid") == F.col("rid")).drop("cls")
 
-    def survivors(self) -> DataFrame:
-        """(cls, doc_id, n, prefix tokens, cost of scanning their lists) of sets that may have a partner."""
-        reps = self.representatives()
-        tokens = reps.where(F.col("n") > 3).select(F.col("rid").alias("cls"), F.explode("tokens").alias("token"))
+    def shared(self, tokens: DataFrame) -> DataFrame:
+        """(cls, shared): each class's tokens that other classes have too, with how many have them."""
         counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > 1)
-        # A list per token at most, so the counted side is even however long one list is.
-        shared = tokens.join(counts.hint("shuffle_hash"), "token")
-        by_set = shared.groupBy("cls").agg(F.collect_list(F.struct("df", "token")).alias("shared"))
-        facts = reps.select(F.col("rid").alias("cls"), "doc_id", "n", "counted", "prefix")
-        known = by_set.join(facts, "cls")
-        inner, outer = [F.filter("shared", lambda t: (t["token"] >= 0) & (t["token"] < CUT)),
-                        F.filter("shared", lambda t: (t["token"] < 0) | (t["token"] >= CUT))]
-        # Tokens that no other class has come first in the order.
-        alone = F.col("counted") - F.size(inner)
-        first = F.slice(F.array_sort(inner), F.lit(1), F.greatest(F.col("prefix") - alone, F.lit(0)).cast("int"))
-        chosen = F.when(F.col("prefix") > alone, F.concat(first, outer)).otherwise(outer)
+        # A row per token at most, so the counted side is even however long one list is.
+        both = tokens.join(counts.hint("shuffle_hash"), "token")
+        return both.groupBy("cls").agg(F.collect_list(F.struct("df", "token")).alias("shared"))
+
+    def candidates(self) -> DataFrame:
+        """(cls, doc_id) of the classes that may have a partner, judged by the counted tokens."""
+        reps = self.representatives().where(F.col("n") > 3)
+        by_set = self.shared(reps.select(F.col("rid").alias("cls"), F.explode("tokens").alias("token")))
+        known = by_set.join(reps.select(F.col("rid").alias("cls"), "doc_id", "counted", "prefix"), "cls")
+        inner = F.size(F.filter("shared", lambda t: (t["token"] >= 0) & (t["token"] < CUT)))
+        # Tokens that no other class has come first in the order; what is sent beyond the
+        # counted share is all in the prefix.
+        alone = F.col("counted") - inner
+        chosen = F.least(inner, F.greatest(F.col("prefix") - alone, F.lit(0))) + F.size("shared") - inner
+        return written(known.where(chosen > 1).select("cls", "doc_id"), "candidates")
+
+    def survivors(self, sets: DataFrame) -> DataFrame:
+        """(cls, n, prefix tokens, cost of listing and scanning them) of candidates that may have a partner.
+
+        Only candidates can be partners, so their whole sets are counted among themselves:
+        the prefix is the rarest tokens of the set, those of no other candidate first.
+        """
+        by_set = self.shared(sets.select("cls", F.explode("found").alias("token")))
+        known = by_set.join(sets.select("cls", F.size("found").cast("bigint").alias("n")), "cls")
+        # n - ceil(percent n / 100) + 2, less the tokens no other candidate has.
+        prefix = F.col("n") - F.ceil(self.percent * F.col("n") / 100) + 2
+        left = prefix - (F.col("n") - F.size("shared"))
+        known = known.withColumn("left", left.cast("int")).where(F.col("left") > 1)
+        chosen = F.slice(F.array_sort("shared"), F.lit(1), F.col("left"))
         known = known.withColumn("chosen", chosen).where(F.size("chosen") > 1)
-        scan = F.aggregate("chosen", F.lit(0).cast("bigint"), lambda a, t: a + t["df"])
+        scan = F.size("chosen") + SCANNED * F.aggregate("chosen", F.lit(0).cast("bigint"), lambda a, t: a + t["df"])
         ordered = F.array_sort(F.transform("chosen", lambda t: t["token"]))
-        return written(known.select("cls", "doc_id", "n", ordered.alias("tokens"), scan.alias("scan")), "survivors")
+        return written(known.select("cls", "n", ordered.alias("tokens"), scan.alias("scan")), "survivors")
 
     def boundary(self, survivors: DataFrame) -> int:
         """The size up to which subsets are enumerated, at the least summed cost."""
@@ -135,26 +157,27 @@ class Join:
         return best[1]
 
     def lists(self, survivors: DataFrame) -> DataFrame:
-        """(kind, key, cls, n): the inverted lists of two-token subsets and of single tokens."""
+        """(twos, key, cls, n): the inverted lists of two-token subsets and of single tokens."""
         light = self.boundary(survivors)
         pairs = F.flatten(F.transform("tokens", lambda a, i: F.transform(F.slice("tokens", i + 2, F.size("tokens")), lambda b: F.xxhash64(a, b))))
-        subsets = survivors.where(F.col("n") <= light).select(F.lit(0).alias("kind"), F.explode(pairs).alias("key"), "cls", "n")
+        subsets = survivors.where(F.col("n") <= light).select(F.lit(True).alias("twos"), F.explode(pairs).alias("key"), "cls", "n")
         # Sets under the boundary that a set above it can be near to are in its lists as well.
         near = 100 * F.col("n") > self.percent * light
-        single = survivors.where(near).select(F.lit(1).alias("kind"), F.explode("tokens").alias("key"), "cls", "n")
+        single = survivors.where(near).select(F.lit(False).alias("twos"), F.explode("tokens").alias("key"), "cls", "n")
         return written(subsets.unionByName(single), "lists")
 
     def fits(self, n: Column, m: Column) -> Column:
         """The sizes allow the similarity."""
         return 100 * F.least(n, m) >= self.percent * F.greatest(n, m)
 
-    def sets_of(self, survivors: DataFrame) -> DataFrame:
-        ids = survivors.select("doc_id").distinct()
-        ids = small(written(ids, "survivor-ids"), 16, self.most_bytes).toDF("__id")
+    def sets_of(self, candidates: DataFrame) -> DataFrame:
+        """(cls, found): the whole sets of the candidates, from the texts again."""
+        ids = written(candidates.select("doc_id").distinct(), "candidate-ids")
+        ids = small(ids, 16, self.most_bytes).toDF("__id")
         texts = self.docs.join(ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select("text")
         found = texts.mapInArrow(whole_sets(self.shingle), "d1 bigint, d2 bigint, found array<bigint>")
         named = found.join(self.classes.select("d1", "d2", "cls"), ["d1", "d2"])
-        return written(named.join(survivors.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]).select("cls", "found"), "whole-sets")
+        return written(named.join(candidates.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]).select("cls", "found"), "whole-sets")
 
     def verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """The pairs (a, b) whose similarity reaches the threshold, written."""
@@ -164,55 +187,73 @@ class Join:
         linked = 100 * common >= self.percent * (F.size("set_a") + F.size("set_b") - common)
         return written(both.where(linked).select("a", "b"), "links")
 
-    def across(self, lists: DataFrame, labels: DataFrame) -> tuple[DataFrame, int]:
-        """The lists that hold several components, with them, and the pairs across components."""
-        named = lists.join(labels, F.col("cls") == F.col("node"), "left").drop("node")
-        named = named.withColumn("component", F.coalesce("component", "cls"))
-        each = named.groupBy("kind", "key", "component").agg(F.count(F.lit(1)).alias("c"))
-        mixed = each.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("k"), F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
-        mixed = mixed.where(F.col("k") > 1).select("kind", "key", ((F.col("s") * F.col("s") - F.col("q")) / 2).alias("pairs"))
-        left = written(named.join(mixed, ["kind", "key"]), "mixed-lists")
-        pairs = left.select("kind", "key", "pairs").distinct().agg(F.sum("pairs")).first()[0]
-        return left.drop("pairs"), int(pairs or 0)
+    def open_lists(self, lists: DataFrame, labels: DataFrame | None, turn: int) -> DataFrame:
+        """The rows of lists that hold several components, each with its list's length and this turn's pivot."""
+        lists = lists.select("twos", "key", "cls", "n")
+        if labels is not None:
+            named = small(labels, 16, self.most_bytes)
+            lists = lists.join(named, F.col("cls") == F.col("node"), "left").drop("node")
+            lists = lists.withColumn("component", F.coalesce("component", "cls"))
+        else:
+            lists = lists.withColumn("component", F.col("cls"))
+        by = F.struct(F.xxhash64(F.col("cls"), F.lit(turn)).alias("h"), F.col("cls").alias("p"), F.col("n").alias("m"), F.col("component").alias("other"))
+        ends = (F.min("component"), F.max("component"))
+        pivots = lists.groupBy("twos", "key").agg(F.count(F.lit(1)).alias("length"), ends[0].alias("lo"), ends[1].alias("hi"), F.min(by).alias("pivot"))
+        pivots = pivots.where(F.col("lo") < F.col("hi")).select("twos", "key", "length", "pivot")
+        return written(lists.join(pivots, ["twos", "key"]).select("twos", "key", "cls", "n", "component", "length", "pivot"), "open-lists")
 
     def all_pairs(self, lists: DataFrame) -> DataFrame:
-        """Pairs of one list that sizes allow and components do not join yet."""
-        other = lists.select("kind", "key", F.col("cls").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"))
-        joined = lists.withColumnRenamed("cls", "a").join(other, ["kind", "key"])
+        """Pairs across components that sizes and the number of common prefix tokens allow.
+
+        All lists that such a pair shares are still open, so they count its common prefix
+        tokens c. Of the set whose prefix ends first, only the tokens after it can be common
+        as well: the overlap is at most c plus their number, which is ceil(0.8 n) - 2.
+        """
+        lists = lists.select("twos", "key", "cls", "n", "component")
+        other = lists.toDF("twos", "key", "b", "m", "other")
+        joined = lists.withColumnRenamed("cls", "a").join(other, ["twos", "key"])
         wanted = (F.col("a") < F.col("b")) & (F.col("component") != F.col("other")) & self.fits(F.col("n"), F.col("m"))
-        return joined.where(wanted).select("a", "b").distinct()
-
-    def pivot_pairs(self, lists: DataFrame, turn: int) -> DataFrame:
-        """Every member of a list with the list's pivot; another pivot each turn."""
-        by = F.struct(F.xxhash64(F.col("cls"), F.lit(turn)).alias("h"), F.col("cls").alias("p"), F.col("n").alias("m"), F.col("component").alias("other"))
-        pivots = lists.groupBy("kind", "key").agg(F.min(by).alias("p")).select("kind", "key", "p.p", "p.m", "p.other")
-        joined = lists.join(pivots, ["kind", "key"])
-        wanted = (F.col("cls") != F.col("p")) & (F.col("component") != F.col("other")) & self.fits(F.col("n"), F.col("m"))
-        return joined.where(wanted).select(F.least("cls", "p").alias("a"), F.greatest("cls", "p").alias("b")).distinct()
+        counted = joined.where(wanted).groupBy("a", "b", "n", "m", "twos").agg(F.count(F.lit(1)).alias("lists"))
+        # c tokens make c (c - 1) / 2 subsets of two.
+        common = F.when(F.col("twos"), F.floor((1 + F.sqrt(1 + 8 * F.col("lists"))) / 2)).otherwise(F.col("lists"))
+        needed = F.ceil(self.percent * (F.col("n") + F.col("m")) / (100 + self.percent))
+        after = F.ceil(self.percent * F.greatest("n", "m") / 100) - 2
+        # The sums are whole numbers; a rounded quotient may not cost a pair.
+        return counted.where(common + after >= needed - 1).select("a", "b").distinct()
+
+    def pivot_pairs(self, lists: DataFrame) -> DataFrame:
+        """Every class with one pivot: the first in this turn's order among those of its lists."""
+        wanted = (F.col("component") != F.col("pivot.other")) & self.fits(F.col("n"), F.col("pivot.m"))
+        first = lists.where(wanted).groupBy("cls").agg(F.min("pivot").alias("pivot"))
+        return first.select(F.least("cls", "pivot.p").alias("a"), F.greatest("cls", "pivot.p").alias("b")).distinct()
 
     def links(self, every: bool) -> DataFrame:
         """Verified pairs of classes: all of them, or enough to connect every component."""
-        survivors = self.survivors()
-        lists, sets = self.lists(survivors), self.sets_of(survivors)
-        found = self.docs.sparkSession.createDataFrame([], "a bigint, b bigint")
-        labels = self.docs.sparkSession.createDataFrame([], "node bigint, component bigint")
-        left, pairs = self.across(lists, labels)
-        for turn in range(0 if every else PIVOT_ROUNDS):
-            if not pairs:
+        candidates = self.candidates()
+        remove(self.rows)
+        sets = self.sets_of(candidates)
+        survivors = self.survivors(sets)
+        lists = self.lists(survivors)
+        found, labels, before = None, None, None
+        for turn in range(PIVOT_ROUNDS + 1):
+            closed, lists = lists, self.open_lists(lists, labels, turn)
+            remove(closed)
+            # An upper bound of the pairs that full comparison would look at, and the rows now.
+            pairs, rows = lists.agg(F.sum((F.col("length") - 1) / 2), F.count(F.lit(1))).first()
+            done = every or turn == PIVOT_ROUNDS or not rows or pairs <= 2 * rows or (before is not None and 2 * pairs > before)
+            new = self.verified(self.all_pairs(lists) if done else self.pivot_pairs(lists), sets)
+            found, before = new if found is None else found.unionByName(new), pairs
+            if done:
+                remove(lists)
+                remove(sets)
                 return found
-            found = found.unionByName(self.verified(self.pivot_pairs(left, turn), sets))
-            before, (left, pairs) = pairs, self.across(lists, components(found))
-            if 2 * pairs > before:
-                break
-        if pairs:
-            found = found.unionByName(self.verified(self.all_pairs(left), sets))
-        return found
+            labels = written(components(found), "labels")
 
 
 def similar_pairs(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, most_bytes: int | None = None):
     """(links, members): every pair (a, b) of classes that are similar enough, and (doc_id, n_shingles, cls) per row."""
     join = Join(docs, shingle, percent, most_bytes)
-    members = join.rows.join(join.classes.select("d1", "d2", "cls"), ["d1", "d2"], "left")
+    members = join.facts.join(join.classes.select("d1", "d2", "cls"), ["d1", "d2"], "left")
     return join.links(every=True), members.select("doc_id", F.col("n").alias("n_shingles"), "cls")
 
 
@@ -224,7 +265,7 @@ def _labelled(join: Join) -> DataFrame:
     least = labelled.groupBy("component").agg(F.min("first_id").alias("component_id"))
     ids = labelled.join(least, "component").select("d1", "d2", "component", "component_id")
     ids = small(written(ids, "component-ids"), 32, join.most_bytes)
-    return join.rows.select("rid", "doc_id", "text_key", "n", "d1", "d2").join(ids, ["d1", "d2"], "left")
+    return join.facts.join(ids, ["d1", "d2"], "left")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, most_bytes: int | None = None) -> DataFrame:
