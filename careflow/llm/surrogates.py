@@ -5,7 +5,8 @@ a phone number, the local part and host of an address, a given or family name of
 and script), in a normal form that all its spellings share. A unit's surrogate is made from a
 keyed hash of kind and normal form, keeps length, character classes and separators, and is
 taken only if no other unit of the kind has it and it is no unit of the corpus; otherwise the
-next attempt's is tried. So equal units stay equal and different ones different.
+next attempt's is tried. So equal units stay equal and different ones different. Units of marks
+only get letters. After `PLAIN` attempts surrogates grow with every attempt, so none runs out.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from careflow.llm.common import written
 
 KEY = "careflow-surrogates"
+# Attempts that keep the length, and signs by which each later one is longer than the one before.
+PLAIN, GROWTH = 4, 4
 
 # Titles by gender, with which a name is recognised.
 TITLES = {
@@ -122,54 +125,77 @@ def _luhn_ok(digits: Column) -> Column:
     return _luhn_sum(digits) % 10 == 0
 
 
-def surrogate(kind: Column, norm: Column, attempt: Column, key: str = KEY) -> Column:
-    """The attempt's surrogate of a normal form: of the same length and character classes."""
-    seed = F.concat_ws("|", F.lit(key), kind, norm, attempt.cast("string"))
+def surrogate(kind: Column, norm: Column, attempt: int, key: str = KEY) -> Column:
+    """The attempt's surrogate of a normal form: of the same character classes and, in the first
+    `PLAIN` attempts, of the same length; `GROWTH` signs longer with every attempt from there."""
+    seed = F.concat_ws("|", F.lit(key), kind, norm, F.lit(str(attempt)))
     h = F.concat(*[F.sha2(F.concat(seed, F.lit(f"|{i}")), 256) for i in range(4)])
+    grown = GROWTH * max(0, attempt - PLAIN + 1)
+    further = [F.sha2(F.concat(seed, F.lit(f"|more{i}")), 256) for i in range(-(-grown // 32))]
 
     def byte(i: Column) -> Column:
         return F.conv(F.substr(h, 2 * i + 1, F.lit(2)), 16, 10).cast("int")
 
+    def more(i: int) -> Column:
+        """The bytes of what a later attempt adds."""
+        return F.conv(F.substr(further[i // 32], F.lit(2 * (i % 32) + 1), F.lit(2)), 16, 10).cast("int")
+
+    def added(first: int, count: int) -> Column:
+        return F.concat(F.lit(""), *[F.char(first + more(i) % count) for i in range(grown)])
+
+    base = F.substring_index(kind, ":", 1)
+    prefix = F.regexp_extract(norm, "^(AKIA|[a-z]+[-_])", 1)
+    # Marks stay, but a unit of marks only would stay itself.
+    marks = ~F.when(base == "key", F.substr(norm, F.length(prefix) + 1, F.length(norm))).otherwise(norm).rlike("[0-9A-Za-z]")
+
     def alike(c: Column, i: Column) -> Column:
         b = byte(i % 128)
         return (
-            F.when(c.rlike("[0-9]"), F.char(48 + b % 10)).when(c.rlike("[a-z]"), F.char(97 + b % 26))
+            F.when(c.rlike("[0-9]"), F.char(48 + b % 10)).when(c.rlike("[a-z]") | marks, F.char(97 + b % 26))
             .when(c.rlike("[A-Z]"), F.char(65 + b % 26)).otherwise(c)
         )
 
     chars = _characters(norm)
     same = F.array_join(F.transform(chars, alike), "")
-    base = F.substring_index(kind, ":", 1)
     land = F.regexp_replace(F.get(F.split(kind, ":"), F.lit(1)), "[+]", "")
     # What stays of the normal form: the country, the plus sign, the prefix of a key.
     stays = F.when(base == "phone", F.length(land) + F.when(norm.startswith("+"), 1).otherwise(0)).when(base == "iban", 2).when(
-        base == "key", F.length(F.regexp_extract(norm, "^(AKIA|[a-z]+[-_])", 1))
+        base == "key", F.length(prefix)
     ).otherwise(0)
+    digits, letters = added(48, 10), added(97, 26)
     kept = F.concat(F.substr(norm, F.lit(1), stays), F.substr(same, stays + 1, F.length(norm)))
+    kept = F.concat(kept, F.when(base.isin("phone", "iban", "ssn"), digits).otherwise(letters))
     # A valid check digit stays valid.
-    head = F.substr(same, F.lit(1), F.length(norm) - 1)
+    head = F.concat(F.substr(same, F.lit(1), F.length(norm) - 1), digits)
     check = (10 - _luhn_sum(F.concat(head, F.lit("0"))) % 10) % 10
-    card = F.when(kind.endswith("luhn"), F.concat(head, check.cast("string"))).otherwise(same)
-    # Reserved addresses: no host has them.
-    ip = F.concat_ws(".", 240 + byte(F.lit(0)) % 16, byte(F.lit(1)), byte(F.lit(2)), byte(F.lit(3)))
-    host = F.concat(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.char(97 + byte(i) % 26)), ""), F.lit(".example.org"))
-    hexed = F.substr(h, F.lit(1), F.length(norm))
+    card = F.when(kind.endswith("luhn"), F.concat(head, check.cast("string"))).otherwise(F.concat(same, digits))
+    # Reserved addresses: no host has them. Later attempts take the longer ones kept for documents.
+    if not grown:
+        ip = F.concat_ws(".", 240 + byte(F.lit(0)) % 16, byte(F.lit(1)), byte(F.lit(2)), byte(F.lit(3)))
+    else:
+        ip = F.concat_ws(":", F.lit("2001:db8"), *[F.substr(h, F.lit(4 * i + 1), F.lit(4)) for i in range(6)])
+    host = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.char(97 + byte(i) % 26)), "")
+    host = F.concat(host, letters, F.lit(".example.org"))
+    hexed = F.concat(F.substr(h, F.lit(1), F.length(norm)), *[F.substr(F.lower(F.hex(more(i))), F.lit(-1), F.lit(1)) for i in range(grown)])
     out = F.when(base == "secret", hexed).when(base == "ip", ip).when(base == "host", host).when(base == "card", card)
     for (script, gender), names in GIVEN.items():
         pool, count = F.array(*map(F.lit, names)), len(names)
-        # Later attempts, when the plain names run out, join a second one.
-        more = F.when(attempt > 3, F.concat(F.lit("-"), F.get(pool, byte(F.lit(1)) % count))).otherwise("")
-        more = F.concat(more, F.when(attempt > 8, F.concat(F.lit("-"), _family(script, byte, 2))).otherwise(""))
-        out = out.when(kind == f"given_{script}_{gender}", F.concat(F.get(pool, byte(F.lit(0)) % count), more))
+        name = F.get(pool, byte(F.lit(0)) % count)
+        # Later attempts, when the plain names run out, join a second one, then a growing third.
+        if grown:
+            name = F.concat(name, F.lit("-"), F.get(pool, byte(F.lit(1)) % count))
+        if grown > GROWTH:
+            name = F.concat(name, F.lit("-"), F.initcap(_syllables(script, map(more, range(grown - GROWTH)))))
+        out = out.when(kind == f"given_{script}_{gender}", name)
     for script in SCRIPTS:
-        longer = F.when(attempt > 3, F.lower(_family(script, byte, 4))).otherwise("")
-        out = out.when(kind == f"family_{script}", F.concat(_family(script, byte, 4), longer))
+        family = F.initcap(_syllables(script, [byte(F.lit(10 + 3 * i)) for i in range(4)]))
+        out = out.when(kind == f"family_{script}", F.concat(family, _syllables(script, map(more, range(grown)))))
     return out.otherwise(kept)
 
 
-def _family(script: str, byte, count: int) -> Column:
+def _syllables(script: str, bytes_) -> Column:
     pool = F.array(*map(F.lit, SYLLABLES[script]))
-    return F.initcap(F.concat(*[F.get(pool, byte(F.lit(10 + 3 * i)) % 16) for i in range(count)]))
+    return F.concat(F.lit(""), *[F.get(pool, b % 16) for b in bytes_])
 
 
 def spelled(kind: Column, raw: Column, made: Column) -> Column:
@@ -183,7 +209,10 @@ def spelled(kind: Column, raw: Column, made: Column) -> Column:
         return F.when(c.rlike(sign), F.substr(made, upto, F.lit(1))).otherwise(c)
 
     base = F.substring_index(kind, ":", 1)
-    laid = F.when(base.isin("phone", "card", "ssn", "iban"), F.array_join(F.transform(chars, at), "")).otherwise(made)
+    # A grown surrogate has more signs than the entity; they follow its last one.
+    rest = F.substr(made, F.length(F.regexp_replace(raw, "[^0-9A-Za-z+]", "")) + 1, F.length(made))
+    laid = F.concat(F.array_join(F.transform(chars, at), ""), rest)
+    laid = F.when(base.isin("phone", "card", "ssn", "iban"), laid).otherwise(made)
     return F.when((base != "key") & (raw == F.upper(raw)) & (raw != F.lower(raw)), F.upper(laid)).otherwise(laid)
 
 
@@ -193,7 +222,7 @@ def assign(entities: DataFrame, key: str = KEY) -> DataFrame:
     pending = entities.select("kind", "norm")
     attempt = 0
     while True:
-        tried = written(pending.withColumn("made", surrogate(F.col("kind"), F.col("norm"), F.lit(attempt), key)), "tried")
+        tried = written(pending.withColumn("made", surrogate(F.col("kind"), F.col("norm"), attempt, key)), "tried")
         # One unit per surrogate; counted before the shuffle.
         won = tried.groupBy("kind", "made").agg(F.min("norm").alias("norm"))
         won = won.join(entities.select("kind", F.col("norm").alias("made")), ["kind", "made"], "left_anti")

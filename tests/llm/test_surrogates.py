@@ -1,6 +1,8 @@
 import re
 
-from careflow.llm.surrogates import assign, replace_personal, surrogates
+from pyspark.sql import functions as F
+
+from careflow.llm.surrogates import assign, replace_personal, spelled, surrogate, surrogates
 
 TEXT = (
     "Mr John Smith (john.smith7@mail.example.com, +44 20 7946 0958) met Mrs Smith at 10.20.30.40; card 4111 1111 1111 1111, "
@@ -64,3 +66,37 @@ def test_odd_rows(docs):
     assert len(rows) == 10 and {r.text for r in rows if r.found == 1 and r.doc_id in (2, None)}.__len__() == 1
     assert {(r.doc_id, r.text) for r in rows if r.found == 0} >= {(1, None), (1, ""), (2, "plain Text 2.0"), (3, "0" * 60_000)}
     assert surrogates(table.limit(0)).count() == 0
+
+
+def test_every_unit_gets_a_surrogate(spark, docs):
+    # Marks only: nothing that keeps them differs from them.
+    out = replaced(docs, "...@gmail.com", "_@x.com and sk-" + "-" * 16)
+    assert re.fullmatch(r"[a-z]{3}@[a-z]{8}\.example\.org", out[0])
+    assert re.fullmatch(r"[a-z]@[a-z]{8}\.example\.org and sk-[a-z]{16}", out[1])
+    # More short units than there are others of their length, or most of them.
+    units = [("local", chr(97 + i)) for i in range(14)] + [("local", str(i)) for i in range(6)] + [("ssn::", str(i)) for i in range(10)]
+    units += [("phone:+1:", f"+1{i}") for i in range(10)] + [("card::luhn", f"{i}{-2 * i % 10 if i < 5 else (9 - 2 * i) % 10}") for i in range(10)]
+    made = assign(spark.createDataFrame(units, "kind string, norm string")).collect()
+    assert len({(r.kind, r.made) for r in made}) == len(made) == len(units)
+    assert not {(r.kind, r.made) for r in made} & set(units)
+    assert all(r.made.startswith("+1") for r in made if r.kind.startswith("phone")) and all(luhn(r.made) % 10 == 0 for r in made if r.kind.startswith("card"))
+
+
+def test_the_space_grows_for_every_kind(spark):
+    # How many surrogates an attempt makes of so many units.
+    kinds = ["family_latin", "given_greek_m", "local", "host", "ip", "ssn::", "card::", "secret::", "key::"]
+    table = spark.createDataFrame([(k, "1") for k in kinds], "kind string, norm string").crossJoin(spark.range(20_000))
+    for attempt, least in ((4, 250), (5, 18_000)):
+        spaces = table.select("kind", surrogate(F.col("kind"), F.concat("norm", F.col("id").cast("string")), attempt).alias("made"))
+        found = spaces.groupBy("kind").agg(F.countDistinct("made").alias("n")).collect()
+        assert all(r.n >= least for r in found), found
+    # Family names past the 65,536 of four syllables.
+    names = spark.range(200_000).select(surrogate(F.lit("family_latin"), F.col("id").cast("string"), 4).alias("made"))
+    assert names.distinct().count() > 180_000
+
+
+def test_longer_surrogates_are_written_whole(spark):
+    laid = [("ssn::", "1-2", "987654"), ("phone:+1:", "+1 (2) 3", "+1456789"), ("local", "a.b", "c.defgh")]
+    table = spark.createDataFrame(laid, "kind string, raw string, made string")
+    out = [r[0] for r in table.select(spelled(F.col("kind"), F.col("raw"), F.col("made"))).collect()]
+    assert out == ["9-87654", "+1 (4) 56789", "c.defgh"]
