@@ -40,11 +40,13 @@ SYLLABLES = {
 }
 SCRIPTS = ("latin", "cyrillic", "greek")
 
-# Every pattern begins where a run begins and has bounded repeats, so time grows with the text.
+# What keys begin with.
+KEYS = "(?:sk|pk|rk|ghp|gho|ghs|xoxb|xoxp|glpat)[-_]"
+# Every pattern begins where a run begins and has bounded repeats or takes the run to its end, so time grows with the text.
 WORD = "\\p{Lu}\\p{L}{1,40}+"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}+@[A-Za-z0-9](?:[A-Za-z0-9\-]{0,62}+\.){1,8}[A-Za-z]{2,24}+",
-    "secret": r"(?<![A-Za-z0-9_])(?:(?:sk|pk|rk|ghp|gho|ghs|xoxb|xoxp|glpat)[-_][A-Za-z0-9_\-]{16,200}+|AKIA[0-9A-Z]{16}(?![0-9A-Za-z])"
+    "secret": r"(?<![A-Za-z0-9_])(?:" + KEYS + r"[A-Za-z0-9_\-]{16,}+|AKIA[0-9A-Z]{16}(?![0-9A-Za-z])"
     r"|(?=[0-9A-Fa-f]{0,63}[0-9])(?=[0-9A-Fa-f]{0,63}[A-Fa-f])[0-9A-Fa-f]{32,64}+(?![0-9A-Za-z_]))",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?![0-9]|\.[0-9])",
@@ -55,7 +57,7 @@ PATTERNS = {
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 # Texts without any of these hold no entity.
-HINT = "[0-9@]|" + "|".join(t for v in TITLES.values() for t in v) + "|sk-|pk-|xox"
+HINT = "[0-9@]|" + "|".join(t for v in TITLES.values() for t in v) + f"|{KEYS}|AKIA"
 TITLE = rf"^((?:{'|'.join(t for v in TITLES.values() for t in v)})\.? )"
 
 

@@ -100,3 +100,13 @@ def test_longer_surrogates_are_written_whole(spark):
     table = spark.createDataFrame(laid, "kind string, raw string, made string")
     out = [r[0] for r in table.select(spelled(F.col("kind"), F.col("raw"), F.col("made"))).collect()]
     assert out == ["9-87654", "+1 (4) 56789", "c.defgh"]
+
+
+def test_keys_without_digits_and_long_keys(docs):
+    heads = ("sk-", "sk_live_", "pk_", "rk-", "rk_", "ghp_", "gho_", "ghs_", "xoxb-", "xoxp_", "glpat-", "AKIA")
+    letters = {h: ("ABCDEFGHIJKLMNOP" if h == "AKIA" else "abcdefghijklmnop") for h in heads}
+    out = replaced(docs, *[f"the key {h}{letters[h]} of all" for h in heads])
+    for text, h in zip(out, heads):
+        assert re.fullmatch(rf"the key {h.split('_live')[0]}\w+ of all", text) and letters[h] not in text
+    (out,) = replaced(docs, "key sk-" + "a" * 5000 + "WXYZ" * 20 + ".")
+    assert re.fullmatch(r"key sk-[a-z]{5000}[A-Z]{80}\.", out) and "WXYZ" * 2 not in out and "a" * 8 not in out
