@@ -40,6 +40,8 @@ SYLLABLES = {
 }
 SCRIPTS = ("latin", "cyrillic", "greek")
 
+# Country codes of phone numbers; none begins another, and all not listed have three digits.
+COUNTRY = "1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3}"
 # What keys begin with.
 KEYS = "(?:sk|pk|rk|ghp|gho|ghs|xoxb|xoxp|glpat)[-_]"
 # Every pattern begins where a run begins and has bounded repeats or takes the run to its end, so time grows with the text.
@@ -99,7 +101,7 @@ def units(raw: Column) -> Column:
 
     digits = F.regexp_replace(raw, "[^0-9A-Za-z+]", "")
     # The country code of a phone number and the country of an account are part of the kind.
-    land = F.when(kind == "phone", F.regexp_extract(raw, "^(\\+[0-9]{1,3})[ .\\-(]", 1)).when(kind == "iban", F.substring(raw, 1, 2)).otherwise("")
+    land = F.when(kind == "phone", F.regexp_extract(digits, rf"^(\+(?:{COUNTRY}))", 1)).when(kind == "iban", F.substring(raw, 1, 2)).otherwise("")
     luhn = F.when((kind == "card") & _luhn_ok(digits), "luhn").otherwise("")
     plain = F.array(
         _unit(none, F.concat_ws(":", kind, land, luhn), raw, F.when(kind.isin("secret", "iban"), F.lower(digits)).otherwise(digits))

@@ -110,3 +110,17 @@ def test_keys_without_digits_and_long_keys(docs):
         assert re.fullmatch(rf"the key {h.split('_live')[0]}\w+ of all", text) and letters[h] not in text
     (out,) = replaced(docs, "key sk-" + "a" * 5000 + "WXYZ" * 20 + ".")
     assert re.fullmatch(r"key sk-[a-z]{5000}[A-Z]{80}\.", out) and "WXYZ" * 2 not in out and "a" * 8 not in out
+
+
+def test_phone_numbers_in_several_spellings(docs):
+    same = {
+        "1": ("+1 (743) 555-3824", "+17435553824", "+1-743-555-3824", "+1.743.555.3824", "+1743 555 3824"),
+        "44": ("+44 20 7946 0958", "+442079460958", "+4420 7946 0958"),
+        "353": ("+353 12 345 6789", "+353123456789", "+35312 345 6789"),
+    }
+    spelled_all = [s for v in same.values() for s in v]
+    out = replaced(docs, *[f"call {s}." for s in spelled_all])
+    signs = [re.sub("[^0-9+]", "", o) for o in out]
+    assert [re.sub("[0-9]", "0", o) for o in out] == [re.sub("[0-9]", "0", f"call {s}.") for s in spelled_all]
+    assert len(set(signs)) == 3 and not set(signs) & {re.sub("[^0-9+]", "", s) for s in spelled_all}
+    assert [s.startswith("+" + land) for land, s in zip([k for k, v in same.items() for _ in v], signs)] == [True] * len(signs)
