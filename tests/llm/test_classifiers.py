@@ -2,9 +2,11 @@ import random
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from careflow.llm import additive, toxicity
 from careflow.llm.common import read
+from careflow.llm.labelled import training_texts
 from tests.llm.conftest import SMALL
 
 SF = SMALL.replace("0.001", "0.01")
@@ -59,3 +61,17 @@ def test_tables_and_pairs_add_up():
 def test_present_ngrams_stay_within_their_text():
     rows, _ = toxicity.present(["ab", "", None, "cd"])
     assert rows.tolist().count(0) == 3 and rows.tolist().count(3) == 3 and 2 not in rows
+
+
+def test_training_texts_are_bounded_however_many_rows_an_id_has(docs, labels):
+    table = docs(*[(1, "copy")] * 300, *[(1, f"text {i}") for i in range(200)], *[(i, f"other {i}") for i in range(2, 30)], (31, None), (31, ""))
+    given = labels(*[(1, 1, 0)] * 5, *[(i, i % 2, 0) for i in range(2, 32)], (2, 1, 0))
+
+    def taken(most):
+        return [tuple(r) for r in training_texts(table, given, "quality", F.lit(True), most).collect()]
+
+    every = taken(10_000)
+    assert len(every) == len(set(every)) == 201 + 28 + 2 + 1
+    assert {t for i, t, _ in every if i == 31} == {None, ""} and {v for i, _, v in every if i == 2} == {0, 1}
+    some = taken(50)
+    assert len(some) == 50 and set(some) <= set(every) and set(some) == set(taken(50))
