@@ -1,7 +1,7 @@
 """N-gram Jaccard join: a size-aware heavy-light join over sets of word shingles.
 
-Equal sets are one class. Whatever the order of the tokens, if two sets overlap enough, the
-first n - ceil(0.8 n) + 2 tokens of both have two in common. That is used twice. First with
+Equal sets are one class. Whatever the order of the tokens, if two different sets overlap by more
+than half, they have two tokens in common, and so have the first n - ceil(0.8 n) + 2 of both. That is used twice. First with
 the tokens whose hash falls into a fixed share of the hash space, rarest first, before all
 others: a set with fewer than two tokens in that prefix that any other class has is done.
 Then the whole sets of the rest are ordered by rarity among themselves. Small sets are joined
@@ -90,6 +90,8 @@ class Join:
     """The steps over one table of documents."""
 
     def __init__(self, docs: DataFrame, shingle: int, percent: int, most_bytes: int | None):
+        if not 50 < percent <= 100:
+            raise ValueError(f"percent is above 50 and at most 100, not {percent}: at 50 one common token may be enough")
         self.docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
         self.shingle, self.percent, self.most_bytes = shingle, percent, most_bytes
         keyed = self.docs.select("doc_id", text_key(F.col("text")).alias("text_key"), "text")
@@ -115,7 +117,8 @@ class Join:
 
     def candidates(self) -> DataFrame:
         """(cls, doc_id) of the classes that may have a partner, judged by the counted tokens."""
-        reps = self.representatives().where(F.col("n") > 3)
+        # A set of n tokens and a different one at least as large are at most n / (n + 1) similar.
+        reps = self.representatives().where(F.col("n") * (100 - self.percent) >= self.percent)
         by_set = self.shared(reps.select(F.col("rid").alias("cls"), F.explode("tokens").alias("token")))
         known = by_set.join(reps.select(F.col("rid").alias("cls"), "doc_id", "counted", "prefix"), "cls")
         inner = F.size(F.filter("shared", lambda t: (t["token"] >= 0) & (t["token"] < CUT)))

@@ -49,6 +49,23 @@ def test_every_link_is_found(docs):
     assert got == want and want
 
 
+@pytest.mark.parametrize("percent", [75, 60, 51])
+def test_small_sets_are_linked_at_lower_percentages(docs, percent):
+    rng = random.Random(percent)
+    sets = [frozenset(rng.sample("abcdefg", rng.randint(1, 5))) for _ in range(90)]
+    links, members = similar_pairs(docs(*[" ".join(sorted(s)) for s in sets]), shingle=1, percent=percent)
+    classes = {r.cls: sets[r.doc_id] for r in members.collect()}
+    got = {(r.a, r.b) for r in links.collect()}
+    want = {(a, b) for a in classes for b in classes if a < b and 100 * len(classes[a] & classes[b]) >= percent * len(classes[a] | classes[b])}
+    assert got == want and any(len(classes[a]) <= 3 for a, _ in want)
+
+
+@pytest.mark.parametrize("percent", [0, 50, 101])
+def test_percentages_that_two_common_tokens_do_not_cover_are_refused(docs, percent):
+    with pytest.raises(ValueError, match="percent"):
+        similar_pairs(docs("a b c"), percent=percent)
+
+
 def test_a_group_of_near_copies_is_not_compared_pair_by_pair(docs):
     base = [f"w{i}" for i in range(100)]
     near = [" ".join([*base[:i], f"new{i}", *base[i + 1 :]]) for i in range(60)]
