@@ -17,6 +17,7 @@ from careflow.llm.idfiles import coded_ids
 from careflow.llm.jaccard import near_duplicates
 from careflow.llm.packing import pack
 from careflow.llm.repeats import removed_repeats
+from careflow.llm.runs import repeated_tail, run_digests, word_runs
 from careflow.llm.surrogates import surrogates
 from careflow.llm.toxicity import toxicity
 
@@ -82,3 +83,8 @@ def keyed_surrogates(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_context_mixing_ids")
 def context_mixing_ids(spark: SparkSession, folder: str) -> DataFrame:
     return coded_ids(read(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op11_periodic_runs")
+def periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return run_digests(word_runs(read(spark, folder, "documents"), repeated_tail))
