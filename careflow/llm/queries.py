@@ -19,7 +19,9 @@ from careflow.llm.packing import pack
 from careflow.llm.repeats import removed_repeats
 from careflow.llm.runs import repeated_tail, run_digests, word_runs
 from careflow.llm.surrogates import surrogates
+from careflow.llm.tiles import near_vectors
 from careflow.llm.toxicity import toxicity
+from careflow.llm.whitening import whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -88,3 +90,13 @@ def context_mixing_ids(spark: SparkSession, folder: str) -> DataFrame:
 @query("op11_periodic_runs")
 def periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     return run_digests(word_runs(read(spark, folder, "documents"), repeated_tail))
+
+
+@query("op12_weighted_whitening")
+def weighted_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whiten(read(spark, folder, "embeddings"))
+
+
+@query("op13_quantised_tiles", sql.VECTORS)
+def quantised_tiles(spark: SparkSession, folder: str) -> DataFrame:
+    return near_vectors(read(spark, folder, "embeddings"))

@@ -113,3 +113,15 @@ link AS (SELECT a, b FROM common JOIN n na ON a = na.doc_id JOIN n nb ON b = nb.
 reach AS (SELECT doc_id AS a, doc_id AS b FROM low UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a)
 SELECT low.doc_id, coalesce(n, 0) AS n_shingles, component_id
 FROM low LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) USING (doc_id)"""
+
+VECTORS = """
+WITH RECURSIVE given AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+v AS (SELECT vec_id, e FROM given WHERE len(e) > 0 AND list_max(list_transform(e, x -> CASE WHEN x IS NULL OR NOT isfinite(x) THEN 1 ELSE 0 END)) = 0
+  AND list_max(list_transform(e, x -> abs(x))) > 0),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  AND CASE WHEN len(a.e) = len(b.e) THEN list_cosine_similarity(a.e, b.e) >= 0.95 END),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM given UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+least AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+n AS (SELECT a AS vec_id, count(*) AS n FROM link GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM given JOIN least USING (vec_id) LEFT JOIN n USING (vec_id)"""
