@@ -116,8 +116,7 @@ FROM low LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS componen
 
 VECTORS = """
 WITH RECURSIVE given AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
-v AS (SELECT vec_id, e FROM given WHERE len(e) > 0 AND list_max(list_transform(e, x -> CASE WHEN x IS NULL OR NOT isfinite(x) THEN 1 ELSE 0 END)) = 0
-  AND list_max(list_transform(e, x -> abs(x))) > 0),
+v AS (SELECT vec_id, e FROM given WHERE len([x FOR x IN e IF x IS NULL OR NOT isfinite(x)]) = 0 AND len([x FOR x IN e IF x <> 0]) > 0),
 link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
   AND CASE WHEN len(a.e) = len(b.e) THEN list_cosine_similarity(a.e, b.e) >= 0.95 END),
 reach AS (SELECT vec_id AS a, vec_id AS b FROM given UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
