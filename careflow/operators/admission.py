@@ -3,27 +3,27 @@
 A request is accepted when none of its keys is held by the current state or by a
 request accepted before it. With one key that is a minimum per key. With several
 keys an early rejection frees keys for later requests, so acceptance is worked
-out in rounds: every open request that is first on all its keys is accepted, the
-requests that share a key with it are rejected, the rest go to the next round.
-Once few enough requests are left they are walked in order.
+out in rounds on narrow rows (request number, key): every open request that is
+first on all its keys is accepted, and the requests that share a key with it are
+rejected. Requests that wait for one other request only form chains; where rounds
+settle few requests, whole chains are settled at once by doubling.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from careflow.operators.joins import join_unique, key_summary
-from careflow.operators.ordered import order_value
-from careflow.session import materialise
-
-# Open requests that may be walked by one task.
-TAIL_ROWS = 500_000
+from careflow.operators.ordered import order_value, place_rows
+from careflow.session import materialise, stored
 
 ACCEPTED = "accepted"
+# Chains are followed when a round has left more than this share of its rows open.
+SLOW_SHARE = 0.75
+
+PLACE = "__place"
 
 
 def admit_first_come(
@@ -31,125 +31,150 @@ def admit_first_come(
     rules: dict[str, list[str]],
     order: list[str],
     taken: dict[str, DataFrame] | None = None,
-    tail_rows: int = TAIL_ROWS,
 ) -> DataFrame:
     """Adds `verdict`: 'accepted' or the name of the first rule broken.
 
     `rules` maps a name to the columns that must be unique together; a NULL in
     them never conflicts. `taken` gives rows of the current state per rule.
-    `order` must be unique. The requests are read several times, so they should be
-    cheap to read.
+    `order` must be unique. The requests are read twice, so they should be cheap
+    to read. The number of rounds depends on how requests wait for each other, not
+    on a cap; a chain in which each waits for one other takes one round.
     """
     taken = taken or {}
     if len(rules) == 1:
         ((name, keys),) = rules.items()
         return _first_per_key(requests, name, keys, order, taken.get(name))
 
-    marked = requests
-    for name, keys in rules.items():
+    columns = list(dict.fromkeys([*order, *(k for keys in rules.values() for k in keys)]))
+    narrow = requests.select(*columns)
+    if len(order) == 1 and isinstance(requests.schema[order[0]].dataType, T.IntegralType):
+        # A whole number is its own place in the order.
+        narrow = stored(narrow.withColumn(PLACE, F.coalesce(F.col(order[0]).cast("bigint"), F.lit(-(2**63)))), "requests")
+    else:
+        narrow = place_rows(narrow, order, PLACE)
+    keyed = narrow.select(F.col(PLACE).alias("place"), _keys(rules, set(rules)).alias("asked"))
+    keyed = keyed.select("place", F.size("asked").alias("keys"), F.inline("asked"))
+    # A request that the state refuses competes with nobody.
+    blocked = _blocked(keyed, rules, taken, {f.name: f.dataType for f in requests.schema})
+    if blocked is None:
+        competing = keyed
+    else:
+        blocked = stored(blocked, "requests-blocked")
+        competing = keyed.join(blocked.select("place").distinct(), "place", "left_anti")
+    # From here on a key is the place of its first request, with the rule.
+    firsts = competing.groupBy("rule", "key").agg(F.min("place").alias("first"))
+    rows = keyed.join(firsts, ["rule", "key"]).select("place", "keys", "rule", "first")
+    rows = stored(rows, "requests-edges")
+    accepted = _accept_in_rounds(rows if blocked is None else rows.join(blocked.select("place").distinct(), "place", "left_anti"))
+    holders = rows.join(accepted, "place", "left_semi").select("rule", "first", F.col("place").alias("holder"))
+    broken = rows.join(holders, ["rule", "first"]).where("holder < place").select("place", "rule")
+    if blocked is not None:
+        broken = broken.unionByName(blocked)
+    broken = broken.groupBy("place").agg(F.min("rule").alias("rule"))
+
+    named = F.lit(ACCEPTED)
+    for i, name in enumerate(rules):
+        named = F.when(F.col("rule") == i, F.lit(name)).otherwise(named)
+    numbers = narrow.select(F.col(PLACE).alias("place"), *[F.col(c).alias(f"__{c}") for c in order])
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in order])
+    judged = requests.join(numbers.join(broken, "place"), same, "left")
+    return judged.select(*[requests[c] for c in requests.columns], named.alias("verdict"))
+
+
+def _keys(rules: dict[str, list[str]], named: set[str], kinds: dict[str, T.DataType] | None = None) -> Column:
+    """(rule, key) of the named rules as an array, without rules of which a column is NULL. The key is
+    the values and their lengths in one text: equal texts mean equal values."""
+    each = []
+    for i, (name, keys) in enumerate(rules.items()):
+        if name in named:
+            texts = [(F.col(k).try_cast(kinds[k]) if kinds else F.col(k)).cast("string") for k in keys]
+            text = F.concat(*[part for t in texts for part in (F.length(t).cast("string"), F.lit(":"), t)])
+            each.append(F.struct(F.lit(i).alias("rule"), text.alias("key")))
+    return F.filter(F.array(*each), lambda k: k["key"].isNotNull())
+
+
+def _blocked(
+    keyed: DataFrame, rules: dict[str, list[str]], taken: dict[str, DataFrame], kinds: dict[str, T.DataType]
+) -> DataFrame | None:
+    """(place, rule) of the requests that ask for a key of the state. `kinds` are the requests' types."""
+    states: list[tuple[DataFrame, set[str]]] = []
+    for name in rules:
         if name in taken:
-            marked = join_unique(marked, _held(taken[name], requests, keys).withColumn(_flag(name), F.lit(True)), keys)
-            marked = marked.withColumn(_flag(name), F.coalesce(_flag(name), F.lit(False)))
-        else:
-            marked = marked.withColumn(_flag(name), F.lit(False))
-    if requests.count() <= tail_rows:
-        return _walk(marked, rules, order).select(*requests.columns, "verdict")
-
-    marked = materialise(marked)
-    accepted = _accept_in_rounds(marked, rules, order, tail_rows)
-    verdict = F.lit(ACCEPTED)
-    for name, keys in reversed(rules.items()):
-        holders = accepted.dropna(subset=keys).select(*keys, order_value(order).alias(f"__by_{name}"))
-        marked = join_unique(marked, holders, keys)
-        earlier = F.coalesce(F.col(f"__by_{name}") < order_value(order), F.lit(False))
-        verdict = F.when(F.col(_flag(name)) | earlier, F.lit(name)).otherwise(verdict)
-    return marked.withColumn("verdict", verdict).select(*requests.columns, "verdict")
-
-
-def _flag(name: str) -> str:
-    return f"__taken {name}"
-
-
-def _held(state: DataFrame, requests: DataFrame, keys: list[str]) -> DataFrame:
-    """The distinct keys of the state that are asked for."""
-    return materialise(key_summary(state, requests.select(*keys), keys))
+            same = next((names for df, names in states if df is taken[name]), None)
+            if same is None:
+                states.append((taken[name], {name}))
+            else:
+                same.add(name)
+    held = [df.select(F.inline(_keys(rules, names, kinds))) for df, names in states]
+    return keyed.join(reduce(DataFrame.unionByName, held), ["rule", "key"], "left_semi").select("place", "rule") if held else None
 
 
 def _first_per_key(
     requests: DataFrame, name: str, keys: list[str], order: list[str], state: DataFrame | None
 ) -> DataFrame:
     firsts = materialise(requests.dropna(subset=keys).groupBy(*keys).agg(F.min(order_value(order)).alias("__by")))
-    firsts = firsts.withColumn(_flag(name), F.lit(False))
+    firsts = firsts.withColumn("__taken", F.lit(False))
     if state is not None:
         held = key_summary(state, firsts, keys).withColumn("__held", F.lit(True))
         flag = F.coalesce("__held", F.lit(False))
-        firsts = materialise(firsts.join(held, keys, "left").withColumn(_flag(name), flag).drop("__held"))
+        firsts = materialise(firsts.join(held, keys, "left").withColumn("__taken", flag).drop("__held"))
     judged = join_unique(requests, firsts, keys)
-    broken = F.coalesce(F.col(_flag(name)) | (F.col("__by") < order_value(order)), F.lit(False))
+    broken = F.coalesce(F.col("__taken") | (F.col("__by") < order_value(order)), F.lit(False))
     return judged.withColumn("verdict", F.when(broken, F.lit(name)).otherwise(ACCEPTED)).select(
         *requests.columns, "verdict"
     )
 
 
-def _any(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)
+def _accept_in_rounds(rows: DataFrame) -> DataFrame:
+    """The accepted among open requests (place, keys: how many it has, rule and first: the key)."""
+    accepted, left, slow = [], None, False
+    key = ["rule", "first"]
+    while left is None or left:
+        if left is None:
+            leads = rows.select("place", "keys", (F.col("first") == F.col("place")).cast("int").alias("leads"))
+        else:
+            # The first of every key, combined before the shuffle.
+            leads = rows.groupBy(*key).agg(F.min("place").alias("place"), F.min_by("keys", "place").alias("keys"))
+            leads = leads.withColumn("leads", F.lit(1))
+        winners = leads.groupBy("place").agg(F.sum("leads").alias("n"), F.max("keys").alias("keys"))
+        winners = winners.where("n = keys").select("place")
+        winners = stored(_with_chains(rows, winners) if slow else winners, "requests-accepted")
+        accepted.append(winners)
+        if left is None:
+            # Who is first on all its keys is accepted, so a key is gone with its first.
+            lost = rows.join(winners.withColumnRenamed("place", "first"), "first", "left_semi")
+        else:
+            lost = rows.join(rows.join(winners, "place", "left_semi").select(*key), key, "left_semi")
+        rows = stored(rows.join(lost.select("place").distinct(), "place", "left_anti"), "requests-open")
+        before, left = left, rows.count()
+        slow = before is not None and left > SLOW_SHARE * before
+    return reduce(DataFrame.unionByName, accepted)
 
 
-def _accept_in_rounds(
-    marked: DataFrame, rules: dict[str, list[str]], order: list[str], tail_rows: int
-) -> DataFrame:
-    """Order and key columns of the accepted requests."""
-    columns = list(dict.fromkeys([*order, *(k for keys in rules.values() for k in keys)]))
-    rows = materialise(marked.where(~_any([F.col(_flag(name)) for name in rules])).select(*columns))
-    accepted = []
-    while (left := rows.count()) > tail_rows:
-        ranked = rows.withColumn("__ord", order_value(order)).withColumn("__first", F.lit(True))
-        for keys in rules.values():
-            firsts = materialise(rows.dropna(subset=keys).groupBy(*keys).agg(F.min(order_value(order)).alias("__min")))
-            first = F.col("__min").isNull() | (F.col("__min") == F.col("__ord"))
-            ranked = join_unique(ranked, firsts, keys).withColumn("__first", F.col("__first") & first).drop("__min")
-        ranked = materialise(ranked.select(*columns, "__first"))
-        winners = ranked.where("__first").select(*columns)
-        accepted.append(winners)
-        rest = ranked.where("not __first").select(*columns)
-        for keys in rules.values():
-            rest = join_unique(rest, winners.select(*keys).dropna(), keys, "left_anti")
-        rows = materialise(rest)
-    if left:
-        flags = {_flag(name): F.lit(False) for name in rules}
-        walked = _walk(rows.withColumns(flags), rules, order)
-        accepted.append(walked.where(F.col("verdict") == ACCEPTED).select(*columns))
-    # Joined once per rule, so the walk is kept rather than run again.
-    return materialise(reduce(DataFrame.unionByName, accepted))
-
-
-def _walk(rows: DataFrame, rules: dict[str, list[str]], order: list[str]) -> DataFrame:
-    """Adds the verdict to at most `tail_rows` rows by walking them in order; spread by
-    the columns all rules share."""
-    shared = [k for k in next(iter(rules.values())) if all(k in keys for keys in rules.values())]
-    named = list(rules.items())
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        used: list[set] = [set() for _ in named]
-        for batch in batches:
-            flags = [batch.column(_flag(name)).to_pylist() for name, _ in named]
-            wanted = [list(zip(*(batch.column(k).to_pylist() for k in keys))) for _, keys in named]
-            verdicts = []
-            for i in range(batch.num_rows):
-                asked = [keys[i] for keys in wanted]
-                verdict = ACCEPTED
-                for r, key in enumerate(asked):
-                    if flags[r][i] or (key in used[r] and None not in key):
-                        verdict = named[r][0]
-                        break
-                else:
-                    for r, key in enumerate(asked):
-                        used[r].add(key)
-                verdicts.append(verdict)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(verdicts, pa.string())], names=[*batch.schema.names, "verdict"]
-            )
-
-    spread = rows.repartition(*shared) if shared else rows.coalesce(1)
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return spread.sortWithinPartitions(*order).mapInArrow(walk, schema=f"{ddl}, verdict string")
+def _with_chains(rows: DataFrame, winners: DataFrame) -> DataFrame:
+    """The winners and, along chains that start at one, every second request.
+
+    A request waits for one other only when it is first or second on all its keys and the
+    firsts it waits for are the same request. It is accepted exactly when that one is not.
+    """
+    winners, key = stored(winners, "requests-first"), ["rule", "first"]
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy("place"))
+    # Spark keeps two rows per key and task before the shuffle.
+    near = stored(rows.withColumn("rank", rank).where("rank <= 2").select("place", "keys", *key), "requests-near")
+    pairs = near.groupBy(*key).agg(F.min("place").alias("ahead"), F.max("place").alias("place")).where("ahead < place")
+    one = pairs.groupBy("place").agg(F.min("ahead").alias("ahead"), F.max("ahead").alias("last")).where("ahead = last")
+    seen = near.groupBy("place").agg(F.count(F.lit(1)).alias("n"), F.max("keys").alias("keys")).where("n = keys")
+    links = stored(one.join(seen.select("place"), "place").select("place", "ahead", F.lit(True).alias("odd")), "requests-links")
+    while True:
+        on = links.select(F.col("place").alias("ahead"), F.col("ahead").alias("__ahead"), F.col("odd").alias("__odd"))
+        longer = links.join(on, "ahead", "left").select(
+            "place",
+            F.coalesce("__ahead", "ahead").alias("ahead"),
+            (F.col("odd") != F.coalesce("__odd", F.lit(False))).alias("odd"),
+            F.col("__ahead").isNotNull().alias("moved"),
+        )
+        links = stored(longer, "requests-links")
+        if not links.where("moved").limit(1).count():
+            break
+    won = links.where("NOT odd").join(winners.withColumnRenamed("place", "ahead"), "ahead", "left_semi")
+    return winners.unionByName(won.select("place"))

@@ -39,12 +39,11 @@ def split_valid(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def unique(
-    batch: DataFrame, keysets: dict[str, list[str]], order: list[str], existing: DataFrame | None = None,
-    **limits: int,
+    batch: DataFrame, keysets: dict[str, list[str]], order: list[str], existing: DataFrame | None = None
 ) -> DataFrame:
     """Adds `verdict`: 'accepted', or the key set already used by the table or an earlier row."""
     taken = {name: existing for name in keysets} if existing is not None else None
-    return admit_first_come(batch, keysets, order, taken, **limits)
+    return admit_first_come(batch, keysets, order, taken)
 
 
 def orphans(fact: DataFrame, dim: DataFrame, fk: str, pk: str = "id") -> DataFrame:

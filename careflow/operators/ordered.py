@@ -12,12 +12,14 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from careflow.session import materialise
+from careflow.session import materialise, stored
 
 # Rows of one group that one task may sort alone.
 HOT_ROWS = 1_000_000
 
 BLOCK = "__block"
+# Bits that Spark gives the place of a row within its partition.
+PLACE_BITS = 33
 
 
 def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -113,24 +115,32 @@ def rank_in_group(
     return running_sum(df, keys, order, F.lit(1).cast("bigint"), name, hot_rows, blocks, hot)
 
 
+def place_rows(df: DataFrame, order: list[str], name: str, blocks: int | None = None) -> DataFrame:
+    """The rows in order, written once, each with a number that grows with the order but has gaps:
+    the range partition, and the place in it."""
+    cut = df.repartitionByRange(blocks, *order) if blocks else df.repartitionByRange(*order)
+    return stored(cut.sortWithinPartitions(*order).withColumn(name, F.monotonically_increasing_id()), "placed-rows")
+
+
 def number_rows(
     df: DataFrame, order: list[str], name: str, start: int = 0, blocks: int | None = None
 ) -> DataFrame:
     """Adds start + 1, start + 2, … over all rows in the order."""
-    staged = ordered_blocks(df, [], order, blocks)
-    # One row per block, so the unpartitioned window is small.
-    before = Window.orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    placed = place_rows(df, order, "__place", blocks)
+    # The upper bits of a place are its partition, the lower ones count from 0 in it.
+    part, local = F.shiftright("__place", PLACE_BITS), F.col("__place").bitwiseAND(F.lit(2**PLACE_BITS - 1))
+    # One row per partition, so the unpartitioned window is small.
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        staged.groupBy(BLOCK)
+        placed.groupBy(part.alias("__part"))
         .agg(F.count(F.lit(1)).alias("__rows"))
-        .select(BLOCK, F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__offset"))
+        .select("__part", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__offset"))
     )
-    local = F.row_number().over(Window.partitionBy(BLOCK).orderBy(*order))
     return (
-        staged.withColumn("__local", local)
-        .join(F.broadcast(offsets), BLOCK)
-        .withColumn(name, F.col("__offset") + F.col("__local") + F.lit(start).cast("bigint"))
-        .drop(BLOCK, "__local", "__offset")
+        placed.withColumn("__part", part)
+        .join(F.broadcast(offsets), "__part")
+        .withColumn(name, F.col("__offset") + local + F.lit(start + 1).cast("bigint"))
+        .select(*df.columns, name)
     )
 
 

@@ -7,10 +7,9 @@ from typing import Any
 from pyspark.sql import DataFrame, functions as F
 
 from careflow.functions import filters, scalars as S
-from careflow.operators.admission import TAIL_ROWS, admit_first_come
+from careflow.operators.admission import admit_first_come
 from careflow.operators.changes import append, conform, require, split_valid, update_by_key, with_new_ids
 from careflow.operators.paging import ordered_listing
-from careflow.session import materialise
 
 # States in which a machine is offered.
 OFFERED = ["نشط", "تحت الصيانة"]
@@ -111,15 +110,12 @@ def offered_machines(machines: DataFrame) -> DataFrame:
     return filters.in_set(machines, "status", OFFERED).select("id", "serial_number", "ward", "internal_unit", "status")
 
 
-def book_slots(
-    schedule: DataFrame, requests: DataFrame, order: list[str], tail_rows: int = TAIL_ROWS
-) -> tuple[DataFrame, DataFrame]:
+def book_slots(schedule: DataFrame, requests: DataFrame, order: list[str]) -> tuple[DataFrame, DataFrame]:
     """Bookings granted first come, first served: one per machine, date and shift, and
     one per patient and date. Log: the request and its verdict."""
     needed = ["patient_id", "machine_id", "schedule_date", "shift"]
-    valid, bad = split_valid(materialise(require(requests, needed)))
-    taken = {name: schedule for name in BOOKING_RULES}
-    judged = materialise(admit_first_come(valid, BOOKING_RULES, order, taken, tail_rows))
+    valid, bad = split_valid(require(requests, needed))
+    judged = admit_first_come(valid, BOOKING_RULES, order, {name: schedule for name in BOOKING_RULES})
     granted = with_new_ids(judged.where("verdict = 'accepted'"), schedule, order)
     log = judged.unionByName(
         bad.withColumn("verdict", F.array_join("reasons", "; ")).drop("reasons")

@@ -79,3 +79,11 @@ def materialise(df: DataFrame) -> DataFrame:
     partitions even after executors are lost."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows, computed once into Parquet files in the shared folder. Later reads take only the
+    columns they need, and joins know the size."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

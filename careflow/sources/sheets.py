@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from careflow.functions import scalars as S
 from careflow.operators.changes import require, split_valid, unique
 from careflow.schemas import UNIQUE
-from careflow.session import materialise
+from careflow.session import stored
 
 
 @dataclass(frozen=True)
@@ -61,7 +61,7 @@ def read_sheet(spark: SparkSession, path: str, spec: SheetSpec) -> DataFrame:
 
 
 def import_rows(
-    staging: DataFrame, spec: SheetSpec, existing: DataFrame, order: list[str], **limits: int
+    staging: DataFrame, spec: SheetSpec, existing: DataFrame, order: list[str]
 ) -> tuple[DataFrame, DataFrame]:
     """Accepted rows in table types, and rejected ones as (order, row label, reason).
 
@@ -75,8 +75,8 @@ def import_rows(
     label = F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in spec.label], F.lit("")).alias("row")
 
     # Parsed once: the checks below and both results read these rows.
-    valid, bad = split_valid(materialise(require(parsed, spec.required)))
-    judged = unique(valid, UNIQUE[spec.table], order, existing, **limits)
+    valid, bad = split_valid(stored(require(parsed, spec.required), "sheet-rows"))
+    judged = unique(valid, UNIQUE[spec.table], order, existing)
     accepted = judged.where("verdict = 'accepted'").drop("verdict")
     rejected = bad.select(*order, label, F.array_join("reasons", "; ").alias("reason")).unionByName(
         judged.where("verdict <> 'accepted'").select(

@@ -3,7 +3,7 @@
 import sys
 import types
 
-LIMITS = {"hot_rows": 40, "tail_rows": 300}
+LIMITS = {"hot_rows": 40}
 
 
 def force() -> int:
@@ -19,7 +19,8 @@ def force() -> int:
             new = tuple(LIMITS.get(n, d) if isinstance(d, int) else d for n, d in zip(names, fn.__defaults__))
             if new != fn.__defaults__:
                 fn.__defaults__, changed = new, changed + 1
-    from careflow.operators import joins
+    from careflow.operators import admission, joins
 
     joins.BROADCAST_BYTES = 0
+    admission.SLOW_SHARE = 0.0
     return changed

@@ -3,6 +3,7 @@ from datetime import date
 
 import pytest
 
+from careflow.operators import admission
 from careflow.operators.admission import admit_first_come
 from careflow.plans import schedule
 from tests.conftest import rows
@@ -23,8 +24,9 @@ def brute(requests, taken):
     return out
 
 
-@pytest.mark.parametrize("seed,tail_rows", [(0, 0), (1, 40), (2, 40), (3, 10_000)])
-def test_equals_brute_force(spark, seed, tail_rows):
+@pytest.mark.parametrize("seed,slow_share", [(0, 0.75), (1, 0.0), (2, 0.0), (3, 1.0)])
+def test_equals_brute_force(spark, seed, slow_share, monkeypatch):
+    monkeypatch.setattr(admission, "SLOW_SHARE", slow_share)
     rng = random.Random(seed)
 
     def key(n):
@@ -35,16 +37,52 @@ def test_equals_brute_force(spark, seed, tail_rows):
     taken = [(rng.randrange(3), rng.randrange(15), rng.randrange(25)) for _ in range(8)]
     batch = spark.createDataFrame(requests, "t int, g int, x int, y int").repartition(4)
     state = spark.createDataFrame(taken, "g int, x int, y int")
-    got = admit_first_come(batch, RULES, ["t"], {"a": state, "b": state}, tail_rows)
+    got = admit_first_come(batch, RULES, ["t"], {"a": state, "b": state})
     assert rows(got, "t", "verdict") == brute(requests, taken)
 
 
-def test_chain_needs_many_rounds(spark):
-    # Every request blocks the next one, so each round settles two of them.
-    requests = [(t, 0, (t + 1) // 2, t // 2) for t in range(12)]
-    batch = spark.createDataFrame(requests, "t int, g int, x int, y int")
-    got = admit_first_come(batch, {"a": ["x"], "b": ["y"]}, ["t"], tail_rows=0)
-    assert rows(got, "t", "verdict") == [(t, "b" if t % 2 else "accepted") for t in range(12)]
+def counted_rounds(monkeypatch):
+    """How often the open requests were stored anew."""
+    names, plain = [], admission.stored
+    monkeypatch.setattr(admission, "stored", lambda df, name: names.append(name) or plain(df, name))
+    return lambda: names.count("requests-open") - 1
+
+
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    """Every request waits for the one before it only."""
+    rounds, n = counted_rounds(monkeypatch), 100_000
+    batch = spark.range(n).selectExpr("id AS t", "(id + 1) div 2 AS x", "id div 2 AS y").repartition(4, "x")
+    got = admit_first_come(batch, {"a": ["x"], "b": ["y"]}, ["t"])
+    wrong = got.where("verdict <> CASE WHEN t % 2 = 0 THEN 'accepted' ELSE 'b' END")
+    assert (got.count(), wrong.count()) == (n, 0)
+    assert rounds() <= 3
+
+
+def test_chains_that_branch(spark, monkeypatch):
+    """Three rules, chains of random links and requests that wait for several others."""
+    monkeypatch.setattr(admission, "SLOW_SHARE", 0.0)
+    rng = random.Random(11)
+    data = []
+    for t in range(400):
+        x, y = (t + 1) // 2, t // 2
+        data.append((t, None if rng.random() < 0.1 else x, y if rng.random() < 0.8 else rng.randrange(200), rng.randrange(3000)))
+    rules, used, expected = {"a": ["x"], "b": ["y"], "c": ["z"]}, [set(), set(), set()], []
+    for t, *keys in data:
+        broken = [n for n, k, u in zip("abc", keys, used) if k is not None and k in u]
+        expected.append((t, broken[0] if broken else "accepted"))
+        if not broken:
+            for k, u in zip(keys, used):
+                u.add(k)
+    batch = spark.createDataFrame(data, "t int, x int, y int, z int").repartition(3)
+    assert rows(admit_first_come(batch, rules, ["t"]), "t", "verdict") == expected
+
+
+def test_orders_of_several_columns_and_null(spark):
+    data = [(None, 2, "k", "p"), (1, 1, "k", "q"), (1, 2, "l", "q"), (0, 9, "m", "p"), (0, 1, "m", None), (2, 0, None, None)]
+    batch = spark.createDataFrame(data, "s int, t int, x string, y string")
+    got = rows(admit_first_come(batch, {"a": ["x"], "b": ["y"]}, ["s", "t"]), "s", "t", "verdict")
+    assert got == [(None, 2, "accepted"), (0, 1, "accepted"), (0, 9, "a"), (1, 1, "a"), (1, 2, "accepted"), (2, 0, "accepted")]
+    assert admit_first_come(batch.limit(0), {"a": ["x"], "b": ["y"]}, ["s", "t"]).count() == 0
 
 
 def test_single_rule(spark):
@@ -57,13 +95,12 @@ def test_single_rule(spark):
 SLOT = "id bigint, patient_id bigint, machine_id bigint, schedule_date date, shift string, status string"
 
 
-@pytest.mark.parametrize("tail_rows", [0, 100])
-def test_booking_order_and_reasons(spark, tail_rows):
+def test_booking_order_and_reasons(spark):
     d = date(2025, 1, 1)
     asked = [(1, 1, 1, d, "s1"), (2, 2, 1, d, "s1"), (3, 1, 2, d, "s2"), (4, 2, 2, d, "s2"), (5, None, 3, d, "s1")]
     requests = spark.createDataFrame(asked, "t int, patient_id bigint, machine_id bigint, schedule_date date, shift string")
     booked = spark.createDataFrame([(7, 9, 9, d, "s1", "Done")], SLOT)
-    state, log = schedule.book_slots(booked, requests, ["t"], tail_rows)
+    state, log = schedule.book_slots(booked, requests, ["t"])
     assert rows(log, "t", "verdict") == [
         (1, "accepted"), (2, "machine taken"), (3, "patient booked"), (4, "accepted"), (5, "missing patient_id"),
     ]
