@@ -125,7 +125,7 @@ def append_water_log(v):
 
 
 NEW_PATIENTS = """id AS line, CASE WHEN id % 61 = 0 THEN '' ELSE name END AS name,
-  CASE WHEN id % 9 = 0 THEN CAST(id AS STRING) ELSE 'X' || CAST(id % 900 AS STRING) END AS medical_id,
+  CASE WHEN id % 9 = 0 THEN CAST(id AS STRING) ELSE 'X' || CAST(id - id % 2 AS STRING) END AS medical_id,
   CASE WHEN id % 8 = 0 THEN 'N' || CAST(id * 7 AS STRING) ELSE NULL END AS national_id,
   added_date, referral_date, dialysis_unit, virus_status,
   CASE id % 5 WHEN 0 THEN '' WHEN 1 THEN '6' WHEN 2 THEN '0' WHEN 3 THEN NULL ELSE '18 months' END

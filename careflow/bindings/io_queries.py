@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from careflow.bindings.change_queries import LEDGER_LOG, MOVE_ORDER
 from careflow.bindings.list_queries import ABNORMAL
 from careflow.bindings.registry import query
-from careflow.bindings.views import VIEWS
+from careflow.bindings.views import COUNTED, VIEWS
 from careflow.plans import reports
 from careflow.session import shared_path
 from careflow.sources import sheets, sinks
@@ -19,7 +19,7 @@ SHEET_DATE = """CASE WHEN TRIM({c}) LIKE '____-__-__' THEN TRY_CAST(TRIM({c}) AS
 PATIENT_IMPORT = f"""
 t AS (SELECT line_no, TRIM(name) AS name, medical_id, national_id, {SHEET_DATE.format(c='dob')} AS dob,
     {SHEET_DATE.format(c='added_date')} AS added_date, {SHEET_DATE.format(c='referral_date')} AS referral_date,
-    dialysis_unit, virus_status, line_no % 500 AS grp FROM patient_sheet),
+    dialysis_unit, virus_status, line_no % {COUNTED["n_set"]} AS grp FROM patient_sheet),
 c AS (SELECT *, CONCAT_WS('; ', CASE WHEN name = '' THEN 'missing name' END,
     CASE WHEN added_date IS NULL THEN 'missing added_date' END,
     CASE WHEN virus_status = '' THEN 'missing virus_status' END) AS bad FROM t),

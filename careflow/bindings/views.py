@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 @dataclass(frozen=True)
@@ -23,7 +23,13 @@ class View:
 TEXT = "CAST(NULL AS STRING)"
 DAY = "CAST(NULL AS DATE)"
 
-# {n_sup} stands for the number of suppliers.
+# {n_sup} and {n_cust} stand for the numbers of suppliers and customers, {n_set} for a tenth of the customers.
+COUNTS = {
+    "n_sup": ("supplier", "count(*)"),
+    "n_cust": ("customer", "count(*)"),
+    "n_set": ("customer", "greatest(CAST(floor(count(*) / 10) AS BIGINT), 1)"),
+}
+
 VIEWS: dict[str, View] = {
     "patients": View(
         "customer",
@@ -239,7 +245,7 @@ VIEWS: dict[str, View] = {
         "lineitem",
         {
             "id": "l_orderkey * 8 + l_linenumber",
-            "patient_id": "l_orderkey % 1500",
+            "patient_id": "l_orderkey % {n_cust}",
             "machine_id": "l_suppkey",
             "schedule_date": "CAST(l_shipdate AS DATE)",
             "shift": "CAST(l_linenumber AS STRING)",
@@ -252,7 +258,7 @@ VIEWS: dict[str, View] = {
     "booking_requests": View(
         "lineitem",
         {
-            "patient_id": "CASE WHEN l_orderkey % 311 = 0 THEN NULL ELSE l_orderkey % 1500 END",
+            "patient_id": "CASE WHEN l_orderkey % 311 = 0 THEN NULL ELSE l_orderkey % {n_cust} END",
             "machine_id": "l_suppkey",
             "schedule_date": "CAST(l_shipdate AS DATE)",
             "shift": "CAST(l_linenumber AS STRING)",
@@ -311,8 +317,8 @@ VIEWS: dict[str, View] = {
         {
             "line_no": "event_id",
             "name": "CASE WHEN event_id % 37 = 0 THEN '  ' ELSE ' Person ' || CAST(event_id AS STRING) || ' ' END",
-            "medical_id": "'E' || CAST(event_id % 500 AS STRING) || '-' || CAST(event_id * 3 % 11 AS STRING)",
-            "national_id": "'I' || CAST(event_id % 500 AS STRING) || '-' || CAST(event_id * 5 % 7 AS STRING)",
+            "medical_id": "'E' || CAST(event_id % {n_set} AS STRING) || '-' || CAST(event_id * 3 % 11 AS STRING)",
+            "national_id": "'I' || CAST(event_id % {n_set} AS STRING) || '-' || CAST(event_id * 5 % 7 AS STRING)",
             "dob": "CASE event_id % 4 WHEN 0 THEN '1960-02-29' WHEN 1 THEN '22000' WHEN 2 THEN 'unknown' ELSE '' END",
             "gender": "''",
             "blood_type": "'A+'",
@@ -333,7 +339,7 @@ VIEWS: dict[str, View] = {
         "events",
         {
             "line_no": "event_id",
-            "serial_number": "CASE WHEN event_id % 5 = 0 THEN 'Supplier#000000' || LPAD(CAST(event_id % 200 AS STRING), 3, '0') WHEN event_id % 31 = 0 THEN NULL ELSE ' SN' || CAST(event_id % 4001 AS STRING) || ' ' END",
+            "serial_number": "CASE WHEN event_id % 5 = 0 THEN 'Supplier#000000' || LPAD(CAST(event_id % 200 AS STRING), 3, '0') WHEN event_id % 31 = 0 THEN NULL ELSE ' SN' || CAST(event_id % ({n_cust} + 1) AS STRING) || ' ' END",
             "brand": "CASE WHEN event_id % 97 = 0 THEN NULL ELSE event_type END",
             "model": f"{TEXT}",
             "ward": "CASE WHEN event_id % 31 = 0 THEN ' ' ELSE 'Ward' END",
@@ -351,16 +357,16 @@ class Views:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
-        self._suppliers: int | None = None
+        self._counts: dict[str, int] = {}
 
     def source(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    @property
-    def supplier_count(self) -> int:
-        if self._suppliers is None:
-            self._suppliers = self.source("supplier").count()
-        return self._suppliers
+    def count_of(self, name: str) -> int:
+        if name not in self._counts:
+            table, expr = COUNTS[name]
+            self._counts[name] = self.source(table).agg(F.expr(expr)).first()[0]
+        return self._counts[name]
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in VIEWS:
@@ -377,14 +383,17 @@ class Views:
         return self.spark.sql(f"SELECT {picked} FROM careflow_source GROUP BY {view.group}")
 
     def _fill(self, expr: str) -> str:
-        return expr.format(n_sup=self.supplier_count) if "{" in expr else expr
+        return expr.format(**{n: self.count_of(n) for n in COUNTS if f"{{{n}}}" in expr}) if "{" in expr else expr
+
+
+COUNTED = {n: f"(SELECT {expr} FROM {table})" for n, (table, expr) in COUNTS.items()}
 
 
 def view_sql(name: str) -> str:
     """The view as a DuckDB common table expression."""
     view = VIEWS[name]
     picked = ", ".join(
-        f"{e.format(n_sup='(SELECT count(*) FROM supplier)') if '{' in e else e} AS {c}"
+        f"{e.format(**COUNTED) if '{' in e else e} AS {c}"
         for c, e in view.columns.items()
     )
     sql = f"SELECT {picked} FROM {view.source}"

@@ -10,13 +10,16 @@ again only if the block before it turns out to close at another value.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
-from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql import DataFrame, Window, functions as F
 
-from careflow.operators.ordered import BLOCK, HOT_ROWS, hot_keys, ordered_blocks, split_hot
+from careflow.operators.ordered import BLOCK, HOT_ROWS, PLACE_BITS, hot_keys, place_rows, split_hot
+from careflow.session import stored
+
+PLACE = "__place"
 
 
 def apply_movements(
@@ -41,15 +44,13 @@ def apply_movements(
         return _walk_keys(moves, key, order, amount, opening)
 
     large, rest = split_hot(moves, [key], hot)
-    staged = ordered_blocks(large, [key], order, blocks)
-    carried = _settle_blocks(staged, key, amount, opening)
-    walked = staged.mapInArrow(_walker(key, amount, opening, carried), schema=_walked_schema(staged))
-    return _walk_keys(rest, key, order, amount, opening).unionByName(walked.drop(BLOCK))
+    walked = _walk_in_blocks(large, key, order, amount, opening, blocks)
+    return _walk_keys(rest, key, order, amount, opening).unionByName(walked)
 
 
 def _walk_keys(moves: DataFrame, key: str, order: list[str], amount: str, opening: str) -> DataFrame:
     placed = moves.repartition(key).sortWithinPartitions(key, *order)
-    return placed.mapInArrow(_walker(key, amount, opening, {}), schema=_walked_schema(moves))
+    return placed.mapInArrow(_walker([key], amount, opening), schema=_walked_schema(moves))
 
 
 def _walked_schema(df: DataFrame) -> str:
@@ -57,11 +58,11 @@ def _walked_schema(df: DataFrame) -> str:
     return f"{ddl}, applied boolean, balance bigint"
 
 
-def _walker(key: str, amount: str, opening: str, carried: dict[int, tuple]):
-    """Walks sorted rows; `carried` gives (first key, stock) of blocks that continue a key."""
+def _walker(keys: list[str], amount: str, opening: str):
+    """Walks sorted rows, beginning each new key with its opening stock."""
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state = _Walk(key, amount, opening, carried)
+        state = _Walk(keys, amount, opening)
         for batch in batches:
             applied, balance = state.advance(batch)
             yield pa.RecordBatch.from_arrays(
@@ -79,10 +80,9 @@ def _values(batch: pa.RecordBatch, name: str) -> np.ndarray:
 class _Walk:
     """Stock of the key being walked, kept from one batch of rows to the next."""
 
-    def __init__(self, key: str, amount: str, opening: str, carried: dict[int, tuple]):
-        self.key, self.amount, self.opening, self.carried = key, amount, opening, carried
-        self.current: object = None
-        self.block: int | None = None
+    def __init__(self, keys: list[str], amount: str, opening: str):
+        self.keys, self.amount, self.opening = keys, amount, opening
+        self.current: tuple | None = None
         self.stock = 0
 
     def advance(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -90,15 +90,16 @@ class _Walk:
         applied, balance = np.ones(n, dtype=bool), np.zeros(n, dtype=np.int64)
         if not n:
             return applied, balance
-        keys, amounts, openings = (_values(batch, c) for c in (self.key, self.amount, self.opening))
-        blocks = _values(batch, BLOCK) if BLOCK in batch.schema.names else np.zeros(n, dtype=np.int32)
-        change = np.flatnonzero((keys[1:] != keys[:-1]) | (blocks[1:] != blocks[:-1])) + 1
+        keys = [_values(batch, k) for k in self.keys]
+        amounts, openings = _values(batch, self.amount), _values(batch, self.opening)
+        differs = np.zeros(n - 1, dtype=bool)
+        for column in keys:
+            differs |= column[1:] != column[:-1]
+        change = np.flatnonzero(differs) + 1
         for lo, hi in zip([0, *change], [*change, n]):
-            new_block = blocks[lo] != self.block
-            if new_block or keys[lo] != self.current:
-                came_from, stock = self.carried.get(int(blocks[lo]), (None, 0)) if new_block else (None, 0)
-                self.stock = stock if came_from == keys[lo] else int(openings[lo])
-                self.current, self.block = keys[lo], blocks[lo]
+            key = tuple(column[lo] for column in keys)
+            if key != self.current:
+                self.current, self.stock = key, int(openings[lo])
             self._run(amounts[lo:hi], applied[lo:hi], balance[lo:hi])
         return applied, balance
 
@@ -119,67 +120,46 @@ class _Walk:
         self.stock = stock
 
 
-def _settle_blocks(staged: DataFrame, key: str, amount: str, opening: str) -> dict[int, tuple]:
-    """Block -> (first key, stock it comes in with from the block before).
+def _walk_in_blocks(
+    moves: DataFrame, key: str, order: list[str], amount: str, opening: str, blocks: int | None
+) -> DataFrame:
+    """Walks range partitions of (key, order), each part of a key from a stock assumed for it.
 
-    Works on one row per (block, key) of the keys that span blocks: at most two
-    per block.
+    `frontier` has one row per part: the stock it was walked from and the one it leaves. A part is
+    walked again when the part before it leaves another stock than that. Every round settles at
+    least one more part of each key; on mixed movements two or three rounds settle all.
     """
-    runs = staged.groupBy(BLOCK, key).agg(F.sum(amount).alias("total"), F.max(opening).alias("opening"))
-    spread = runs.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(key)
-    parts = runs.join(spread, key, "left_semi").orderBy(key, BLOCK).collect()
-
-    chains: dict[object, list] = {}
-    for row in parts:
-        chains.setdefault(row[key], []).append(row)
-
-    closing = {}  # (block, key) -> (opening stock walked from, closing stock)
-    while True:
-        carried, todo = {}, {}
-        for name, chain in chains.items():
-            stock, sure = int(chain[0]["opening"]), True
-            for i, row in enumerate(chain):
-                part = (row[BLOCK], name)
-                if i:
-                    carried[row[BLOCK]] = (name, stock)
-                if i == len(chain) - 1:
-                    break
-                known = closing.get(part)
-                if known and known[0] == stock:
-                    stock = known[1]
-                else:
-                    todo[part] = stock
-                    # Not walked from here yet: take its last close, or no rejections.
-                    stock = known[1] if known else max(0, stock + int(row["total"]))
-        if not todo:
-            return carried
-        closing.update(_walk_parts(staged, key, amount, opening, carried, todo))
-
-
-def _walk_parts(
-    staged: DataFrame, key: str, amount: str, opening: str, carried: dict[int, tuple], todo: dict
-) -> dict:
-    blocks = sorted({block for block, _ in todo})
-    names = sorted({name for _, name in todo})
-    key_type = staged.schema[key].dataType.simpleString()
-
-    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state, last = _Walk(key, amount, opening, carried), {}
-        for batch in batches:
-            _, balance = state.advance(batch)
-            # Later rows of a part overwrite earlier ones.
-            last.update(zip(zip(batch.column(BLOCK).to_pylist(), batch.column(key).to_pylist()), balance.tolist()))
-        rows = [{BLOCK: block, key: name, "stock": stock} for (block, name), stock in last.items()]
-        if rows:
-            yield pa.RecordBatch.from_pylist(rows, schema=out_schema)
-
-    ddl = f"`{BLOCK}` int, `{key}` {key_type}, stock bigint"
-    out_schema = to_arrow_schema(T.StructType.fromDDL(ddl))
-    walked = (
-        staged.where(F.col(BLOCK).isin(blocks) & F.col(key).isin(names))
-        .select(BLOCK, key, amount, opening)
-        .mapInArrow(close, schema=ddl)
-        .collect()
+    columns = moves.columns
+    placed = place_rows(moves, [key, *order], PLACE, blocks)
+    placed = placed.withColumn(BLOCK, F.shiftright(PLACE, PLACE_BITS).cast("int")).drop(PLACE)
+    parts = placed.groupBy(key, BLOCK).agg(
+        F.sum(F.col(amount).cast("bigint")).alias("__total"), F.max(opening).cast("bigint").alias("__first")
     )
-    found = {(row[BLOCK], row[key]): row["stock"] for row in walked}
-    return {part: (start, found[part]) for part, start in todo.items()}
+    # Without rejections a part would begin at the running sum; a sum below zero is taken as an empty
+    # stock. Windows over the parts of a key: at most one row per block.
+    before = Window.partitionBy(key).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    freely = F.col("__first") + F.coalesce(F.sum("__total").over(before), F.lit(0))
+    parts = parts.withColumn("__free", freely)
+    least = F.least(F.lit(0), F.coalesce(F.min("__free").over(Window.partitionBy(key).orderBy(BLOCK)), F.lit(0)))
+    todo = stored(parts.select(key, BLOCK, (F.col("__free") - least).alias("__start")), "ledger-frontier")
+
+    previous, frontier, pieces = Window.partitionBy(key).orderBy(BLOCK), None, []
+    schema = _walked_schema(moves.select(*columns).withColumns({BLOCK: F.lit(0), "__start": F.lit(0).cast("bigint")}))
+    while True:
+        # One row per part, so its size is bounded by the number of blocks.
+        again = placed.join(F.broadcast(todo), [key, BLOCK]).select(*columns, BLOCK, "__start")
+        again = again.repartition(BLOCK, key).sortWithinPartitions(BLOCK, key, *order)
+        walked = stored(again.mapInArrow(_walker([BLOCK, key], amount, "__start"), schema=schema), "ledger-walked")
+        pieces = [(piece.join(F.broadcast(todo.select(key, BLOCK)), [key, BLOCK], "left_anti")) for piece in pieces]
+        pieces.append(walked)
+        left = walked.groupBy(key, BLOCK).agg(
+            (F.max("__start") + F.sum(F.when(F.col("applied"), F.col(amount).cast("bigint")).otherwise(0))).alias("__left"),
+            F.max("__start").alias("__start"),
+        )
+        if frontier is not None:
+            left = left.unionByName(frontier.join(F.broadcast(todo.select(key, BLOCK)), [key, BLOCK], "left_anti"))
+        frontier = stored(left, "ledger-frontier")
+        came = frontier.withColumn("__came", F.lag("__left").over(previous)).where("__came <> __start")
+        todo = stored(came.select(key, BLOCK, F.col("__came").alias("__start")), "ledger-todo")
+        if todo.isEmpty():
+            return reduce(DataFrame.unionByName, [p.select(*columns, "applied", "balance") for p in pieces])

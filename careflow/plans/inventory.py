@@ -12,7 +12,7 @@ from careflow.operators.joins import join_many, join_unique
 from careflow.operators.ledger import apply_movements
 from careflow.operators.ordered import HOT_ROWS, first_wins, hot_keys, order_value, running_sum
 from careflow.operators.paging import ordered_listing
-from careflow.session import materialise
+from careflow.session import materialise, stored
 
 # Order states and the log note of a receipt, which the order's number follows.
 PENDING, COMPLETED = "Pending", "Completed"
@@ -89,6 +89,8 @@ def stock_ledger(
     log = judged.withColumnRenamed("balance", "new_quantity").drop("applied", "__opening").unionByName(
         refused.withColumn("new_quantity", F.lit(None).cast("bigint")).drop("__opening")
     )
+    # Walked once: the log is written and the stock is worked out from it.
+    log = stored(log, "stock-log")
     return apply_changes(supplies, log.where("status = 'accepted'")), log
 
 
