@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from careflow.bindings.change_queries import LEDGER_LOG, MOVE_ORDER
+from careflow.bindings.change_queries import LEDGER, LEDGER_LOG, MOVE_ORDER
 from careflow.bindings.list_queries import ABNORMAL
 from careflow.bindings.registry import query
 from careflow.bindings.views import COUNTED, VIEWS
@@ -160,24 +160,19 @@ def list_snapshots(v):
 
 
 def _stream(v, table: str, exprs: list[str]):
+    # A file or a folder of that very name; a stream's path must be a folder or a pattern.
     schema = v.source(table).schema
-    return v.spark.readStream.schema(schema).parquet(f"{v.folder}/{table}*.parquet").selectExpr(*exprs)
+    return v.spark.readStream.schema(schema).parquet(f"{v.folder}/{table}[.]parquet").selectExpr(*exprs)
 
 
 def _columns(view: str) -> list[str]:
     return [f"{e} AS {c}" for c, e in VIEWS[view].columns.items()]
 
 
-@query(
-    "stream_daily_counts",
-    """SELECT CAST(ts AS DATE) AS session_date, COUNT(*) AS session_count FROM events GROUP BY 1
-    HAVING CAST(ts AS DATE) + 1 <= (SELECT MAX(ts) FROM events) - INTERVAL 1 DAY""".replace(
-        "HAVING CAST(ts AS DATE)", "HAVING session_date"
-    ),
-)
+@query("stream_daily_counts", "SELECT CAST(ts AS DATE) AS session_date, COUNT(*) AS session_count FROM events GROUP BY 1")
 def stream_daily_counts(v):
     rows = _stream(v, "events", ["CAST(ts AS TIMESTAMP) AS ts"])
-    return streams.run_to_folder(streams.daily_session_counts(rows, "ts"), shared_path(v.spark, "stream"))
+    return streams.run_to_table(streams.daily_session_counts(rows, "ts"), shared_path(v.spark, "stream"), ["session_date"])
 
 
 @query("stream_critical_alerts", ABNORMAL)
@@ -186,20 +181,49 @@ def stream_critical_alerts(v):
     return streams.run_to_folder(alerts, shared_path(v.spark, "stream"))
 
 
+DAY_RANK = """SELECT event_id, user_id AS patient_id, CAST(ts AS DATE) AS session_date,
+    CASE WHEN CAST(ts AS DATE) > DATE '2024-01-25' THEN 'future date'
+      WHEN ROW_NUMBER() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) > 1 THEN 'second session'
+      ELSE 'accepted' END AS verdict FROM events"""
+
+
+def _judged_days(v):
+    rows = _stream(v, "events", ["event_id", "user_id AS patient_id", "CAST(ts AS TIMESTAMP) AS ts"])
+    judged = streams.one_session_a_day(rows, "ts", "2024-01-25", ["event_id"])
+    return streams.run_split(judged, shared_path(v.spark, "stream"))
+
+
 @query(
     "stream_one_session_a_day",
-    """SELECT DISTINCT user_id AS patient_id, CAST(ts AS DATE) AS session_date FROM events
-    WHERE CAST(ts AS DATE) <= DATE '2024-01-25'""",
+    f"SELECT event_id, patient_id, session_date FROM ({DAY_RANK}) WHERE verdict = 'accepted'",
 )
 def stream_one_session_a_day(v):
-    rows = _stream(v, "events", ["user_id AS patient_id", "CAST(ts AS TIMESTAMP) AS ts"])
-    kept = streams.one_session_a_day(rows, "ts", "2024-01-25").select("patient_id", "session_date")
-    return streams.run_to_folder(kept, shared_path(v.spark, "stream"))
+    return _judged_days(v)[0].select("event_id", "patient_id", "session_date")
 
 
-@query("stream_stock_ledger", LEDGER_LOG)
-def stream_stock_ledger(v):
+@query("stream_one_session_rejected", f"SELECT * FROM ({DAY_RANK}) WHERE verdict <> 'accepted'")
+def stream_one_session_rejected(v):
+    return _judged_days(v)[1].select("event_id", "patient_id", "session_date", "verdict")
+
+
+def _ledger(v) -> str:
     folder = shared_path(v.spark, "ledger")
     moves = _stream(v, "lineitem", _columns("stock_movements"))
     streams.ledger_stream(v.spark, moves, v.medical_supplies, folder, MOVE_ORDER).awaitTermination()
-    return v.spark.read.parquet(f"{folder}/log").drop("version")
+    return folder
+
+
+@query("stream_stock_ledger", LEDGER_LOG)
+def stream_stock_ledger(v):
+    return streams.ledger_log(v.spark, _ledger(v))
+
+
+@query(
+    "stream_stock_ledger_supplies",
+    f"""WITH {LEDGER}, c AS (SELECT m.supply_id, SUM(CASE WHEN w.ok THEN m.change_amount END) AS change
+      FROM m JOIN walk w ON w.supply_id = m.supply_id AND w.rn = m.rn GROUP BY 1)
+    SELECT s.id, s.name, CAST(COALESCE(s.quantity, 0) + COALESCE(c.change, 0) AS BIGINT) AS quantity
+    FROM medical_supplies s LEFT JOIN c ON c.supply_id = s.id""",
+)
+def stream_stock_ledger_supplies(v):
+    return streams.ledger_stock(v.spark, v.medical_supplies, _ledger(v)).select("id", "name", "quantity")

@@ -1,0 +1,81 @@
+"""Stateful processors: what a key remembers from one micro-batch to the next."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from typing import Any
+
+import numpy as np
+import pandas as pd
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+
+class StockProcessor(StatefulProcessor):
+    """Keeps the quantity of a supply and applies its movements in order.
+
+    Emits every movement with status and new quantity; `closes` marks the one that leaves the
+    supply's quantity of this micro-batch.
+    """
+
+    def __init__(self, columns: list[str], order: list[str]):
+        self.columns, self.order = columns, order
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.stock = handle.getValueState("stock", "quantity bigint")
+
+    def handleInitialState(self, key: Any, initialState: pd.DataFrame, timerValues: Any) -> None:
+        self.stock.update((int(initialState["quantity"].iloc[0]),))
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        moves = pd.concat(list(rows), ignore_index=True)
+        moves = moves.sort_values(self.order, kind="stable", ignore_index=True, na_position="first")
+        known = self.stock.exists()
+        stock, status, left = int(self.stock.get()[0]) if known else 0, [], []
+        for change in moves["change_amount"].tolist():
+            if not known:
+                status.append("unknown supply")
+            elif change is None or change != change:
+                status.append("bad amount")
+            elif stock + int(change) < 0:
+                status.append("negative")
+            else:
+                stock += int(change)
+                status.append("accepted")
+            left.append(stock if status[-1] == "accepted" else None)
+        moves["status"], moves["new_quantity"] = status, pd.array(left, dtype="Int64")
+        accepted = np.flatnonzero(np.array(status) == "accepted")
+        moves["closes"] = False
+        if len(accepted):
+            moves.loc[accepted[-1], "closes"] = True
+            self.stock.update((stock,))
+        yield moves[[*self.columns, "status", "new_quantity", "closes"]]
+
+    def close(self) -> None:
+        pass
+
+
+class FirstOfDayProcessor(StatefulProcessor):
+    """Accepts the first row of a key and rejects the others for as long as the key is remembered."""
+
+    def __init__(self, columns: list[str], order: list[str], keep_ms: int):
+        self.columns, self.order, self.keep_ms = columns, order, keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getValueState("seen", "accepted boolean")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        given = pd.concat(list(rows), ignore_index=True).sort_values(self.order, kind="stable", ignore_index=True)
+        given["verdict"] = "second session"
+        if not self.seen.exists():
+            given.loc[0, "verdict"] = "accepted"
+            self.seen.update((True,))
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.keep_ms)
+        yield given[[*self.columns, "verdict"]]
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        self.seen.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass

@@ -1,19 +1,31 @@
-"""Streaming forms of the batch operators."""
+"""Streaming forms of the batch operators.
+
+Sinks are keyed by the number of the micro-batch: a batch that is run again after a failure
+overwrites what it wrote before, so every result holds each input row once.
+"""
 
 from __future__ import annotations
 
-from typing import Any
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from careflow.functions import scalars as S
-from careflow.plans.inventory import apply_changes, stock_ledger
+from careflow.operators.joins import join_unique
+from careflow.operators.ordered import last_wins
 from careflow.plans.labs import abnormal_results
+from careflow.streaming.processors import FirstOfDayProcessor, StockProcessor
+
+VERSION = "version"
+# Where per-key state is kept between micro-batches.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+IDLE_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
 
 
 def daily_session_counts(sessions: DataFrame, time: str, late: str = "1 day") -> DataFrame:
-    """Sessions per day of a stream; a day is final once the watermark has passed it."""
+    """Sessions per day of a stream. In append mode a day appears once the watermark has passed it,
+    in update mode with every micro-batch that adds to it."""
     return (
         sessions.withWatermark(time, late)
         .groupBy(F.window(time, "1 day"))
@@ -27,44 +39,149 @@ def critical_alerts(results: DataFrame, patients: DataFrame, types: DataFrame) -
     return abnormal_results(results, patients, types)
 
 
-def one_session_a_day(sessions: DataFrame, time: str, as_of: S.DateLike, late: str = "1 day") -> DataFrame:
-    """The first session per patient and day; rows after `as_of` and rows without a
-    patient are dropped. A repeat is recognised as long as the watermark holds its key."""
-    day = F.to_date(time)
-    valid = sessions.where(F.col("patient_id").isNotNull() & (day <= S.as_date(as_of)))
-    return (
-        valid.withColumn("session_date", day)
-        .withWatermark(time, late)
-        .dropDuplicatesWithinWatermark(["patient_id", "session_date"])
+def one_session_a_day(
+    sessions: DataFrame, time: str, as_of: S.DateLike, order: list[str] | None = None, keep: str = "30 days"
+) -> DataFrame:
+    """Every row with its day and `verdict`: accepted for the first session per patient and day (in a
+    micro-batch the first by time and `order`), else second session, missing patient, missing time or
+    future date.
+
+    A patient's day is remembered for `keep` of processing time (days, hours, minutes or seconds);
+    then a timer frees its state with the next micro-batch. Run it with `run_split`.
+    """
+    _use_state_store(sessions.sparkSession)
+    dated = sessions.withColumn("session_date", F.to_date(time))
+    refused = (
+        F.when(F.col("patient_id").isNull(), "missing patient")
+        .when(F.col("session_date").isNull(), "missing time")
+        .when(F.col("session_date") > S.as_date(as_of), "future date")
+    )
+    checked = dated.withColumn("verdict", refused)
+    columns = dated.columns
+    judged = checked.where("verdict IS NULL").drop("verdict").groupBy("patient_id", "session_date").transformWithStateInPandas(
+        FirstOfDayProcessor(columns, [time, *(order or [])], _milliseconds(keep)),
+        outputStructType=checked.schema,
+        outputMode="Append",
+        timeMode="ProcessingTime",
+    )
+    # Refused rows need no state; they would only gather under a few keys.
+    return judged.unionByName(checked.where("verdict IS NOT NULL"))
+
+
+UNITS = {"second": 1000, "minute": 60_000, "hour": 3_600_000, "day": 86_400_000}
+
+
+def _milliseconds(duration: str) -> int:
+    number, unit = duration.split()
+    return int(number) * UNITS[unit.removesuffix("s")]
+
+
+def _use_state_store(spark: SparkSession) -> None:
+    """Processors with state of their own need a store that the default one is not."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+
+
+def stock_movements_stream(movements: DataFrame, supplies: DataFrame, order: list[str]) -> DataFrame:
+    """The log of a stream of movements (supply_id, change_amount, …): status, new_quantity, closes.
+
+    The state of a supply is its quantity. It starts from `supplies` with the first micro-batch.
+    """
+    _use_state_store(movements.sparkSession)
+    moves = movements.withColumn("change_amount", S.int_part("change_amount"))
+    opening = supplies.select(
+        F.col("id").alias("supply_id"), F.coalesce("quantity", F.lit(0)).cast("bigint").alias("quantity")
+    )
+    out = moves.withColumns(
+        {"status": F.lit(""), "new_quantity": F.lit(0).cast("bigint"), "closes": F.lit(False)}
+    ).schema
+    for field in out:
+        field.nullable = True
+    return moves.groupBy("supply_id").transformWithStateInPandas(
+        StockProcessor(moves.columns, order),
+        outputStructType=out,
+        outputMode="Append",
+        timeMode="None",
+        initialState=opening.groupBy("supply_id"),
     )
 
 
 def ledger_stream(
-    spark: SparkSession, movements: DataFrame, supplies: DataFrame, folder: str, order: list[str],
-    **options: Any,
+    spark: SparkSession, movements: DataFrame, supplies: DataFrame, folder: str, order: list[str]
 ) -> StreamingQuery:
-    """Applies each micro-batch of movements to the stock left by the one before.
+    """Applies movements as they come. Each micro-batch writes its log and the quantities of the
+    supplies it changed; `ledger_stock` reads the quantities."""
 
-    Batch n reads stock version n - 1 and writes stock and log version n, so a
-    batch that is run again overwrites its own output with the same rows.
-    """
-    stock, log = f"{folder}/stock", f"{folder}/log"
+    def write(batch: DataFrame, number: int) -> None:
+        log = f"{folder}/log/{VERSION}={number}"
+        batch.write.mode("overwrite").parquet(log)
+        closing = spark.read.schema(batch.schema).parquet(log).where("closes")
+        closing.select(F.col("supply_id").alias("id"), F.col("new_quantity").alias("quantity")).write.mode(
+            "overwrite"
+        ).parquet(f"{folder}/stock/{VERSION}={number}")
+
+    return _run(stock_movements_stream(movements, supplies, order), f"{folder}/progress", write)
+
+
+def ledger_log(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/log").drop(VERSION, "closes")
 
-    def step(batch: DataFrame, number: int) -> None:
-        before = supplies if number == 0 else spark.read.parquet(f"{stock}/version={number - 1}")
-        _, entries = stock_ledger(before, batch, order, **options)
-        entries.write.mode("overwrite").parquet(f"{log}/version={number}")
-        accepted = spark.read.parquet(f"{log}/version={number}").where("status = 'accepted'")
-        apply_changes(before, accepted).write.mode("overwrite").parquet(f"{stock}/version={number}")
 
+def ledger_stock(spark: SparkSession, supplies: DataFrame, folder: str) -> DataFrame:
+    """The supplies with the quantity that the last micro-batch left of each."""
+    changed = spark.read.schema(f"id bigint, quantity bigint, {VERSION} bigint").parquet(f"{folder}/stock")
+    latest = changed.groupBy("id").agg(F.max_by("quantity", VERSION).alias("__left"))
+    quantity = F.coalesce("__left", "quantity", F.lit(0)).cast("bigint")
+    return join_unique(supplies, latest, ["id"]).withColumn("quantity", quantity).select(*supplies.columns)
+
+
+def _run(stream: DataFrame, progress: str, write: Callable[[DataFrame, int], None], mode: str = "append") -> StreamingQuery:
     return (
-        movements.writeStream.foreachBatch(step)
-        .option("checkpointLocation", f"{folder}/progress")
+        stream.writeStream.outputMode(mode)
+        .foreachBatch(write)
+        .option("checkpointLocation", progress)
         .trigger(availableNow=True)
         .start()
     )
 
 
+def run_to_table(stream: DataFrame, folder: str, keys: list[str]) -> DataFrame:
+    """Runs an update-mode stream over all available input into a keyed table and reads it: per key
+    the row of the last micro-batch that had it. A micro-batch writes only the keys it changed."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/{VERSION}={number}")
+
+    _run(stream, f"{folder}/progress", write, "update").awaitTermination()
+    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in stream.schema)}, {VERSION} bigint"
+    rows = stream.sparkSession.read.schema(schema).parquet(f"{folder}/rows")
+    return last_wins(rows, keys, [VERSION]).drop(VERSION)
+
+
+def run_split(stream: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Runs a stream of judged rows over all available input into two tables: accepted rows, and
+    rejected ones with their verdict."""
+    accepted, rejected = f"{folder}/accepted", f"{folder}/rejected"
+    ok = F.col("verdict") == "accepted"
+
+    def write(batch: DataFrame, number: int) -> None:
+        # Judged once: the state must not be asked again for the second table.
+        batch.write.mode("overwrite").parquet(f"{folder}/judged/{VERSION}={number}")
+        judged = batch.sparkSession.read.schema(batch.schema).parquet(f"{folder}/judged/{VERSION}={number}")
+        judged.where(ok).drop("verdict").write.mode("overwrite").parquet(f"{accepted}/{VERSION}={number}")
+        judged.where(~ok).write.mode("overwrite").parquet(f"{rejected}/{VERSION}={number}")
+
+    spark = stream.sparkSession
+    before = spark.conf.get(IDLE_BATCHES)
+    # Timers of processing time would ask for one more micro-batch for ever.
+    spark.conf.set(IDLE_BATCHES, "false")
+    try:
+        query = _run(stream, f"{folder}/progress", write)
+    finally:
+        spark.conf.set(IDLE_BATCHES, before)
+    query.awaitTermination()
+    return spark.read.parquet(accepted).drop(VERSION), spark.read.parquet(rejected).drop(VERSION)
+
+
 def run_to_folder(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     """Runs a stream over all available input into parquet files and reads them back."""
     query = (

@@ -17,13 +17,13 @@ def files(spark, batches, schema):
 
 def test_ledger_carries_stock_from_batch_to_batch_and_over_a_restart(spark):
     schema = "supply_id bigint, t int, change_amount bigint"
-    folder, stream = files(spark, [[(1, 1, -3), (1, 2, -4)], [(1, 3, 2), (1, 4, -4)]], schema)
-    supplies = spark.createDataFrame([(1, 5)], "id bigint, quantity bigint")
+    folder, stream = files(spark, [[(1, 2, -4), (1, 1, -3), (9, 1, 5)], [(1, 3, 2), (1, 4, -4), (2, 1, 1), (2, 2, None)]], schema)
+    supplies = spark.createDataFrame([(1, 5, "a"), (2, None, "b"), (3, 8, "c")], "id bigint, quantity bigint, name string")
     out = shared_path(spark, "ledger")
     streams.ledger_stream(spark, stream, supplies, out, ["t"]).awaitTermination()
-    log = spark.read.parquet(f"{out}/log")
-    assert rows(log, "t", "status", "new_quantity") == [
-        (1, "accepted", 2), (2, "negative", None), (3, "accepted", 4), (4, "accepted", 0),
+    assert rows(streams.ledger_log(spark, out), "supply_id", "t", "status", "new_quantity") == [
+        (1, 1, "accepted", 2), (1, 2, "negative", None), (1, 3, "accepted", 4), (1, 4, "accepted", 0),
+        (2, 1, "accepted", 1), (2, 2, "bad amount", None), (9, 1, "unknown supply", None),
     ]
 
     spark.createDataFrame([(1, 5, -1), (1, 6, 7)], schema).coalesce(1).write.mode("append").parquet(folder)
@@ -31,29 +31,63 @@ def test_ledger_carries_stock_from_batch_to_batch_and_over_a_restart(spark):
     assert rows(spark.read.parquet(f"{out}/log").where("version = 2"), "t", "status", "new_quantity") == [
         (5, "negative", None), (6, "accepted", 7),
     ]
-    assert rows(spark.read.parquet(f"{out}/stock/version=2"), "quantity") == [(7,)]
+    assert rows(streams.ledger_stock(spark, supplies, out)) == [(1, 7, "a"), (2, 1, "b"), (3, 8, "c")]
+    # A micro-batch writes the supplies it changed only.
+    written = spark.read.parquet(f"{out}/stock")
+    assert rows(written, "version", "id", "quantity") == [(0, 1, 2), (1, 1, 0), (1, 2, 1), (2, 1, 7)]
 
 
-def test_one_session_a_day_over_batches(spark):
-    schema = "patient_id bigint, ts timestamp"
+def test_one_session_a_day_accepts_or_rejects_every_row(spark):
+    schema = "patient_id bigint, ts timestamp, n int"
     at = datetime(2025, 1, 1, 8)
     _, stream = files(
         spark,
-        [[(1, at), (1, at.replace(hour=9)), (None, at)], [(1, at.replace(hour=10)), (2, at), (3, datetime(2025, 2, 1))]],
+        [
+            [(1, at.replace(hour=9), 1), (1, at, 2), (1, at, 3), (None, at, 4), (5, None, 5)],
+            [(1, at.replace(hour=7), 6), (2, at, 7), (3, datetime(2025, 2, 1), 8), (1, datetime(2025, 1, 2), 9)],
+        ],
         schema,
     )
-    kept = streams.one_session_a_day(stream, "ts", "2025-01-31").select("patient_id", "session_date")
-    got = streams.run_to_folder(kept, shared_path(spark, "stream"))
-    assert rows(got) == [(1, date(2025, 1, 1)), (2, date(2025, 1, 1))]
+    judged = streams.one_session_a_day(stream, "ts", "2025-01-31", ["n"])
+    accepted, rejected = streams.run_split(judged, shared_path(spark, "stream"))
+    assert rows(accepted, "n", "patient_id", "session_date") == [
+        (2, 1, date(2025, 1, 1)), (7, 2, date(2025, 1, 1)), (9, 1, date(2025, 1, 2)),
+    ]
+    assert rows(rejected, "n", "verdict") == [
+        (1, "second session"), (3, "second session"), (4, "missing patient"), (5, "missing time"),
+        (6, "second session"), (8, "future date"),
+    ]
+
+
+def test_a_timer_frees_a_remembered_day(spark):
+    at = datetime(2025, 1, 1, 8)
+    _, stream = files(spark, [[(1, at)], [(2, at)], [(1, at)]], "patient_id bigint, ts timestamp")
+    judged = streams.one_session_a_day(stream, "ts", "2025-01-31", keep="0 seconds")
+    accepted, rejected = streams.run_split(judged, shared_path(spark, "stream"))
+    assert (accepted.count(), rejected.count()) == (3, 0)
 
 
-def test_daily_counts_drop_days_not_yet_final(spark):
-    days = [datetime(2025, 1, d, 12) for d in (1, 1, 2, 5)]
-    _, stream = files(spark, [[(d,) for d in days]], "ts timestamp")
+DAYS = [datetime(2025, 1, d, 12) for d in (1, 1, 2, 5)]
+
+
+def test_daily_counts_in_append_mode_hold_final_days_only(spark):
+    _, stream = files(spark, [[(d,) for d in DAYS]], "ts timestamp")
     got = streams.run_to_folder(streams.daily_session_counts(stream, "ts"), shared_path(spark, "stream"))
     assert rows(got) == [(date(2025, 1, 1), 2), (date(2025, 1, 2), 1)]
 
 
+def test_daily_counts_as_a_table_hold_every_day(spark):
+    batches = [[(d,) for d in DAYS], [(datetime(2025, 1, 5, 1),)], [(datetime(2025, 1, 6),)]]
+    folder, stream = files(spark, batches, "ts timestamp")
+    out, counts = shared_path(spark, "stream"), streams.daily_session_counts(stream, "ts")
+    expected = [(date(2025, 1, 1), 2), (date(2025, 1, 2), 1), (date(2025, 1, 5), 2), (date(2025, 1, 6), 1)]
+    assert rows(streams.run_to_table(counts, out, ["session_date"])) == expected
+    # Run again, nothing is counted twice; new rows add to their day.
+    assert rows(streams.run_to_table(counts, out, ["session_date"])) == expected
+    spark.createDataFrame([(datetime(2025, 1, 6, 2),)], "ts timestamp").coalesce(1).write.mode("append").parquet(folder)
+    assert rows(streams.run_to_table(counts, out, ["session_date"])) == [*expected[:3], (date(2025, 1, 6), 2)]
+
+
 def test_alerts_equal_the_batch(spark):
     types = spark.createDataFrame(
         [(1, "K", "mmol", "number", 4.0, 6.0, None)],
