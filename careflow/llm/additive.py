@@ -16,7 +16,7 @@ import pyarrow as pa
 import re
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from careflow.llm.common import remainder
+from careflow.llm.common import remainder, slices
 from careflow.llm.divergence import COMMON_WORDS, SYMBOLS, duplicate_lines, repeated_words
 from careflow.llm.labelled import MAX_ROWS, training_texts
 
@@ -177,7 +177,7 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, pair_rounds: int = P
 
 def measure_texts(batches):
     """Arrow batches of (text, label) to (label, features)."""
-    for batch in batches:
+    for batch in slices(batches, "text"):
         x = measured(batch.column("text").to_pylist())
         kind = pa.list_(pa.float64())
         yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(x.tolist(), kind)], names=["label", "x"])
@@ -200,7 +200,7 @@ def scores(docs: DataFrame, model: Additive, text: str = "text", name: str = "sc
         raise ValueError(f"there is already a column {name}")
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, text):
             found = model.score(measured(batch.column(text).to_pylist()))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], names=[*batch.schema.names, name])
 

@@ -38,11 +38,13 @@ def release(spark: SparkSession) -> None:
 
 def remove(df: DataFrame) -> None:
     """Deletes the files of a frame made by `written` that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for file in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(file)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        remove_path(df.sparkSession, folder)
+
+
+def remove_path(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small(df: DataFrame, row_bytes: int, limit: int | None = None) -> DataFrame:
@@ -63,6 +65,17 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYT
             at, before = to, int(ends[to - 1])
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until no column of `df` has them (in any case)."""
+    have, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in have:
+            name += "_"
+        have.add(name.lower())
+        out.append(name)
+    return out
+
+
 def text_key(text: Column) -> Column:
     """64 bits that tell texts under one id apart. Null counts as empty."""
     return F.xxhash64(F.coalesce(text, F.lit("")))

@@ -12,7 +12,7 @@ import string
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from careflow.llm.common import small, text_key, written
+from careflow.llm.common import free, small, text_key, written
 
 WINDOW, SHINGLE = 10, 3
 # What separates words once A-Z are lower case.
@@ -146,6 +146,7 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of `docs`, with all their columns, whose text holds no window of the benchmark."""
     wanted = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     _, found, _ = occurrences(wanted, benchmark)
-    bad = written(found.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct(), "contaminated-ids")
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (text_key(F.col("text")) == F.col("__key"))
+    own, key = free(docs, "__id", "__key")
+    bad = written(found.select(F.col("doc_id").alias(own), F.col("text_key").alias(key)).distinct(), "contaminated-ids")
+    same = F.col("doc_id").eqNullSafe(F.col(own)) & (text_key(F.col("text")) == F.col(key))
     return docs.join(small(bad, 24), same, "left_anti")

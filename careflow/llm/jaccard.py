@@ -21,7 +21,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from careflow.llm.common import remove, slices, small, text_key, written
+from careflow.llm.common import free, remove, slices, small, text_key, written
 from careflow.llm.components import components
 from careflow.llm.shingles import shingle_sets
 
@@ -294,12 +294,13 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
     chosen = rows.groupBy("component").agg(F.min(order).alias("f")).select(F.col("f.rid").alias("chosen"))
     marked = rows.select("rid", "doc_id", "text_key").join(chosen, F.col("rid") == F.col("chosen"), "left")
     texts = marked.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("rows"), F.count("chosen").alias("stay"))
-    texts = written(texts.toDF("__id", "__key", "__rows", "__stay"), "component-rows")
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (text_key(F.col("text")) == F.col("__key"))
-    gone = small(written(texts.where((F.col("__stay") == 0) | (F.col("__rows") > 1)), "component-gone"), 32, most_bytes)
+    own, key, many, stay = free(docs, "__id", "__key", "__rows", "__stay")
+    texts = written(texts.toDF(own, key, many, stay), "component-rows")
+    same = F.col("doc_id").eqNullSafe(F.col(own)) & (text_key(F.col("text")) == F.col(key))
+    gone = small(written(texts.where((F.col(stay) == 0) | (F.col(many) > 1)), "component-gone"), 32, most_bytes)
     kept = docs.join(gone, same, "left_anti")
-    again = texts.where((F.col("__stay") > 0) & (F.col("__rows") > 1))
+    again = texts.where((F.col(stay) > 0) & (F.col(many) > 1))
     if again.isEmpty():
         return kept
-    first = docs.join(again, same, "left_semi").withColumn("__key", text_key(F.col("text"))).dropDuplicates(["doc_id", "__key"])
-    return kept.unionByName(first.drop("__key"))
+    first = docs.join(again, same, "left_semi").withColumn(key, text_key(F.col("text"))).dropDuplicates(["doc_id", key])
+    return kept.unionByName(first.drop(key))

@@ -11,11 +11,14 @@ only get letters. After `PLAIN` attempts surrogates grow with every attempt, so
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import secrets
 
-from careflow.llm.common import written
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-KEY = "careflow-surrogates"
+from careflow.llm.common import free, written
+
+# The session setting that holds the key. Who knows it can work out the surrogate of a given unit.
+KEY_SETTING = "careflow.surrogates.key"
 # Attempts that keep the length, and signs by which each later one is longer than the one before.
 PLAIN, GROWTH = 4, 4
 
@@ -39,6 +42,11 @@ SYLLABLES = {
     "greek": "βαρ γιο δελ θαν καλ λαμ μαρ νικ παπ ραφ σταμ ταλ φιλ χαρ ψαρ ωλε".split(),
 }
 SCRIPTS = ("latin", "cyrillic", "greek")
+# How made-up given names end, by script and gender.
+ENDINGS = {
+    ("latin", "m"): "in", ("latin", "f"): "a", ("cyrillic", "m"): "ей", ("cyrillic", "f"): "а",
+    ("greek", "m"): "ος", ("greek", "f"): "α",
+}
 
 # Country codes of phone numbers; none begins another, and all not listed have three digits.
 COUNTRY = "1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3}"
@@ -129,7 +137,21 @@ def _luhn_ok(digits: Column) -> Column:
     return _luhn_sum(digits) % 10 == 0
 
 
-def surrogate(kind: Column, norm: Column, attempt: int, key: str = KEY) -> Column:
+def key_of(spark: SparkSession) -> str:
+    """The session's key; a session without one gets a random key of its own."""
+    key = spark.conf.get(KEY_SETTING, "")
+    if not key:
+        key = secrets.token_hex(32)
+        spark.conf.set(KEY_SETTING, key)
+    return key
+
+
+def normal(kind: Column, made: Column) -> Column:
+    """The normal form of a surrogate, by which it is compared with the corpus."""
+    return F.when(kind.startswith("key:"), made).otherwise(F.lower(made))
+
+
+def surrogate(kind: Column, norm: Column, attempt: int, key: str) -> Column:
     """The attempt's surrogate of a normal form: of the same character classes and, in the first
     `PLAIN` attempts, of the same length; `GROWTH` signs longer with every attempt from there."""
     seed = F.concat_ws("|", F.lit(key), kind, norm, F.lit(str(attempt)))
@@ -183,13 +205,12 @@ def surrogate(kind: Column, norm: Column, attempt: int, key: str = KEY) -> Colum
     hexed = F.concat(F.substr(h, F.lit(1), F.length(norm)), *[F.substr(F.lower(F.hex(more(i))), F.lit(-1), F.lit(1)) for i in range(grown)])
     out = F.when(base == "secret", hexed).when(base == "ip", ip).when(base == "host", host).when(base == "card", card)
     for (script, gender), names in GIVEN.items():
-        pool, count = F.array(*map(F.lit, names)), len(names)
-        name = F.get(pool, byte(F.lit(0)) % count)
-        # Later attempts, when the plain names run out, join a second one, then a growing third.
-        if grown:
-            name = F.concat(name, F.lit("-"), F.get(pool, byte(F.lit(1)) % count))
-        if grown > GROWTH:
-            name = F.concat(name, F.lit("-"), F.initcap(_syllables(script, map(more, range(grown - GROWTH)))))
+        if not attempt:
+            name = F.get(F.array(*map(F.lit, names)), byte(F.lit(0)) % len(names))
+        else:
+            # When the plain names are taken, names are made up; later ones are longer.
+            made_up = [*[byte(F.lit(i)) for i in range(2)], *map(more, range(grown // 2))]
+            name = F.concat(F.initcap(_syllables(script, made_up)), F.lit(ENDINGS[script, gender]))
         out = out.when(kind == f"given_{script}_{gender}", name)
     for script in SCRIPTS:
         family = F.initcap(_syllables(script, [byte(F.lit(10 + 3 * i)) for i in range(4)]))
@@ -220,61 +241,66 @@ def spelled(kind: Column, raw: Column, made: Column) -> Column:
     return F.when((base != "key") & (raw == F.upper(raw)) & (raw != F.lower(raw)), F.upper(laid)).otherwise(laid)
 
 
-def assign(entities: DataFrame, key: str = KEY) -> DataFrame:
+def assign(entities: DataFrame, key: str) -> DataFrame:
     """(kind, norm, made): a surrogate per unit, all different within a kind and none a unit itself."""
     taken = None
     pending = entities.select("kind", "norm")
     attempt = 0
     while True:
-        tried = written(pending.withColumn("made", surrogate(F.col("kind"), F.col("norm"), attempt, key)), "tried")
-        # One unit per surrogate; counted before the shuffle.
-        won = tried.groupBy("kind", "made").agg(F.min("norm").alias("norm"))
-        won = won.join(entities.select("kind", F.col("norm").alias("made")), ["kind", "made"], "left_anti")
+        tried = pending.withColumn("made", surrogate(F.col("kind"), F.col("norm"), attempt, key))
+        tried = written(tried.withColumn("form", normal(F.col("kind"), F.col("made"))), "tried")
+        # One unit per surrogate, whatever the spelling; counted before the shuffle.
+        won = tried.groupBy("kind", "form").agg(F.min("norm").alias("norm"))
+        won = won.join(entities.select("kind", F.col("norm").alias("form")), ["kind", "form"], "left_anti")
         if taken is not None:
-            won = won.join(taken.select("kind", "made"), ["kind", "made"], "left_anti")
-        won = won.select("kind", "norm", "made")
+            won = won.join(taken.select("kind", "form"), ["kind", "form"], "left_anti")
+        won = won.join(tried.select("kind", "norm", "made"), ["kind", "norm"]).select("kind", "norm", "made", "form")
         taken = written(won if taken is None else taken.unionByName(won), "surrogates")
         pending = tried.join(taken.select("kind", "norm"), ["kind", "norm"], "left_anti").select("kind", "norm")
         if pending.isEmpty():
-            return taken
+            return taken.drop("form")
         attempt += 1
 
 
-def replace_personal(docs: DataFrame, text: str = "text", key: str = KEY, count: str | None = None) -> DataFrame:
+def replace_personal(docs: DataFrame, text: str = "text", key: str | None = None, count: str | None = None) -> DataFrame:
     """`docs` with all its columns, entities in `text` replaced by their surrogates.
 
     `count` names a column to add with the number of entities. Null and empty texts stay as
     they are, with 0 entities; so does all text outside the entities, and every text without
-    any. Repeated rows are replaced alike. No rows give no rows. Columns may have any names
-    but `__found` and `__rid`. The same key and corpus give the same surrogates.
+    any. Repeated rows are replaced alike. No rows give no rows. The same key and corpus give the
+    same surrogates; without a key that of the session counts (`key_of`).
     """
+    key = key or key_of(docs.sparkSession)
     if count in docs.columns:
         raise ValueError(f"there is already a column {count}")
     body = F.col(f"`{text}`")
     none = F.array().cast("array<string>")
     found = F.when(body.rlike(HINT), F.regexp_extract_all(body, F.lit(ANY), F.lit(0))).otherwise(none)
     found = F.coalesce(found, none)
-    counted = [F.size("__found").cast("bigint").alias(count)] if count else []
-    every = docs.withColumn("__found", found)
-    with_any = written(every.where(F.size("__found") > 0).withColumn("__rid", F.monotonically_increasing_id()), "personal")
-    places = with_any.select("__rid", F.posexplode("__found").alias("pos", "entity"))
-    places = places.select("__rid", "pos", F.posexplode(units(F.col("entity"))).alias("part", "u")).select("__rid", "pos", "part", "u.*")
+    own, rid, listed = free(docs, "__found", "__rid", "__entities")
+    counted = [F.size(own).cast("bigint").alias(count)] if count else []
+    every = docs.withColumn(own, found)
+    with_any = written(every.where(F.size(own) > 0).withColumn(rid, F.monotonically_increasing_id()), "personal")
+    places = with_any.select(F.col(rid).alias("rid"), F.posexplode(own).alias("pos", "entity"))
+    places = places.select("rid", "pos", F.posexplode(units(F.col("entity"))).alias("part", "u")).select("rid", "pos", "part", "u.*")
     places = written(places, "personal-units")
     made = assign(written(places.select("kind", "norm").distinct(), "entities"), key)
     # One row per unit on the right; a unit of very many places is split by adaptive execution.
     named = places.join(made, ["kind", "norm"])
     piece = F.concat("before", spelled(F.col("kind"), F.col("raw"), F.col("made")))
-    pieces = named.select("__rid", F.struct("pos", "part", piece.alias("piece")).alias("p"))
-    by_text = pieces.groupBy("__rid").agg(F.array_sort(F.collect_list("p")).alias("__pieces"))
+    pieces = named.select("rid", "pos", F.struct("part", piece.alias("piece")).alias("p"))
+    entities = pieces.groupBy("rid", "pos").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["piece"]), "").alias("entity")
+    )
+    # In order of place, so the entity after a gap is found by its index.
+    by_text = entities.groupBy(F.col("rid").alias(rid)).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", "entity"))), lambda e: e["entity"]).alias(listed)
+    )
     between = F.split(body, ANY, -1)
-
-    def entity(i: Column) -> Column:
-        return F.array_join(F.transform(F.filter("__pieces", lambda p: p["pos"] == i), lambda p: p["piece"]), "")
-
-    rebuilt = F.array_join(F.transform(between, lambda b, i: F.concat(b, entity(i))), "")
-    changed = with_any.join(by_text, "__rid").withColumn(text, rebuilt)
+    follows = F.transform(between, lambda b, i: F.concat(b, F.coalesce(F.get(F.col(listed), i), F.lit(""))))
+    changed = with_any.join(by_text, rid).withColumn(text, F.array_join(follows, ""))
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    rest = every.where(F.size("__found") == 0)
+    rest = every.where(F.size(own) == 0)
     return rest.select(*columns, *counted).unionByName(changed.select(*columns, *counted))
 
 

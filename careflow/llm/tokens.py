@@ -13,8 +13,8 @@ from array import array
 
 import regex
 
-# Parts and pieces kept per Python worker; when more come, that store starts anew.
-MOST_PARTS, MOST_PIECES = 600_000, 800_000
+# Bytes of parts and of pieces kept per Python worker, and of an entry besides its text and ids.
+PART_BYTES, PIECE_BYTES, ENTRY_BYTES = 24 << 20, 8 << 20, 200
 # Characters that every regular expression library classes alike. A text with any other, or
 # with what may be the name of a special token, is encoded whole by the library.
 ODD = re.compile("[^\t\n\r\x20-\x7e\xa1-ſ]|<\\|")
@@ -41,15 +41,21 @@ LETTERS = byte_letters()
 
 
 class Kept(dict):
-    """A store that works out what it has not got, and starts anew when it is full."""
+    """A store that works out what it has not got. It holds at most so many bytes: half of them
+    what came last, the other half what came before, of which only entries asked for again stay."""
 
     def __init__(self, work, most: int):
-        self.work, self.most = work, most
+        self.work, self.most, self.size, self.before = work, most // 2, 0, {}
 
     def __missing__(self, key: str) -> bytes:
-        if len(self) >= self.most:
+        value = self.before.get(key)
+        if value is None:
+            value = self.work(key)
+        self[key] = value
+        self.size += len(key) + len(value) + ENTRY_BYTES
+        if self.size >= self.most:
+            self.before, self.size = dict(self), 0
             self.clear()
-        value = self[key] = self.work(key)
         return value
 
 
@@ -66,8 +72,8 @@ class Encoder:
         self.split = PARTS.get(name)
         self.cut = regex.compile(PIECES[name]).findall if name in PIECES else None
         self.lowered = name in LOWERED
-        self.pieces = Kept(self._piece, MOST_PIECES)
-        self.parts = Kept(self._part, MOST_PARTS)
+        self.pieces = Kept(self._piece, PIECE_BYTES)
+        self.parts = Kept(self._part, PART_BYTES)
 
     def _piece(self, piece: str) -> bytes:
         letters = "".join(map(LETTERS.__getitem__, piece.encode()))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from careflow.llm.additive import THRESHOLD, scores, train
-from careflow.llm.common import read, remainder
+from careflow.llm.common import free, read, remainder, remove_path
 from careflow.llm.contamination import without_contaminated
 from careflow.llm.jaccard import one_of_each
 from careflow.llm.packing import pack
@@ -18,7 +18,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents whose quality score reaches the threshold. Trained on the labelled ones."""
     ship(spark)
     model = train(docs, read(spark, sf_dir, "labels"), "quality", remainder("doc_id", 5) != 0)
-    return scores(docs, model, name="__quality").where(F.col("__quality") >= THRESHOLD).drop("__quality")
+    (name,) = free(docs, "__quality")
+    return scores(docs, model, name=name).where(F.col(name) >= THRESHOLD).drop(name)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,9 +63,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to `documents`; each result is written and read again."""
-    docs = read(spark, sf_dir, "documents")
+    docs, before = read(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
         path = shared_path(spark, "pipeline")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            remove_path(spark, before)
+        before = path
     return docs

@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -40,3 +41,26 @@ def test_stages_keep_the_columns(spark):
         out = stage(spark, docs.limit(30), SMALL)
         assert out.dtypes == docs.dtypes
     assert [name for name, _ in corpus_pipeline.STAGES].__len__() == 5
+
+
+def test_stages_take_odd_rows(spark, tmp_path):
+    """Nulls, empty texts, repeated rows, no rows, and columns named like those the stages add."""
+    plain = read(spark, SMALL, "documents").limit(40)
+    clash = ["__quality", "__id", "__key", "__rows", "__stay", "__found", "__rid", "__entities", "rid", "score", "key", "component"]
+    odd = spark.createDataFrame(
+        [(None, None, None, None, None), (None, "", "en", None, 0), (-1, None, None, "s", 0), (-2, "", "", "", 0),
+         (-3, "x@y.example.com", "en", "s", 15), (-3, "x@y.example.com", "en", "s", 15)],
+        plain.schema,
+    )
+    docs = plain.unionByName(odd).unionByName(plain.limit(5)).withColumns({c: F.lit("x") for c in clash})
+    for name, stage in corpus_pipeline.STAGES:
+        path = f"{tmp_path}/{name}"
+        stage(spark, docs, SMALL).write.parquet(path)
+        after = spark.read.parquet(path)
+        assert stage(spark, docs.limit(0), SMALL).count() == 0
+        if stage is not corpus_pipeline.pack_sequences:
+            assert after.dtypes == docs.dtypes and 0 < after.count() <= docs.count()
+            if stage is corpus_pipeline.replace_entities:
+                assert after.count() == docs.count()
+            docs = after
+    assert after.select("doc_id", "piece").count() >= docs.count()

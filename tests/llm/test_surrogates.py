@@ -2,7 +2,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from careflow.llm.surrogates import assign, replace_personal, spelled, surrogate, surrogates
+from careflow.llm.surrogates import GIVEN, assign, key_of, replace_personal, spelled, surrogate, surrogates
 
 TEXT = (
     "Mr John Smith (john.smith7@mail.example.com, +44 20 7946 0958) met Mrs Smith at 10.20.30.40; card 4111 1111 1111 1111, "
@@ -46,11 +46,44 @@ def test_gender_and_script(docs):
 
 
 def test_different_units_stay_different(spark):
+    # All plain names are units themselves, so none may come out, in whatever case.
     names = spark.range(300).selectExpr("'given_latin_f' as kind", "concat('name', id) as norm")
+    pool = [("given_latin_f", n.lower()) for n in GIVEN["latin", "f"]]
+    names = names.unionByName(spark.createDataFrame(pool, "kind string, norm string"))
     hosts = spark.range(300).selectExpr("'ssn::' as kind", "lpad(id, 9, '0') as norm")
-    made = assign(names.unionByName(hosts)).collect()
-    assert len({(r.kind, r.made) for r in made}) == len(made) == 600
-    assert not {r.made for r in made} & {r.norm for r in made}
+    made = assign(names.unionByName(hosts), "k").collect()
+    assert len({(r.kind, r.made.lower()) for r in made}) == len(made) == 600 + len(pool)
+    assert not {r.made.lower() for r in made} & {r.norm.lower() for r in made}
+
+
+def test_no_name_of_the_corpus_comes_out(docs):
+    """Every plain name as a unit: each gets another one, which is no unit of the corpus."""
+    title = {("latin", "m"): "Mr", ("latin", "f"): "Ms", ("cyrillic", "m"): "Господин", ("cyrillic", "f"): "Госпожа",
+             ("greek", "m"): "Κύριος", ("greek", "f"): "Κυρία"}
+    given = [(kind, name) for kind, names in GIVEN.items() for name in names]
+    texts = [f"{title[kind]} {name} {name}{'ov' if kind[0] == 'latin' else ''}" for kind, name in given]
+    out = replaced(docs, *texts)
+    units = {w.lower() for t in texts for w in t.split()[1:]}
+    for before, after in zip(texts, out):
+        assert after.split()[0] == before.split()[0] and len(after.split()) == 3
+        for old, new in zip(before.split()[1:], after.split()[1:]):
+            assert new.lower() not in units and new == new.capitalize()
+            assert re.fullmatch(r"[A-Za-z]+|[А-я]+|[Ͱ-Ͽ]+", new)
+    # Each unit keeps its surrogate, and no two share one.
+    pairs = {(b.split()[0] in ("Mr", "Господин", "Κύριος"), i, b.split()[i], a.split()[i]) for b, a in zip(texts, out) for i in (1, 2)}
+    assert len({p[:3] for p in pairs}) == len(pairs)
+    assert len({(i, new) for _, i, _, new in pairs if i == 1}) == len({(m, old) for m, i, old, _ in pairs if i == 1})
+
+
+def test_a_text_of_very_many_entities(docs):
+    text = " ".join(f"u{i}@h{i % 50}.example.com" for i in range(4000))
+    (out,) = replaced(docs, text)
+    assert len(set(out.split())) == 4000 and "u17@" not in out
+
+
+def test_the_key_is_the_sessions(spark):
+    key = key_of(spark)
+    assert key == key_of(spark) and len(key) >= 32
 
 
 def test_key_decides(docs):
@@ -60,6 +93,7 @@ def test_key_decides(docs):
 def test_odd_rows(docs):
     table = docs((1, None), (1, ""), (2, "plain Text 2.0"), (None, "x@y.example.com"), (2, "x@y.example.com"), (2, "x@y.example.com"),
                  (3, "0" * 60_000), (4, "a." * 20_000 + "@"), (5, "1234 " * 4000), (6, "$1 \\ a@b.example.co"))
+    table = table.withColumn("__found", F.lit("x")).withColumn("__rid", F.lit("y"))
     out = replace_personal(table, count="found")
     assert out.columns == [*table.columns, "found"]
     rows = out.collect()
@@ -76,7 +110,7 @@ def test_every_unit_gets_a_surrogate(spark, docs):
     # More short units than there are others of their length, or most of them.
     units = [("local", chr(97 + i)) for i in range(14)] + [("local", str(i)) for i in range(6)] + [("ssn::", str(i)) for i in range(10)]
     units += [("phone:+1:", f"+1{i}") for i in range(10)] + [("card::luhn", f"{i}{-2 * i % 10 if i < 5 else (9 - 2 * i) % 10}") for i in range(10)]
-    made = assign(spark.createDataFrame(units, "kind string, norm string")).collect()
+    made = assign(spark.createDataFrame(units, "kind string, norm string"), "k").collect()
     assert len({(r.kind, r.made) for r in made}) == len(made) == len(units)
     assert not {(r.kind, r.made) for r in made} & set(units)
     assert all(r.made.startswith("+1") for r in made if r.kind.startswith("phone")) and all(luhn(r.made) % 10 == 0 for r in made if r.kind.startswith("card"))
@@ -87,11 +121,11 @@ def test_the_space_grows_for_every_kind(spark):
     kinds = ["family_latin", "given_greek_m", "local", "host", "ip", "ssn::", "card::", "secret::", "key::"]
     table = spark.createDataFrame([(k, "1") for k in kinds], "kind string, norm string").crossJoin(spark.range(20_000))
     for attempt, least in ((4, 250), (5, 18_000)):
-        spaces = table.select("kind", surrogate(F.col("kind"), F.concat("norm", F.col("id").cast("string")), attempt).alias("made"))
+        spaces = table.select("kind", surrogate(F.col("kind"), F.concat("norm", F.col("id").cast("string")), attempt, "k").alias("made"))
         found = spaces.groupBy("kind").agg(F.countDistinct("made").alias("n")).collect()
         assert all(r.n >= least for r in found), found
     # Family names past the 65,536 of four syllables.
-    names = spark.range(200_000).select(surrogate(F.lit("family_latin"), F.col("id").cast("string"), 4).alias("made"))
+    names = spark.range(200_000).select(surrogate(F.lit("family_latin"), F.col("id").cast("string"), 4, "k").alias("made"))
     assert names.distinct().count() > 180_000
 
 
