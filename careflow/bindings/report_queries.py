@@ -60,17 +60,17 @@ def invoice(v):
     return billing.invoice(v.patients, v.sessions, v.app_settings, 7, MONTH)
 
 
-@query(
-    "invoice_export",
-    f"""WITH {PRICES}, {TOTALS}
+INVOICE_EXPORT = f"""WITH {PRICES}, {TOTALS}
     SELECT 'INV-199703-' || CAST(p.id AS VARCHAR) AS invoice_id, p.name AS patient_name, p.medical_id,
       p.dialysis_unit, p.national_id, p.referral_date, p.referral_place,
       'من ' || CAST(first_session_date AS VARCHAR) || ' إلى ' || CAST(last_session_date AS VARCHAR) AS claim_period,
       session_count, ps AS price_per_session, session_count * ps AS total_sessions_price,
       total_bags, pb AS price_per_blood_bag, total_bags * pb AS total_blood_price,
       session_count * ps + total_bags * pb AS grand_total
-    FROM patients p JOIN totals t ON t.patient_id = p.id CROSS JOIN prices""",
-)
+    FROM patients p JOIN totals t ON t.patient_id = p.id CROSS JOIN prices"""
+
+
+@query("invoice_export", INVOICE_EXPORT)
 def invoice_export(v):
     return billing.invoice_export(v.patients, v.sessions, v.app_settings, MONTH)
 
@@ -451,12 +451,14 @@ def roster_hours(v):
     return roster.roster_hours(v.staff, v.shift_changes, EVENT_MONTH)
 
 
-@query(
-    "roster_sheet",
+ROSTER_SHEET = (
     f"WITH {EFFECTIVE} SELECT id, name, "
     + ", ".join(f"MAX(CASE WHEN DAY(day) = {d} THEN code END) AS day{d}" for d in DAYS31)
-    + ", CAST(SUM(h) AS BIGINT) AS total_hours FROM hrs GROUP BY 1, 2",
+    + ", CAST(SUM(h) AS BIGINT) AS total_hours FROM hrs GROUP BY 1, 2"
 )
+
+
+@query("roster_sheet", ROSTER_SHEET)
 def roster_sheet(v):
     return roster.roster_sheet(v.staff, v.shift_changes, EVENT_MONTH)
 

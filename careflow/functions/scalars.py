@@ -110,6 +110,15 @@ def month_days(month: str) -> list[date]:
     return [date.fromordinal(n) for n in range(first, after)]
 
 
+WEEKDAYS = ["Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun"]
+
+
+def dates_by_weekday(month: str) -> dict[str, list[date]]:
+    """The days of 'YYYY-MM' by weekday token."""
+    days = month_days(month)
+    return {name: [d for d in days if d.weekday() == i] for i, name in enumerate(WEEKDAYS)}
+
+
 def month_label(day: Column | str) -> Column:
     return F.date_format(column(day), "yyyy-MM")
 

@@ -18,7 +18,7 @@ from careflow.operators.admission import admit_first_come
 from careflow.operators.joins import join_unique, key_summary
 from careflow.operators.ordered import HOT_ROWS, first_wins, last_wins, number_rows, order_value, rank_in_group
 from careflow.schemas import DEFAULTS, REQUIRED, UNIQUE
-from careflow.session import materialise
+from careflow.session import materialise, stored
 
 
 def require(
@@ -143,15 +143,15 @@ def upsert(
     action added / updated / failed (blank key).
     """
     valid, bad = split_valid(require(batch, keys))
-    latest = materialise(
-        valid.groupBy(*keys).agg(
-            F.max_by(F.struct(*cols), order_value(order)).alias("__new"),
-            F.min(order_value(order)).alias("__arrived"),
-        )
+    # Keys and order alone are aggregated; the new values follow by a join on both.
+    ends = valid.groupBy(*keys).agg(
+        F.max(order_value(order)).alias("__last"), F.min(order_value(order)).alias("__arrived")
     )
+    given = valid.select(*keys, order_value(order).alias("__last"), F.struct(*cols).alias("__new"))
+    latest = stored(given.join(ends, [*keys, "__last"]).drop("__last"), "upsert-latest")
     target = key_summary(state, latest, keys, F.min(id_col).alias("__target"))
     # Batch-sized, and read by the update, the inserts and the log.
-    merged = materialise(latest.join(target, keys, "left"))
+    merged = stored(latest.join(target, keys, "left"), "upsert-merged")
 
     update = merged.where(F.col("__target").isNotNull()).select(
         F.col("__target").alias(id_col), F.col("__new"), F.lit(True).alias("__hit")
@@ -191,7 +191,7 @@ def replace_by_key(
     """
     if new_ids:
         batch = with_new_ids(batch, state, order, id_col)
-    latest = materialise(last_wins(batch, keys, order))
+    latest = stored(last_wins(batch, keys, order), "replace-latest")
     present = key_summary(state, latest, keys).withColumn("__hit", F.lit(True))
     log = latest.join(present, keys, "left").select(
         *keys, F.when(F.col("__hit"), "replaced").otherwise("added").alias("action")
@@ -258,8 +258,13 @@ def update_by_key(
     key, action updated / not_found / duplicate <key>, or the reasons of an invalid row.
     """
     valid, bad = split_valid(require(batch, required, rules))
-    last = (F.max_by(F.struct(*cols), order_value(order)).alias("__new"), F.max(order_value(order)).alias("__at"))
-    latest = materialise(valid.groupBy(key).agg(*last))
+    # Key and order alone are aggregated; the new values follow by a join on both.
+    ends = valid.groupBy(key).agg(F.max(order_value(order)).alias("__at"))
+    given = valid.select(key, order_value(order).alias("__at"), F.struct(*cols).alias("__new"))
+    # A NULL key is one more key that no row has.
+    ends = ends.toDF("__key", "__last")
+    same = F.col(key).eqNullSafe(F.col("__key")) & F.col("__at").eqNullSafe(F.col("__last"))
+    latest = stored(given.join(ends, same, "left_semi"), "update-latest")
     clash = None
     changed = {name: cs for name, cs in (keysets or {}).items() if set(cs) & set(cols)}
     if changed:

@@ -145,16 +145,18 @@ def number_rows(
 
 
 def first_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The first row of each key. An aggregate, so it is combined before the shuffle."""
-    return _pick(df, keys, order, F.min_by)
+    """The first row of each key. `order` must be unique within a key."""
+    return _pick(df, keys, order, F.min)
 
 
 def last_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The last row of each key."""
-    return _pick(df, keys, order, F.max_by)
+    """The last row of each key. `order` must be unique within a key."""
+    return _pick(df, keys, order, F.max)
 
 
 def _pick(df: DataFrame, keys: list[str], order: list[str], choose) -> DataFrame:
-    rest = [c for c in df.columns if c not in keys]
-    chosen = df.groupBy(*keys).agg(choose(F.struct(*rest), order_value(order)).alias("__row"))
-    return chosen.select(*keys, "__row.*").select(*df.columns)
+    """Keys and order alone are aggregated, in a hash table before the shuffle; the rows follow by a
+    semi-join on keys and order, so the rows of a hot key spread over all tasks."""
+    best = df.groupBy(*[F.col(k).alias(f"__key_{k}") for k in keys]).agg(choose(order_value(order)).alias("__best"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__key_{k}")) for k in keys])
+    return df.join(best, same & order_value(order).eqNullSafe(F.col("__best")), "left_semi")

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from careflow.functions import filters, scalars as S
 from careflow.operators.changes import conform, require, split_valid, with_new_ids
 from careflow.operators.joins import join_many, join_unique
 from careflow.operators.ledger import apply_movements
-from careflow.operators.ordered import HOT_ROWS, first_wins, hot_keys, order_value, running_sum
+from careflow.operators.ordered import (
+    BLOCK, HOT_ROWS, PLACE_BITS, first_wins, hot_keys, place_rows, running_sum, split_hot,
+)
 from careflow.operators.paging import ordered_listing
 from careflow.session import materialise, stored
 
@@ -151,7 +153,9 @@ def receive_orders(
     stock = supplies.select(
         F.col("id").alias("supply_id"), F.col("quantity").alias("__opening"), F.lit(True).alias("__known")
     )
-    mine = mine.join(stock, "supply_id", "left")
+    # The items of the receipts, read once: contents, hot supplies and balances come from these rows.
+    wanted = list(dict.fromkeys(["order_id", "request", "supply_id", "quantity_ordered", *item_order]))
+    mine = stored(mine.join(stock, "supply_id", "left").select(*wanted, "__opening", "__known"), "received-items")
     contents = mine.groupBy("order_id").agg(
         F.count(F.lit(1)).alias("__items"), F.count_if(F.col("__known").isNull()).alias("__unknown")
     )
@@ -171,7 +175,7 @@ def receive_orders(
     stocked = running_sum(
         join_unique(mine, received, ["order_id"], "left_semi"),
         ["supply_id"], ["request", *item_order], "quantity_ordered", "__added", hot_rows, blocks,
-        hot=hot_keys(items, ["supply_id"], hot_rows),
+        hot=hot_keys(mine, ["supply_id"], hot_rows),
     )
     log = stocked.select(
         "supply_id",
@@ -198,23 +202,68 @@ def receive_orders(
 
 
 def reconcile_ledger(
-    supplies: DataFrame, log: DataFrame, order: list[str], **hot: int
+    supplies: DataFrame, log: DataFrame, order: list[str], hot_rows: int = HOT_ROWS, blocks: int | None = None
 ) -> DataFrame:
     """Per logged supply: does every entry follow from the one before, and is the last
     logged quantity the current one?
 
-    `new_quantity` less the running sum of changes is the opening stock; it stays
-    the same exactly when the log has no gap.
+    Each entry is compared with the one before it. A hot supply is cut into blocks of the order;
+    the first entry of a block is compared with the last one of the block before.
     """
-    run = running_sum(log, ["supply_id"], order, "change_amount", "__sum", **hot)
-    opening = F.col("new_quantity") - F.col("__sum")
-    per_supply = run.groupBy("supply_id").agg(
+    columns = ["supply_id", *order, "change_amount", "new_quantity"]
+    rows = log.select(*dict.fromkeys(columns))
+    hot = hot_keys(rows, ["supply_id"], hot_rows)
+    if hot.isEmpty():
+        cut = rows.withColumn(BLOCK, F.lit(0).cast("bigint"))
+    else:
+        large, rest = split_hot(rows, ["supply_id"], hot)
+        placed = place_rows(large, ["supply_id", *order], "__place", blocks)
+        placed = placed.withColumn(BLOCK, F.shiftright("__place", PLACE_BITS)).drop("__place")
+        cut = placed.unionByName(rest.withColumn(BLOCK, F.lit(0).cast("bigint")))
+    by = Window.partitionBy("supply_id", BLOCK).orderBy(*order)
+    before = F.lag(F.struct("new_quantity")).over(by)
+    seen = cut.withColumn("__before", before).withColumn("__last", F.lead(F.lit(1)).over(by).isNull())
+    opening = F.col("new_quantity") - F.col("change_amount")
+    first = F.col("__before").isNull()
+    parts = seen.groupBy("supply_id", BLOCK).agg(
         F.count(F.lit(1)).alias("entries"),
-        F.max_by("new_quantity", order_value(order)).alias("last_logged"),
-        (F.min(opening) == F.max(opening)).alias("gap_free"),
+        F.bool_and(first | F.coalesce(F.col("__before.new_quantity") == opening, F.lit(False))).alias("joined"),
+        F.max(F.when(first, opening)).alias("opens"),
+        F.max(F.when(F.col("__last"), F.col("new_quantity"))).alias("closes"),
+    )
+    # One row per block of a supply.
+    chain = Window.partitionBy("supply_id").orderBy(BLOCK)
+    parts = parts.withColumn("__closed", F.lag(F.struct("closes")).over(chain)).withColumn(
+        "__end", F.lead(F.lit(1)).over(chain).isNull()
+    )
+    follows = F.col("__closed").isNull() | F.coalesce(F.col("__closed.closes") == F.col("opens"), F.lit(False))
+    per_supply = parts.groupBy("supply_id").agg(
+        F.sum("entries").alias("entries"),
+        F.max(F.when(F.col("__end"), F.col("closes"))).alias("last_logged"),
+        F.bool_and(F.col("joined") & follows).alias("gap_free"),
     )
     current = supplies.select(F.col("id").alias("supply_id"), "quantity")
     return per_supply.join(current, "supply_id", "left").select(
         "supply_id", "entries", "last_logged", "quantity", "gap_free",
         F.coalesce(F.col("last_logged") == F.col("quantity"), F.lit(False)).alias("matches_stock"),
     )
+
+
+def use_supplies(
+    supplies: DataFrame, usage: DataFrame, order: list[str], hot_rows: int = HOT_ROWS, blocks: int | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Withdraws used quantities (supply_id, quantity_used) in order. The quantity must be a positive
+    number; its whole part is taken from the stock and logged as a negative change.
+
+    Log: as of `stock_ledger`; status bad quantity for what is no positive number.
+    """
+    used = S.column("quantity_used").cast("string").try_cast("double")
+    good = F.coalesce((used > 0) & ~F.isnan(used), F.lit(False))
+    asked = usage.withColumn("__good", good)
+    moves = asked.where("__good").withColumn("change_amount", -S.int_part("quantity_used"))
+    state, log = stock_ledger(supplies, moves.drop("quantity_used", "__good"), order, hot_rows, blocks)
+    refused = asked.where("NOT __good").drop("quantity_used", "__good").withColumns(
+        {"change_amount": F.lit(None).cast("bigint"), "status": F.lit("bad quantity"), "new_quantity": F.lit(None).cast("bigint")}
+    )
+    return state, log.unionByName(refused)
+

@@ -23,6 +23,30 @@ DEATH = "وفاة"
 ARCHIVE_COLUMNS = ["archive_reason", "archive_details", "date_of_death", "archived_at"]
 
 
+# Display names of the patient sheet's columns.
+EXPORT_LABELS = {
+    "name": "الاسم الكامل",
+    "medical_id": "الرقم الطبي",
+    "national_id": "الرقم القومي",
+    "age": "العمر",
+    "dob": "تاريخ الميلاد",
+    "gender": "الجنس",
+    "blood_type": "فصيلة الدم",
+    "phone": "رقم الهاتف",
+    "address": "العنوان",
+    "added_date": "تاريخ الإضافة",
+    "referral_date": "تاريخ الإحالة",
+    "referral_expiry": "انتهاء الإحالة",
+    "referral_place": "مكان الإحالة",
+    "dialysis_unit": "الوحدة الداخلية",
+    "virus_status": "حالة الفيروسات",
+    "chronic_diseases": "الأمراض المزمنة",
+    "dialysis_days": "أيام الغسيل الثابتة",
+    "dialysis_shift": "الشفت",
+    "patient_notes": "ملاحظات المريض",
+}
+
+
 def with_age(patients: DataFrame, as_of: S.DateLike) -> DataFrame:
     return patients.withColumn("age", S.age_years("dob", as_of))
 

@@ -289,10 +289,14 @@ def predicted_roster(
     """Expected dates of active patients in the month, and whether a session was held."""
     people = filters.equals_if_given(patients, {"dialysis_unit": unit})
     people = filters.non_blank(filters.expiry_status(people, "referral_expiry", as_of, "active"), "dialysis_days")
-    start, after = S.month_bounds(month)
-    calendar = F.explode(F.sequence(start, F.date_sub(after, 1)))
-    expected = people.select("id", "name", "dialysis_days", calendar.alias("session_date"))
-    expected = filters.has_token(expected, "dialysis_days", S.weekday_token("session_date"))
+    # The month's dates of each weekday are constants; only those of a patient's days are made rows.
+    given = S.tokens("dialysis_days")
+    none = F.array().cast("array<date>")
+    dates = [
+        F.when(F.array_contains(given, name), F.array(*map(F.lit, days))).otherwise(none)
+        for name, days in S.dates_by_weekday(month).items()
+    ]
+    expected = people.select("id", "name", F.explode(F.flatten(F.array(*dates))).alias("session_date"))
     held = (
         filters.in_month(sessions, "session_date", month)
         .select(F.col("patient_id").alias("id"), "session_date")

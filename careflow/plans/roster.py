@@ -46,7 +46,45 @@ def roster_sheet(staff: DataFrame, changes: DataFrame, month: str, job: str | No
 
 
 def roster_hours(staff: DataFrame, changes: DataFrame, month: str, job: str | None = None) -> DataFrame:
-    return roster_sheet(staff, changes, month, job).select("id", "name", "total_hours")
+    """Total hours: the default shift on every day without an override, and the overrides."""
+    per_day = filters.in_month(changes, "shift_date", month).groupBy(F.col("staff_id").alias("id"), "shift_date")
+    # One code per day first, as in the sheet; then two numbers per staff member.
+    codes = per_day.agg(F.max("new_shift_type").alias("code")).where(F.col("code").isNotNull())
+    overrides = codes.groupBy("id").agg(
+        F.count(F.lit(1)).alias("days"), F.sum(S.shift_hours("code").cast("bigint")).alias("hours")
+    )
+    people = filters.equals_if_given(staff, {"job_title": job}).select("id", "name", "default_shift")
+    plain = F.lit(len(S.month_days(month))) - F.coalesce("days", F.lit(0))
+    total = plain * S.shift_hours(F.coalesce("default_shift", F.lit(""))) + F.coalesce("hours", F.lit(0))
+    return (
+        people.join(overrides, "id", "left")
+        .select("id", "name", total.cast("bigint").alias("total_hours"))
+        .orderBy("name", "id")
+    )
+
+
+SHIFT_KEY = ["staff_id", "shift_date"]
+
+
+def change_shifts(changes: DataFrame, batch: DataFrame, order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Single shift changes (staff_id, shift_date, new_shift_type, substitute_staff_id, notes).
+
+    A row of the same staff member and day is replaced whole, with the new substitute (0 counts as
+    none) and notes. Log: staff_id, shift_date, action; a row without staff, date or shift is refused.
+    """
+    kept = ["staff_id", "shift_date", "new_shift_type", "substitute_staff_id", "notes"]
+    rows = batch.select(*dict.fromkeys([*kept, *order]))
+    rows = rows.withColumn("substitute_staff_id", F.nullif("substitute_staff_id", F.lit(0)))
+    valid, bad = split_valid(require(rows, kept[:3]))
+    state, log = replace_by_key(changes, valid, SHIFT_KEY, order)
+    refused = F.concat(F.lit("refused: "), F.array_join("reasons", "; "))
+    return state, log.unionByName(bad.select(*SHIFT_KEY, refused.alias("action")))
+
+
+def roster_labels(month: str) -> dict[str, str]:
+    """Display names of the roster sheet's columns."""
+    days = {f"day{d.day}": str(d.day) for d in S.month_days(month)}
+    return {"name": "الموظف", **days, "total_hours": "الإجمالي"}
 
 
 def save_roster(

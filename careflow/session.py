@@ -84,6 +84,8 @@ def materialise(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows, computed once into Parquet files in the shared folder. Later reads take only the
     columns they need, and joins know the size."""
+    if "void" in df.schema.simpleString():
+        return materialise(df)  # files cannot hold columns without a type
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
