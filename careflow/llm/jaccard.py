@@ -10,7 +10,9 @@ single tokens; the size between them is where the summed cost is least. Pairs ar
 on whole sets.
 
 For components not every pair is needed: in each list all are first compared with one pivot,
-and only lists that still hold several components give all their pairs across components.
+and only lists that still hold several components are compared in full. Lists with many common
+classes, as of a large group of near copies, are not read pair by pair: their classes are dealt
+into blocks, and the overlaps of two blocks are one product of their incidence matrices.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from careflow.llm.common import free, remove, slices, small, text_key, written
 from careflow.llm.components import components
 from careflow.llm.shingles import shingle_sets
+from careflow.llm.vectors import grouped, merge
 
 SHINGLE, PERCENT = 5, 80
 # Share of the hash space whose tokens are counted over all documents and ordered by rarity.
@@ -37,6 +40,9 @@ PIVOT_ROUNDS = 4
 # a pivot closes the list before.
 SCANNED = 0.02
 
+# Sets and tokens of a block, and tokens that a product takes at once.
+BLOCK_SETS, BLOCK_TOKENS, AT_ONCE = 2048, 1 << 20, 4096
+
 ROW = "rid bigint, doc_id bigint, text_key bigint, n bigint, d1 bigint, d2 bigint, counted bigint, prefix bigint, tokens array<bigint>"
 
 
@@ -86,6 +92,63 @@ def whole_sets(shingle: int):
     return run
 
 
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many tokens each set of the one list has in common with each of the other."""
+    ends = np.cumsum([0, *map(len, left), *map(len, right)])
+    tokens, code = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    row = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+    common = np.zeros((len(left), len(right)), np.float32)
+    # Tokens of one side only are in no overlap.
+    mine = np.bincount(code[row < len(left)], minlength=len(tokens)) > 0
+    theirs = np.bincount(code[row >= len(left)], minlength=len(tokens)) > 0
+    place = np.cumsum(mine & theirs) - 1
+    kept = (mine & theirs)[code]
+    row, code = row[kept], place[code[kept]]
+    order = np.argsort(code, kind="stable")
+    row, code = row[order], code[order]
+    for at in range(0, int(code[-1]) + 1 if len(code) else 0, AT_ONCE):
+        part = slice(*np.searchsorted(code, [at, at + AT_ONCE]))
+        dense = np.zeros((len(ends) - 1, AT_ONCE), np.float32)
+        dense[row[part], code[part] - at] = 1
+        common += dense[: len(left)] @ dense[len(left) :].T
+    return common
+
+
+def compare_blocks(percent: int, every: bool):
+    """Arrow batches of (super, a, b, block, cls, found), sorted, to links (a, b) of each pair of blocks:
+    all of them, or a star per component."""
+
+    def run(batches):
+        for (_, a, b), block, cls, found in grouped(batches, ("super", "a", "b"), ("block", "cls", "found")):
+            sets, cls = [np.array(f, np.int64) for f in found], np.array(cls, np.int64)
+            sizes, block = np.array([len(x) for x in sets]), np.array(block)
+            one, two = np.flatnonzero(block == a), np.flatnonzero(block == b)
+            # Rows of the left block some at a time, so the overlaps stay small.
+            label = np.arange(len(sets))
+            for at in range(0, len(one), 256):
+                rows = one[at : at + 256]
+                common = overlaps([sets[i] for i in rows], [sets[i] for i in two])
+                both = sizes[rows][:, None] + sizes[two][None, :]
+                linked = 100 * common >= percent * (both - common)
+                i, j = np.nonzero(linked)
+                i, j = rows[i], two[j]
+                i, j = (i[i < j], j[i < j]) if a == b else (i, j)
+                if not every:
+                    merge(label, i, j)
+                elif len(i):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.minimum(cls[i], cls[j])), pa.array(np.maximum(cls[i], cls[j]))], names=["a", "b"]
+                    )
+            if not every:
+                i = np.flatnonzero(label != np.arange(len(sets)))
+                j = label[i]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.minimum(cls[i], cls[j])), pa.array(np.maximum(cls[i], cls[j]))], names=["a", "b"]
+                )
+
+    return run
+
+
 class Join:
     """The steps over one table of documents."""
 
@@ -224,6 +287,30 @@ class Join:
         # The sums are whole numbers; a rounded quotient may not cost a pair.
         return counted.where(common + after >= needed - 1).select("a", "b").distinct()
 
+    def in_blocks(self, lists: DataFrame, sets: DataFrame, every: bool) -> tuple[DataFrame, DataFrame]:
+        """Links of the classes that lists connect densely, and the rows of all other lists.
+
+        Classes of one list are in one group. A group is compared in blocks where its pairs are no
+        more than its lists' pairs, which meet the same two classes once per common list.
+        """
+        stars = lists.select(F.col("cls").alias("a"), F.col("pivot.p").alias("b")).distinct()
+        named = written(components(stars).select(F.col("node").alias("cls"), F.col("component").alias("super")), "list-groups")
+        sizes = named.join(sets.select("cls", F.size("found").cast("bigint").alias("tokens")), "cls")
+        sizes = sizes.groupBy("super").agg(F.count(F.lit(1)).alias("sets"), F.sum("tokens").alias("tokens"))
+        work = lists.select("cls", "length").groupBy("cls").agg(F.sum("length").alias("met"))
+        work = work.join(named, "cls").groupBy("super").agg(F.sum("met").alias("met"))
+        many = F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("tokens") / BLOCK_TOKENS))
+        dense = sizes.join(work, "super").where(F.col("sets") * F.col("sets") <= F.col("met"))
+        dense = written(dense.select("super", many.cast("int").alias("blocks")), "dense-groups")
+        members = written(named.join(small(dense, 16, self.most_bytes), "super"), "dense-classes")
+        block = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
+        dealt = members.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        ends = [F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b")]
+        dealt = dealt.select("super", *ends, "block", "cls").join(sets, "cls").select("super", "a", "b", "block", "cls", "found")
+        sorted_ = dealt.repartition("super", "a", "b").sortWithinPartitions("super", "a", "b", "block", "cls")
+        links = written(sorted_.mapInArrow(compare_blocks(self.percent, every), "a bigint, b bigint"), "block-links")
+        return links, lists.join(small(members.select("cls"), 16, self.most_bytes), "cls", "left_anti")
+
     def pivot_pairs(self, lists: DataFrame) -> DataFrame:
         """Every class with one pivot: the first in this turn's order among those of its lists."""
         wanted = (F.col("component") != F.col("pivot.other")) & self.fits(F.col("n"), F.col("pivot.m"))
@@ -244,7 +331,11 @@ class Join:
             # An upper bound of the pairs that full comparison would look at, and the rows now.
             pairs, rows = lists.agg(F.sum((F.col("length") - 1) / 2), F.count(F.lit(1))).first()
             done = every or turn == PIVOT_ROUNDS or not rows or pairs <= 2 * rows or (before is not None and 2 * pairs > before)
-            new = self.verified(self.all_pairs(lists) if done else self.pivot_pairs(lists), sets)
+            if done:
+                links, rest = self.in_blocks(lists, sets, every)
+                new = self.verified(self.all_pairs(rest), sets).unionByName(links)
+            else:
+                new = self.verified(self.pivot_pairs(lists), sets)
             found, before = new if found is None else found.unionByName(new), pairs
             if done:
                 remove(lists)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from careflow.llm.common import remove, small, written
 from careflow.llm.components import components
-from careflow.llm.vectors import classes, dense, matrix, pieces
+from careflow.llm.vectors import classes, dense, grouped, matrix, merge, pieces
 
 THRESHOLD = 0.95
 # Vectors of a group, and numbers it may hold (long vectors make smaller groups).
@@ -79,7 +79,7 @@ def _tiles(found: DataFrame, dtype: str) -> DataFrame:
     """The classes of a group in tiles of like scale."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (size, grp), cids, keys in _grouped(batches, ("size", "grp"), ("cid", "key")):
+        for (size, grp), cids, keys in grouped(batches, ("size", "grp"), ("cid", "key")):
             q, scale, rest = quantised(matrix(pa.array(keys, pa.binary()), dtype))
             cids, order = np.array(cids, np.int64), np.argsort(scale, kind="stable")
             for tile, at in enumerate(range(0, len(order), TILE)):
@@ -99,22 +99,6 @@ def _tiles(found: DataFrame, dtype: str) -> DataFrame:
     return dealt.mapInArrow(build, TILES)
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], columns: tuple[str, ...]):
-    """The values of `columns` per run of equal keys of a sorted partition."""
-    now, held = None, None
-    for batch in batches:
-        values = [batch.column(c).to_pylist() for c in columns]
-        for i, key in enumerate(zip(*(batch.column(k).to_pylist() for k in keys))):
-            if key != now:
-                if held is not None:
-                    yield now, *held
-                now, held = key, tuple([] for _ in columns)
-            for into, column in zip(held, values):
-                into.append(column[i])
-    if held is not None:
-        yield now, *held
-
-
 def possible(a: tuple, b: tuple, threshold: float) -> np.ndarray:
     """Whether the bound leaves room for the threshold, for all pairs of two tiles (q, scale, rest)."""
     (qa, sa, ra), (qb, sb, rb) = a, b
@@ -136,7 +120,7 @@ def _candidates(tiles: DataFrame, counts: DataFrame, threshold: float) -> DataFr
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = ("grp", "cid", "q", "scale", "rest")
-        for (size, a, b), grp, cid, q, scale, rest in _grouped(batches, ("size", "a", "b"), columns):
+        for (size, a, b), grp, cid, q, scale, rest in grouped(batches, ("size", "a", "b"), columns):
             sides = []
             for g in (a, b):
                 at = [i for i, x in enumerate(grp) if x == g]
@@ -187,24 +171,11 @@ def _candidates(tiles: DataFrame, counts: DataFrame, threshold: float) -> DataFr
     return sent.repartition("size", "a", "b").sortWithinPartitions("size", "a", "b", "grp", "tile").mapInArrow(meet, WANTED)
 
 
-def merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """Joins the components of a[i] and b[i]; `label` holds each one's least member."""
-    while True:
-        x, y = label[a], label[b]
-        apart = x != y
-        if not apart.any():
-            return
-        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
-        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
-        while not np.array_equal(label, label[label]):
-            label[:] = label[label]
-
-
 def _verified(wanted: DataFrame, found: DataFrame, dtype: str, threshold: float) -> DataFrame:
     """(cid, links, root) per class and pair of groups: linked vectors there, and the least class linked to it there."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, side, cid, bits, key, rows in _grouped(batches, ("pair",), ("side", "cid", "bits", "key", "rows")):
+        for _, side, cid, bits, key, rows in grouped(batches, ("pair",), ("side", "cid", "bits", "key", "rows")):
             n = side.index(1)
             vectors = _scaled(matrix(pa.array(key, pa.binary()), dtype))
             length = np.sqrt((vectors * vectors).sum(1))

@@ -1,4 +1,4 @@
-"""What the vector operators share: whole rows as bytes, equal ones as one class, block sums."""
+"""What operators on blocks of rows share: vectors as bytes, equal ones as one class, block sums, groups."""
 
 from __future__ import annotations
 
@@ -67,3 +67,32 @@ def summed(parts: DataFrame) -> list[np.ndarray]:
 def classes(coded: DataFrame, *aggs) -> DataFrame:
     """One row per distinct `key` with `rows`, its number; counted before the shuffle."""
     return coded.where(F.col("key").isNotNull()).groupBy("key").agg(F.count(F.lit(1)).alias("rows"), *aggs)
+
+
+def grouped(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], columns: tuple[str, ...]):
+    """The values of `columns` per run of equal keys of a sorted partition."""
+    now, held = None, None
+    for batch in batches:
+        values = [batch.column(c).to_pylist() for c in columns]
+        for i, key in enumerate(zip(*(batch.column(k).to_pylist() for k in keys))):
+            if key != now:
+                if held is not None:
+                    yield now, *held
+                now, held = key, tuple([] for _ in columns)
+            for into, column in zip(held, values):
+                into.append(column[i])
+    if held is not None:
+        yield now, *held
+
+
+def merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Joins the components of a[i] and b[i]; `label` holds each one's least member."""
+    while True:
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            return
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(label, label[label]):
+            label[:] = label[label]

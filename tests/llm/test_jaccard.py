@@ -73,6 +73,44 @@ def test_a_group_of_near_copies_is_not_compared_pair_by_pair(docs):
     assert {r.component_id for r in out.collect()} == {0}
 
 
+def edited_group(seed, n, length, edits):
+    """Texts made from one by random edits: each is near the source, pairs are about the threshold."""
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(length)]
+    out = []
+    for k in range(n):
+        text = list(base)
+        for _ in range(edits):
+            text[rng.randrange(length)] = f"new{rng.randrange(40)}"
+        out.append(" ".join(text))
+    return out
+
+
+def test_a_group_about_the_threshold_equals_sql(docs, against_sql, monkeypatch):
+    """Many pairs of the group are below the threshold, so pivots leave several components open."""
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 50)
+    monkeypatch.setattr(jaccard, "PIVOT_ROUNDS", 1)
+    blocks, plain = [], jaccard.Join.in_blocks
+    monkeypatch.setattr(jaccard.Join, "in_blocks", lambda *a: blocks.append(plain(*a)) or blocks[-1])
+    table = edited_group(1, 220, 92, 1) + texts(5, 60)
+    against_sql("op4_jaccard_join", lambda documents: near_duplicates(documents), documents=docs(*table))
+    assert blocks[0][0].count() > 0
+
+
+def test_every_link_of_a_group_is_found(docs, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 40)
+    table = edited_group(2, 150, 92, 1)
+    links, members = similar_pairs(docs(*table))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(88)} for t in table]
+    cls = {r.doc_id: r.cls for r in members.collect()}
+    want = {
+        (min(cls[i], cls[j]), max(cls[i], cls[j]))
+        for i in range(150) for j in range(i) if cls[i] != cls[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])
+    }
+    got = [(r.a, r.b) for r in links.collect()]
+    assert set(got) == want and len(got) == len(want) and 300 < len(want) < 150 * 149 // 2
+
+
 def test_one_of_each_keeps_all_columns(docs):
     table = docs((5, "a b c d e f g h"), (3, "a b c d e f g h"), (3, "a b c d e f g h"), (None, "A b c d e f g h"), (None, "q r s t u v"), (9, None), (9, None), (8, ""))
     kept = one_of_each(table)

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import careflow.llm.tiles as tiles
-from careflow.llm.tiles import merge, near_vectors, possible, quantised
+from careflow.llm.tiles import near_vectors, possible, quantised
+from careflow.llm.vectors import merge
 from tests.conftest import rows
 from tests.llm.conftest import SMALL
 
