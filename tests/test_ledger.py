@@ -78,6 +78,38 @@ def test_reconcile(spark):
         assert rows(got, "supply_id", "gap_free", "matches_stock") == [(1, True, True), (2, False, True), (9, True, False)]
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_reconcile_over_blocks_equals_row_by_row(spark, seed):
+    rng, log, stock = random.Random(seed), [], {}
+    for t in range(400):
+        key = 0 if rng.random() < 0.4 else rng.randrange(1, 40)
+        change = rng.randrange(-5, 9)
+        stock[key] = stock.get(key, 3) + change + (1 if rng.random() < 0.004 else 0)
+        log.append((key, t, change, stock[key]))
+    expected = []
+    for key in sorted(stock):
+        own = [r for r in log if r[0] == key]
+        joined = all(b[3] == a[3] + b[2] for a, b in zip(own, own[1:]))
+        expected.append((key, len(own), own[-1][3], joined, own[-1][3] == stock[key] and key % 2 == 0))
+    supplies = spark.createDataFrame([(k, q if k % 2 == 0 else q + 1) for k, q in stock.items()], "id bigint, quantity bigint")
+    table = spark.createDataFrame(log, "supply_id bigint, t int, change_amount bigint, new_quantity bigint").repartition(3)
+    for hot in ({}, {"hot_rows": 20, "blocks": 7}, {"hot_rows": 0, "blocks": 5}):
+        got = inventory.reconcile_ledger(supplies, table, ["t"], **hot)
+        assert rows(got, "supply_id", "entries", "last_logged", "gap_free", "matches_stock") == expected
+
+
+def test_usage_is_withdrawn_and_logged_negative(spark):
+    supplies = spark.createDataFrame([(1, 5), (2, 1)], "id bigint, quantity bigint")
+    usage = [(1, 1, "3"), (1, 2, "-5"), (1, 3, "0"), (1, 4, "2.9"), (1, 5, "1"), (2, 6, "x"), (2, 7, None), (9, 8, "1"), (2, 9, "0.4")]
+    after, log = inventory.use_supplies(supplies, spark.createDataFrame(usage, "supply_id bigint, t int, quantity_used string"), ["t"])
+    assert rows(log, "t", "change_amount", "status", "new_quantity") == [
+        (1, -3, "accepted", 2), (2, None, "bad quantity", None), (3, None, "bad quantity", None), (4, -2, "accepted", 0),
+        (5, -1, "negative", None), (6, None, "bad quantity", None), (7, None, "bad quantity", None),
+        (8, -1, "unknown supply", None), (9, 0, "accepted", 1),
+    ]
+    assert rows(after, "id", "quantity") == [(1, 0), (2, 1)]
+
+
 def purchase(spark):
     orders = spark.createDataFrame([(1, "Pending"), (2, "Completed"), (3, "Pending"), (4, "Pending")], "id bigint, status string")
     items = spark.createDataFrame(

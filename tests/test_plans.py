@@ -3,11 +3,12 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from careflow.bindings.views import Views
 from careflow.functions import filters
-from careflow.operators import paging
-from careflow.plans import billing, labs, reports
+from careflow.operators import ordered, paging
+from careflow.plans import billing, inventory, labs, reports, roster
 from careflow.sources import tables
 
 FOLDER = "/root/testdata/sf0.001"
@@ -83,3 +84,39 @@ def test_no_cross_products_in_any_report(v):
     ):
         text = plan(df, "simple")
         assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+
+
+def test_last_rows_are_found_in_a_hash_aggregate(v):
+    text = plan(ordered.last_wins(v.lab_results, ["patient_id", "result_date"], ["id"]), "simple")
+    assert "HashAggregate" in text and "SortAggregate" not in text and "Window" not in text
+    # Only keys and order are read for the aggregate.
+    narrow = plan(ordered.last_wins(v.lab_results, ["patient_id", "result_date"], ["id"]))
+    assert "struct<event_id:bigint,ts:timestamp_ntz,user_id:bigint>" in narrow
+
+
+def test_roster_hours_need_no_calendar(v):
+    text = plan(roster.roster_hours(v.staff, v.shift_changes, "2024-01"), "simple")
+    assert text.count("first(") < 5 and "pivot" not in text.lower() and "day31" not in text
+
+
+def test_predicted_dates_are_made_for_the_patients_weekdays_only(v):
+    expected = reports.predicted_roster(v.patients, v.sessions, "1997-03", "1998-06-15")
+    text = plan(expected, "simple")
+    assert "sequence(" not in text and text.count("Generate") >= 1
+
+
+def test_received_items_are_read_once(spark, v, monkeypatch):
+    scans, plain = [], inventory.stored
+    monkeypatch.setattr(inventory, "stored", lambda df, name: scans.append((name, plan(df, "simple"))) or plain(df, name))
+    receipts = v.purchase_orders.selectExpr("id AS request", "id AS order_id")
+    out = inventory.receive_orders(v.purchase_orders, v.purchase_order_items, v.medical_supplies, receipts, ["id"])
+    assert [name for name, _ in scans] == ["received-items"]
+    # What comes after reads the stored items, not the order lines.
+    assert "lineitem" in scans[0][1] and not any("lineitem" in plan(df, "simple") for df in out)
+
+
+def test_reconciling_takes_one_window_over_the_log(spark, v):
+    log = v.stock_movements.withColumn("new_quantity", F.col("change_amount"))
+    text = plan(inventory.reconcile_ledger(v.medical_supplies, log, ["moved_on", "order_no", "line_no"]), "simple")
+    # The second window is over one row per supply and block.
+    assert len(re.findall(r"\bWindow \[", text)) <= 2 and text.count("FileScan") == 2
