@@ -1,11 +1,13 @@
 """Adaptive context-mixing range coder for token ids.
 
 Ids are coded in blocks that know nothing of each other: every block begins with the same
-model. The last id seen after the two ids before (order 2) and after the one before (order 1)
-are predictions; how often such a prediction of that standing came true is their weight. The
-rest of the range goes to order 0: a prior that falls with the id, to which the block's own
-counts of runs of ids are added every `REBUILD` ids. An id takes the part of the range of the
-highest order that predicted it. Blocks are coded side by side, one array lane each.
+model. A chunk's header names the ids that occur in it and about how often; within the chunk an
+id is its place among them. The last id seen after the two ids before (order 2) and after the
+one before (order 1) are predictions; how often such a prediction of that standing came true is
+their weight. The rest of the range goes to order 0: the header's frequencies, to which the
+block's own counts of every id are added each `REBUILD` ids. The shares are added up: an id that
+an order predicts has that order's share and, at its own place, its part of order 0's, of
+which the coder takes the former. Blocks are coded side by side, one array lane each.
 """
 
 from __future__ import annotations
@@ -15,12 +17,14 @@ import zlib
 
 import numpy as np
 
-BLOCK, LANES = 4096, 1024
+BLOCK, LANES = 8192, 512
+# Numbers of a model's tables over all lanes; large alphabets get fewer lanes.
+MODEL_NUMBERS = 1 << 23
 # Bits of the whole range of a step and of order 0, which always gets that much at least.
 TOTAL_BITS, ZERO_BITS = 26, 22
-# Order 0 counts runs of eight ids, the block's own with this weight, anew after so many ids.
-RUN_BITS, COUNT, REBUILD = 3, 128, 1024
-TABLE1, TABLE2 = 12, 13
+# The frequencies of the header count as PRIOR ids together, the block's own are added after so many ids.
+PRIOR, WEIGHT_BITS, REBUILD = 4096, 26, 2048
+TABLE1, TABLE2 = 13, 14
 STAND, ID_MASK = 20, (1 << 20) - 1
 WHOLE = np.uint64((1 << 64) - 1)
 WORD = np.uint64((1 << 32) - 1)
@@ -30,9 +34,9 @@ U32 = np.uint64(32)
 class Model:
     """Predictions of all lanes; the first `k` lanes are active. Tables are flat, a stretch per lane."""
 
-    def __init__(self, lanes: int, vocabulary: int):
-        self.runs = (vocabulary >> RUN_BITS) + 1
-        self.prior = 1 + (200_000 << RUN_BITS) // ((np.arange(self.runs) << RUN_BITS) + 50)
+    def __init__(self, lanes: int, weights: np.ndarray):
+        self.runs = len(weights)
+        self.prior = 1 + (weights << WEIGHT_BITS) // max(1, int(weights.sum()))
         self.counts = np.zeros((lanes, self.runs), np.int32)
         self.cum = np.empty((lanes, self.runs + 1), np.int64)
         lane = np.arange(lanes)
@@ -46,8 +50,8 @@ class Model:
 
     def _rebuild(self, k: int) -> None:
         """Order 0 from the prior and the counts, scaled to its range; every id keeps a part."""
-        sums = np.cumsum(self.counts[:k] * np.int64(COUNT) + self.prior, axis=1)
-        least = np.arange(1, self.runs + 1) << RUN_BITS
+        sums = np.cumsum(self.counts[:k] * np.int64((1 << WEIGHT_BITS) // PRIOR) + self.prior, axis=1)
+        least = np.arange(1, self.runs + 1)
         free = (1 << ZERO_BITS) - int(least[-1])
         self.cum[:k, 0] = 0
         self.cum[:k, 1:] = sums * free // sums[:, -1:] + least
@@ -70,26 +74,18 @@ class Model:
 
     def zero(self, k: int, ids: np.ndarray, share0: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the ids' parts of order 0 begin, and their widths."""
-        at, place = self.row0[:k] + (ids >> RUN_BITS), ids & ((1 << RUN_BITS) - 1)
-        begin = self.flat.take(at)
-        width = self.flat.take(at + 1) - begin
-        first = (begin + (width * place >> RUN_BITS)) * share0 >> ZERO_BITS
-        return first, ((begin + (width * (place + 1) >> RUN_BITS)) * share0 >> ZERO_BITS) - first
+        at = self.row0[:k] + ids
+        first = self.flat.take(at) * share0 >> ZERO_BITS
+        return first, (self.flat.take(at + 1) * share0 >> ZERO_BITS) - first
 
     def find(self, k: int, rest: np.ndarray, share0: np.ndarray) -> np.ndarray:
-        """The ids whose parts of order 0 hold the values, by halving over runs and then within one."""
+        """The ids whose parts of order 0 hold the values, by halving."""
         row, lo = self.row0[:k], np.zeros(k, np.int64)
         for bit in range(self.runs.bit_length() - 1, -1, -1):
             mid = lo + (1 << bit)
             inside = np.minimum(mid, self.runs)
             lo += ((mid < self.runs) & (self.flat.take(row + inside) * share0 >> ZERO_BITS <= rest)).astype(np.int64) << bit
-        begin = self.flat.take(row + lo)
-        width = self.flat.take(row + lo + 1) - begin
-        place = np.zeros(k, np.int64)
-        for bit in range(RUN_BITS - 1, -1, -1):
-            mid = place + (1 << bit)
-            place += ((begin + (width * mid >> RUN_BITS)) * share0 >> ZERO_BITS <= rest).astype(np.int64) << bit
-        return (lo << RUN_BITS) + place
+        return lo
 
     def update(self, k: int, coded: np.ndarray, by2: np.ndarray, by1: np.ndarray) -> None:
         """`coded` are the ids plus 1."""
@@ -106,7 +102,7 @@ class Model:
         self.hit1[self.h1] = np.where(self.own1 & ~by2, np.minimum(np.maximum(r1, 64), 65472), self.r1)
         self.last2[:k] = self.last1[:k]
         self.last1[:k] = coded
-        self.seen[self.step % REBUILD, :k] = coded - 1 >> RUN_BITS
+        self.seen[self.step % REBUILD, :k] = coded - 1
         self.step += 1
         if self.step % REBUILD == 0:
             flat = self.seen[:, :k].astype(np.int64) + self.lanes[:k] * self.runs
@@ -134,14 +130,14 @@ def _part(model: Model, k: int, ids: np.ndarray, by2, by1, share2, share1, share
     return np.where(by2, 0, start), np.where(by2, share2, width)
 
 
-def encode_blocks(blocks: list[np.ndarray], vocabulary: int) -> list[bytes]:
+def encode_blocks(blocks: list[np.ndarray], weights: np.ndarray) -> list[bytes]:
     """Coded bytes of each block, the longest first."""
     lengths = np.array([len(b) for b in blocks])
     n, longest = len(blocks), int(lengths.max(initial=0))
     ids = np.zeros((longest, n), np.int32)
     for j, block in enumerate(blocks):
         ids[: len(block), j] = block
-    model = Model(n, vocabulary)
+    model = Model(n, weights)
     low, span = np.zeros(n, np.uint64), np.full(n, WHOLE)
     words, count = np.zeros((n, longest + 2), np.uint32), np.zeros(n, np.int64)
     for i in range(longest):
@@ -161,13 +157,13 @@ def encode_blocks(blocks: list[np.ndarray], vocabulary: int) -> list[bytes]:
     return [words[j, : count[j]].astype("<u4").tobytes() for j in range(n)]
 
 
-def decode_blocks(coded: list[bytes], lengths: list[int], vocabulary: int) -> list[np.ndarray]:
+def decode_blocks(coded: list[bytes], lengths: list[int], weights: np.ndarray) -> list[np.ndarray]:
     """The ids of each block, the longest first."""
     n, longest, sizes = len(coded), max(lengths, default=0), np.array(lengths)
     words = np.zeros((n, longest + 3), np.uint32)
     for j, data in enumerate(coded):
         words[j, : len(data) // 4] = np.frombuffer(data, "<u4")
-    model = Model(n, vocabulary)
+    model = Model(n, weights)
     low, span = np.zeros(n, np.uint64), np.full(n, WHOLE)
     code = (words[:, 0].astype(np.uint64) << U32) | words[:, 1]
     count = np.full(n, 2, np.int64)
@@ -191,35 +187,67 @@ def decode_blocks(coded: list[bytes], lengths: list[int], vocabulary: int) -> li
     return [ids[: lengths[j], j] for j in range(n)]
 
 
-MAGIC = b"CFT1"
+MAGIC = b"CFT2"
+
+
+def _levels(counts: np.ndarray) -> np.ndarray:
+    """Counts in a byte each: eight steps to a doubling."""
+    top = np.floor(np.log2(counts)).astype(np.int64)
+    return ((top << 3) + ((counts << 3 >> top) & 7)).astype(np.uint8)
+
+
+def _weights(levels: np.ndarray) -> np.ndarray:
+    levels = levels.astype(np.int64)
+    return np.maximum(1, (8 + (levels & 7)) << (levels >> 3) >> 3)
+
+
+def _lanes(alphabet: int) -> int:
+    return max(1, min(LANES, MODEL_NUMBERS // max(1, alphabet)))
 
 
 def write_chunk(ids: np.ndarray, vocabulary: int) -> bytes:
-    """A stream of ids as one chunk: header, a line per block (ids, bytes, crc32 of the ids), the coded blocks."""
-    blocks = [ids[i : i + BLOCK] for i in range(0, len(ids), BLOCK)]
+    """A stream of ids as one chunk: header, the ids that occur and their levels, a line per block (ids,
+    bytes, crc32 of the ids), the coded blocks."""
+    there, places, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    levels = _levels(counts.astype(np.int64)) if len(there) else np.zeros(0, np.uint8)
+    weights = _weights(levels)
+    blocks = [places[i : i + BLOCK] for i in range(0, len(ids), BLOCK)]
     coded: list[bytes] = []
-    for i in range(0, len(blocks), LANES):
-        coded += encode_blocks(blocks[i : i + LANES], vocabulary)
-    head = MAGIC + struct.pack("<III", vocabulary, BLOCK, len(blocks))
-    lines = [struct.pack("<III", len(b), len(c), zlib.crc32(b.astype("<u4").tobytes())) for b, c in zip(blocks, coded)]
+    lanes = _lanes(len(there))
+    for i in range(0, len(blocks), lanes):
+        coded += encode_blocks(blocks[i : i + lanes], weights)
+    steps = np.diff(there.astype(np.int64), prepend=0).astype("<u4")
+    table = zlib.compress(steps.tobytes() + levels.tobytes())
+    head = MAGIC + struct.pack("<IIIII", vocabulary, BLOCK, len(blocks), len(there), len(table)) + table
+    checks = [zlib.crc32(ids[i : i + BLOCK].astype("<u4").tobytes()) for i in range(0, len(ids), BLOCK)]
+    head += struct.pack("<I", zlib.crc32(head))
+    lines = [struct.pack("<III", len(b), len(c), check) for b, c, check in zip(blocks, coded, checks)]
     return b"".join([head, *lines, *coded])
 
 
 def read_chunk(data: bytes) -> np.ndarray:
-    """The ids of a chunk. Raises if it is not one or a block's checksum differs."""
+    """The ids of a chunk. Raises if it is not one or a checksum differs."""
     if data[:4] != MAGIC:
         raise ValueError("not a chunk of coded ids")
-    vocabulary, _, n = struct.unpack_from("<III", data, 4)
-    lines = [struct.unpack_from("<III", data, 16 + 12 * i) for i in range(n)]
-    at, coded = 16 + 12 * n, []
+    _, _, n, alphabet, size = struct.unpack_from("<IIIII", data, 4)
+    at = 24 + size
+    if zlib.crc32(data[:at]) != struct.unpack_from("<I", data, at)[0]:
+        raise ValueError("the checksum of a chunk's header differs")
+    table = zlib.decompress(data[24:at])
+    there = np.cumsum(np.frombuffer(table, "<u4", alphabet).astype(np.int64)).astype("<u4")
+    weights = _weights(np.frombuffer(table, np.uint8, alphabet, 4 * alphabet))
+    at += 4
+    lines = [struct.unpack_from("<III", data, at + 12 * i) for i in range(n)]
+    at, coded = at + 12 * n, []
     for _, size, _ in lines:
         coded.append(data[at : at + size])
         at += size
-    out = []
-    for i in range(0, n, LANES):
-        some = lines[i : i + LANES]
-        for (_, _, check), block in zip(some, decode_blocks(coded[i : i + LANES], [x[0] for x in some], vocabulary)):
-            block = block.astype("<u4")
+    out, lanes = [], _lanes(alphabet)
+    for i in range(0, n, lanes):
+        some = lines[i : i + lanes]
+        for (_, _, check), block in zip(some, decode_blocks(coded[i : i + lanes], [x[0] for x in some], weights)):
+            # A damaged block may name places that are not there; its checksum tells.
+            block = there[np.minimum(block, alphabet - 1)]
             if zlib.crc32(block.tobytes()) != check:
                 raise ValueError("the checksum of a block of ids differs")
             out.append(block)

@@ -8,6 +8,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from careflow.llm import rangecoder
+from careflow.llm.tokens import encoder
 from careflow.llm.idfiles import coded_ids, write_ids
 from careflow.llm.packing import best_fit, fix_dominating, pack, solve
 from careflow.llm.tokens import Encoder
@@ -106,6 +107,19 @@ def test_range_coder_round_trip(monkeypatch, vocabulary, n):
     assert len(data) < 2 * n + 200
 
 
+def test_smaller_than_deflate_and_than_fixed_frequencies(spark):
+    """On real texts: below zlib on the same blocks, and below the entropy of single ids."""
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").limit(400).collect()]
+    ids = np.frombuffer(b"".join(encoder(public_tokenizers.path("byte_bpe_50k.json")).ids(texts)), "<u4")
+    data = rangecoder.write_chunk(ids, 50_257)
+    assert (rangecoder.read_chunk(data) == ids).all()
+    block = rangecoder.BLOCK
+    deflated = sum(len(zlib.compress(ids[i : i + block].tobytes())) for i in range(0, len(ids), block))
+    share = np.unique(ids, return_counts=True)[1] / len(ids)
+    entropy = -(share * np.log2(share)).sum() * len(ids) / 8
+    assert len(data) < 0.85 * deflated and len(data) < entropy
+
+
 def test_learned_repeats_shrink_and_damage_is_noticed():
     ids = np.tile(np.random.default_rng(0).integers(0, 50_257, 300), 40)
     data = rangecoder.write_chunk(ids, 50_257)
