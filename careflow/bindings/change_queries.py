@@ -146,7 +146,7 @@ EXPIRY = """CAST(DATE_TRUNC('month', referral_date) + INTERVAL 1 MONTH * (CASE l
     FROM ok""",
 )
 def add_patients(v):
-    batch = v.patients.selectExpr(*_split_columns(NEW_PATIENTS))
+    batch = v.patients.selectExpr(*split_columns(NEW_PATIENTS))
     state, _ = patients.add_patients(v.patients, batch, ["line"])
     return state.select("id", "name", "medical_id", "national_id", "referral_expiry", "is_archived")
 
@@ -160,12 +160,12 @@ def add_patients(v):
       ON b.line = p.id""",
 )
 def edit_patients(v):
-    batch = v.patients.selectExpr(*_split_columns(NEW_PATIENTS)).withColumnRenamed("line", "id")
+    batch = v.patients.selectExpr(*split_columns(NEW_PATIENTS)).withColumnRenamed("line", "id")
     state, _ = patients.edit_patients(v.patients, batch, ["id"])
     return state.select("id", "name", "medical_id", "referral_expiry", "phone")
 
 
-def _split_columns(sql: str) -> list[str]:
+def split_columns(sql: str) -> list[str]:
     """The expressions of a select list without commas inside parentheses."""
     return [part.strip() for part in sql.split(",")]
 

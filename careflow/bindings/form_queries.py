@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from careflow.bindings.change_queries import MOVE_ORDER
+from careflow.bindings.change_queries import MOVE_ORDER, NEW_PATIENTS, split_columns
 from careflow.bindings.list_queries import AGE
 from careflow.bindings.registry import AS_OF, EVENT_MONTH, MONTH, query
 from careflow.bindings.report_queries import INVOICE_EXPORT, ROSTER_SHEET
 from careflow.bindings.views import VIEWS
 from careflow.operators import changes, paging
-from careflow.plans import billing, inventory, patients, roster
+from careflow.plans import billing, inventory, patients, roster, schedule
 from careflow.schemas import DEFAULTS, REQUIRED, UNIQUE
 from careflow.session import shared_path
-from careflow.sources import sinks, tables
+from careflow.sources import sheets, sinks, tables
 
 # Batches of new rows as (source view, columns); `line` is the order of arrival.
 INSERTS: dict[str, tuple[str, dict[str, str]]] = {
@@ -290,6 +290,130 @@ def export_roster(v):
     return sinks.labelled(roster.roster_sheet(v.staff, v.shift_changes, EVENT_MONTH), roster.roster_labels(EVENT_MONTH))
 
 
+# Logs of changes whose new state is registered elsewhere.
+ADDED_PATIENTS = f"""
+b AS (SELECT {NEW_PATIENTS} FROM patients),
+c AS (SELECT *, CONCAT_WS('; ', CASE WHEN name = '' THEN 'missing name' END,
+    CASE WHEN COALESCE(dialysis_unit, '') = '' THEN 'missing dialysis_unit' END) AS bad FROM b),
+j AS (SELECT *, medical_id IN (SELECT medical_id FROM patients) AS held_medical,
+    COALESCE(national_id IN (SELECT national_id FROM patients WHERE national_id IS NOT NULL), FALSE) AS held_national FROM c),
+f AS (SELECT *, bad = '' AND NOT held_medical AND NOT held_national AS free FROM j),
+r AS (SELECT *, CASE WHEN bad <> '' THEN bad WHEN held_medical THEN 'duplicate medical_id'
+    WHEN free AND ROW_NUMBER() OVER (PARTITION BY medical_id, free ORDER BY line) > 1 THEN 'duplicate medical_id'
+    WHEN NOT free AND EXISTS (SELECT 1 FROM f e WHERE e.free AND e.medical_id = f.medical_id AND e.line < f.line)
+      THEN 'duplicate medical_id'
+    WHEN held_national THEN 'duplicate national_id' END AS reason FROM f)"""
+
+
+@query(
+    "add_patients_log",
+    f"WITH {ADDED_PATIENTS} SELECT line, CASE WHEN reason IS NULL THEN 'added' ELSE 'rejected' END AS action, reason FROM r",
+)
+def add_patients_log(v):
+    return patients.add_patients(v.patients, v.patients.selectExpr(*split_columns(NEW_PATIENTS)), ["line"])[1]
+
+
+@query(
+    "edit_patients_log",
+    f"""WITH b AS (SELECT {NEW_PATIENTS} FROM patients)
+    SELECT line AS id, CASE WHEN name = '' OR COALESCE(dialysis_unit, '') = '' THEN CONCAT_WS('; ',
+      CASE WHEN name = '' THEN 'missing name' END, CASE WHEN COALESCE(dialysis_unit, '') = '' THEN 'missing dialysis_unit' END)
+      ELSE 'updated' END AS action FROM b""",
+)
+def edit_patients_log(v):
+    batch = v.patients.selectExpr(*split_columns(NEW_PATIENTS)).withColumnRenamed("line", "id")
+    return patients.edit_patients(v.patients, batch, ["id"])[1]
+
+
+@query(
+    "append_water_log_log",
+    """SELECT id AS line_no, CASE WHEN id % 9 = 0 THEN 'rejected' ELSE 'added' END AS action,
+      CASE WHEN id % 9 = 0 THEN 'missing log_date' END AS reason FROM lab_results""",
+)
+def append_water_log_log(v):
+    batch = v.lab_results.selectExpr(
+        "id AS line_no", "CASE WHEN id % 9 = 0 THEN NULL ELSE result_date END AS log_date",
+        "'T' || CAST(patient_id AS STRING) AS technician_name", "CAST(test_id AS DOUBLE) AS ph_level",
+    )
+    return changes.append_to("water_treatment_log", v.water_treatment_log, batch, ["line_no"])[1]
+
+
+@query(
+    "update_by_key_log",
+    """SELECT id * 2 AS id, CASE WHEN id * 2 IN (SELECT id FROM lab_results) THEN 'updated' ELSE 'not_found' END AS action
+    FROM lab_results""",
+)
+def update_by_key_log(v):
+    batch = v.lab_results.selectExpr("id AS seq", "id * 2 AS id", "'checked' AS notes")
+    return changes.update_by_key(v.lab_results.drop("result_date"), batch, "id", ["notes"], ["seq"])[1]
+
+
+@query(
+    "record_transfusions_log",
+    "SELECT id, CASE WHEN id % 5 < 2 THEN 'bad bag count' ELSE 'updated' END AS action FROM sessions",
+)
+def record_transfusions_log(v):
+    batch = v.sessions.selectExpr(
+        "id", "CASE id % 5 WHEN 0 THEN 'two' WHEN 1 THEN '-1' ELSE CAST(id % 6 AS STRING) END AS blood_transfusion_bags",
+        "'given' AS notes",
+    )
+    state = v.sessions.select("id", "blood_transfusion_bags", "notes")
+    return schedule.record_transfusions(state, batch, ["id"])[1]
+
+
+@query(
+    "unarchive_log",
+    """WITH w AS (SELECT id FROM archived_patients WHERE archive_details = 'file 3' UNION SELECT id FROM machines)
+    SELECT id, CASE WHEN id IN (SELECT id FROM archived_patients) THEN 'restored' ELSE 'skipped' END AS action FROM w""",
+)
+def unarchive_log(v):
+    ids = v.archived_patients.where("archive_details = 'file 3'").select("id").unionByName(v.machines.select("id"))
+    return patients.unarchive(v.patients, v.archived_patients, ids)[2]
+
+
+PRICE = "CASE WHEN quantity_ordered % 7 = 0 THEN -unit_price WHEN quantity_ordered % 5 = 0 THEN FLOOR(unit_price) * 1000000 ELSE unit_price END"
+QUOTE = "''''"
+
+
+@query(
+    "insert_lines_of_prices",
+    f"""SELECT 'purchase_order_items' AS table_name, 'INSERT INTO purchase_order_items (id, unit_price) VALUES ('
+      || CONCAT_WS(', ', {QUOTE} || CAST(id AS VARCHAR) || {QUOTE}, {QUOTE} || CASE WHEN p = FLOOR(p)
+        THEN CAST(CAST(p AS BIGINT) AS VARCHAR) ELSE CAST(p AS VARCHAR) END || {QUOTE}) || ');' AS line
+    FROM (SELECT id, CAST({PRICE} AS DOUBLE) AS p FROM purchase_order_items)""",
+)
+def insert_lines_of_prices(v):
+    """Prices of the order items as INSERT lines, among them negative ones and some above ten millions."""
+    rows = v.purchase_order_items.selectExpr("id", f"CAST({PRICE} AS DOUBLE) AS unit_price")
+    return sinks.insert_lines(rows, "purchase_order_items")
+
+
+@query(
+    "patient_list_of_a_day",
+    f"""SELECT *, {AGE} AS age FROM patients
+    WHERE REPLACE(',' || dialysis_days || ',', ' ', '') LIKE '%,Wed,%' AND dialysis_unit = 'BUILDING'
+    ORDER BY name NULLS FIRST, id LIMIT 15""",
+)
+def patient_list_of_a_day(v):
+    return patients.patient_list(v.patients, AS_OF, weekday="Wed", unit="BUILDING")
+
+
+@query(
+    "read_sheet",
+    """SELECT COALESCE(serial_number, '') AS serial_number, COALESCE(brand, '') AS brand, COALESCE(ward, '') AS ward,
+      COALESCE(internal_unit, '') AS internal_unit, COALESCE(status, '') AS status,
+      COALESCE(last_maintenance, '') AS last_maintenance FROM machine_sheet""",
+)
+def read_sheet(v):
+    """The machine sheet written as text files with a header line and read back by position."""
+    path = shared_path(v.spark, "sheet")
+    writer = v.machine_sheet.select(*sheets.MACHINE_SHEET.columns).write.option("header", True).option("quoteAll", True)
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    cells = sheets.read_sheet(v.spark, path, sheets.MACHINE_SHEET)
+    names = ["serial_number", "brand", "ward", "internal_unit", "status", "last_maintenance"]
+    return cells.select(*[F.coalesce(n, F.lit("")).alias(n) for n in names])
+
+
 SAVED_SESSIONS = ["id", "patient_id", "session_date", "shift", "notes", "blood_transfusion_bags", "machine_id", "machine_hours_operated"]
 
 

@@ -245,6 +245,9 @@ def plain_text(c: Column | str, dtype: str) -> Column:
     if dtype not in ("double", "float"):
         return c.cast("string")
     text = F.abs(c).cast("string")
+    # Most numbers need none of what follows: their text has no exponent.
+    without = F.when(text.endswith(".0"), F.substr(text, F.lit(1), F.length(text) - 2)).otherwise(text)
+    without = F.when(c < 0, F.concat(F.lit("-"), without)).otherwise(without)
     mantissa = F.regexp_replace(F.regexp_extract(text, r"^([0-9.]+)E", 1), r"\.0$", "")
     digits = F.regexp_replace(mantissa, r"\.", "")
     power = F.regexp_extract(text, r"E(-?[0-9]+)$", 1).try_cast("int")
@@ -256,13 +259,9 @@ def plain_text(c: Column | str, dtype: str) -> Column:
     sign = F.when(power > 0, "e+").otherwise("e-")
     short = F.concat(F.substr(digits, F.lit(1), F.lit(1)), tail, sign, F.abs(power).cast("string"))
     small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
-    plain = (
-        F.when(power.isNull(), F.regexp_replace(text, r"\.0$", ""))
-        .when((power < -6) | (power > 20), short)
-        .when(power < 0, small)
-        .otherwise(whole)
-    )
-    return F.when(F.isnan(c) | (c == 0), F.when(c == 0, "0").otherwise("NaN")).when(c < 0, F.concat(F.lit("-"), plain)).otherwise(plain)
+    plain = F.when((power < -6) | (power > 20), short).when(power < 0, small).otherwise(whole)
+    signed = F.when(c < 0, F.concat(F.lit("-"), plain)).otherwise(plain)
+    return F.when(~text.contains("E"), without).otherwise(signed)
 
 
 def sql_literal(text: Column) -> Column:
