@@ -40,11 +40,19 @@ def get_session(
     return builder.getOrCreate()
 
 
+# Rows that Spark hands to a Python worker at once: texts are long, and a worker keeps what it once took.
+ARROW_ROWS = 2000
+ARROW_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the Python workers, so queries run from any folder. Once per session."""
+    """Sends this package to the Python workers, so queries run from any folder, and bounds the rows
+    they take at once. Once per session."""
     sc = spark.sparkContext
     if spark.conf.get("careflow.shipped", "") == sc.applicationId:
         return
+    if int(spark.conf.get(ARROW_SETTING)) > ARROW_ROWS:
+        spark.conf.set(ARROW_SETTING, str(ARROW_ROWS))
     package = Path(__file__).resolve().parent
     archive = Path(tempfile.mkdtemp(prefix="careflow-ship-")) / "careflow.zip"
     with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
