@@ -35,9 +35,9 @@ CUT = int(COUNTED * 2**64)
 # Pivot rounds end when they no longer halve the pairs that are left, or after this many;
 # what is left is compared in full either way.
 PIVOT_ROUNDS = 4
-# Cost of one entry met in scanning a list, against that of one row put into a list: rows are
-# written and shuffled every turn, entries are met in memory, and most are never met because
-# a pivot closes the list before.
+# Cost of meeting another class of a list, against that of one row put into a list: rows are
+# written and shuffled every turn, classes are met in memory, once for all the lists they have
+# in common (in blocks), and most are never met because a pivot closes the list before.
 SCANNED = 0.02
 
 # Sets and tokens of a block, and tokens that a product takes at once.
@@ -205,7 +205,7 @@ class Join:
         known = known.withColumn("left", left.cast("int")).where(F.col("left") > 1)
         chosen = F.slice(F.array_sort("shared"), F.lit(1), F.col("left"))
         known = known.withColumn("chosen", chosen).where(F.size("chosen") > 1)
-        scan = F.size("chosen") + SCANNED * F.aggregate("chosen", F.lit(0).cast("bigint"), lambda a, t: a + t["df"])
+        scan = F.size("chosen") + SCANNED * F.array_max(F.transform("chosen", lambda t: t["df"]))
         ordered = F.array_sort(F.transform("chosen", lambda t: t["token"]))
         return written(known.select("cls", "n", ordered.alias("tokens"), scan.alias("scan")), "survivors")
 
