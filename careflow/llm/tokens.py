@@ -14,7 +14,7 @@ from array import array
 import regex
 
 # Bytes of parts and of pieces kept per Python worker, and of an entry besides its text and ids.
-PART_BYTES, PIECE_BYTES, ENTRY_BYTES = 24 << 20, 8 << 20, 200
+PART_BYTES, PIECE_BYTES, ENTRY_BYTES = 128 << 20, 32 << 20, 200
 # Characters that every regular expression library classes alike. A text with any other, or
 # with what may be the name of a special token, is encoded whole by the library.
 ODD = re.compile("[^\t\n\r\x20-\x7e\xa1-ſ]|<\\|")
