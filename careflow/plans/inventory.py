@@ -65,19 +65,16 @@ def running_balance(
     return running_sum(log, [key], order, amount, name, **hot)
 
 
-def stock_ledger(
-    supplies: DataFrame, movements: DataFrame, order: list[str], hot_rows: int = HOT_ROWS,
-    blocks: int | None = None,
-) -> tuple[DataFrame, DataFrame]:
-    """Applies signed movements (supply_id, change_amount) in order.
+def opening_stock(supplies: DataFrame) -> DataFrame:
+    """(supply_id, quantity) of supplies; no quantity counts as none in stock."""
+    return supplies.select(F.col("id").alias("supply_id"), F.coalesce("quantity", F.lit(0)).cast("bigint").alias("quantity"))
 
-    Log per movement: `status` accepted, negative, unknown supply or bad amount,
-    and `new_quantity` of the accepted ones. Quantities are whole numbers; a
-    fraction in the amount is cut off.
-    """
-    stock = supplies.select(
-        F.col("id").alias("supply_id"), F.coalesce("quantity", F.lit(0)).cast("bigint").alias("__opening")
-    )
+
+def judged_movements(
+    movements: DataFrame, stock: DataFrame, order: list[str], hot_rows: int = HOT_ROWS, blocks: int | None = None
+) -> DataFrame:
+    """The log of `stock_ledger`, not written yet. `stock` has (supply_id, quantity) before the movements."""
+    stock = stock.withColumnRenamed("quantity", "__opening")
     known = movements.withColumn("change_amount", S.int_part("change_amount")).join(stock, "supply_id", "left")
     can_apply = F.col("__opening").isNotNull() & F.col("change_amount").isNotNull()
     walked = apply_movements(
@@ -88,9 +85,22 @@ def stock_ledger(
     refused = known.where(~can_apply).withColumn(
         "status", F.when(F.col("__opening").isNull(), "unknown supply").otherwise("bad amount")
     )
-    log = judged.withColumnRenamed("balance", "new_quantity").drop("applied", "__opening").unionByName(
+    return judged.withColumnRenamed("balance", "new_quantity").drop("applied", "__opening").unionByName(
         refused.withColumn("new_quantity", F.lit(None).cast("bigint")).drop("__opening")
     )
+
+
+def stock_ledger(
+    supplies: DataFrame, movements: DataFrame, order: list[str], hot_rows: int = HOT_ROWS,
+    blocks: int | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Applies signed movements (supply_id, change_amount) in order.
+
+    Log per movement: `status` accepted, negative, unknown supply or bad amount,
+    and `new_quantity` of the accepted ones. Quantities are whole numbers; a
+    fraction in the amount is cut off.
+    """
+    log = judged_movements(movements, opening_stock(supplies), order, hot_rows, blocks)
     # Walked once: the log is written and the stock is worked out from it.
     log = stored(log, "stock-log")
     return apply_changes(supplies, log.where("status = 'accepted'")), log
