@@ -25,6 +25,8 @@ LEAST_WORDS, LEAST_PERIODS = 6, 4
 CHUNK = 1 << 20
 # Periods whose grids are compared one by one; larger ones have few places and are taken together.
 SINGLE = 64
+# More matches of one small period than this are replaced by one for each of its stretches.
+MANY = 64
 
 Rewrite = Callable[[int | None, int], "np.ndarray | None"]
 
@@ -43,9 +45,27 @@ def repeated_tail(doc_id: int | None, n: int) -> np.ndarray | None:
     return places
 
 
+def _stretches(codes: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of the longest stretches of period q, at least four periods long."""
+    step = np.diff(np.concatenate([[False], codes[q:] == codes[:-q], [False]]).astype(np.int8))
+    start, end = np.flatnonzero(step == 1), np.flatnonzero(step == -1) + q
+    long = end - start >= LEAST_PERIODS * q
+    return start[long], end[long]
+
+
 def _grid_matches(codes: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
-    """(place, period) of grid places, among them one inside each run, that begin three matches with the next place."""
+    """(place, period) of places, among them one inside each run, that begin three matches with the next place."""
     places, periods = [], []
+    # Stretches of small periods that have many matches: where they begin and end.
+    known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def fresh(place: np.ndarray, period: np.ndarray) -> np.ndarray:
+        """False where a match lies in a stretch whose period divides its own: it gives the same stretch again."""
+        out = np.ones(len(place), bool)
+        for q, (start, end) in known.items():
+            at = np.searchsorted(start, place, "right") - 1
+            out &= (period % q != 0) | (at < 0) | (place + 3 * period >= end[at])
+        return out
 
     def keep(streak: np.ndarray, base: np.ndarray, period: np.ndarray) -> None:
         # streak: whether three matches begin here. A run holds such a triple whole; every third begin of
@@ -56,8 +76,17 @@ def _grid_matches(codes: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarr
             new[1:] = at[1:] != at[:-1] + 1
             begin = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
             at = at[((np.arange(len(at)) - begin) % 3 == 0) | np.append(new[1:], True)]
-            places.append(base[at] if base is not None else at * period)
-            periods.append(period[at] if base is not None else np.full(len(at), period))
+            place = base[at] if base is not None else at * period
+            of = period[at] if base is not None else np.full(len(at), period)
+            new = fresh(place, of)
+            place, of = place[new], of[new]
+            if base is None and len(place) > MANY:
+                start, end = _stretches(codes, period)
+                if len(start):
+                    known[period] = start, end
+                place, of = start, np.full(len(start), period)
+            places.append(place)
+            periods.append(of)
 
     most = min(longest // LEAST_PERIODS, len(codes) // LEAST_PERIODS)
     for q in range(1, min(most, SINGLE) + 1):

@@ -121,3 +121,25 @@ def test_query_equals_brute_force(spark):
     assert dict(got.dtypes) == {c: "bigint" for c in got.columns[:-2]} | {c: "string" for c in got.columns[-2:]}
     assert sorted(map(tuple, got.collect())) == sorted(plain_answer(*r) for r in read)
     assert got.where(F.col("n_runs") > 0).count() >= 10
+
+
+def test_a_text_of_one_word_has_few_matches():
+    from careflow.llm import runs
+
+    codes = np.append(np.zeros(20_000, np.int64), 1)
+    place, period = runs._grid_matches(codes, 20_000)
+    # Each of the 5,000 periods has matches in it, all of the one run.
+    assert len(place) < 100
+    assert [x.tolist() for x in runs.find_runs(codes[:-1], np.array([20_000]))] == [[0], [0], [20_000], [1]]
+
+
+def test_stretches_of_small_periods_stand_for_all_their_multiples(monkeypatch):
+    from careflow.llm import runs
+
+    rng = np.random.default_rng(3)
+    texts = [np.concatenate([np.tile(rng.integers(0, 3, rng.integers(1, 9)), rng.integers(1, 40)) for _ in range(5)]) for _ in range(60)]
+    codes, counts = np.concatenate(texts), np.array([len(t) for t in texts])
+    monkeypatch.setattr(runs, "MANY", 1 << 62)
+    expected = runs.find_runs(codes, counts)
+    monkeypatch.setattr(runs, "MANY", 0)
+    assert all(np.array_equal(a, b) for a, b in zip(runs.find_runs(codes, counts), expected))
