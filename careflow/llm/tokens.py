@@ -27,6 +27,8 @@ PIECES = {
     "word_bpe_49k.json": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
 }
 LOWERED = {"word_bpe_49k.json"}
+# Marks that never join the letters before them, and together make one piece.
+MARKS = ",.;:!?"
 
 
 def byte_letters() -> dict[int, str]:
@@ -80,7 +82,13 @@ class Encoder:
         return array("I", [t.id for t in self.merge(letters)]).tobytes()
 
     def _part(self, part: str) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, self.cut(part.lower() if self.lowered else part)))
+        part = part.lower() if self.lowered else part
+        word = part.rstrip(MARKS)
+        # Most parts are a word, with the blank before it, and marks: known without the regular expression.
+        if (word[1:] if word[:1] == " " else word).isalpha():
+            at, pieces = len(word), self.pieces
+            return pieces[word] + pieces[part[at:]] if at < len(part) else pieces[word]
+        return b"".join(map(self.pieces.__getitem__, self.cut(part)))
 
     def whole(self, text: str) -> bytes:
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()

@@ -153,3 +153,15 @@ def test_id_files_in_document_order(spark, docs, tmp_path):
     write_ids(docs(*texts), str(tmp_path / "ids"), path, chunk=10)
     # Every document of ten ids or more closes a chunk; shorter ones share one.
     assert spark.read.parquet(str(tmp_path / "ids")).where("size(doc_ids) > 0").count() >= 2
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_plain_words_need_no_regular_expression(name):
+    own = Encoder(public_tokenizers.path(name))
+    whole = own.library
+    texts = ["Word, word. été! Ünder?! word:; a", "İzmir, don't, 'tis x2, ...", "ªº, x. ?! ."]
+    expected = [np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert own.ids(texts) == expected
+    own = Encoder(public_tokenizers.path(name))
+    own.cut = None
+    assert own.ids(texts[:1]) == expected[:1]
