@@ -85,6 +85,28 @@ def test_orders_of_several_columns_and_null(spark):
     assert admit_first_come(batch.limit(0), {"a": ["x"], "b": ["y"]}, ["s", "t"]).count() == 0
 
 
+def test_many_rows_in_an_order_with_a_fraction(spark, monkeypatch):
+    """Places follow an order of several columns over several files."""
+    rng = random.Random(5)
+    times = rng.sample(range(20_000), 4000)
+    requests = [(t, rng.randrange(20), rng.choice([None, *range(150)]), rng.randrange(300)) for t in times]
+    taken = [(rng.randrange(20), rng.randrange(150), rng.randrange(300)) for _ in range(200)]
+    ordered = [(t // 10, t % 10 / 8, g, x, y) for t, g, x, y in requests]
+    batch = spark.createDataFrame(ordered, "s int, p double, g int, x int, y int").repartition(7)
+    state = spark.createDataFrame(taken, "g int, x int, y int")
+    got = admit_first_come(batch, RULES, ["s", "p"], {"a": state, "b": state})
+    assert rows(got.selectExpr("CAST(s * 10 + p * 8 AS INT) AS t", "verdict"), "t", "verdict") == brute(requests, taken)
+
+
+def test_what_the_first_round_settles_takes_no_other(spark, monkeypatch):
+    names, plain = [], admission.stored
+    monkeypatch.setattr(admission, "stored", lambda df, name: names.append(name) or plain(df, name))
+    batch = spark.range(300).selectExpr("id AS t", "id div 3 AS x", "id AS y")
+    got = admit_first_come(batch, {"a": ["x"], "b": ["y"]}, ["t"])
+    assert got.where("verdict = 'accepted'").count() == 100
+    assert "requests-open" not in names
+
+
 def test_single_rule(spark):
     batch = spark.createDataFrame([(1, "k"), (2, "k"), (3, None), (4, None), (5, "old")], "t int, k string")
     state = spark.createDataFrame([("old",)], "k string")
@@ -107,3 +129,22 @@ def test_booking_order_and_reasons(spark):
     assert rows(state, "id", "patient_id", "status") == [(7, 9, "Done"), (8, 1, "Scheduled"), (9, 2, "Scheduled")]
     slots = rows(state, "machine_id", "schedule_date", "shift")
     assert len(slots) == len(set(slots))
+
+
+def test_booking_reads_its_requests_few_times(spark):
+    """Twice to place them (ranges, rows) and once for the refused of the log."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    kind = "o int, t int, patient_id bigint, machine_id bigint, schedule_date date, shift string"
+    asked = [(n // 5, n, n % 70 or None, n % 30, date(2025, 1, 1 + n % 2), "s1") for n in range(400)]
+    requests = spark.createDataFrame(asked, kind).mapInPandas(counted, kind)
+    booked = spark.createDataFrame([(7, 9, 9, date(2025, 1, 1), "s1", "Done")], SLOT)
+    state, log = schedule.book_slots(booked, requests, ["o", "t"])
+    assert (log.count(), log.where("verdict = 'accepted'").count()) == (400, state.count() - 1)
+    # Both counts of the log read the refused again.
+    assert read.value <= 4 * 400
