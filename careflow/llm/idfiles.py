@@ -23,33 +23,40 @@ CHUNKS = "part bigint, chunk bigint, doc_ids array<bigint>, lengths array<bigint
 
 def code_texts(path: str, end_id: int, vocabulary: int, chunk: int):
     """Sorted Arrow batches of (doc_id, text) to chunks of whole documents."""
-    end = np.array([end_id], "<u4").tobytes()
     names = [x.split()[0] for x in CHUNKS.split(", ")]
     lists = pa.list_(pa.int64())
 
     def run(batches):
-        encode, part, number = encoder(path).ids, TaskContext.get().partitionId(), 0
+        own, part, number = encoder(path), TaskContext.get().partitionId(), 0
         doc_ids: list = []
-        held: list[bytes] = []
+        lengths: list[np.ndarray] = []
+        held: list[np.ndarray] = []
         size = 0
 
         def close():
-            ids = np.frombuffer(b"".join(held), "<u4")
             columns = [
-                pa.array([part]), pa.array([number]), pa.array([doc_ids], lists),
-                pa.array([[len(h) // 4 for h in held]], lists), pa.array([write_chunk(ids, vocabulary)], pa.binary()),
+                pa.array([part]), pa.array([number]), pa.array([doc_ids], lists), pa.array([np.concatenate(lengths)], lists),
+                pa.array([write_chunk(np.concatenate(held), vocabulary)], pa.binary()),
             ]
             return pa.RecordBatch.from_arrays(columns, names=names)
 
         for batch in slices(batches, "text"):
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(texts)):
-                doc_ids.append(doc_id)
-                held.append(ids + end)
-                size += len(held[-1]) // 4
+            ids, counts = own.arrays(batch.column("text"))
+            ids = np.insert(ids, np.cumsum(counts), end_id)
+            counts = counts + 1
+            ends, at, before = np.cumsum(counts), 0, 0
+            while at < len(counts):
+                # Up to the document that makes the chunk full, or all.
+                to = min(len(counts), int(np.searchsorted(ends, before + chunk - size)) + 1)
+                upto = int(ends[to - 1])
+                doc_ids += batch.column("doc_id").slice(at, to - at).to_pylist()
+                lengths.append(counts[at:to])
+                held.append(ids[before:upto])
+                size += upto - before
+                at, before = to, upto
                 if size >= chunk:
                     yield close()
-                    doc_ids, held, size, number = [], [], 0, number + 1
+                    doc_ids, lengths, held, size, number = [], [], [], 0, number + 1
         if held:
             yield close()
 
@@ -82,7 +89,7 @@ def decode_chunks(batches):
             begins = ends - row["lengths"]
             if len(data) != (int(ends[-1]) if len(ends) else 0):
                 raise ValueError("a chunk holds other than its documents' ids")
-            checks = [zlib.crc32(data[a:b].tobytes()) for a, b in zip(begins.tolist(), ends.tolist())]
+            checks = [zlib.crc32(data[a:b]) for a, b in zip(begins.tolist(), ends.tolist())]
             n = len(ends)
             columns = [[row["part"]] * n, [row["chunk"]] * n, range(n), row["doc_ids"], begins, row["lengths"], checks]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)

@@ -1,13 +1,14 @@
-"""Adaptive context-mixing range coder for token ids.
-
-Ids are coded in blocks that know nothing of each other: every block begins with the same
-model. A chunk's header names the ids that occur in it and about how often; within the chunk an
-id is its place among them. The last id seen after the two ids before (order 2) and after the
-one before (order 1) are predictions; how often such a prediction of that standing came true is
-their weight. The rest of the range goes to order 0: the header's frequencies, to which the
-block's own counts of every id are added each `REBUILD` ids. The shares are added up: an id that
-an order predicts has that order's share and, at its own place, its part of order 0's, of
-which the coder takes the former. Blocks are coded side by side, one array lane each.
+"""Adaptive context-mixing coder for token ids, with numbers in place of a range (rANS).
+
+A chunk's header names the ids that occur in it and about how often; within the chunk an id is
+its place among them. The chunk falls into blocks that are coded side by side, one array lane
+each, a step of all lanes at a time. All lanes share one model, which learns from a step before
+the next: the last id seen after the two ids before (order 2) and after the one before (order 1)
+are predictions. Their standings, taken together, choose how much of the whole each gets, by
+how often such predictions came true. The rest goes to order 0: the header's frequencies, to
+which the counts of the ids that no order predicted are added every `REBUILD` steps. The shares are
+added up: an id that an order predicts has that order's share and, at its own place, its part
+of order 0's, of which the coder takes the former.
 """
 
 from __future__ import annotations
@@ -17,177 +18,189 @@ import zlib
 
 import numpy as np
 
-BLOCK, LANES = 8192, 512
-# Numbers of a model's tables over all lanes; large alphabets get fewer lanes.
-MODEL_NUMBERS = 1 << 23
-# Bits of the whole range of a step and of order 0, which always gets that much at least.
-TOTAL_BITS, ZERO_BITS = 26, 22
-# The frequencies of the header count as PRIOR ids together, the block's own are added after so many ids.
-PRIOR, WEIGHT_BITS, REBUILD = 4096, 26, 2048
-TABLE1, TABLE2 = 13, 14
+BLOCK, LANES = 2048, 4096
+# Bits of the whole of a step and, at least, of order 0, which always gets that many.
+TOTAL_BITS, ZERO_BITS = 28, 20
+# The frequencies of the header count as PRIOR ids together.
+PRIOR, REBUILD = 1 << 16, 256
+TABLE2 = 18
 STAND, ID_MASK = 20, (1 << 20) - 1
-WHOLE = np.uint64((1 << 64) - 1)
-WORD = np.uint64((1 << 32) - 1)
-U32 = np.uint64(32)
+# What a prediction's standing (0: none, to 7) loses when it failed and, in every second place, gains
+# when it came true. Of standing 0 or 1 it is replaced when it failed.
+CHANGE = np.array([0, 1, 0, 1, -1, 1, -1, 1, -2, 1, -2, 1, -3, 1, -3, 0], np.int32) << STAND
+REPLACED = np.arange(16) < 4
+REPLACED[1::2] = False
+# A part of order 0 in one number: where it begins, above the bits of its width.
+PART_BITS, PART_MASK = 24, (1 << 24) - 1
+TOTAL_MASK = (1 << TOTAL_BITS) - 1
+# A lane's number before its last id is coded, and the least one between steps; bits of a word.
+FIRST, WORD = np.uint64(1 << 31), np.uint64(32)
+# States of both predictions: their standings and whether they agree. Three outcomes each.
+STATES = 128
+# Steps after which the shares follow the counts of outcomes, and counts at which all are halved.
+FOLLOW, OUTCOMES = 4, 1 << 16
 
 
 class Model:
-    """Predictions of all lanes; the first `k` lanes are active. Tables are flat, a stretch per lane."""
+    """What all lanes share; the first `k` lanes are active."""
 
     def __init__(self, lanes: int, weights: np.ndarray):
         self.runs = len(weights)
-        self.prior = 1 + (weights << WEIGHT_BITS) // max(1, int(weights.sum()))
-        self.counts = np.zeros((lanes, self.runs), np.int32)
-        self.cum = np.empty((lanes, self.runs + 1), np.int64)
-        lane = np.arange(lanes)
-        self.lanes, self.row0, self.row1, self.row2, self.row8 = lane, lane * (self.runs + 1), lane << TABLE1, lane << TABLE2, lane << 3
-        self.t1, self.t2 = np.zeros(lanes << TABLE1, np.int32), np.zeros(lanes << TABLE2, np.int32)
-        self.hit1, self.hit2 = np.full(lanes * 8, 1 << 14, np.int64), np.full(lanes * 8, 1 << 15, np.int64)
+        self.zero_bits = max(ZERO_BITS, self.runs.bit_length() + 2)
+        self.weights = weights * (PRIOR / max(1, int(weights.sum())))
+        self.counts = np.zeros(self.runs, np.int64)
+        self.seen: list[np.ndarray] = []
+        self.t1, self.t2 = np.zeros(self.runs + 1, np.int32), np.zeros(1 << TABLE2, np.int32)
         self.last1, self.last2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.seen = np.zeros((REBUILD, lanes), np.int32)
+        self.outcomes = np.ones((STATES, 3), np.int64)
         self.step = 0
-        self._rebuild(lanes)
+        self._rebuild()
+        self._follow()
 
-    def _rebuild(self, k: int) -> None:
-        """Order 0 from the prior and the counts, scaled to its range; every id keeps a part."""
-        sums = np.cumsum(self.counts[:k] * np.int64((1 << WEIGHT_BITS) // PRIOR) + self.prior, axis=1)
+    def _rebuild(self) -> None:
+        """Order 0 from the prior and the counts, scaled to its bits; every id keeps a part."""
+        sums = np.cumsum((self.weights * (1 << 20)).astype(np.int64) + 1 + (self.counts << 20))
         least = np.arange(1, self.runs + 1)
-        free = (1 << ZERO_BITS) - int(least[-1])
-        self.cum[:k, 0] = 0
-        self.cum[:k, 1:] = sums * free // sums[:, -1:] + least
-        self.flat = self.cum.ravel()
+        free = (1 << self.zero_bits) - self.runs
+        self.first = np.zeros(self.runs + 1, np.int64)
+        if self.runs:
+            self.first[1:] = (sums / sums[-1] * free).astype(np.int64) + least
+            self.first[-1] = 1 << self.zero_bits
+        widths = np.diff(self.first)
+        self.parts = (self.first[:-1] << PART_BITS) + widths
+        self.place = np.repeat(np.arange(self.runs, dtype=np.int32), widths)
+
+    def _follow(self) -> None:
+        """The shares by state: of order 2 and of order 1; order 0 has the rest."""
+        free = (1 << TOTAL_BITS) - (1 << self.zero_bits)
+        state = np.arange(STATES)
+        stand2, stand1, agree = state >> 3 & 7, state & 7, state >> 6
+        all_of = self.outcomes.sum(axis=1)
+        share2 = self.outcomes[:, 2] * free // all_of * (stand2 > 0)
+        share1 = self.outcomes[:, 1] * free // all_of * ((stand1 > 0) & (agree == 0))
+        self.shares = (share2 << TOTAL_BITS) + share1
 
     def predict(self, k: int):
-        """Shares of order 2, 1 and 0. p2 and p1 are the predicted ids plus 1 (0: none)."""
+        """Shares of order 2 and 1. p2 and p1 are the predicted ids plus 1 (0: none)."""
         a, b = self.last1[:k], self.last2[:k]
-        self.at1 = self.row1[:k] + ((a * 40503 >> 3) & ((1 << TABLE1) - 1))
-        self.at2 = self.row2[:k] + ((a * 2654435761 + b * 40503 >> 7) & ((1 << TABLE2) - 1))
-        self.e1, self.e2 = self.t1.take(self.at1), self.t2.take(self.at2)
+        self.at1, self.at2 = a, (a * 2654435761 + b * 40503 >> 7) & ((1 << TABLE2) - 1)
+        self.e1, self.e2 = self.t1.take(a), self.t2.take(self.at2)
         self.p1, self.p2 = self.e1 & ID_MASK, self.e2 & ID_MASK
-        self.h1, self.h2 = self.row8[:k] + (self.e1 >> STAND), self.row8[:k] + (self.e2 >> STAND)
-        self.r1, self.r2 = self.hit1.take(self.h1), self.hit2.take(self.h2)
-        free = (1 << TOTAL_BITS) - (1 << ZERO_BITS)
-        share2 = (self.r2 * free >> 16) * (self.p2 > 0)
-        self.own1 = (self.p1 > 0) & (self.p1 != self.p2)
-        share1 = (self.r1 * (free - share2) >> 16) * self.own1
-        return share2, share1, (1 << TOTAL_BITS) - share2 - share1
-
-    def zero(self, k: int, ids: np.ndarray, share0: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where the ids' parts of order 0 begin, and their widths."""
-        at = self.row0[:k] + ids
-        first = self.flat.take(at) * share0 >> ZERO_BITS
-        return first, (self.flat.take(at + 1) * share0 >> ZERO_BITS) - first
-
-    def find(self, k: int, rest: np.ndarray, share0: np.ndarray) -> np.ndarray:
-        """The ids whose parts of order 0 hold the values, by halving."""
-        row, lo = self.row0[:k], np.zeros(k, np.int64)
-        for bit in range(self.runs.bit_length() - 1, -1, -1):
-            mid = lo + (1 << bit)
-            inside = np.minimum(mid, self.runs)
-            lo += ((mid < self.runs) & (self.flat.take(row + inside) * share0 >> ZERO_BITS <= rest)).astype(np.int64) << bit
-        return lo
-
-    def update(self, k: int, coded: np.ndarray, by2: np.ndarray, by1: np.ndarray) -> None:
-        """`coded` are the ids plus 1."""
-        strong = np.int32(7 << STAND)
-        hit1 = by1 | (self.p1 == coded)
-        new = coded.astype(np.int32) | np.int32(1 << STAND)
-        for table, at, entry, hit in ((self.t1, self.at1, self.e1, hit1), (self.t2, self.at2, self.e2, by2)):
-            stand = entry & ~np.int32(ID_MASK)
-            weaker = np.where(stand <= 1 << STAND, new, entry - ((stand >> 1) & ~np.int32(ID_MASK)))
-            table[at] = np.where(hit, np.where(stand < strong, entry + np.int32(1 << STAND), entry), weaker)
-        r2 = self.r2 + (((by2 * 65536) - self.r2) >> 5)
-        self.hit2[self.h2] = np.where(self.p2 > 0, np.minimum(np.maximum(r2, 64), 65472), self.r2)
-        r1 = self.r1 + (((by1 * 65536) - self.r1) >> 5)
-        self.hit1[self.h1] = np.where(self.own1 & ~by2, np.minimum(np.maximum(r1, 64), 65472), self.r1)
+        self.s1, self.s2 = self.e1 >> STAND, self.e2 >> STAND
+        self.state = ((self.p1 == self.p2).astype(np.int64) << 6) + ((self.s2 << 3) + self.s1)
+        shares = self.shares.take(self.state)
+        return shares >> TOTAL_BITS, shares & TOTAL_MASK
+
+    def part(self, ids: np.ndarray, share2: np.ndarray, share1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and width of what the ids take of the whole; which orders predicted them."""
+        before = share2 + share1
+        share0, part = (1 << TOTAL_BITS) - before, self.parts.take(ids)
+        first = part >> PART_BITS
+        zero = first * share0 >> self.zero_bits
+        width = (((part & PART_MASK) + first) * share0 >> self.zero_bits) - zero
+        self.coded = (ids + 1).astype(np.int32)
+        self.hit2, self.hit1 = self.p2 == self.coded, self.p1 == self.coded
+        self.by2 = self.hit2 & (share2 > 0)
+        self.by1 = self.hit1 & (share1 > 0) & ~self.by2
+        start = zero + before
+        np.copyto(start, share2, where=self.by1)
+        np.copyto(start, 0, where=self.by2)
+        np.copyto(width, share1, where=self.by1)
+        np.copyto(width, share2, where=self.by2)
+        return start, width
+
+    def find(self, value: np.ndarray, share2: np.ndarray, share1: np.ndarray) -> np.ndarray:
+        """The ids that hold the values."""
+        before = share2 + share1
+        share0 = (1 << TOTAL_BITS) - before
+        # The last place of order 0 that begins at or below the value. Both numbers are far below
+        # 2^53 and the quotient's distance to the next whole number is above its rounding.
+        rest = np.maximum(value - before, 0)
+        ids = self.place.take((((rest + 1 << self.zero_bits) - 1) / share0).astype(np.int64))
+        ids = ids.astype(np.int64)
+        np.copyto(ids, self.p1 - 1, where=value < before)
+        np.copyto(ids, self.p2 - 1, where=value < share2)
+        return ids
+
+    def update(self, k: int, ids: np.ndarray) -> None:
+        new = self.coded | np.int32(1 << STAND)
+        # Of lanes with the same context the last one counts.
+        for table, at, entry, stand, hit in (
+            (self.t1, self.at1, self.e1, self.s1, self.hit1), (self.t2, self.at2, self.e2, self.s2, self.hit2),
+        ):
+            case = (stand << 1) + hit
+            entry = entry + CHANGE.take(case)
+            np.copyto(entry, new, where=REPLACED.take(case))
+            table[at] = entry
+        every = np.bincount(self.state, minlength=STATES)
+        true2 = np.bincount(self.state[self.by2], minlength=STATES)
+        true1 = np.bincount(self.state[self.by1], minlength=STATES)
+        self.outcomes += np.stack([every - true2 - true1, true1, true2], axis=1)
         self.last2[:k] = self.last1[:k]
-        self.last1[:k] = coded
-        self.seen[self.step % REBUILD, :k] = coded - 1
+        self.last1[:k] = self.coded
+        self.seen.append(ids[~(self.by1 | self.by2)])
         self.step += 1
+        if self.step % FOLLOW == 0:
+            self.outcomes[self.outcomes.sum(axis=1) > OUTCOMES] >>= 1
+            np.maximum(self.outcomes, 1, out=self.outcomes)
+            self._follow()
         if self.step % REBUILD == 0:
-            flat = self.seen[:, :k].astype(np.int64) + self.lanes[:k] * self.runs
-            self.counts[:k] += np.bincount(flat.ravel(), minlength=k * self.runs).reshape(k, self.runs).astype(np.int32)
-            self._rebuild(k)
-
-
-def _narrow(low, span, start, width):
-    """Takes the part [start, start + width) of the range; returns which lanes then write a word."""
-    unit = span >> np.uint64(TOTAL_BITS)
-    low += unit * start.astype(np.uint64)
-    span[:] = unit * width.astype(np.uint64)
-    short = span <= WORD
-    # Where the upper words of both ends differ the range is cut to the lower one's.
-    split = short & ((low >> U32) != ((low + (span - np.uint64(1))) >> U32))
-    np.copyto(span, np.uint64(1 << 32) - (low & WORD), where=split)
-    return np.flatnonzero(short)
-
-
-def _part(model: Model, k: int, ids: np.ndarray, by2, by1, share2, share1, share0):
-    """Start and width of what the ids take of the range."""
-    start, width = model.zero(k, ids, share0)
-    start += share2 + share1
-    start, width = np.where(by1, share2, start), np.where(by1, share1, width)
-    return np.where(by2, 0, start), np.where(by2, share2, width)
-
-
-def encode_blocks(blocks: list[np.ndarray], weights: np.ndarray) -> list[bytes]:
-    """Coded bytes of each block, the longest first."""
-    lengths = np.array([len(b) for b in blocks])
-    n, longest = len(blocks), int(lengths.max(initial=0))
-    ids = np.zeros((longest, n), np.int32)
-    for j, block in enumerate(blocks):
-        ids[: len(block), j] = block
-    model = Model(n, weights)
-    low, span = np.zeros(n, np.uint64), np.full(n, WHOLE)
-    words, count = np.zeros((n, longest + 2), np.uint32), np.zeros(n, np.int64)
-    for i in range(longest):
-        k = n if i < lengths[-1] else int(np.searchsorted(-lengths, -i, "left"))
-        now = ids[i, :k].astype(np.int64)
-        share2, share1, share0 = model.predict(k)
-        by2, by1 = model.p2 == now + 1, model.own1 & (model.p1 == now + 1)
-        full = _narrow(low[:k], span[:k], *_part(model, k, now, by2, by1, share2, share1, share0))
-        words[full, count[full]] = (low[full] >> U32).astype(np.uint32)
-        count[full] += 1
-        low[full] <<= U32
-        span[full] <<= U32
-        model.update(k, now + 1, by2, by1)
-    for part in (low >> U32, low & WORD):
-        words[model.lanes, count] = part.astype(np.uint32)
-        count += 1
-    return [words[j, : count[j]].astype("<u4").tobytes() for j in range(n)]
-
-
-def decode_blocks(coded: list[bytes], lengths: list[int], weights: np.ndarray) -> list[np.ndarray]:
-    """The ids of each block, the longest first."""
-    n, longest, sizes = len(coded), max(lengths, default=0), np.array(lengths)
-    words = np.zeros((n, longest + 3), np.uint32)
-    for j, data in enumerate(coded):
-        words[j, : len(data) // 4] = np.frombuffer(data, "<u4")
+            self.counts += np.bincount(np.concatenate(self.seen), minlength=self.runs)
+            self.seen = []
+            self._rebuild()
+
+
+def encode_lanes(lanes: np.ndarray, last: int, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A row per step, a column per lane, of which the last one ends after `last` steps: the lanes'
+    numbers and the words that follow, in the order in which they are read."""
+    steps, n = lanes.shape
     model = Model(n, weights)
-    low, span = np.zeros(n, np.uint64), np.full(n, WHOLE)
-    code = (words[:, 0].astype(np.uint64) << U32) | words[:, 1]
-    count = np.full(n, 2, np.int64)
-    ids = np.zeros((longest, n), np.int32)
-    for i in range(longest):
-        k = n if i < sizes[-1] else int(np.searchsorted(-sizes, -i, "left"))
-        share2, share1, share0 = model.predict(k)
-        value = ((code[:k] - low[:k]) // (span[:k] >> np.uint64(TOTAL_BITS))).astype(np.int64)
-        value = np.minimum(value, (1 << TOTAL_BITS) - 1)
-        by2 = value < share2
-        by1 = ~by2 & (value < share2 + share1)
-        now = model.find(k, np.maximum(value - share2 - share1, 0), share0)
-        now = np.where(by2, model.p2 - 1, np.where(by1, model.p1 - 1, now))
-        full = _narrow(low[:k], span[:k], *_part(model, k, now, by2, by1, share2, share1, share0))
-        low[full] <<= U32
-        span[full] <<= U32
-        code[full] = (code[full] << U32) | words[full, count[full]]
-        count[full] += 1
-        ids[i, :k] = now
-        model.update(k, now + 1, by2, by1)
-    return [ids[: lengths[j], j] for j in range(n)]
-
-
-MAGIC = b"CFT2"
+    starts, widths = np.zeros((steps, n), np.uint32), np.zeros((steps, n), np.uint32)
+    for i in range(steps):
+        k = n if i < last else n - 1
+        now = lanes[i, :k].astype(np.int64)
+        starts[i, :k], widths[i, :k] = model.part(now, *model.predict(k))
+        model.update(k, now)
+    # The numbers grow from the last step to the first; a reader takes them apart again.
+    state, words = np.full(n, FIRST), []
+    for i in range(steps - 1, -1, -1):
+        k = n if i < last else n - 1
+        x, width = state[:k], widths[i, :k].astype(np.uint64)
+        full = np.flatnonzero(x >> np.uint64(63 - TOTAL_BITS) >= width)
+        words.append(x[full].astype(np.uint32))
+        x[full] >>= WORD
+        ratio = x // width
+        x[:] = (ratio << np.uint64(TOTAL_BITS)) + (x - ratio * width) + starts[i, :k]
+    return state, np.concatenate(words[::-1]) if words else np.zeros(0, np.uint32)
+
+
+def decode_lanes(state: np.ndarray, words: np.ndarray, steps: int, last: int, weights: np.ndarray) -> np.ndarray:
+    """The ids, a row per step."""
+    n, at = len(state), 0
+    model, state = Model(n, weights), state.copy()
+    lanes = np.zeros((steps, n), np.int32)
+    whole = np.uint64(TOTAL_MASK)
+    for i in range(steps):
+        k = n if i < last else n - 1
+        x = state[:k]
+        value = (x & whole).astype(np.int64)
+        share2, share1 = model.predict(k)
+        now = model.find(value, share2, share1)
+        start, width = model.part(now, share2, share1)
+        x[:] = width.astype(np.uint64) * (x >> np.uint64(TOTAL_BITS)) + (value - start).astype(np.uint64)
+        low = np.flatnonzero(x < FIRST)
+        if at + len(low) > len(words):
+            raise ValueError("a chunk of ids ends early")
+        x[low] = (x[low] << WORD) | words[at : at + len(low)]
+        at += len(low)
+        lanes[i, :k] = now
+        model.update(k, now)
+    if at < len(words) or (state != FIRST).any():
+        raise ValueError("a chunk of ids does not end where it should")
+    return lanes
+
+
+MAGIC = b"CFT3"
 
 
 def _levels(counts: np.ndarray) -> np.ndarray:
@@ -201,54 +214,45 @@ def _weights(levels: np.ndarray) -> np.ndarray:
     return np.maximum(1, (8 + (levels & 7)) << (levels >> 3) >> 3)
 
 
-def _lanes(alphabet: int) -> int:
-    return max(1, min(LANES, MODEL_NUMBERS // max(1, alphabet)))
-
-
 def write_chunk(ids: np.ndarray, vocabulary: int) -> bytes:
-    """A stream of ids as one chunk: header, the ids that occur and their levels, a line per block (ids,
-    bytes, crc32 of the ids), the coded blocks."""
-    there, places, counts = np.unique(ids, return_inverse=True, return_counts=True)
-    levels = _levels(counts.astype(np.int64)) if len(there) else np.zeros(0, np.uint8)
-    weights = _weights(levels)
-    blocks = [places[i : i + BLOCK] for i in range(0, len(ids), BLOCK)]
-    coded: list[bytes] = []
-    lanes = _lanes(len(there))
-    for i in range(0, len(blocks), lanes):
-        coded += encode_blocks(blocks[i : i + lanes], weights)
-    steps = np.diff(there.astype(np.int64), prepend=0).astype("<u4")
+    """A stream of ids as one chunk: header, the ids that occur and their levels, a line per block (ids
+    and their crc32), the blocks' numbers and words."""
+    counts = np.bincount(ids.astype(np.int64))
+    there = np.flatnonzero(counts)
+    levels = _levels(counts[there])
+    n, size = -(-len(ids) // BLOCK), min(BLOCK, len(ids))
+    last = len(ids) - (n - 1) * size
+    places = np.zeros(n * size, np.int32)
+    places[: len(ids)] = np.cumsum(counts > 0).astype(np.int32).take(ids.astype(np.int64)) - 1
+    state, words = encode_lanes(np.ascontiguousarray(places.reshape(n, size).T) if n else places.reshape(0, 0), last, _weights(levels))
+    steps = np.diff(there, prepend=0).astype("<u4")
     table = zlib.compress(steps.tobytes() + levels.tobytes())
-    head = MAGIC + struct.pack("<IIIII", vocabulary, BLOCK, len(blocks), len(there), len(table)) + table
-    checks = [zlib.crc32(ids[i : i + BLOCK].astype("<u4").tobytes()) for i in range(0, len(ids), BLOCK)]
-    head += struct.pack("<I", zlib.crc32(head))
-    lines = [struct.pack("<III", len(b), len(c), check) for b, c, check in zip(blocks, coded, checks)]
-    return b"".join([head, *lines, *coded])
+    blocks = [ids[i : i + BLOCK].astype("<u4").tobytes() for i in range(0, len(ids), BLOCK)]
+    lines = [struct.pack("<II", len(b) // 4, zlib.crc32(b)) for b in blocks]
+    head = b"".join([MAGIC, struct.pack("<IIIII", vocabulary, size, n, len(there), len(table)), table, *lines])
+    return b"".join([head, struct.pack("<I", zlib.crc32(head)), state.astype("<u8").tobytes(), words.astype("<u4").tobytes()])
 
 
 def read_chunk(data: bytes) -> np.ndarray:
     """The ids of a chunk. Raises if it is not one or a checksum differs."""
     if data[:4] != MAGIC:
         raise ValueError("not a chunk of coded ids")
-    _, _, n, alphabet, size = struct.unpack_from("<IIIII", data, 4)
-    at = 24 + size
-    if zlib.crc32(data[:at]) != struct.unpack_from("<I", data, at)[0]:
+    _, steps, n, alphabet, size = struct.unpack_from("<IIIII", data, 4)
+    at = 24 + size + 8 * n
+    if len(data) < at + 4 + 8 * n or zlib.crc32(data[:at]) != struct.unpack_from("<I", data, at)[0]:
         raise ValueError("the checksum of a chunk's header differs")
-    table = zlib.decompress(data[24:at])
+    if not n:
+        return np.zeros(0, "<u4")
+    table = zlib.decompress(data[24 : 24 + size])
     there = np.cumsum(np.frombuffer(table, "<u4", alphabet).astype(np.int64)).astype("<u4")
     weights = _weights(np.frombuffer(table, np.uint8, alphabet, 4 * alphabet))
-    at += 4
-    lines = [struct.unpack_from("<III", data, at + 12 * i) for i in range(n)]
-    at, coded = at + 12 * n, []
-    for _, size, _ in lines:
-        coded.append(data[at : at + size])
-        at += size
-    out, lanes = [], _lanes(alphabet)
-    for i in range(0, n, lanes):
-        some = lines[i : i + lanes]
-        for (_, _, check), block in zip(some, decode_blocks(coded[i : i + lanes], [x[0] for x in some], weights)):
-            # A damaged block may name places that are not there; its checksum tells.
-            block = there[np.minimum(block, alphabet - 1)]
-            if zlib.crc32(block.tobytes()) != check:
-                raise ValueError("the checksum of a block of ids differs")
-            out.append(block)
-    return np.concatenate(out) if out else np.zeros(0, "<u4")
+    lines = np.frombuffer(data, "<u4", 2 * n, 24 + size).reshape(n, 2)
+    state = np.frombuffer(data, "<u8", n, at + 4).astype(np.uint64)
+    rest = at + 4 + 8 * n
+    words = np.frombuffer(data, "<u4", (len(data) - rest) // 4, rest)
+    lanes = decode_lanes(state, words, steps, int(lines[-1, 0]), weights)
+    ids = there.take(np.ascontiguousarray(lanes.T).ravel()[: (n - 1) * steps + int(lines[-1, 0])])
+    for i, check in enumerate(lines[:, 1].tolist()):
+        if zlib.crc32(ids[i * steps : (i + 1) * steps]) != check:
+            raise ValueError("the checksum of a block of ids differs")
+    return ids

@@ -1,9 +1,11 @@
 import random
+import time
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -165,3 +167,46 @@ def test_plain_words_need_no_regular_expression(name):
     own = Encoder(public_tokenizers.path(name))
     own.cut = None
     assert own.ids(texts[:1]) == expected[:1]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+@pytest.mark.parametrize("entries", [8, 64, 1 << 12])
+def test_full_tables_of_parts_and_texts_by_the_library(name, entries):
+    rng = random.Random(entries)
+    texts = ODD + ["".join(rng.choice(list(" \n\t  'stdmlrevaB.9é²ß!$ŉ<|日\xa0")) for _ in range(rng.randint(0, 80))) for _ in range(300)]
+    texts += ["x" * 30 + " y", "x" * 24, " " + "é" * 13, "a" * 100 + "\n\n", "", " ", "\n", "a\n", " \n b", *(f"{w}{i}" for i in range(9) for w in ("a ", " b", "é"))]
+    own = Encoder(public_tokenizers.path(name), entries)
+    expected = [own.whole(t) for t in texts]
+    assert own.ids(texts) == expected == own.ids(texts)
+    ids, counts = own.arrays(pa.array([None, *texts, None])[1:])
+    assert ids.tobytes() == b"".join(expected) and counts.tolist() == [len(e) // 4 for e in expected] + [0]
+    assert own.parts.n <= entries
+
+
+def test_a_long_chunk_takes_little_time_an_id():
+    """CPU seconds of coding and reading back, over those of a loop that tells how fast the machine is now."""
+    rng = np.random.default_rng(3)
+    ids = np.minimum((rng.pareto(0.6, 2_000_000) * 20).astype(np.int64), 50_256).astype("<u4")
+
+    def seconds(work):
+        at = time.thread_time()
+        return work(), time.thread_time() - at
+
+    unit = min(seconds(lambda: sum(range(50_000)))[1] for _ in range(50))
+    data, wrote = seconds(lambda: rangecoder.write_chunk(ids, 50_257))
+    back, read = seconds(lambda: rangecoder.read_chunk(data))
+    assert (back == ids).all()
+    assert (wrote + read) / len(ids) < 2.2e-3 * unit
+
+
+@pytest.mark.parametrize("n", [1, 5, 6, 7, 12, 13])
+def test_lanes_of_every_length(monkeypatch, n):
+    monkeypatch.setattr(rangecoder, "BLOCK", 6)
+    ids = np.array([7, 7, 50_000, 7, 7, 50_000, 3, 7, 7, 50_000, 3, 3, 0], "<u4")[:n]
+    data = rangecoder.write_chunk(ids, 50_257)
+    assert (rangecoder.read_chunk(data) == ids).all()
+    for i in range(len(data)):
+        with pytest.raises(ValueError):
+            rangecoder.read_chunk(data[:i] + bytes([data[i] ^ 64]) + data[i + 1 :])
+    with pytest.raises(ValueError):
+        rangecoder.read_chunk(data[:-1])
