@@ -50,6 +50,13 @@ def byte_letters() -> dict[int, str]:
 
 
 LETTERS = byte_letters()
+CODES = np.array([ord(LETTERS[b]) for b in range(256)], "<u4")
+# Bytes of letters among the plain characters; U+00D7 and U+00F7 are none. The words merged at once.
+WORD_BYTES = np.zeros(256, bool)
+WORD_BYTES[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0xC0), *range(0xC3, 0xC6)]] = True
+IS_MARK = np.zeros(256, bool)
+IS_MARK[[*MARKS.encode()]] = True
+JOINED = 12
 
 
 class Kept(dict):
@@ -169,7 +176,7 @@ class Encoder:
         self.cut = regex.compile(PIECES[name]).findall if name in PIECES else None
         self.lowered = name in LOWERED
         self.parts = Parts(entries)
-        self.long = Kept(lambda part: self._parts([part])[0].tobytes(), LONG_BYTES)
+        self.long = Kept(self._part, LONG_BYTES)
         self.pieces = Kept(self._piece, PIECE_BYTES)
         # Where the ends of pieces are not marked and zero bytes merge with nothing, pieces
         # are merged many at once with a zero byte between them: it is in no plain text.
@@ -183,26 +190,44 @@ class Encoder:
         letters = "".join(map(LETTERS.__getitem__, piece.encode()))
         return array("I", [t.id for t in self.merge(letters)]).tobytes()
 
-    def _pieces(self, part: str) -> list[str]:
+    def _part(self, part: str) -> bytes:
         part = part.lower() if self.lowered else part
         word = part.rstrip(MARKS)
-        # Most parts are a word, with the blank before it, and marks: known without the regular expression.
+        # Most parts are a word, with the blank before it, or marks, or both: known without the regular expression.
+        if word in ("", " ") and word != part:
+            return self.pieces[part]
         if (word[1:] if word[:1] == " " else word).isalpha():
-            return [word, part[len(word) :]] if len(word) < len(part) else [word]
-        return self.cut(part)
-
-    def _parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of the parts one after the other, and how many each has."""
-        pieces = [self._pieces(p) for p in parts]
-        if self.apart is None:
-            coded = [b"".join(map(self.pieces.__getitem__, each)) for each in pieces]
-            return np.frombuffer(b"".join(coded), np.uint32), np.array([len(c) // 4 for c in coded])
-        joined = "\0".join([piece for each in pieces for piece in each]) + "\0"
-        letters = joined.encode().decode("latin-1").translate(LETTERS)
-        ids = np.array([t.id for t in self.merge(letters)], np.uint32)
+            at, pieces = len(word), self.pieces
+            return pieces[word] + pieces[part[at:]] if at < len(part) else pieces[word]
+        return b"".join(map(self.pieces.__getitem__, self.cut(part)))
+
+    def _words(self, data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of parts that are one piece each, from their bytes one after the other."""
+        ends = np.cumsum(lengths)
+        codes = np.insert(CODES.take(data), ends, CODES[0])
+        letters, ends = codes.tobytes().decode("utf-32-le"), (ends + np.arange(1, len(ends) + 1)).tolist()
+        cuts = [0, *ends[JOINED - 1 : -1 : JOINED], ends[-1]]
+        ids = np.array([t.id for a, b in zip(cuts, cuts[1:]) for t in self.merge(letters[a:b])], np.uint32)
         between = ids == self.apart
-        per_piece = np.diff(np.flatnonzero(between), prepend=-1) - 1
-        return ids[~between], np.add.reduceat(per_piece, np.cumsum([0, *map(len, pieces[:-1])]))
+        return ids[~between], np.diff(np.flatnonzero(between), prepend=-1) - 1
+
+    def _new(self, buf: np.ndarray, at: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """An order of the parts; in it their ids one after the other, and how many each has."""
+        ends = np.cumsum(lengths)
+        begins = ends - lengths
+        data = gathered(buf, at, lengths)
+        other = ~WORD_BYTES[data]
+        other[begins] &= data[begins] != 32
+        other[:-1] |= (data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7))
+        word = np.add.reduceat(other, begins, dtype=np.int64) == 0 if self.apart is not None else np.zeros(len(at), bool)
+        words, rest = np.flatnonzero(word), np.flatnonzero(~word)
+        ids, counts = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        if len(words):
+            ids, counts = self._words(data[np.repeat(word, lengths)], lengths[words])
+        spans = zip(begins[rest].tolist(), ends[rest].tolist())
+        coded = [self._part(data[a:b].tobytes().decode()) for a, b in spans]
+        ids = np.concatenate([ids, np.frombuffer(b"".join(coded), np.uint32)])
+        return np.concatenate([words, rest]), ids, np.concatenate([counts, np.array([len(c) // 4 for c in coded], np.int64)])
 
     def whole(self, text: str) -> bytes:
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
@@ -263,6 +288,10 @@ class Encoder:
         else:
             first &= before
         last &= after
+        # Every splitting cuts between a letter and the mark after it.
+        marked = (((buf[:-1] | 32) - np.uint8(97)) < 26) & IS_MARK[buf[1:]]
+        first[1:] |= marked
+        last[:-1] |= marked
         for number in odd.tolist():
             a, b = bounds[number : number + 2]
             first[a:b] = last[a:b] = False
@@ -312,10 +341,9 @@ class Encoder:
             new = np.ones(len(order), bool)
             new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in own])
             places = missing[order[new]]
-            spans = zip(at[places].tolist(), lengths[places].tolist())
-            ids, counts = self._parts([buf[a : a + n].tobytes().decode() for a, n in spans])
+            order, ids, counts = self._new(buf, at[places], lengths[places])
             # Making room may drop entries found before, which are then looked for again.
-            self.parts.add([k[new] for k in own], ids, counts)
+            self.parts.add([k[new][order] for k in own], ids, counts)
             entry = self.parts.find(keys)
         return entry
 
