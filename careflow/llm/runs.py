@@ -133,11 +133,13 @@ def find_runs(codes: np.ndarray, counts: np.ndarray, v: int | None = None) -> tu
         return none
     whole, owner, first = _closed(codes, counts)
     place, period = _grid_matches(whole, int(counts.max()))
+    # A grid meets equal words of several texts too: such places are in no run, and their partners not among the texts sorted.
+    inside = owner[place] == owner[place + period]
+    place, period = place[inside], period[inside]
     if not len(place):
         return none
-    # Only texts with matches are sorted. A match never spans a closing code, so it lies in one text:
-    # closing code t comes before text t, hence the -1 of places right of it is its own text.
-    text = np.searchsorted(first, place, "right") - 1
+    # Only texts with matches are sorted. A word's owner is its text: closing code t comes before text t.
+    text = owner[place]
     keep = np.zeros(len(counts), bool)
     keep[text] = True
     some, owner, begin = _closed(codes[np.repeat(keep, counts)], counts[keep])

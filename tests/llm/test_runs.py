@@ -96,6 +96,23 @@ def test_long_periods_are_found_in_chunks():
     assert rows == [(0, 1000, 25000, 5000)]
 
 
+def test_equal_words_of_several_texts_are_no_match():
+    # One word at places 70, 80, 90 and 100 of the grid: the last of the first text and three of the second.
+    texts = [[*range(1, 70), 0], list(range(100, 130)), [0] * 6]
+    texts[1][8::10] = [0] * 3
+    got = find_runs(np.concatenate(texts), np.array([len(t) for t in texts]))
+    assert list(zip(*(x.tolist() for x in got))) == [(2, 0, 6, 1)]
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_many_short_texts_beside_long_ones(seed):
+    rng = np.random.default_rng(seed)
+    texts = [rng.integers(0, 40, rng.integers(0, 600 if i % 8 == 0 else 30)).tolist() for i in range(40)]
+    texts += [np.tile(rng.integers(0, 40, rng.integers(1, 9)), 5).tolist()]
+    rows = list(zip(*(x.tolist() for x in find_runs(np.concatenate(texts).astype(np.int64), np.array([len(t) for t in texts])))))
+    assert rows == [(i, *r) for i, t in enumerate(texts) for r in plain_runs(t)]
+
+
 def test_odd_texts(spark, docs):
     texts = [
         None, "", " \t\n", "a", "a a a a a", "a a a a a a", "a b a b a b a b", "a b a b a b a",
